@@ -316,3 +316,14 @@ def merge_rows(kept: DataFrame, selected: DataFrame, id_col: str = "row_id") ->
             .withColumnRenamed(id_col, "_old"))
     out = ordered_index(both, ["_src", "_old"], name=id_col)
     return out.drop("_src", "_old").select(*kept.columns)
+
+
+def expand_vector(df: DataFrame, col: str, dim: int | None = None, prefix: str = "x"):
+    """Array feature -> one double column per element (distances take columns).
+    Returns (DataFrame, column names); ``dim`` defaults to the first row's length."""
+    if dim is None:
+        dim = df.select(F.size(col)).first()[0]
+    cols = [f"{prefix}{i}" for i in range(dim)]
+    out = df.select(*[c for c in df.columns if c != col],
+                    *[F.col(col)[i].cast("double").alias(n) for i, n in enumerate(cols)])
+    return out, cols

@@ -14,6 +14,7 @@ a DataFrame. Fixture conventions shared with the SQL oracles
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -32,7 +33,8 @@ def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            # "column" is reserved in DuckDB: quote the identifier everywhere.
+            ORACLE[name] = re.sub(r"(?<![\w'\"])column(?![\w'\"])", '"column"', sql)
         return fn
     return deco
 
@@ -111,3 +113,33 @@ def _load_all():
         except ModuleNotFoundError as e:
             if m not in str(e):
                 raise
+
+
+def long_sql(src: str, cols, by=()) -> str:
+    b = "".join(f"{x}, " for x in by)
+    return " UNION ALL ".join(f"SELECT {b}'{c}' AS column, CAST({c} AS DOUBLE) AS v FROM {src}" for c in cols)
+
+
+def freqs_sql(real: str, syn: str, cols, n_bins: int = 10, force_hist: bool = False, prefix: str = "f") -> str:
+    """CTEs ending in ``{prefix}_al``: (column, bin, p_real, p_syn) as in A4."""
+    k = f"least({n_bins}, nd)" if not force_hist else str(n_bins)
+    cat = "nd < 5" if not force_hist else "false"
+    binx = (f"CASE WHEN p.cat THEN l.v ELSE p.lo + CAST(least(floor((l.v - p.lo) * CAST(p.k AS DOUBLE) / (p.hi - p.lo)), p.k - 1) AS DOUBLE)"
+            f" * ((p.hi - p.lo) / CAST(p.k AS DOUBLE)) END")
+    inr = "(p.cat OR (l.v >= p.lo AND l.v <= p.hi))"
+
+    def side(src, name):
+        return f"""{prefix}_{name}_l AS ({long_sql(src, cols)}),
+{prefix}_{name}_b AS (SELECT l.column, l.v, {binx} AS bin, p.cat, {inr} AS inr FROM {prefix}_{name}_l l JOIN {prefix}_prof p ON l.column = p.column),
+{prefix}_{name}_c AS (SELECT column, bin, count(*) AS n, any_value(cat) AS cat FROM {prefix}_{name}_b WHERE inr AND v IS NOT NULL GROUP BY column, bin),
+{prefix}_{name}_t AS (SELECT column, count(*) AS nrows, sum(CASE WHEN inr AND v IS NOT NULL THEN 1 ELSE 0 END) AS hits FROM {prefix}_{name}_b GROUP BY column),
+{prefix}_{name}_f AS (SELECT c.column, c.bin, CASE WHEN c.cat THEN c.n / t.nrows ELSE c.n / (t.hits + 1e-8) END AS p
+                      FROM {prefix}_{name}_c c JOIN {prefix}_{name}_t t ON c.column = t.column)"""
+    return f"""{prefix}_rl0 AS ({long_sql(real, cols)}),
+{prefix}_prof AS (SELECT column, nd, {k} AS k, {cat} AS cat, lo, hi FROM
+   (SELECT column, count(DISTINCT v) AS nd, min(v) AS lo, max(v) AS hi FROM {prefix}_rl0 GROUP BY column)),
+{side(real, 'r')},
+{side(syn, 's')},
+{prefix}_al AS (SELECT coalesce(r.column, s.column) AS column, coalesce(r.bin, s.bin) AS bin,
+                   coalesce(nullif(r.p, 0.0), 1e-11) AS p_real, coalesce(nullif(s.p, 0.0), 1e-11) AS p_syn
+                FROM {prefix}_r_f r FULL OUTER JOIN {prefix}_s_f s ON r.column = s.column AND r.bin = s.bin)"""
