@@ -139,10 +139,11 @@ def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude
     block = _conf_int(spark, "mirage.distance.blockRows", DEFAULT_BLOCK_ROWS)
     bsel = b.select(F.col(id_col).cast("long").alias("_bid"), *[F.col(c).cast("double").alias(c) for c in cols])
     asel = a.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c).cast("double").alias(c) for c in cols])
-    nb = bsel.count()
     schema = f"{id_col} long, {name} double" if kind != "argmin" else f"{id_col} long, nn_id long, {name} double"
-    if nb * (len(cols) + 1) * 8 <= limit:
-        pdf = bsel.toPandas()  # bounded by the size check above
+    max_rows = max(1, limit // ((len(cols) + 1) * 8))
+    pdf = bsel.limit(max_rows + 1).toPandas()  # at most max_rows + 1 rows reach the driver
+    nb = len(pdf)
+    if nb <= max_rows:
         bc = spark.sparkContext.broadcast((pdf[cols].to_numpy(np.float64), pdf["_bid"].to_numpy(np.int64)))
 
         def scan(it):
@@ -164,7 +165,8 @@ def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude
                 yield pd.DataFrame({id_col: ida, name: v})
         return asel.mapInPandas(scan, schema)
 
-    na = asel.count()
+    del pdf
+    na, nb = asel.count(), bsel.count()
     ka, kb = max(1, math.ceil(na / block)), max(1, math.ceil(nb / block))
     ablk = (asel.withColumn("_ia", F.pmod(F.xxhash64(id_col), F.lit(ka)))
             .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(kb - 1))).cast("long")))

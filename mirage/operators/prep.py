@@ -126,7 +126,9 @@ def encode(df: DataFrame, dictionary: DataFrame | None = None, skip=("row_id",))
     cats = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     times = [f.name for f in fields if isinstance(f.dataType, TIMES)]
     if dictionary is None:
-        dictionary = build_dictionary(df, cats)
+        from mirage.session import cut_lineage
+        # Materialised once: the sizes below and every join read the stored copy.
+        dictionary = cut_lineage(build_dictionary(df, cats))
     sizes = {}
     if cats:
         sizes = {r["column"]: r["n"] for r in
