@@ -124,11 +124,18 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
              .withColumn("bin_hi", F.when(F.col("categorical"), F.col("v0"))
                          .otherwise(F.col("lo") + (F.col("bin") + 1).cast("double") * width)))
     model = _finish(model)
-    return model.select(F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi",
+    return _store(model.select(F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi",
                         F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("parent_bin"),
                         "count", "noisy", "p", "cum_lo", "cum_hi",
                         F.col("column").isin(integral).alias("integral") if integral else F.lit(False).alias("integral"),
-                        F.lit(n_train).cast("long").alias("n_train"))
+                        F.lit(n_train).cast("long").alias("n_train")))
+
+
+def _store(model: DataFrame) -> DataFrame:
+    """A fitted model is small and read by every generation: materialise it once
+    (reliable checkpoint), so generating never re-runs the fit."""
+    from mirage.session import cut_lineage
+    return cut_lineage(model)
 
 
 def bound_contribution(df: DataFrame, unit: str, cap: int, seed=0, id_col: str = "row_id") -> DataFrame:
@@ -199,8 +206,8 @@ def generate(model: DataFrame, count: int | None = None, seed=0, attempt=0,
     pending = [c for c in order if c not in done]
     bin_cols = {}
     if cond is not None:
-        for c in pending:
-            if c in cond.columns:
+        for c in order:
+            if c in cond.columns and c != id_col:
                 bin_cols[c] = _bin_of(by_col[c], F.col(c))
     while pending:
         progressed = False
@@ -208,8 +215,11 @@ def generate(model: DataFrame, count: int | None = None, seed=0, attempt=0,
             p = parents[c]
             if p is not None and p not in bin_cols:
                 continue
-            u = draw(seed, tag(c), F.col(id_col))
-            w = draw(seed, tag(c, "in"), F.col(id_col))
+            # Draws become columns first so the CASE chains below reference them
+            # instead of repeating the hash in every branch.
+            out = out.withColumn(f"_u_{c}", draw(seed, tag(c), F.col(id_col)))
+            out = out.withColumn(f"_w_{c}", draw(seed, tag(c, "in"), F.col(id_col)))
+            u, w = F.col(f"_u_{c}"), F.col(f"_w_{c}")
             integral = bool(by_col[c][0]["integral"])
             if p is None:
                 val = _value_expr(by_col[c], u, w, integral)
@@ -355,7 +365,7 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
     cols_out = MODEL_COLUMNS
     cond_t = cond_t.select(F.lit(family).alias("family"), *[c for c in cols_out[1:]])
     model = out_roots.select(*cols_out).unionByName(cond_t.select(*cols_out))
-    return model
+    return _store(model)
 
 
 def value_modes(df: DataFrame, col: str, max_clusters: int = 10, seed: int = 3) -> DataFrame:
@@ -449,15 +459,19 @@ def _first_copies(acc: DataFrame, id_col: str) -> DataFrame:
 def accumulate(make_batch, count: int, patience: int = 500, strict_dedupe: bool = False,
                id_col: str = "row_id") -> DataFrame:
     """Append accepted batches until ``count`` rows exist (at most
-    ``patience`` batches). Batch i is ``make_batch(i, n)``; rows keep a
-    (batch, row) order and are renumbered; only a short result loops again."""
+    ``patience`` batches). Batch i is ``make_batch(i, n)``; each batch is
+    materialised once (checkpoint), rows keep a (batch, row) order and are
+    renumbered; only a short result asks for another batch."""
+    from mirage.session import cut_lineage
     parts, i, got = [], 0, 0
     while got < count and i < patience:
-        parts.append(make_batch(i, max(count - got, 1)).withColumn("_batch", F.lit(i)))
+        parts.append(cut_lineage(make_batch(i, max(count - got, 1)).withColumn("_batch", F.lit(i))))
         acc = reduce(DataFrame.unionByName, parts)
         if strict_dedupe:
             acc = _first_copies(acc, id_col)
-        got = acc.count()
+            got = acc.count()
+        else:
+            got += parts[-1].count()
         i += 1
     first = take_first(acc, ["_batch", id_col], count)
     out = ordered_index(first.withColumnRenamed(id_col, "_old"), ["_batch", "_old"], name=id_col)
