@@ -132,10 +132,13 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
 
 
 def _store(model: DataFrame) -> DataFrame:
-    """A fitted model is small and read by every generation: materialise it once
-    (reliable checkpoint), so generating never re-runs the fit."""
-    from mirage.session import cut_lineage
-    return cut_lineage(model)
+    """A fitted model is small (columns x bins, size-checked) and read by every
+    generation: materialise it once as a local table, so generating never
+    re-runs the fit and the model has no lineage to recompute."""
+    rows = model.limit(MODEL_MAX_ROWS + 1).collect()
+    if len(rows) > MODEL_MAX_ROWS:
+        raise ValueError("model table too large; reduce bins or categories")
+    return model.sparkSession.createDataFrame(rows, model.schema)
 
 
 def bound_contribution(df: DataFrame, unit: str, cap: int, seed=0, id_col: str = "row_id") -> DataFrame:

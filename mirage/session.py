@@ -58,9 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing a parquet table into the shared checkpoint folder
+    and reading it back: one pass (an RDD checkpoint computes its input twice
+    unless cached), survives executor loss, and later reads prune columns."""
+    import uuid
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"t-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
