@@ -130,7 +130,8 @@ def next_epsilon(df: DataFrame, cur="epsilon", low="low", high="high", amount="a
     down = F.col(direction) == "down"
     new_lo = F.when(down, lo).otherwise(c)
     new_hi = F.when(down, c).otherwise(hi)
-    new = F.when(down, F.round(c - (c - lo) * a, 1)).otherwise(F.round(c + (hi - c) * a, 1))
+    tenth = lambda x: F.floor(x * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0)  # noqa: E731 - half up to 0.1
+    new = F.when(down, tenth(c - (c - lo) * a)).otherwise(tenth(c + (hi - c) * a))
     return (df.withColumn("new_low", new_lo).withColumn("new_high", new_hi)
             .withColumn("new_epsilon", F.when(new_lo < new_hi, new)))
 

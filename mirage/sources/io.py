@@ -71,18 +71,27 @@ class Store:
     # S3 / S4
     def save_model(self, model: DataFrame, family: str, level: str) -> bool:
         """Store a fitted model under its level unless one is stored already."""
-        if self._exists(self.models):
-            stored = self.spark.read.parquet(self.models).filter(F.col("level") == level).limit(1).count()
-            if stored:
-                return False
+        stored = self._read(self.models)
+        if stored is not None and stored.filter(F.col("level") == level).limit(1).count():
+            return False
         out = model.drop("family").withColumn("family", F.lit(family)).withColumn("level", F.lit(level))
         out.write.mode("append").partitionBy("family", "level").parquet(self.models)
         return True
 
+    def _read(self, path: str) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
+        if not self._exists(path):
+            return None
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException:  # folder left without data files (every level removed)
+            return None
+
     def load_model(self, level: str, family: str | None = None) -> DataFrame | None:
-        if not self._exists(self.models):
+        m = self._read(self.models)
+        if m is None:
             return None
-        m = self.spark.read.parquet(self.models).filter(F.col("level") == level)
+        m = m.filter(F.col("level") == level)
         if family is not None:
             m = m.filter(F.col("family") == family)
         return m.drop("level")
@@ -94,14 +103,14 @@ class Store:
          .option("partitionOverwriteMode", "dynamic").partitionBy("level").parquet(self.cache))
 
     def cache_get(self, level: str) -> DataFrame | None:
-        if not self._exists(self.cache):
-            return None
-        return self.spark.read.parquet(self.cache).filter(F.col("level") == level).drop("level")
+        c = self._read(self.cache)
+        return None if c is None else c.filter(F.col("level") == level).drop("level")
 
     def cached_levels(self) -> DataFrame:
-        if not self._exists(self.cache):
+        c = self._read(self.cache)
+        if c is None:
             return self.spark.createDataFrame([], "level string")
-        return self.spark.read.parquet(self.cache).select("level").distinct()
+        return c.select("level").distinct()
 
     # levels table
     def append_levels(self, rows: DataFrame) -> None:
@@ -130,7 +139,8 @@ class Store:
                         fs.delete(p, True)
 
     def _families(self) -> list:
-        return [r["family"] for r in self.spark.read.parquet(self.models).select("family").distinct().collect()]
+        m = self._read(self.models)
+        return [] if m is None else [r["family"] for r in m.select("family").distinct().collect()]
 
 
 # S5
