@@ -51,19 +51,22 @@ def _min_sq(A, ida, B, idb, exclude_self):
     if len(A) == 0 or len(B) == 0:
         return out
     aa = np.einsum("ij,ij->i", A, A)
-    ca = max(1, min(4096, (1 << 22) // max(1, min(len(B), _B_CHUNK))))
+    ca = max(1, min(4096, (1 << 20) // max(1, min(len(B), _B_CHUNK))))
     for j0 in range(0, len(B), _B_CHUNK):
         Bj, idj = B[j0:j0 + _B_CHUNK], idb[j0:j0 + _B_CHUNK]
         bb = np.einsum("ij,ij->i", Bj, Bj)
         bmax = bb.max()
         for i0 in range(0, len(A), ca):
             Ai = A[i0:i0 + ca]
-            d2 = aa[i0:i0 + ca, None] + bb[None, :] - 2.0 * (Ai @ Bj.T)
+            # In place: g = |b|^2 - 2ab (= d2 - |a|^2, same order per row).
+            g = Ai @ Bj.T
+            g *= -2.0
+            g += bb[None, :]
             if exclude_self:
-                d2[ida[i0:i0 + ca, None] == idj[None, :]] = np.inf
-            m = d2.min(axis=1)
+                g[ida[i0:i0 + ca, None] == idj[None, :]] = np.inf
+            m = g.min(axis=1)
             tol = 1e-12 * (aa[i0:i0 + ca] + bmax) + 1e-300
-            r, c = np.nonzero(d2 <= (m + tol)[:, None])
+            r, c = np.nonzero(g <= (m + tol)[:, None])
             if len(r):
                 exact = ((Ai[r] - Bj[c]) ** 2).sum(axis=1)
                 blk = out[i0:i0 + ca]
@@ -79,7 +82,7 @@ def _argmin_sq(A, ida, B, idb, exclude_self):
     if len(A) == 0 or len(B) == 0:
         return best, arg
     aa = np.einsum("ij,ij->i", A, A)
-    ca = max(1, min(4096, (1 << 22) // max(1, min(len(B), _B_CHUNK))))
+    ca = max(1, min(4096, (1 << 20) // max(1, min(len(B), _B_CHUNK))))
     for j0 in range(0, len(B), _B_CHUNK):
         Bj, idj = B[j0:j0 + _B_CHUNK], idb[j0:j0 + _B_CHUNK]
         bb = np.einsum("ij,ij->i", Bj, Bj)
@@ -124,6 +127,13 @@ def _sum_dist(A, B):
 
 # --- plans ------------------------------------------------------------------
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Each row of A costs |B| distance evaluations, so A must use every core:
+    a table read as fewer partitions than the cluster's parallelism (one small
+    file) is spread round-robin first; large tables keep their scan splits."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par * 2) if df.rdd.getNumPartitions() < par else df
+
 def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude_self: bool,
                name: str, by=()) -> DataFrame:
     """Per row of ``a``: ``kind`` = 'min' (nearest distance) or 'mean' (mean distance).
@@ -163,7 +173,7 @@ def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude
                 else:
                     v = _sum_dist(A, B) / len(B) if len(B) else np.full(len(A), np.nan)
                 yield pd.DataFrame({id_col: ida, name: v})
-        return asel.mapInPandas(scan, schema)
+        return _spread(asel).mapInPandas(scan, schema)
 
     del pdf
     na, nb = asel.count(), bsel.count()
@@ -230,7 +240,7 @@ def _pair_stat_by(a, b, cols, id_col, kind, exclude_self, name, by):
                         out[t] = np.repeat(np.array([val], dtype=object), len(A))
                     out[name] = v
                     yield pd.DataFrame(out)
-        return asel.mapInPandas(scan, schema)
+        return _spread(asel).mapInPandas(scan, schema)
     # Blocked: tag groups become part of the block key.
     na = asel.count()
     tags = [tuple(r) for r in bsel.select(*by).distinct().collect()]  # tag values are few (sizes x attempts)

@@ -22,6 +22,12 @@ FILL = 1e-11       # stands in for a missing or zero frequency
 HIST_EPS = 1e-8    # added to histogram totals
 
 
+def value_key(v) -> F.Column:
+    """Integer key of a categorical value: round(v * 1e6) when it fits in 64
+    bits, else a 64-bit hash of the value (so huge values never overflow)."""
+    return F.coalesce(F.round(v * F.lit(1e6)).try_cast("bigint"), F.xxhash64(v))
+
+
 def feature_columns(df: DataFrame, skip=("row_id",)) -> list:
     return [c for c in df.columns if c not in skip]
 

@@ -123,7 +123,7 @@ def data_leakage(real: DataFrame, syn: DataFrame, sensitive, cols=None, seed: in
 # --- M5 --------------------------------------------------------------------------
 
 def _attack_key():
-    v = F.coalesce(F.round(F.col("v") * F.lit(1e6)).cast("bigint").cast("string"), F.lit("null"))
+    v = F.coalesce(F.round(F.col("v") * F.lit(1e6)).try_cast("bigint").cast("string"), F.lit("null"))
     return F.md5(F.concat_ws("|", F.col("column"), F.col("op"), v))
 
 
@@ -141,7 +141,7 @@ def singling_out_attacks(syn: DataFrame, cols=None, n_attacks: int = N_ATTACKS)
     nulls = ext.filter(F.col("nulls") == 1).select("column", F.lit("null").alias("op"),
                                                     F.lit(None).cast("double").alias("v"))
     preds = once.unionByName(bounds).unionByName(nulls).withColumn("key", _attack_key())
-    return preds.orderBy("key").limit(n_attacks)  # n_attacks is small: TakeOrdered
+    return preds.orderBy("key", "column", "op", "v").limit(n_attacks)  # n_attacks is small: TakeOrdered
 
 
 def _attack_success(attacks: DataFrame, target: DataFrame, cols) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from mirage.functions.draws import draw, fresh_seed
 from mirage.functions.ordering import ordered_index, take_first, top_k_per_group
 from mirage.operators.distance import nearest_distance, nearest_neighbor, nearest_other
-from mirage.operators.frequencies import column_profile, feature_columns, to_long
+from mirage.operators.frequencies import column_profile, feature_columns, to_long, value_key
 from mirage.operators.prep import INTEGRAL, dedupe, match_constraints
 
 N_BINS = 10
@@ -36,7 +36,7 @@ MODEL_COLUMNS = ["family", "column", "kind", "bin", "bin_lo", "bin_hi", "parent"
 
 def _bin_index(prof_cat: Column, k: Column) -> Column:
     idx = F.least(F.floor((F.col("v") - F.col("lo")) * k.cast("double") / (F.col("hi") - F.col("lo"))), k - 1)
-    cat_key = F.round(F.col("v") * F.lit(1e6)).cast("long")
+    cat_key = value_key(F.col("v"))
     return F.when(prof_cat, cat_key).otherwise(idx.cast("long"))
 
 
@@ -258,7 +258,7 @@ def _bin_of(rows, value: Column) -> Column:
     """Bin index of a given value (for a condition column)."""
     r0 = rows[0]
     if r0["kind"] == "cat":
-        return F.round(value * F.lit(1e6)).cast("long")
+        return value_key(value)
     lo = min(r["bin_lo"] for r in rows)
     hi = max(r["bin_hi"] for r in rows)
     k = len({r["bin"] for r in rows})
@@ -275,7 +275,7 @@ def _binned_wide(df: DataFrame, cols, n_bins: int) -> tuple[DataFrame, DataFrame
         r = p[c]
         v = F.col(c).cast("double")
         if r["categorical"]:
-            exprs.append(F.round(v * F.lit(1e6)).cast("long").alias(c))
+            exprs.append(value_key(v).alias(c))
         else:
             k = int(r["n_bins"])
             span = (r["hi"] - r["lo"]) or 1.0
@@ -405,7 +405,7 @@ def adjust_marginals(syn: DataFrame, real: DataFrame, col: str, seed=0, n_bins:
     prof = column_profile(real, [col], n_bins).first()
     v = F.col(col).cast("double")
     if prof["categorical"]:
-        b = F.round(v * F.lit(1e6)).cast("long")
+        b = value_key(v)
     else:
         k = int(prof["n_bins"])
         span = (prof["hi"] - prof["lo"]) or 1.0

@@ -60,7 +60,7 @@ def metric_ident_oc(spark, d):
 
 
 def _so_sql(syn: str, target: str, prefix: str) -> str:
-    key = "md5(concat_ws('|', column, op, coalesce(CAST(CAST(round(v * 1000000.0) AS BIGINT) AS VARCHAR), 'null')))"
+    key = "md5(concat_ws('|', column, op, coalesce(CAST(TRY_CAST(round(v * 1000000.0) AS BIGINT) AS VARCHAR), 'null')))"
     return f"""{prefix}_sl AS (SELECT 'c_nationkey' AS column, CAST(c_nationkey AS DOUBLE) AS v FROM {syn}
     UNION ALL SELECT 'c_acctbal', c_acctbal FROM {syn} UNION ALL SELECT 'c_mktsegment', CAST(c_mktsegment AS DOUBLE) FROM {syn}),
 {prefix}_tl AS (SELECT 'c_nationkey' AS column, CAST(c_nationkey AS DOUBLE) AS v FROM {target}
@@ -70,7 +70,7 @@ def _so_sql(syn: str, target: str, prefix: str) -> str:
   UNION ALL SELECT column, 'le', min(v) FROM {prefix}_sl GROUP BY column HAVING min(v) IS NOT NULL
   UNION ALL SELECT column, 'ge', max(v) FROM {prefix}_sl GROUP BY column HAVING max(v) IS NOT NULL
   UNION ALL SELECT column, 'null', NULL FROM {prefix}_sl GROUP BY column HAVING sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) = 1),
-{prefix}_a AS (SELECT *, {key} AS key FROM {prefix}_p ORDER BY key LIMIT 500),
+{prefix}_a AS (SELECT *, {key} AS key FROM {prefix}_p ORDER BY key, column, op, v LIMIT 500),
 {prefix}_m AS (SELECT a.key, (SELECT count(*) FROM {prefix}_tl t WHERE t.column = a.column AND
         CASE a.op WHEN 'eq' THEN t.v = a.v WHEN 'le' THEN t.v <= a.v WHEN 'ge' THEN t.v >= a.v ELSE t.v IS NULL END) AS m
     FROM {prefix}_a a),
