@@ -39,12 +39,16 @@ def ordered_index(df: DataFrame, order_cols: Sequence, group_cols: Sequence[str]
     ``order_cols`` should make rows unique (append a row id); the group count
     must be small (the offsets table has at most partitions + groups rows).
     """
+    from mirage.session import cut_lineage
     n = num_partitions or shuffle_partitions(df.sparkSession)
     keys = [*_cols(group_cols), *_cols(order_cols)]
-    part = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-            .withColumn("_mid", F.monotonically_increasing_id())
-            .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
-            .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
+    # Positions are assigned once and written out: recomputing a range shuffle
+    # in two branches (counts and rows) may split it differently at run time
+    # (adaptive coalescing), so both branches must read the same stored copy.
+    part = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                       .withColumn("_mid", F.monotonically_increasing_id())
+                       .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
+                       .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
     counts = part.groupBy("_pid", *group_cols).agg(F.min("_pos").alias("_first"),
                                                    F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -179,9 +179,9 @@ def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude
     na, nb = asel.count(), bsel.count()
     ka, kb = max(1, math.ceil(na / block)), max(1, math.ceil(nb / block))
     ablk = (asel.withColumn("_ia", F.pmod(F.xxhash64(id_col), F.lit(ka)))
-            .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(kb - 1))).cast("long")))
+            .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(kb - 1).cast("long")))))
     bblk = (bsel.withColumn("_ib", F.pmod(F.xxhash64("_bid"), F.lit(kb)))
-            .withColumn("_ia", F.explode(F.sequence(F.lit(0), F.lit(ka - 1))).cast("long")))
+            .withColumn("_ia", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ka - 1).cast("long")))))
 
     def pair(left, right):
         A, ida = left[cols].to_numpy(np.float64), left[id_col].to_numpy(np.int64)
@@ -248,10 +248,10 @@ def _pair_stat_by(a, b, cols, id_col, kind, exclude_self, name, by):
     kb = max(1, math.ceil(nb / (block * max(1, len(tags)))))
     tag_arr = F.array(*[F.struct(*[F.lit(v).cast(tag_types[t]).alias(t) for t, v in zip(by, tg)]) for tg in tags])
     ablk = (asel.withColumn("_ia", F.pmod(F.xxhash64(id_col), F.lit(ka)))
-            .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(kb - 1))).cast("long"))
+            .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(kb - 1).cast("long"))))
             .withColumn("_tag", F.explode(tag_arr)).select("*", *[F.col(f"_tag.{t}").alias(t) for t in by]).drop("_tag"))
     bblk = (bsel.withColumn("_ib", F.pmod(F.xxhash64("_bid"), F.lit(kb)))
-            .withColumn("_ia", F.explode(F.sequence(F.lit(0), F.lit(ka - 1))).cast("long")))
+            .withColumn("_ia", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ka - 1).cast("long")))))
 
     def pair(left, right):
         A, ida = left[cols].to_numpy(np.float64), left[id_col].to_numpy(np.int64)

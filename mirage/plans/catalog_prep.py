@@ -40,9 +40,10 @@ def prep_drop_cast(spark, d):
 
 @query("prep_sample", f"""
 SELECT c_custkey AS row_id, c_nationkey, c_acctbal, c_mktsegment FROM customer
-ORDER BY {dsql(SEED, 'row', 'c_custkey')}, c_custkey LIMIT 500""")
+ORDER BY {dsql(SEED, 'row', 'c_custkey')}, c_custkey LIMIT (SELECT count(*) // 3 FROM customer)""")
 def prep_sample(spark, d):
-    return P.sample_rows(cust_raw(spark, d), 500, SEED)
+    c = cust_raw(spark, d)
+    return P.sample_rows(c, c.count() // 3, SEED)
 
 
 @query("prep_split", f"""
@@ -269,10 +270,12 @@ def csv_roundtrip(spark, d):
 
 @query("cache_roundtrip", f"""
 SELECT c_custkey AS row_id, c_nationkey, c_acctbal, c_mktsegment FROM customer
-ORDER BY {dsql(SEED, 'row', 'c_custkey')}, c_custkey LIMIT 300""")
+ORDER BY {dsql(SEED, 'row', 'c_custkey')}, c_custkey LIMIT (SELECT count(*) // 5 FROM customer)""")
 def cache_roundtrip(spark, d):
     store = S.Store(spark, scratch(spark, "store"))
-    store.cache_put("L1", P.sample_rows(cust_raw(spark, d), 300, SEED))
-    store.cache_put("L2", cust_raw(spark, d).limit(10))
-    store.cache_put("L1", P.sample_rows(cust_raw(spark, d), 300, SEED))  # overwrite keeps one copy
+    c = cust_raw(spark, d)
+    n = c.count() // 5
+    store.cache_put("L1", P.sample_rows(c, n, SEED))
+    store.cache_put("L2", c.limit(10))
+    store.cache_put("L1", P.sample_rows(c, n, SEED))  # overwrite keeps one copy
     return store.cache_get("L1")
