@@ -147,7 +147,10 @@ def singling_out_attacks(syn: DataFrame, cols=None, n_attacks: int = N_ATTACKS)
 def _attack_success(attacks: DataFrame, target: DataFrame, cols) -> DataFrame:
     long = to_long(target, cols)
     eq = attacks.filter(F.col("op") == "eq")
-    counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("m"))
+    # Only values some attack names are counted: a broadcast semi join (at most
+    # n_attacks keys) in front of the count, not a count of every distinct value.
+    hits = long.join(F.broadcast(eq.select("column", "v")), ["column", "v"], "left_semi")
+    counts = hits.groupBy("column", "v").agg(F.count(F.lit(1)).alias("m"))
     eq_m = eq.join(counts, ["column", "v"], "left").select("key", F.coalesce("m", F.lit(0)).alias("m"))
     th = (attacks.filter(F.col("op") != "eq").groupBy("column")
           .agg(F.max(F.when(F.col("op") == "le", F.col("v"))).alias("le_t"),

@@ -401,3 +401,38 @@ def create_by_merging(spark, d):
     status = "merged" if out is not None else "failed"
     res = out if out is not None else start
     return rounded(res.withColumn("status", F.lit(status)))
+
+
+# --- extension points (E2, E3) ---------------------------------------------------------
+
+def _bootstrap_fit(df, seed=0, **kw):
+    """A user synthesizer: per-column empirical marginals (exact counts)."""
+    return Y.dp_fit(df, None, seed, kw.get("cols"), family="bootstrap")
+
+
+@query("user_synthesizer")
+def user_synthesizer(spark, d):
+    from mirage.plans import registry as REG
+    from mirage.sources.io import Store
+    from mirage.plans.catalog import scratch
+    REG.register_synthesizer("bootstrap", _bootstrap_fit, Y.generate)
+    fit, gen = REG.synthesizer("bootstrap")
+    real, _ = cust_roles(spark, d)
+    model = fit(real, seed=SEED, cols=FEATS)
+    store = Store(spark, scratch(spark, "store"))
+    store.save_model(model, "bootstrap", "boot")
+    return rounded(gen(store.load_model("boot", "bootstrap"), 500, SEED))
+
+
+@query("user_technique")
+def user_technique(spark, d):
+    """A merge technique registered by name and run on DataFrames."""
+    from mirage.plans import registry as REG
+    REG.register_technique("merge", G.increase_privacy, G.increase_utility)
+    inc_priv, _ = REG.technique("merge")
+    real, syn = cust_roles(spark, d)
+    start = Y.generate(Y.dp_fit(real, 8.0, SEED, FEATS), 200, SEED)
+    donor = [lambda a, m=Y.dp_fit(real, 0.5, SEED, FEATS): Y.generate(m, 200, SEED, attempt=a)]
+    out = inc_priv(start, donor, G.Requirement("nearestneighbordistance", 0.3, 0.2), _scorer(real), 200, 0.1)
+    res = out if out is not None else start
+    return rounded(res.withColumn("merged", F.lit(out is not None)))
