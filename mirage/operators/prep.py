@@ -99,14 +99,32 @@ class Encoding:
     sizes: dict = field(default_factory=dict)
 
 
+# Dictionaries with at most this many entries in total are numbered on the
+# driver (after a size check); larger ones with the distributed index.
+LOCAL_DICT_ROWS = 200_000
+DICT_SCHEMA = "column string, value string, code long"
+
+
 def build_dictionary(df: DataFrame, cols) -> DataFrame:
     """Codes 0..k-1 per column in value order. Distinct first (map-side
-    combined), then positions with the distributed index (no single task)."""
+    combined); a small dictionary (size checked) is numbered locally, a large
+    one with the distributed index (no single task, no driver)."""
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], "column string, value string, code long")
+        return spark.createDataFrame([], DICT_SCHEMA)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in cols]))
     distinct = df.select(pairs.alias("kv")).select("kv.*").filter(F.col("value").isNotNull()).distinct()
+    from mirage.session import cut_lineage
+    distinct = cut_lineage(distinct)
+    head = distinct.limit(LOCAL_DICT_ROWS + 1).collect()
+    if len(head) <= LOCAL_DICT_ROWS:
+        by_col: dict = {}
+        for r in head:
+            by_col.setdefault(r["column"], []).append(r["value"])
+        rows = [(c, v, i) for c, vs in by_col.items()
+                for i, v in enumerate(sorted(vs, key=lambda x: x.encode("utf-8")))]  # Spark's binary string order
+        return spark.createDataFrame(rows, DICT_SCHEMA)
     return ordered_index(distinct, ["value"], group_cols=["column"], name="code")
 
 
@@ -126,9 +144,7 @@ def encode(df: DataFrame, dictionary: DataFrame | None = None, skip=("row_id",))
     cats = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     times = [f.name for f in fields if isinstance(f.dataType, TIMES)]
     if dictionary is None:
-        from mirage.session import cut_lineage
-        # Materialised once: the sizes below and every join read the stored copy.
-        dictionary = cut_lineage(build_dictionary(df, cats))
+        dictionary = build_dictionary(df, cats)
     sizes = {}
     if cats:
         sizes = {r["column"]: r["n"] for r in

@@ -122,7 +122,7 @@ def level_meets(real: DataFrame, model: DataFrame, requests: DataFrame, size: in
              if r[0] is not None]
     res = score_tagged(real, syn, names, ["attempt"], cols)
     tagged = requests.select("request_id", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
-    long = tagged.join(res, "attempt")
+    long = tagged.join(F.broadcast(res), "attempt")  # res: tries x metrics rows
     ok = evaluate_request(long, requests, keys=("request_id", "attempt"))
     return ok.groupBy("request_id").agg(F.bool_or("ok").alias("ok"))
 
@@ -170,7 +170,8 @@ def serve(real: DataFrame, requests: DataFrame, levels: DataFrame, models: dict,
              if r[0] is not None]
     res = score_tagged(real, cands, names, ["level", "size", "attempt"], cols)
     order = levels.groupBy("level").agg(F.min("created").alias("level_pos"))
-    per_req = (need.join(res, ["level", "size"]).join(F.broadcast(order), "level"))
+    # res: one row per (level, size, attempt, metric) - bounded by the combos above.
+    per_req = (need.join(F.broadcast(res), ["level", "size"]).join(F.broadcast(order), "level"))
     ok = evaluate_request(per_req, valid, keys=("request_id", "level", "level_pos", "attempt"))
     chosen = first_satisfying(ok).select("request_id", "level", "attempt", F.lit("served").alias("status"))
     rest = pending_all.join(chosen.select("request_id"), "request_id", "left_anti")
