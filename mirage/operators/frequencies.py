@@ -46,11 +46,19 @@ def column_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
     long = to_long(df, cols)
     per_value = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     prof = per_value.groupBy("column").agg(
-        F.count("v").alias("n_distinct"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        F.count("v").alias("n_distinct"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.sum("n").alias("n_rows"))
     return prof.select(
         "column", "n_distinct",
         F.least(F.lit(n_bins), F.col("n_distinct")).cast("long").alias("n_bins"),
-        (F.col("n_distinct") < CATEGORICAL_BELOW).alias("categorical"), "lo", "hi")
+        (F.col("n_distinct") < CATEGORICAL_BELOW).alias("categorical"), "lo", "hi", "n_rows")
+
+
+def local_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
+    """The profile (one row per column) computed once and kept as a local table,
+    so every later broadcast of it reads no data."""
+    prof = column_profile(df, cols, n_bins)
+    return df.sparkSession.createDataFrame(prof.collect(), prof.schema)
 
 
 def value_freqs(df: DataFrame, col: str) -> DataFrame:

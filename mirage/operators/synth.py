@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from mirage.functions.draws import draw, fresh_seed
 from mirage.functions.ordering import ordered_index, take_first, top_k_per_group
 from mirage.operators.distance import nearest_distance, nearest_neighbor, nearest_other
-from mirage.operators.frequencies import column_profile, feature_columns, to_long, value_key
+from mirage.operators.frequencies import column_profile, feature_columns, local_profile, to_long, value_key
 from mirage.operators.prep import INTEGRAL, dedupe, match_constraints
 
 N_BINS = 10
@@ -41,7 +41,7 @@ def _bin_index(prof_cat: Column, k: Column) -> Column:
 
 
 def _profile(df: DataFrame, cols, n_bins: int, domain: dict | None) -> DataFrame:
-    prof = column_profile(df, cols, n_bins)
+    prof = local_profile(df, cols, n_bins)
     if not domain:
         return prof
     spark = df.sparkSession
@@ -98,8 +98,8 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
     of histograms (one row adds 1 to each); epsilon None/inf gives exact counts."""
     cols = list(cols or feature_columns(df))
     seed = fresh_seed() if seed is None else seed
-    n_train = df.count()
     prof = _profile(df, cols, n_bins, domain)
+    n_train = int(max(r["n_rows"] for r in prof.collect()))  # local table: no job
     types = {f.name: f.dataType for f in df.schema.fields}
     integral = [c for c in cols if isinstance(types[c], INTEGRAL)]
     long = to_long(df, cols).filter(F.col("v").isNotNull())
@@ -107,6 +107,11 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
     binned = binned.filter(F.col("categorical") | ((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
     counts = (binned.withColumn("bin", _bin_index(F.col("categorical"), F.col("n_bins")))
               .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"), F.first("v").alias("v0")))
+    # Counts are one row per (column, bin): bounded metadata, kept locally too.
+    crow = counts.limit(MODEL_MAX_ROWS + 1).collect()
+    if len(crow) > MODEL_MAX_ROWS:
+        raise ValueError("too many bins to fit a model; reduce bins or categories")
+    counts = df.sparkSession.createDataFrame(crow, counts.schema)
     grid = (prof.filter(~F.col("categorical"))
             .select("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("bin")))
     cat_rows = counts.join(F.broadcast(prof.filter(F.col("categorical")).select("column")), "column", "left_semi")
@@ -123,12 +128,44 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
                          .otherwise(F.col("lo") + F.col("bin").cast("double") * width))
              .withColumn("bin_hi", F.when(F.col("categorical"), F.col("v0"))
                          .otherwise(F.col("lo") + (F.col("bin") + 1).cast("double") * width)))
-    model = _finish(model)
-    return _store(model.select(F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi",
-                        F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("parent_bin"),
-                        "count", "noisy", "p", "cum_lo", "cum_hi",
-                        F.col("column").isin(integral).alias("integral") if integral else F.lit(False).alias("integral"),
-                        F.lit(n_train).cast("long").alias("n_train")))
+    model = model.select(F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi",
+                         F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("parent_bin"),
+                         "count", "noisy",
+                         F.col("column").isin(integral).alias("integral") if integral else F.lit(False).alias("integral"),
+                         F.lit(n_train).cast("long").alias("n_train"))
+    return _finish_local(model, ("column",))
+
+
+MODEL_SCHEMA = ("family string, column string, kind string, bin long, bin_lo double, bin_hi double, "
+                "parent string, parent_bin long, count double, noisy double, p double, cum_lo double, "
+                "cum_hi double, integral boolean, n_train long")
+
+
+def _finish_local(model: DataFrame, group=("column",)) -> DataFrame:
+    """``_finish`` for a bounded model table (columns x bins, size-checked):
+    collected once, shares and cumulative intervals in bin order, kept as a
+    local table. Same arithmetic as the windowed form: sequential sums."""
+    rows = model.limit(MODEL_MAX_ROWS + 1).collect()
+    if len(rows) > MODEL_MAX_ROWS:
+        raise ValueError("model table too large; reduce bins or categories")
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(tuple(r[g] for g in group), []).append(r.asDict())
+    out = []
+    for _, rs in sorted(groups.items(), key=lambda kv: tuple(str(x) for x in kv[0])):
+        rs.sort(key=lambda r: r["bin"])
+        tot = 0.0
+        for r in rs:
+            tot += r["noisy"]
+        run = 0.0
+        for i, r in enumerate(rs):
+            r["p"] = r["noisy"] / tot if tot > 0 else 1.0 / len(rs)
+            r["cum_lo"] = run
+            run += r["p"]
+            r["cum_hi"] = 1.0 if i == len(rs) - 1 else run
+            out.append(r)
+    cols = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
+    return model.sparkSession.createDataFrame([tuple(r.get(c) for c in cols) for r in out], MODEL_SCHEMA)
 
 
 def _store(model: DataFrame) -> DataFrame:
@@ -363,11 +400,12 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
     scale = 0.0 if epsilon is None or math.isinf(epsilon) else (len(cols) + len(children)) / float(epsilon)
     key = F.concat_ws("|", F.col("column"), F.col("parent_bin").cast("string"), F.col("bin").cast("string"))
     cnt = cnt.withColumn("noisy", noise("laplace", F.col("count"), scale, seed, key))
-    cond_t = _finish(cnt, group=("column", "parent_bin")).join(marg, ["column", "bin"])
+    cond_t = cnt.join(marg, ["column", "bin"]).select(
+        F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi", "parent",
+        F.col("parent_bin").cast("long").alias("parent_bin"), "count", "noisy", "integral", "n_train")
+    cond_t = _finish_local(cond_t, ("column", "parent_bin"))
     out_roots = base.filter(F.col("column").isin(roots)) if roots else base.limit(0)
-    cols_out = MODEL_COLUMNS
-    cond_t = cond_t.select(F.lit(family).alias("family"), *[c for c in cols_out[1:]])
-    model = out_roots.select(*cols_out).unionByName(cond_t.select(*cols_out))
+    model = out_roots.select(*MODEL_COLUMNS).unionByName(cond_t.select(*MODEL_COLUMNS))
     return _store(model)
 
 
