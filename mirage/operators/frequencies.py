@@ -63,11 +63,9 @@ def local_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
 
 def value_freqs(df: DataFrame, col: str) -> DataFrame:
     """A2: relative value counts of one column (divided by all rows, nulls included)."""
-    total = df.agg(F.count(F.lit(1)).alias("_t")).withColumn("column", F.lit(col))
-    counts = (df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("value").isNotNull()).withColumn("column", F.lit(col)))
-    return (counts.join(F.broadcast(total), "column")  # one-row total, equi-join on the column name
-            .select("column", "value", (F.col("n") / F.col("_t")).alias("freq")))
+    total = df.count()  # one number
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("value").isNotNull())
+    return counts.select(F.lit(col).alias("column"), "value", (F.col("n") / F.lit(float(max(total, 1)))).alias("freq"))
 
 
 def _bin_key(prof: DataFrame) -> F.Column:

@@ -185,7 +185,7 @@ def singling_out(real: DataFrame, syn: DataFrame, cols=None, n_attacks: int = N_
     ctl = _attack_success(attacks, control, cols).agg(
         F.count(F.lit(1)).alias("nc"), F.coalesce(F.sum((F.col("m") == 1).cast("long")), F.lit(0)).alias("sc"))
     rc = _wilson(F.col("sc").cast("double"), F.col("nc").cast("double"))
-    both = res.withColumn("_k", F.lit(1)).join(ctl.withColumn("rc", rc).withColumn("_k", F.lit(1)), "_k")
+    both = side_by_side(res, ctl.select(rc.alias("rc")))
     rel = F.when(F.col("rc") >= 1, F.lit(0.0)).otherwise((F.col("risk") - F.col("rc")) / (F.lit(1.0) - F.col("rc")))
     return both.select(F.least(F.greatest(rel, F.lit(0.0)), F.lit(1.0)).alias("singling_out"),
                        "n_attacks", "n_success")
@@ -252,3 +252,13 @@ def normalized(results: DataFrame, registry: DataFrame) -> DataFrame:
 
 def union_all(dfs):
     return reduce(DataFrame.unionByName, dfs)
+
+
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Put one-row results next to each other without a join: union them with
+    the other columns null, then take each column's non-null value."""
+    cols = [c for df in one_row for c in df.columns]
+    types = {f.name: f.dataType for df in one_row for f in df.schema.fields}
+    parts = [df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
+             for df in one_row]
+    return reduce(DataFrame.unionByName, parts).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])

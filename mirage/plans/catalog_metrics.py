@@ -167,9 +167,9 @@ def metric_detection(spark, d):
 
 def _mean_gap(real, syn, cols, sensitive):
     c = cols[0]
-    r = real.agg(F.avg(c).alias("a"), F.min(c).alias("lo"), F.max(c).alias("hi")).withColumn("_k", F.lit(1))
-    s = syn.agg(F.avg(c).alias("b")).withColumn("_k", F.lit(1))
-    return r.join(s, "_k").select((F.abs(F.col("a") - F.col("b")) / (F.col("hi") - F.col("lo"))).alias("meangap"))
+    r = real.agg(F.avg(c).alias("a"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+    s = syn.agg(F.avg(c).alias("b"))
+    return M.side_by_side(r, s).select((F.abs(F.col("a") - F.col("b")) / (F.col("hi") - F.col("lo"))).alias("meangap"))
 
 
 @query("user_metric", f"""WITH o AS (SELECT o_orderkey AS row_id, o_totalprice FROM orders),
@@ -183,5 +183,6 @@ def user_metric(spark, d):
     o = T(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
     real, syn = roles(o)
     val = REG.compute_metric("meangap", real, syn, ["o_totalprice"])
-    reg = REG.metrics_table(spark).filter(F.col("metric") == "meangap").select("metric", "kind", "lo", "hi", "direction")
-    return rounded(reg.join(val, "metric"))
+    spec = REG.metric("meangap")
+    return rounded(val.select("metric", F.lit(spec.kind).alias("kind"), F.lit(spec.lo).alias("lo"),
+                              F.lit(spec.hi).alias("hi"), F.lit(spec.direction).alias("direction"), "value"))

@@ -131,9 +131,7 @@ def flagship(spark, d):
     as many synthetic rows as real ones -> (inverse KL, nearest-neighbour distance)."""
     real = cust_enc(spark, d)
     syn = Y.generate(Y.dp_fit(real, 2.0, SEED, FEATS), None, SEED)
-    u = M.inverse_kl(real, syn, FEATS).withColumn("_k", F.lit(1))
-    p = M.nearest_neighbor_distance(real, syn, FEATS).withColumn("_k", F.lit(1))
-    return rounded(u.join(p, "_k").drop("_k"))
+    return rounded(M.side_by_side(M.inverse_kl(real, syn, FEATS), M.nearest_neighbor_distance(real, syn, FEATS)))
 
 
 @query("pair_mutual_information", f"""WITH {CUST_ENC},
