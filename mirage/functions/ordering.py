@@ -88,3 +88,28 @@ def take_first(df: DataFrame, order_cols: Sequence, n: int) -> DataFrame:
 def rank_column(df: DataFrame, order_cols: Sequence, name: str = "rank") -> DataFrame:
     """1-based global rank without a single-task window."""
     return ordered_index(df, order_cols, name=name).withColumn(name, F.col(name) + 1)
+
+
+def prefix_sum(df: DataFrame, order_cols: Sequence, value_col: str, group_cols: Sequence[str] = (),
+               name: str = "cum", num_partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = sum of ``value_col`` over the rows before this one (in
+    ``order_cols`` order, inside its group) and ``name``_hi = that plus the
+    row's own value. Range partitioned and written once like ``ordered_index``;
+    each partition sums its own rows, a small table of partition totals gives
+    the offsets. No group or table is summed in one task."""
+    from mirage.session import cut_lineage
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    keys = [*_cols(group_cols), *_cols(order_cols)]
+    part = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                       .withColumn("_mid", F.monotonically_increasing_id())
+                       .withColumn("_pid", F.shiftright("_mid", _POS_BITS)))
+    local = Window.partitionBy("_pid", *group_cols).orderBy("_mid")
+    part = (part.withColumn("_lo", F.coalesce(F.sum(value_col).over(local.rowsBetween(Window.unboundedPreceding, -1)),
+                                              F.lit(0.0)))
+            .withColumn("_hi", F.sum(value_col).over(local.rowsBetween(Window.unboundedPreceding, 0))))
+    tot = part.groupBy("_pid", *group_cols).agg(F.max("_hi").alias("_t"))
+    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w), F.lit(0.0))).select("_pid", *group_cols, "_off")
+    out = part.join(F.broadcast(offsets) if not group_cols else offsets, ["_pid", *group_cols])
+    return (out.withColumn(name, F.col("_off") + F.col("_lo")).withColumn(f"{name}_hi", F.col("_off") + F.col("_hi"))
+            .drop("_mid", "_pid", "_lo", "_hi", "_off"))

@@ -119,9 +119,20 @@ class Scorer:
     utility_weights: list = field(default_factory=lambda: [("inversekldivergence", 1.0)])
     sensitive: list = field(default_factory=list)
 
+    def __post_init__(self):
+        # The real table is read by every score: store it once (a written
+        # table, so its lineage - reads, encoding joins - is not recomputed).
+        self.real = cut_lineage(self.real.select("row_id", *self.cols))
+        self._memo: dict = {}
+
     def value(self, name: str, syn: DataFrame) -> float:
+        """A metric of one synthetic table; each (table, metric) is computed once."""
         from mirage.plans.registry import compute_metric
-        return float(compute_metric(name, self.real, syn, self.cols, self.sensitive).first()["value"])
+        key = (id(syn), name)
+        if key not in self._memo:
+            v = float(compute_metric(name, self.real, syn, self.cols, self.sensitive).first()["value"])
+            self._memo[key] = (syn, v)  # the table is kept so its id stays unique
+        return self._memo[key][1]
 
     def composite(self, kind: str, syn: DataFrame) -> float:
         from mirage.plans.registry import metric

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirage.functions.draws import draw, fresh_seed
-from mirage.functions.ordering import ordered_index, take_first, top_k_per_group
+from mirage.functions.ordering import ordered_index, prefix_sum, take_first, top_k_per_group
 from mirage.operators.distance import nearest_distance, nearest_neighbor, nearest_other
 from mirage.operators.frequencies import column_profile, feature_columns, local_profile, to_long, value_key
 from mirage.operators.prep import INTEGRAL, dedupe, match_constraints
@@ -546,12 +546,13 @@ def log_frequency_sample(df: DataFrame, discrete_columns, count: int, seed=0, id
                                                  for c in discrete_columns])).alias("kv")).select(id_col, "kv.*")
     cats = long.groupBy("column", "category").agg(F.count(F.lit(1)).alias("size"))
     wcol = F.log1p(F.col("size").cast("double"))
-    w_all = Window.partitionBy("column")
-    w_run = Window.partitionBy("column").orderBy("category").rowsBetween(Window.unboundedPreceding, 0)
-    pmf = (cats.withColumn("p", wcol / F.sum(wcol).over(w_all)).withColumn("cum_hi", F.sum("p").over(w_run))
-           .withColumn("cum_lo", F.coalesce(F.lag("cum_hi").over(Window.partitionBy("column").orderBy("category")), F.lit(0.0)))
-           .withColumn("cum_hi", F.when(F.row_number().over(Window.partitionBy("column").orderBy(F.col("category").desc())) == 1,
-                                        F.lit(1.0)).otherwise(F.col("cum_hi"))))
+    # Per-column totals and last category: one row per discrete column.
+    per_col = cats.groupBy("column").agg(F.sum(wcol).alias("_tot"), F.max("category").alias("_last"))
+    cats = cats.join(F.broadcast(per_col), "column").withColumn("p", wcol / F.col("_tot"))
+    # Cumulative shares with the distributed prefix sum: a column may have
+    # millions of categories, so no window over a whole column.
+    pmf = prefix_sum(cats, ["category"], "p", group_cols=["column"], name="cum_lo")
+    pmf = pmf.withColumn("cum_hi", F.when(F.col("category") == F.col("_last"), F.lit(1.0)).otherwise(F.col("cum_lo_hi")))
     colnames = F.array(*[F.lit(c) for c in discrete_columns])
     s = spark.range(count).withColumnRenamed("id", "sample_id")
     s = s.withColumn("column", F.element_at(colnames, (F.floor(draw(seed, "col", F.col("sample_id")) * F.lit(m)) + 1).cast("int")))

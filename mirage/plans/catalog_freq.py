@@ -198,9 +198,9 @@ def head_q(spark, d):
 
 @query("merge_rows", f"""
 WITH {CUST_ENC}, {roles_sql()},
-sel AS (SELECT * FROM syn ORDER BY row_id LIMIT 100),
+sel AS (SELECT * FROM syn WHERE c_acctbal > 8000),
 u AS (SELECT 0 AS src, * FROM real UNION ALL SELECT 1, * FROM sel)
 SELECT (row_number() OVER (ORDER BY src, row_id) - 1)::BIGINT AS row_id, c_nationkey, c_acctbal, c_mktsegment FROM u""")
 def merge_rows(spark, d):
     real, syn = cust_roles(spark, d)
-    return D.merge_rows(real, syn.orderBy("row_id").limit(100))
+    return D.merge_rows(real, syn.filter(F.col("c_acctbal") > 8000))

@@ -501,7 +501,7 @@ def level_remove_store(spark, d):
     store = Store(spark, scratch(spark, "store"))
     store.append_levels(_levels(spark, d))
     store.save_model(Y.dp_fit(real, 2.0, SEED, FEATS), "dp", "FRANCE")
-    store.cache_put("FRANCE", real.limit(10))
+    store.cache_put("FRANCE", real.filter(F.col("c_mktsegment") == 0))
     store.remove_level("FRANCE")
     gone = store.load_model("FRANCE")
     cached = store.cache_get("FRANCE")
@@ -511,7 +511,12 @@ def level_remove_store(spark, d):
 
 @query("prepare")
 def prepare(spark, d):
+    """Requests nothing served (serve -> pending) go to preparation; all of
+    them ask for the level named 'any', which is prepared once."""
     real, _ = cust_roles(spark, d)
     models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in list(_SERVE_EPS.items())[:2]}
-    pending = _serve_requests(spark, d).orderBy("request_id").limit(1).withColumn("privacy_value", F.lit(0.5))
-    return L.prepare(real, pending, _serve_levels(spark), models, 300, SEED, FEATS)
+    reqs = _serve_requests(spark, d)
+    lv = _serve_levels(spark).filter(F.col("level").isin(list(models)))
+    served = L.serve(real, reqs, lv, models, None, 10, SEED, FEATS)
+    pending = reqs.join(served.filter(F.col("status") == "pending").select("request_id"), "request_id", "left_semi")
+    return L.prepare(real, pending, lv, models, 300, SEED, FEATS)

@@ -276,6 +276,6 @@ def cache_roundtrip(spark, d):
     c = cust_raw(spark, d)
     n = c.count() // 5
     store.cache_put("L1", P.sample_rows(c, n, SEED))
-    store.cache_put("L2", c.limit(10))
+    store.cache_put("L2", c.filter(F.col("c_mktsegment") == "BUILDING"))
     store.cache_put("L1", P.sample_rows(c, n, SEED))  # overwrite keeps one copy
     return store.cache_get("L1")

@@ -18,7 +18,7 @@ from mirage.operators import synth as Y
 from mirage.operators.frequencies import feature_columns
 from mirage.plans import registry as REG
 from mirage.plans.requirements import (LEVEL_SCHEMA, epsilon_direction, evaluate_request, find_levels,
-                                       first_satisfying, level_exists, next_epsilon, validate_request)
+                                       first_satisfying, level_exists, next_epsilon, validate_request)  # noqa: F401
 
 SIZES = (1000, 10000)
 REPEATS = 5
@@ -272,19 +272,28 @@ def add_metric(real: DataFrame, levels: DataFrame, models: dict, name: str, size
 
 def prepare(real: DataFrame, pending: DataFrame, levels: DataFrame, models: dict, size: int = 1000,
             seed=0, cols=None) -> DataFrame:
-    """For each pending request try merging (G7), then epsilon search (R8);
-    returns (request_id, outcome) with outcome merged / searched / manual."""
+    """Unserved requests name the protection level they want; each new
+    level name is prepared once (J8: names already in ``levels`` are skipped),
+    from the requirement of its earliest request: merging (G7) first, then
+    epsilon search (R8). Returns (request_id, level, outcome) for every pending
+    request, outcome in merged / searched / manual / exists."""
     from mirage.operators.merge import Requirement, Scorer, create_by_merging
+    spark = real.sparkSession
     cols = cols or feature_columns(real)
-    out = []
+    exists = level_exists(pending, levels).filter(F.col("exists")).select("request_id")
+    new = pending.join(exists, "request_id", "left_anti")
+    first = new.groupBy("level").agg(F.min_by(F.struct(*[c for c in new.columns if c != "level"]),
+                                              F.col("request_id")).alias("r"))
+    outcomes = []
     scorer = Scorer(real, cols)
-    for r in pending.collect():  # pending requests are the few that nothing served
+    names = sorted(models)
+    for row in first.collect():  # one row per new level name
+        r = row["r"]
         priv = Requirement(r["privacy_metric"], r["privacy_value"], r["tol"]) if r["privacy_metric"] else None
         util = Requirement(r["utility_metric"], r["utility_value"], r["tol"]) if r["utility_metric"] else None
-        names = sorted(models)
-        donors = [(lambda a, m=models[n]: Y.generate(m, size, seed, attempt=a)) for n in names]
         outcome = "manual"
         if names:
+            donors = [(lambda a, m=models[n]: Y.generate(m, size, seed, attempt=a)) for n in names]
             start = Y.generate(models[names[0]], size, seed)
             fresh = lambda a, m=models[names[0]]: Y.generate(m, size, seed + 1, attempt=a)
             if create_by_merging(start, donors, fresh, scorer, size, priv, util, seed=seed) is not None:
@@ -294,5 +303,8 @@ def prepare(real: DataFrame, pending: DataFrame, levels: DataFrame, models: dict
                                    (util.metric, util.value) if util else None, r["tol"], size, seed, cols)
             if found is not None:
                 outcome = "searched"
-        out.append((r["request_id"], outcome))
-    return real.sparkSession.createDataFrame(out, "request_id long, outcome string")
+        outcomes.append((row["level"], outcome))
+    result = spark.createDataFrame(outcomes, "level string, outcome string")
+    prepared = new.select("request_id", "level").join(F.broadcast(result), "level", "left")
+    known = pending.join(exists, "request_id", "left_semi").select("request_id", "level", F.lit("exists").alias("outcome"))
+    return prepared.select("request_id", "level", "outcome").unionByName(known)
