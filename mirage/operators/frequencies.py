@@ -54,11 +54,41 @@ def column_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
         (F.col("n_distinct") < CATEGORICAL_BELOW).alias("categorical"), "lo", "hi", "n_rows")
 
 
+# A column whose approximate distinct count reaches this has, beyond any
+# realistic estimation error, at least n_bins (10) distinct values.
+SCREEN_DISTINCT = 50
+
+
+def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
+    """The profile that binning needs (n_bins, categorical, lo, hi, n_rows),
+    exact where it matters, without shuffling every distinct value of a
+    continuous column: one pass gives min / max / rows and a HyperLogLog
+    count; only columns whose estimate is small (so the bin count depends on
+    the exact number) are counted exactly - and those have few values.
+    Returned as a local table (one row per column)."""
+    cols = cols or feature_columns(df)
+    spark = df.sparkSession
+    long = to_long(df, cols)
+    stats = long.groupBy("column").agg(F.approx_count_distinct("v", 0.01).alias("nd"), F.min("v").alias("lo"),
+                                       F.max("v").alias("hi"), F.count(F.lit(1)).alias("n_rows")).collect()
+    small = [r["column"] for r in stats if r["nd"] < SCREEN_DISTINCT]
+    exact = {}
+    if small:
+        ex = (long.filter(F.col("column").isin(small) & F.col("v").isNotNull()).groupBy("column", "v").count()
+              .groupBy("column").agg(F.count(F.lit(1)).alias("nd")))
+        exact = {r["column"]: r["nd"] for r in ex.collect()}
+    rows = []
+    for r in stats:
+        nd = exact.get(r["column"], 0) if r["column"] in small else r["nd"]
+        rows.append((r["column"], int(nd), int(min(n_bins, nd)), bool(nd < CATEGORICAL_BELOW),
+                     r["lo"], r["hi"], int(r["n_rows"])))
+    return spark.createDataFrame(rows, "column string, n_distinct long, n_bins long, categorical boolean, "
+                                       "lo double, hi double, n_rows long")
+
+
 def local_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
-    """The profile (one row per column) computed once and kept as a local table,
-    so every later broadcast of it reads no data."""
-    prof = column_profile(df, cols, n_bins)
-    return df.sparkSession.createDataFrame(prof.collect(), prof.schema)
+    """The binning profile computed once and kept as a local table."""
+    return bin_profile(df, cols, n_bins)
 
 
 def value_freqs(df: DataFrame, col: str) -> DataFrame:
@@ -111,7 +141,7 @@ def column_frequencies(real: DataFrame, syn: DataFrame, cols=None, n_bins: int =
     """
     by = list(by)
     cols = cols or [c for c in feature_columns(real)]
-    prof = profile if profile is not None else column_profile(real, cols, n_bins)
+    prof = profile if profile is not None else bin_profile(real, cols, n_bins)
     if force_hist:
         prof = prof.withColumn("n_bins", F.lit(n_bins).cast("long")).withColumn("categorical", F.lit(False))
     real_f = _freqs(to_long(real, cols), prof, "p_real")
@@ -153,6 +183,6 @@ def marginal_comparison(real: DataFrame, syn: DataFrame, cols=None, n_bins: int
 def column_entropy(real: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
     """H_c = -sum p ln p over the real column's frequencies (used by M2)."""
     cols = cols or feature_columns(real)
-    prof = column_profile(real, cols, n_bins)
+    prof = bin_profile(real, cols, n_bins)
     f = _freqs(to_long(real, cols), prof, "p")
     return f.filter(F.col("p") > 0).groupBy("column").agg((-F.sum(F.col("p") * F.log(F.col("p")))).alias("entropy"))

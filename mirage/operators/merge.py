@@ -18,7 +18,7 @@ from mirage.functions.draws import draw
 from mirage.functions.ordering import take_first, top_k_per_group
 from mirage.operators.distance import (drop_ranked, mean_distance_cross, mean_distance_self, merge_rows,
                                        top_share)
-from mirage.operators.frequencies import column_frequencies, column_profile, feature_columns
+from mirage.operators.frequencies import bin_profile, column_frequencies, feature_columns
 from mirage.session import cut_lineage
 
 FREQ_ERR = 0.2
@@ -61,7 +61,7 @@ def fill_bins(cur: DataFrame, donor: DataFrame, real: DataFrame, col: str, seed=
     """For under-represented bins of ``col`` take donor rows in the bin
     (row-id order, at most ``quota`` per bin, at most the gap) and remove as
     many current rows (draw order)."""
-    prof = column_profile(real, [col]).first()
+    prof = bin_profile(real, [col]).first()
     f = freqs if freqs is not None else column_frequencies(real, cur, [col])
     n = cur.count()
     need = (f.filter(F.col("p_syn") < F.col("p_real") - F.lit(err))
@@ -84,7 +84,7 @@ def thin_bins(cur: DataFrame, fresh: DataFrame, real: DataFrame, col: str, err:
     """For over-represented bins remove the first rows (row-id order, at most
     ``quota`` per bin) and add as many ``fresh`` generated rows lying outside
     every over-represented bin, in row-id order."""
-    prof = column_profile(real, [col]).first()
+    prof = bin_profile(real, [col]).first()
     f = freqs if freqs is not None else column_frequencies(real, cur, [col])
     n = cur.count()
     over = (f.filter(F.col("p_syn") > F.col("p_real") + F.lit(err))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from mirage.functions.draws import draw, fresh_seed
 from mirage.functions.ordering import ordered_index, prefix_sum, take_first, top_k_per_group
 from mirage.operators.distance import nearest_distance, nearest_neighbor, nearest_other
-from mirage.operators.frequencies import column_profile, feature_columns, local_profile, to_long, value_key
+from mirage.operators.frequencies import bin_profile, feature_columns, local_profile, to_long, value_key
 from mirage.operators.prep import INTEGRAL, dedupe, match_constraints
 
 N_BINS = 10
@@ -305,7 +305,7 @@ def _bin_of(rows, value: Column) -> Column:
 # --- Y5 / Y6: pair dependence and conditional tables --------------------------
 
 def _binned_wide(df: DataFrame, cols, n_bins: int) -> tuple[DataFrame, DataFrame]:
-    prof = column_profile(df, cols, n_bins)
+    prof = bin_profile(df, cols, n_bins)
     p = {r["column"]: r for r in prof.collect()}  # one row per column
     exprs = []
     for c in cols:
@@ -440,7 +440,7 @@ def adjust_marginals(syn: DataFrame, real: DataFrame, col: str, seed=0, n_bins:
     floor(w r + o) - floor(w (r - 1) + o) copies. Ranks come from the
     distributed index, so a hot bin is not one task.
     """
-    prof = column_profile(real, [col], n_bins).first()
+    prof = bin_profile(real, [col], n_bins).first()
     v = F.col(col).cast("double")
     if prof["categorical"]:
         b = value_key(v)
