@@ -54,9 +54,11 @@ def column_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
         (F.col("n_distinct") < CATEGORICAL_BELOW).alias("categorical"), "lo", "hi", "n_rows")
 
 
-# A column whose approximate distinct count reaches this has, beyond any
-# realistic estimation error, at least n_bins (10) distinct values.
+# Screening with HyperLogLog (512 registers): with n distinct values the
+# estimate is at most 512 ln(512 / (512 - n)) (linear counting), so fewer than
+# 10 values can never reach 50. Columns estimated under 50 are counted exactly.
 SCREEN_DISTINCT = 50
+SCREEN_RSD = 0.05
 
 
 def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
@@ -69,7 +71,7 @@ def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
     cols = cols or feature_columns(df)
     spark = df.sparkSession
     long = to_long(df, cols)
-    stats = long.groupBy("column").agg(F.approx_count_distinct("v", 0.01).alias("nd"), F.min("v").alias("lo"),
+    stats = long.groupBy("column").agg(F.approx_count_distinct("v", SCREEN_RSD).alias("nd"), F.min("v").alias("lo"),
                                        F.max("v").alias("hi"), F.count(F.lit(1)).alias("n_rows")).collect()
     small = [r["column"] for r in stats if r["nd"] < SCREEN_DISTINCT]
     exact = {}
