@@ -22,7 +22,7 @@ _LI = "li AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity, l_exte
 @query("column_profile", f"""
 WITH {_LI}, l AS ({long_sql('li', LI_COLS)})
 SELECT column, count(DISTINCT v) AS n_distinct, least(10, count(DISTINCT v)) AS n_bins,
-       count(DISTINCT v) < 5 AS categorical, min(v) AS lo, max(v) AS hi FROM l GROUP BY column""")
+       count(DISTINCT v) < 5 AS categorical, min(v) AS lo, max(v) AS hi, count(*) AS n_rows FROM l GROUP BY column""")
 def column_profile(spark, d):
     return rounded(Q.column_profile(_li(spark, d), LI_COLS))
 
