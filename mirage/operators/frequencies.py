@@ -76,7 +76,7 @@ def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
     small = [r["column"] for r in stats if r["nd"] < SCREEN_DISTINCT]
     exact = {}
     if small:
-        ex = (long.filter(F.col("column").isin(small) & F.col("v").isNotNull()).groupBy("column", "v").count()
+        ex = (to_long(df, small).filter(F.col("v").isNotNull()).groupBy("column", "v").count()
               .groupBy("column").agg(F.count(F.lit(1)).alias("nd")))
         exact = {r["column"]: r["nd"] for r in ex.collect()}
     rows = []
