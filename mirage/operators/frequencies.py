@@ -111,11 +111,13 @@ def _freqs(long: DataFrame, prof: DataFrame, name: str, by=()) -> DataFrame:
     by = list(by)
     j = long.join(F.broadcast(prof), "column")  # profile: one row per column
     in_range = F.col("categorical") | ((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    binned = j.filter(in_range & F.col("v").isNotNull()).withColumn("bin", _bin_key(prof))
-    counts = binned.groupBy(*by, "column", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("categorical").alias("cat"))
-    totals = j.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.when(in_range & F.col("v").isNotNull(), 1).otherwise(0)).alias("hits"))
+    # One aggregation: rows outside the range (or null) count under a null bin,
+    # so the per-column totals come from the small counted table, not a second scan.
+    binned = j.withColumn("bin", F.when(in_range & F.col("v").isNotNull(), _bin_key(prof)))
+    counted = binned.groupBy(*by, "column", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("categorical").alias("cat"))
+    totals = counted.groupBy(*by, "column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0)).alias("hits"))
+    counts = counted.filter(F.col("bin").isNotNull())
     return (counts.join(F.broadcast(totals), [*by, "column"])  # one row per (tag, column)
             .select(*by, "column", "bin",
                     F.when(F.col("cat"), F.col("n") / F.col("rows"))
