@@ -39,24 +39,32 @@ def _let(value, body):
 
 
 def _repeat_words(words):
-    """Words in 3-word windows found twice or more: sort (hash, position) pairs,
-    keep those with an equal neighbour, add up the union of their intervals."""
+    """Words in 3-word windows found twice or more: the positions whose
+    hash has an equal one, then the length of the union of their intervals."""
     def windows(h):
         return F.transform(F.slice(h, 1, F.size(h) - 2), lambda x, i: F.xxhash64(x, h[i + 1], h[i + 2]))
 
-    def positions(s):
-        n = F.size(s)
+    def sorted_positions(s):
         flagged = F.filter(s, lambda e, k: (F.get(s, k - 1)["h"] == e["h"]) | (F.get(s, k + 1)["h"] == e["h"]))
         return F.sort_array(F.transform(flagged, lambda e: e["i"]))
 
+    def pairs(t):
+        return F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+
+    def few_positions(t, d):
+        at = F.transform(t, lambda x, i: F.when(F.array_contains(d, x), i))
+        return F.filter(at, lambda i: i.isNotNull())
+
     def covered(p):
         steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
     def repeated(t):
-        pairs = F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(
-            _let(F.sort_array(pairs), lambda s: _let(positions(s), covered)))
+        # d: the repeated hashes. Both ways give the same positions; a long d
+        # would make looking up every window in it quadratic.
+        return _let(_let(F.sort_array(t), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.get(s, k - 1) == x))),
+                    lambda d: F.when(F.size(d) == 0, F.lit(0)).when(F.size(d) <= 32, _let(few_positions(t, d), covered)).otherwise(
+                        _let(F.sort_array(pairs(t)), lambda s: _let(sorted_positions(s), covered))))
 
     hashes = F.transform(words, lambda x: F.xxhash64(x))
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(
