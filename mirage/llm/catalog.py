@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from mirage.llm import op3_quality
+from mirage.llm import op1_substrings, op3_quality, op7_tokens, op9_packing
 
 QUERIES = {
+    "op1_substring_dedup": op1_substrings.op1_substring_dedup,
     "op3_quality_rules": op3_quality.op3_quality_rules,
+    "op7_token_counts": op7_tokens.op7_token_counts,
+    "op9_best_two_fit_packing": op9_packing.op9_best_two_fit_packing,
 }
 ORACLE = {
     "op3_quality_rules": op3_quality.SQL,
