@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mirage.llm import op1_substrings, op3_quality, op5_jaccard, op7_tokens, op9_packing
+from mirage.llm import op1_substrings, op3_quality, op4_toxicity, op5_jaccard, op7_tokens, op9_packing
 
 QUERIES = {
     "op1_substring_dedup": op1_substrings.op1_substring_dedup,
     "op3_quality_rules": op3_quality.op3_quality_rules,
+    "op4_toxicity": op4_toxicity.op4_toxicity,
     "op5_ngram_jaccard_join": op5_jaccard.op5_ngram_jaccard_join,
     "op7_token_counts": op7_tokens.op7_token_counts,
     "op9_best_two_fit_packing": op9_packing.op9_best_two_fit_packing,
