@@ -1,5 +1,10 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages,
-source mixing, packing. Each stage reads what the one before wrote."""
+source mixing, packing.
+
+Each stage takes the documents that the one before it kept, read from Parquet.
+Tables that a stage wrote on its way are deleted when the next one begins, by when
+its result is written.
+"""
 
 from __future__ import annotations
 
@@ -10,20 +15,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirage.llm.common import discard_unused
+from mirage.llm.op1_substrings import remove_repeated
 from mirage.llm.op3_quality import quality_verdicts
+from mirage.llm.op5_jaccard import jaccard_components
+from mirage.llm.op8_mixing import mixed_documents
+from mirage.llm.op9_packing import pack_documents
 from mirage.session import checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     discard_unused(docs)
-    kept = quality_verdicts(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    return _with_ids(docs, quality_verdicts(docs).filter("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every group of linked documents, once."""
+    discard_unused(docs)
+    keep = jaccard_components(docs).filter("doc_id is null or doc_id = component_id")
+    return _with_ids(docs, keep).dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that an earlier document's 50-word window has;
+    documents without such words keep their text, emptied ones go."""
+    discard_unused(docs)
+    rows = remove_repeated(docs.select(*COLUMNS, F.col("text").alias("_whole")))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_whole"))
+    return (rows.filter("n_removed = 0 or n_removed < n_words").select("doc_id", text.alias("text"), "lang", "source", "n_chars", "n_removed")
+            .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mix takes them: the smallest mix in
+    which every document occurs and no source is repeated over 1.25 times."""
+    discard_unused(docs)
+    return mixed_documents(docs, total="cover").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+    discard_unused(docs)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages),
+          ("mixing sources to target weights", mixing), ("best-fit packing", packing)]
+# Packing has no SQL; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mirage.llm import op1_substrings, op3_quality, op4_toxicity, op5_jaccard, op6_warc, op7_tokens, op8_mixing, op9_packing, op10_simhash
+from mirage.llm import op1_substrings, op2_url_filter, op3_quality, op4_toxicity, op5_jaccard, op6_warc, op7_tokens, op8_mixing, op9_packing, op10_simhash
 
 QUERIES = {
     "op1_substring_dedup": op1_substrings.op1_substring_dedup,
+    "op2_url_filter": op2_url_filter.op2_url_filter,
     "op3_quality_rules": op3_quality.op3_quality_rules,
     "op4_toxicity": op4_toxicity.op4_toxicity,
     "op5_ngram_jaccard_join": op5_jaccard.op5_ngram_jaccard_join,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_simhash": op10_simhash.op10_simhash,
 }
 ORACLE = {
+    "op2_url_filter": op2_url_filter.SQL,
     "op6_warc_zstd": op6_warc.SQL,
     "op8_temperature_mixing": op8_mixing.SQL,
     "op3_quality_rules": op3_quality.SQL,
