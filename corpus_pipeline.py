@@ -26,7 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without the words that an earlier document's 50-word window has;
     documents without such words keep their text, emptied ones go."""
     discard_unused(docs)
-    rows = remove_repeated(docs.select(*COLUMNS, F.col("text").alias("_whole")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_whole"))
+    rows = remove_repeated(docs.select(*COLUMNS, F.col("text").alias("__whole")))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__whole"))
     return (rows.filter("n_removed = 0 or n_removed < n_words").select("doc_id", text.alias("text"), "lang", "source", "n_chars", "n_removed")
             .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS))
 
@@ -56,7 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the temperature mix takes them: the smallest mix in
     which every document occurs and no source is repeated over 1.25 times."""
     discard_unused(docs)
-    return mixed_documents(docs, total="cover").select(*COLUMNS)
+    return mixed_documents(docs.select(*COLUMNS), total="cover")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,16 +225,16 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buc
                    bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_removed``, ``kept_text``
     (kept words joined by one space) and ``kept_sha256``."""
-    spans = repeated_spans(docs, window, gram, bucket, bucket_windows).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.struct("start", "windows")).alias("_spans"))
-    rows = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    spans = repeated_spans(docs, window, gram, bucket, bucket_windows).groupBy(F.col("doc_id").alias("__op1_id")).agg(
+        F.collect_list(F.struct("start", "windows")).alias("__op1_spans"))
+    rows = docs.join(spans, F.col("doc_id") == F.col("__op1_id"), "left").drop("__op1_id")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
             kept, counts, removed, digests = [], [], [], []
-            for text, spans_ in zip(b.column(at["text"]), b.column(at["_spans"]), strict=True):
+            for text, spans_ in zip(b.column(at["text"]), b.column(at["__op1_spans"]), strict=True):
                 words = (text.as_py() or "").encode().split()
                 counts.append(len(words))
                 if spans_.is_valid:

@@ -285,7 +285,8 @@ def jaccard_components(docs: DataFrame, group: int = GROUP) -> DataFrame:
     moved = classes.join(comp, F.col("rep") == F.col("doc_id"), "left").select(
         "n", "fp1", "fp2", "size", "rep", F.coalesce("comp", "rep").alias("comp")).filter("size > 1 or comp <> rep").select("n", "fp1", "fp2", "comp")
     return sig.join(moved, ["n", "fp1", "fp2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,16 +127,18 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy: float
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    m = mix(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "copies")
-    taken = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    m = mix(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("__op8_id"), F.col("source").alias("__op8_source"),
+                                                    F.col("copies").cast("int").alias("__op8_copies"))
+    taken = docs.join(m, F.col("doc_id").eqNullSafe(F.col("__op8_id")) & F.col("source").eqNullSafe(F.col("__op8_source")))
+    return taken.withColumn("__op8_copy", F.explode(F.sequence(F.lit(1), F.col("__op8_copies")))).select(*docs.columns)
 
 
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-SQL = rf"""WITH RECURSIVE r AS (SELECT doc_id, source, sum(len(list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> ''))) AS tokens
+SQL = rf"""WITH RECURSIVE r AS (SELECT doc_id, source, sum(len(list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> ''))) AS tokens
   FROM documents GROUP BY doc_id, source),
 s AS (SELECT source, count(*) AS docs, sum(tokens) AS tokens, sum(tokens) / (SELECT sum(tokens) FROM r)::DOUBLE AS share FROM r GROUP BY source),
 u AS (SELECT share FROM s WHERE tokens > 0),
