@@ -32,6 +32,20 @@ def _cols(cs) -> list:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
+def _add_offsets(part: DataFrame, offsets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Join the offsets of (_pid, groups) back; null group keys match null.
+
+    Without groups the offsets table has one row per partition: broadcast it.
+    With groups its size depends on the group count, so AQE decides at run time."""
+    if not groups:
+        return part.join(F.broadcast(offsets), "_pid")
+    right = offsets.withColumnsRenamed({"_pid": "_o_pid", **{g: f"_o_{i}" for i, g in enumerate(groups)}})
+    on = F.col("_pid") == F.col("_o_pid")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_o_{i}"))
+    return part.join(right, on).drop("_o_pid", *[f"_o_{i}" for i in range(len(groups))])
+
+
 def ordered_index(df: DataFrame, order_cols: Sequence, group_cols: Sequence[str] = (),
                   name: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of the row inside its group in ``order_cols``.
@@ -54,9 +68,7 @@ def ordered_index(df: DataFrame, order_cols: Sequence, group_cols: Sequence[str]
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     offsets = offsets.select("_pid", *group_cols, "_first", "_off")
-    # Without groups the offsets table has one row per partition: broadcast it.
-    # With groups its size depends on the group count, so AQE decides at run time.
-    out = part.join(F.broadcast(offsets) if not group_cols else offsets, ["_pid", *group_cols])
+    out = _add_offsets(part, offsets, list(group_cols))
     return (out.withColumn(name, F.col("_off") + F.col("_pos") - F.col("_first"))
             .drop("_mid", "_pid", "_pos", "_first", "_off"))
 
@@ -110,6 +122,6 @@ def prefix_sum(df: DataFrame, order_cols: Sequence, value_col: str, group_cols:
     tot = part.groupBy("_pid", *group_cols).agg(F.max("_hi").alias("_t"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w), F.lit(0.0))).select("_pid", *group_cols, "_off")
-    out = part.join(F.broadcast(offsets) if not group_cols else offsets, ["_pid", *group_cols])
+    out = _add_offsets(part, offsets, list(group_cols))
     return (out.withColumn(name, F.col("_off") + F.col("_lo")).withColumn(f"{name}_hi", F.col("_off") + F.col("_hi"))
             .drop("_mid", "_pid", "_lo", "_hi", "_off"))

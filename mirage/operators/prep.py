@@ -20,8 +20,6 @@ from mirage.functions.ordering import ordered_index, take_first
 # Dictionaries up to this many entries per column are broadcast into joins;
 # larger ones use a shuffle join.
 BROADCAST_DICT_ROWS = 2_000_000
-# String columns with at most this many values get an explicit domain rule.
-DOMAIN_RULE_MAX = 100
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -193,114 +191,128 @@ def decode(df: DataFrame, enc: Encoding | None) -> DataFrame:
 
 # --- P11-P15 schema rules and constraints ----------------------------------
 
+# A rule table may also have ``rule_set`` (long, 0 where absent): ``in`` rules of
+# one feature and set are alternatives, different sets must all hold. Null fails a
+# comparison unless its set has a ``nullable`` rule for the feature, and fails
+# ``in`` rules unless null is one of the values.
 RULE_SCHEMA = "feature string, op string, value string, num double"
+COMPARE = {"lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b,
+           "eq": lambda a, b: a == b}
 
 
-def infer_schema_rules(df: DataFrame, skip=("row_id",), domain_max: int = DOMAIN_RULE_MAX) -> DataFrame:
-    """One aggregation gives min/max per numeric column and domain size per
-    string column; small string domains are listed as ``in`` rules."""
+def _rule_sets(rules: DataFrame) -> DataFrame:
+    """The rules with ``rule_set`` (0 where absent)."""
+    own = F.coalesce(F.col("rule_set"), F.lit(0)) if "rule_set" in rules.columns else F.lit(0)
+    return rules.select("feature", "op", "value", "num", own.cast("long").alias("rule_set"))
+
+
+def _numeric_like(dt) -> bool:
+    return is_numeric(dt) or isinstance(dt, TIMES)
+
+
+def infer_schema_rules(df: DataFrame, skip=("row_id",)) -> DataFrame:
+    """min/max per numeric or time column from one aggregation, every value
+    of a text column as an ``in`` rule (the domain stays a table, however wide),
+    and where null occurs (``nullable``, or null among the ``in`` values)."""
     spark = df.sparkSession
     fields = [f for f in df.schema.fields if f.name not in skip]
     aggs = []
     for f in fields:
-        if is_numeric(f.dataType) or isinstance(f.dataType, TIMES):
-            aggs += [F.min(f.name).cast("double").alias(f"{f.name}__min"),
-                     F.max(f.name).cast("double").alias(f"{f.name}__max")]
-        else:
-            aggs.append(F.count_distinct(f.name).alias(f"{f.name}__nd"))
+        if _numeric_like(f.dataType):
+            aggs += [F.min(f.name).cast("double").alias(f"{f.name}__min"), F.max(f.name).cast("double").alias(f"{f.name}__max"),
+                     F.max(F.col(f.name).isNull()).alias(f"{f.name}__null")]
     stats = df.select(*[F.unix_micros(_as_ts(f.name, f.dataType)).alias(f.name)
-                        if isinstance(f.dataType, TIMES) else F.col(f.name) for f in fields]).agg(*aggs).first()
+                        if isinstance(f.dataType, TIMES) else F.col(f.name) for f in fields]).agg(*aggs).first() if aggs else {}
     rules = []
-    small = []
     for f in fields:
         rules.append((f.name, "dtype", f.dataType.simpleString(), None))
-        if is_numeric(f.dataType) or isinstance(f.dataType, TIMES):
-            rules.append((f.name, "ge", None, stats[f"{f.name}__min"]))
-            rules.append((f.name, "le", None, stats[f"{f.name}__max"]))
-        elif stats[f"{f.name}__nd"] <= domain_max:
-            small.append(f.name)
+        if _numeric_like(f.dataType):
+            for op, end in (("ge", "min"), ("le", "max")):
+                if stats[f"{f.name}__{end}"] is not None:
+                    rules.append((f.name, op, None, stats[f"{f.name}__{end}"]))
+            if stats[f"{f.name}__null"]:
+                rules.append((f.name, "nullable", None, None))
     base = spark.createDataFrame(rules, RULE_SCHEMA)
-    if not small:
+    text = [f.name for f in fields if not _numeric_like(f.dataType)]
+    if not text:
         return base
     dom = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
-                                          for c in small])).alias("kv"))
-           .select("kv.*").filter(F.col("value").isNotNull()).distinct()
-           .select("feature", F.lit("in").alias("op"), "value", F.lit(None).cast("double").alias("num")))
+                                         for c in text])).alias("kv"))
+           .select("kv.*").distinct().select("feature", F.lit("in").alias("op"), "value", F.lit(None).cast("double").alias("num")))
     return base.unionByName(dom)
 
 
-def _rule_predicate(df: DataFrame, rules: list) -> Column:
-    by_feature: dict = {}
-    for r in rules:
-        by_feature.setdefault(r["feature"], []).append(r)
-    preds = [F.lit(True)]
+def _scalar_predicate(df: DataFrame, rules: list) -> Column:
+    """The conjunction of all rules but ``in``."""
+    nullable = {(r["feature"], r["rule_set"]) for r in rules if r["op"] == "nullable"}
     types = {f.name: f.dataType for f in df.schema.fields}
-    for feat, rs in by_feature.items():
+    preds = [F.lit(True)]
+    for r in rules:
+        feat, op = r["feature"], r["op"]
         if feat not in types:
             preds.append(F.lit(False))  # a rule on a missing column cannot hold
             continue
         c = F.col(feat)
-        num = (F.unix_micros(_as_ts(feat, types[feat])).cast("double") if isinstance(types[feat], TIMES)
-               else c.cast("double"))
-        ins = [r["value"] for r in rs if r["op"] == "in"]
-        if ins:
-            preds.append(c.cast("string").isin(ins))
-        for r in rs:
-            op, v = r["op"], (r["num"] if r["num"] is not None else r["value"])
-            lhs = num if r["num"] is not None else c.cast("string")
-            if op == "lt":
-                preds.append(lhs < F.lit(v))
-            elif op == "le":
-                preds.append(lhs <= F.lit(v))
-            elif op == "gt":
-                preds.append(lhs > F.lit(v))
-            elif op == "ge":
-                preds.append(lhs >= F.lit(v))
-            elif op == "eq":
-                preds.append(lhs == F.lit(v))
-            elif op == "dtype":
-                preds.append(c.isNull() | F.expr(f"try_cast(`{feat}` as {r['value']})").isNotNull())
-            elif op != "in":
-                raise ValueError(f"unknown rule op {op!r}")
-    return reduce(lambda a, b: a & b, preds)
+        if op == "dtype":
+            preds.append(c.isNull() | F.expr(f"try_cast(`{feat}` as {r['value']})").isNotNull())
+        elif op in COMPARE:
+            num = F.unix_micros(_as_ts(feat, types[feat])).cast("double") if isinstance(types[feat], TIMES) else c.cast("double")
+            held = COMPARE[op](num, F.lit(r["num"])) if r["num"] is not None else COMPARE[op](c.cast("string"), F.lit(r["value"]))
+            preds.append(c.isNull() | held if (feat, r["rule_set"]) in nullable else held)
+        elif op != "nullable":
+            raise ValueError(f"unknown rule op {op!r}")
+    return F.coalesce(reduce(lambda a, b: a & b, preds), F.lit(False))
 
 
 def match_constraints(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Keep rows that satisfy every rule (a rule table is small metadata)."""
-    pred = _rule_predicate(df, rules.collect())
-    return df.filter(F.coalesce(pred, F.lit(False)))
+    """Keep rows that satisfy every rule. Only rules other than ``in`` and
+    the names of the value sets (columns x rule sets) reach the driver; each
+    value set is a null-safe semi join that AQE plans by its size."""
+    sets = _rule_sets(rules)
+    out = df.filter(_scalar_predicate(df, sets.filter(F.col("op") != "in").collect()))
+    for r in sorted(sets.filter(F.col("op") == "in").select("feature", "rule_set").distinct().collect()):
+        if r["feature"] not in df.columns:
+            return df.filter(F.lit(False))
+        values = sets.filter((F.col("op") == "in") & (F.col("feature") == r["feature"]) & (F.col("rule_set") == r["rule_set"]))
+        v = values.select(F.col("value").alias("__rule_value"))
+        out = out.join(v, out[r["feature"]].cast("string").eqNullSafe(F.col("__rule_value")), "left_semi")
+    return out
 
 
 def satisfies(df: DataFrame, rules: DataFrame) -> DataFrame:
     """One row, ``ok`` = every row satisfies the rules."""
-    pred = F.coalesce(_rule_predicate(df, rules.collect()), F.lit(False))
-    return df.agg(F.coalesce(F.bool_and(pred), F.lit(True)).alias("ok"))
+    n = F.count(F.lit(1))
+    both = df.agg(n.alias("n")).unionByName(match_constraints(df, rules).agg((-n).alias("n")))
+    return both.agg((F.sum("n") == 0).alias("ok"))
 
 
 def extend_rules(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Conjunction of two rule sets."""
-    return a.unionByName(b).dropDuplicates()
+    """Conjunction of two rule tables: the rule sets of ``b`` are numbered
+    after those of ``a``."""
+    left, right = _rule_sets(a), _rule_sets(b)
+    top = left.agg(F.coalesce(F.max("rule_set"), F.lit(0)).alias("m")).first()["m"] + 1
+    return left.unionByName(right.withColumn("rule_set", F.col("rule_set") + F.lit(top))).dropDuplicates()
 
 
 def schema_includes(df: DataFrame, other: DataFrame, skip=("row_id",)) -> DataFrame:
-    """Per feature, does ``df``'s inferred domain include ``other``'s?"""
+    """Per feature, does ``df``'s inferred domain include ``other``'s?
+    Ranges, null and every text value are compared."""
+    def summary(rules, suffix):
+        return rules.groupBy("feature").agg(
+            F.min(F.when(F.col("op") == "ge", F.col("num"))).alias(f"lo{suffix}"),
+            F.max(F.when(F.col("op") == "le", F.col("num"))).alias(f"hi{suffix}"),
+            F.max(F.col("op") == "nullable").alias(f"null{suffix}"),
+            F.first(F.when(F.col("op") == "dtype", F.col("value")), ignorenulls=True).alias(f"dtype{suffix}"))
     r1, r2 = infer_schema_rules(df, skip), infer_schema_rules(other, skip)
-    a = r1.groupBy("feature").agg(
-        F.min(F.when(F.col("op") == "ge", F.col("num"))).alias("lo"),
-        F.max(F.when(F.col("op") == "le", F.col("num"))).alias("hi"),
-        F.first(F.when(F.col("op") == "dtype", F.col("value")), ignorenulls=True).alias("dtype"))
-    b = r2.groupBy("feature").agg(
-        F.min(F.when(F.col("op") == "ge", F.col("num"))).alias("lo2"),
-        F.max(F.when(F.col("op") == "le", F.col("num"))).alias("hi2"),
-        F.first(F.when(F.col("op") == "dtype", F.col("value")), ignorenulls=True).alias("dtype2"))
-    dom_a = r1.filter(F.col("op") == "in").select("feature", "value")
+    dom_a = r1.filter(F.col("op") == "in").select(F.col("feature").alias("_f"), F.col("value").alias("_v"))
     dom_b = r2.filter(F.col("op") == "in").select("feature", "value")
-    missing = (dom_b.join(dom_a, ["feature", "value"], "left_anti").groupBy("feature")
-               .agg(F.count(F.lit(1)).alias("n_missing")))
-    j = a.join(b, "feature", "full_outer").join(missing, "feature", "left")
+    missing = (dom_b.join(dom_a, (F.col("feature") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_v")), "left_anti")
+               .groupBy("feature").agg(F.count(F.lit(1)).alias("n_missing")))
+    j = summary(r1, "").join(summary(r2, "2"), "feature", "full_outer").join(missing, "feature", "left")
     ok = (F.col("dtype").isNotNull() & F.col("dtype2").isNotNull()
           & (F.col("lo2").isNull() | (F.col("lo2") >= F.col("lo")))
           & (F.col("hi2").isNull() | (F.col("hi2") <= F.col("hi")))
+          & (F.col("null") | ~F.col("null2"))
           & F.col("n_missing").isNull())
     return j.select("feature", F.coalesce(ok, F.lit(False)).alias("included"))
 
@@ -339,14 +351,16 @@ class Compression:
 
 def compress(df: DataFrame, skip=("row_id",)) -> tuple[DataFrame, Compression]:
     """Drop constant columns and columns functionally determined by an
-    earlier kept column. A -> B holds when every group of A has one B value:
-    one grouped min/max per candidate determinant (map-side combined), no
-    pairwise distinct counts."""
+    earlier kept column. A -> B holds when every group of A has one B value
+    (null is a value): one grouped min/max per candidate determinant (map-side
+    combined), no pairwise distinct counts. A column with a value of its own in
+    every row determines all others and is no determinant (it would save nothing)."""
     spark = df.sparkSession
     cols = [c for c in df.columns if c not in skip]
-    one = df.agg(*[F.count_distinct(c).alias(c) for c in cols],
+    n = F.count(F.lit(1))
+    one = df.agg(n.alias("__n"), *[(F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), n)).alias(c) for c in cols],
                  *[F.first(c, ignorenulls=True).alias(f"{c}__v") for c in cols]).first()
-    constants = {c: one[f"{c}__v"] for c in cols if one[c] <= 1}
+    constants = {c: one[f"{c}__v"] for c in cols if one[c]}
     live = [c for c in cols if c not in constants]
     fd: dict = {}
     parts = []
@@ -357,12 +371,12 @@ def compress(df: DataFrame, skip=("row_id",)) -> tuple[DataFrame, Compression]:
         g = df.groupBy(a).agg(*[(F.min(b).eqNullSafe(F.max(b))
                                  & ((F.count(b) == 0) | (F.count(b) == F.count(F.lit(1))))).alias(b)
                                 for b in others])
-        parts.append(g.agg(*[F.bool_and(b).alias(b) for b in others])
-                     .select(F.lit(a).alias("a"), F.to_json(F.struct(*others)).alias("fd")))
+        parts.append(g.agg(F.count(F.lit(1)).alias("__k"), *[F.bool_and(b).alias(b) for b in others])
+                     .select(F.lit(a).alias("a"), "__k", F.to_json(F.struct(*others)).alias("fd")))
     if parts:
         import json
         for r in reduce(DataFrame.unionByName, parts).collect():
-            fd[r["a"]] = json.loads(r["fd"])
+            fd[r["a"]] = json.loads(r["fd"]) if r["__k"] < one["__n"] else {}  # not a unique key
     kept, derived = [], []
     for b in live:
         det = next((a for a in kept if fd.get(a, {}).get(b)), None)
@@ -382,8 +396,8 @@ def decompress(df: DataFrame, ctx: Compression) -> DataFrame:
     """P18 inverse: re-attach derived columns by joining their maps, constants as literals."""
     out = df
     for a, b in ctx.derived:
-        m = ctx.maps[b]
-        out = out.join(m, a, "left")  # AQE turns this into a broadcast join when the map is small
+        m = ctx.maps[b].withColumnRenamed(a, "__det")
+        out = out.join(m, F.col(a).eqNullSafe(F.col("__det")), "left").drop("__det")  # AQE broadcasts a small map
     for c, v in ctx.constants.items():
         out = out.withColumn(c, F.lit(v))
     return out.select(*[c for c in ctx.columns if c in out.columns])

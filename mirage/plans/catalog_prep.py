@@ -161,24 +161,56 @@ def constraints_satisfy(spark, d):
 @query("constraints_extend", f"""
 WITH small AS (SELECT * FROM part WHERE p_size < 20),
 rules AS (
-  SELECT 'p_size' AS feature, 'ge' AS op, NULL AS value, min(p_size)::DOUBLE AS num FROM small
-  UNION ALL SELECT 'p_size', 'le', NULL, max(p_size)::DOUBLE FROM small
-  UNION ALL SELECT 'p_retailprice', 'ge', NULL, min(p_retailprice) FROM small
-  UNION ALL SELECT 'p_retailprice', 'le', NULL, max(p_retailprice) FROM small
-  UNION ALL SELECT 'p_brand', 'dtype', 'string', NULL UNION ALL SELECT 'p_size', 'dtype', 'int', NULL
-  UNION ALL SELECT 'p_retailprice', 'dtype', 'double', NULL
-  UNION ALL SELECT DISTINCT 'p_brand', 'in', p_brand, NULL FROM small
-  UNION ALL SELECT 'p_size', 'ge', NULL, 10.0 UNION ALL SELECT 'p_size', 'lt', NULL, 40.0
-  UNION ALL SELECT 'p_retailprice', 'le', NULL, 1500.0
-  UNION ALL SELECT 'p_brand', 'in', 'Brand#1', NULL UNION ALL SELECT 'p_brand', 'in', 'Brand#2', NULL
-  UNION ALL SELECT 'p_brand', 'in', 'Brand#3', NULL)
-SELECT DISTINCT feature, op, value, num FROM rules""")
+  SELECT 'p_size' AS feature, 'ge' AS op, NULL AS value, min(p_size)::DOUBLE AS num, 0 AS rule_set FROM small
+  UNION ALL SELECT 'p_size', 'le', NULL, max(p_size)::DOUBLE, 0 FROM small
+  UNION ALL SELECT 'p_retailprice', 'ge', NULL, min(p_retailprice), 0 FROM small
+  UNION ALL SELECT 'p_retailprice', 'le', NULL, max(p_retailprice), 0 FROM small
+  UNION ALL SELECT 'p_brand', 'dtype', 'string', NULL, 0 UNION ALL SELECT 'p_size', 'dtype', 'int', NULL, 0
+  UNION ALL SELECT 'p_retailprice', 'dtype', 'double', NULL, 0
+  UNION ALL SELECT DISTINCT 'p_brand', 'in', p_brand, NULL, 0 FROM small
+  UNION ALL SELECT 'p_size', 'ge', NULL, 10.0, 1 UNION ALL SELECT 'p_size', 'lt', NULL, 40.0, 1
+  UNION ALL SELECT 'p_retailprice', 'le', NULL, 1500.0, 1
+  UNION ALL SELECT 'p_brand', 'in', 'Brand#1', NULL, 1 UNION ALL SELECT 'p_brand', 'in', 'Brand#2', NULL, 1
+  UNION ALL SELECT 'p_brand', 'in', 'Brand#3', NULL, 1)
+SELECT DISTINCT feature, op, value, num, rule_set FROM rules""")
 def constraints_extend(spark, d):
     small = T(spark, d, "part").filter(F.col("p_size") < 20).select("p_size", "p_retailprice", "p_brand")
     user = _part_rules(spark).filter(F.col("op") != "dtype")
     return P.extend_rules(P.infer_schema_rules(small, skip=()), user)
 
 
+@query("constraints_extend_match", """
+SELECT * FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_name,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey, c_custkey FROM customer)
+WHERE (c_acctbal IS NULL OR c_acctbal >= 0) AND c_name IN (SELECT c_name FROM customer WHERE c_acctbal >= 0)
+  AND c_name IN (SELECT c_name FROM customer WHERE c_nationkey < 15) AND c_nationkey < 12""")
+def constraints_extend_match(spark, d):
+    """Two wide text domains and nulls: the sets are intersected."""
+    raw = T(spark, d, "customer")
+    c = raw.select(F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"), "c_name",
+                   F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("c_nationkey"), "c_custkey")
+    rich = raw.filter("c_acctbal >= 0")
+    first = P.infer_schema_rules(rich.select("c_name")).unionByName(spark.createDataFrame(
+        [("c_acctbal", "ge", None, 0.0), ("c_acctbal", "nullable", None, None)], P.RULE_SCHEMA))
+    second = P.infer_schema_rules(raw.filter("c_nationkey < 15").select("c_name")).unionByName(
+        spark.createDataFrame([("c_nationkey", "lt", None, 12.0)], P.RULE_SCHEMA))
+    return P.match_constraints(c, P.extend_rules(first, second))
+
+
+@query("schema_includes_wide", """
+SELECT 'subset' AS "case", 'c_name' AS feature, true AS included UNION ALL SELECT 'subset', 'c_nationkey', true
+UNION ALL SELECT 'other', 'c_name', false UNION ALL SELECT 'other', 'c_nationkey', true
+UNION ALL SELECT 'nulls', 'c_name', false UNION ALL SELECT 'nulls', 'c_nationkey', false""")
+def schema_includes_wide(spark, d):
+    """Text columns with a value per row: a subset, other values, nulls."""
+    c = T(spark, d, "customer").select("c_name", "c_nationkey")
+    cases = {"subset": c.filter("c_nationkey < 20"), "other": c.withColumn("c_name", F.concat("c_name", F.lit("!"))),
+             "nulls": c.withColumns({"c_name": F.when(F.col("c_nationkey") > 3, F.col("c_name")),
+                                     "c_nationkey": F.when(F.col("c_nationkey") > 3, F.col("c_nationkey"))})}
+    outs = [P.schema_includes(c, o).select(F.lit(k).alias("case"), "feature", "included") for k, o in cases.items()]
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
 @query("prep_adapt_types", """
 SELECT l_orderkey * 8 + l_linenumber AS row_id, CAST(round(l_quantity / 3) AS INTEGER) AS l_quantity,
        CAST(round(l_extendedprice / 7) AS BIGINT) AS l_extendedprice, l_discount FROM lineitem""")
@@ -237,6 +269,34 @@ def prep_decompress(spark, d):
     return P.decompress(comp, ctx)
 
 
+_CNULL = """cz AS (SELECT c_custkey AS row_id, CASE WHEN c_nationkey < 20 THEN c_nationkey END AS c_nationkey,
+  CASE WHEN c_nationkey < 20 THEN n_name ELSE 'rest' END AS n_name, CASE WHEN c_nationkey % 2 = 0 THEN 'x' END AS half, c_name, n_regionkey
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _cz(spark, d):
+    c = T(spark, d, "customer").join(T(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    known = F.col("c_nationkey") < 20
+    return c.select(F.col("c_custkey").alias("row_id"), F.when(known, F.col("c_nationkey")).alias("c_nationkey"),
+                    F.when(known, F.col("n_name")).otherwise("rest").alias("n_name"),
+                    F.when(F.col("c_nationkey") % 2 == 0, F.lit("x")).alias("half"), "c_name", "n_regionkey")
+
+
+@query("prep_compress_nulls", """
+SELECT 'c_nationkey' AS "column", 'kept' AS action, NULL AS determined_by UNION ALL SELECT 'n_name', 'derived', 'c_nationkey'
+UNION ALL SELECT 'half', 'kept', NULL UNION ALL SELECT 'c_name', 'kept', NULL UNION ALL SELECT 'n_regionkey', 'kept', NULL""")
+def prep_compress_nulls(spark, d):
+    """A null key determines its name; a column of 'x' and null is no constant;
+    the unique c_name determines nothing."""
+    return P.compress(_cz(spark, d))[1].plan
+
+
+@query("prep_decompress_nulls", f"WITH {_CNULL} SELECT * FROM cz")
+def prep_decompress_nulls(spark, d):
+    comp, ctx = P.compress(_cz(spark, d))
+    return P.decompress(comp, ctx)
+
+
 @query("find_row", """
 WITH e AS (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer)
 SELECT min(c_custkey) AS row_id FROM customer, e
