@@ -14,9 +14,12 @@ of smaller id.
    document but the class's first all its windows repeat an earlier document.
 4. Only the first occurrence of each class whose minimiser has other classes
    travels as a packed string of its words to its bucket, where the windows are
-   sorted and equal ones (compared word by word, as strings) get their first
-   document. A bucket of more than ``BUCKET`` classes is dealt by the hash of
-   the whole window, one window each, so no bucket grows with a common passage.
+   sorted and equal ones get their first document. Windows are ranked exactly by
+   doubling: numbers for words, then for pairs of equal numbers, and so on. For a
+   minimiser of more than ``BUCKET_WINDOWS`` windows (a very common passage, or
+   one word over and over) each window travels alone as its 128-bit cryptographic
+   digest, with the least document per digest summed before the shuffle, so no
+   bucket grows with it.
 5. The spans go back to their documents, which drop the covered words.
 
 Defined cases: null and empty texts have no words. doc_id names a text: repeated
@@ -38,8 +41,7 @@ from mirage.llm.common import Words, chunks, discard, grams, mix, partitions, po
 
 WINDOW = 50
 GRAM = 8
-BUCKET = 256
-BUCKET_WINDOWS = 1 << 14
+BUCKET_WINDOWS = 1 << 19
 _P1, _P2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _I1, _I2 = pow(_P1, -1, 1 << 64), pow(_P2, -1, 1 << 64)
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
@@ -130,23 +132,43 @@ def _packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         run, "hot boolean, key long, doc_id long, start int, words binary")
 
 
-def sort_bucket(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(index, window) of the windows in a bucket that an earlier document has.
-
-    All windows of all packed strings are sorted by their words; the first of
-    equal ones has the smallest document."""
-    rows = []
-    for i in np.lexsort((starts, docs)):
-        words = strings[i].split()
-        rows += [(b" ".join(words[k:k + window]), int(docs[i]), int(i), k) for k in range(len(words) - window + 1)]
-    rows.sort(key=lambda r: r[0])  # stable: equal windows stay in document order
-    out, first = [], None
-    for words, d, i, k in rows:
-        if first is None or first[0] != words:
-            first = (words, d)
-        elif first[1] < d:
-            out.append((i, k))
-    return out
+def window_ranks(ids: np.ndarray, window: int) -> np.ndarray:
+    """Equal numbers for equal runs of ``window`` ids, in sorted order of the runs."""
+    size, rank = 1, ids
+    while size * 2 <= window:
+        rank = _rank_pairs(rank[:-size], rank[size:])
+        size *= 2
+    return rank if size == window else _rank_pairs(rank[:len(rank) - (window - size)], rank[window - size:])
+
+
+def _rank_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(a * (int(b.max()) + 1 if len(b) else 1) + b, return_inverse=True)[1].astype(np.int64)
+
+
+def sort_bucket(strings: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(document, first word, windows): runs of windows in a bucket that a
+    smaller document of it has too."""
+    number: dict[bytes, int] = {}
+    words = [[number.setdefault(w, len(number)) for w in s.split()] for s in strings]
+    sizes = np.array([len(w) for w in words])
+    flat = np.concatenate([np.array(w, dtype=np.int64) for w in words])
+    rank = window_ranks(flat, window)
+    # Windows over the edge of two strings are ranked too and left out here.
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    counts = sizes - window + 1
+    owner = np.repeat(np.arange(len(strings)), counts)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rank = rank[begin[owner] + k]
+    least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, rank, docs[owner])
+    hit = np.flatnonzero(least[rank] < docs[owner])
+    if not len(hit):
+        return []
+    new = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0)])
+    first = hit[new]
+    runs = np.diff(np.append(np.flatnonzero(new), len(hit)))
+    o = owner[first]
+    return list(zip(docs[o].tolist(), (starts[o] + k[first]).tolist(), runs.tolist(), strict=True))
 
 
 def _buckets(packed: DataFrame, window: int) -> DataFrame:
@@ -155,18 +177,18 @@ def _buckets(packed: DataFrame, window: int) -> DataFrame:
         import pyarrow as pa
         held: list[tuple[bytes, int, int]] = []
         key = None
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int]] = []
 
         def close():
             if len(held) > 1:
                 docs = np.array([h[1] for h in held])
                 starts = np.array([h[2] for h in held])
-                found.extend((held[i][1], held[i][2] + k) for i, k in sort_bucket([h[0] for h in held], docs, starts, window))
+                found.extend(sort_bucket([h[0] for h in held], docs, starts, window))
             held.clear()
 
         def batch():
             r = pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
-                                            pa.array([1] * len(found), pa.int32())], names=["doc_id", "start", "windows"])
+                                            pa.array([f[2] for f in found], pa.int32())], names=["doc_id", "start", "windows"])
             found.clear()
             return r
 
@@ -192,8 +214,7 @@ def _hot_windows(packed: DataFrame) -> DataFrame:
     return one.join(first, "words").filter("doc_id > _first").select("doc_id", "start", F.lit(1).alias("windows"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET,
-                   bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """(doc_id, start, windows): windows that a document of smaller id has too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = stash(_occurrences(docs, window, gram))
@@ -206,7 +227,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
                      ["mini", "fp1", "fp2"]).filter("doc_id > _first").select("doc_id", "start", "windows")
     many = classes.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), F.sum("f.windows").alias("w"),
                                       F.min("f.doc_id").alias("_a"), F.max("f.doc_id").alias("_b")).filter("n > 1 and _a < _b")
-    many = many.select("mini", ((F.col("n") > bucket) | (F.col("w") > bucket_windows)).alias("hot"))
+    many = many.select("mini", (F.col("w") > bucket_windows).alias("hot"))
     first = classes.join(many, "mini").select("f.doc_id", "f.start", "f.windows", "mini", "hot")
     packed = stash(_packed(docs, first, window))
     inside = stash(_buckets(packed, window).unionByName(_hot_windows(packed)))
@@ -216,16 +237,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     own = occ.join(classes.select("mini", "fp1", "fp2", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("_s")),
                    ["mini", "fp1", "fp2", "doc_id"]).filter(F.col("start") != F.col("_s")).select(
                        "doc_id", F.col("start").alias("_at"), "_s", F.col("windows").alias("_n"))
-    again = inside.join(own, "doc_id").filter((F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_s") + F.col("_n"))).select(
-        "doc_id", (F.col("_at") + F.col("start") - F.col("_s")).cast("int").alias("start"), "windows")
+    lo, hi = F.greatest("start", "_s"), F.least(F.col("start") + F.col("windows"), F.col("_s") + F.col("_n"))
+    again = inside.join(own, "doc_id").filter(lo < hi).select(
+        "doc_id", (F.col("_at") + lo - F.col("_s")).cast("int").alias("start"), (hi - lo).cast("int").alias("windows"))
     return later.unionByName(inside).unionByName(again)
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET,
-                   bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_removed``, ``kept_text``
     (kept words joined by one space) and ``kept_sha256``."""
-    spans = repeated_spans(docs, window, gram, bucket, bucket_windows).groupBy(F.col("doc_id").alias("__op1_id")).agg(
+    spans = repeated_spans(docs, window, gram, bucket_windows).groupBy(F.col("doc_id").alias("__op1_id")).agg(
         F.collect_list(F.struct("start", "windows")).alias("__op1_spans"))
     rows = docs.join(spans, F.col("doc_id") == F.col("__op1_id"), "left").drop("__op1_id")
 
