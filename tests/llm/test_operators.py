@@ -113,10 +113,10 @@ def removed(df, **how):
     return sorted(map(tuple, op1_substrings.remove_repeated(df, **how).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
 
 
-@pytest.mark.parametrize("bucket", [256, 0])
-def test_substrings(table_docs, odd, bucket):
-    assert removed(table_docs, bucket=bucket) == brute_removed(pairs(table_docs))
-    assert removed(odd, bucket=bucket, bucket_windows=50 if bucket == 0 else 1 << 14) == brute_removed(pairs(odd))
+@pytest.mark.parametrize("bucket_windows", [1 << 19, 0])
+def test_substrings(table_docs, odd, bucket_windows):
+    assert removed(table_docs, bucket_windows=bucket_windows) == brute_removed(pairs(table_docs))
+    assert removed(odd, bucket_windows=bucket_windows) == brute_removed(pairs(odd))
 
 
 def test_substrings_short_windows_and_empty(odd, none):
