@@ -19,8 +19,11 @@ each. Null doc_id is kept as null. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,8 +34,24 @@ from mirage.llm.common import chunks, stash, table
 
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 1 << 16
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 CACHE_WORD_BYTES = 64
+# The splitting pattern of the word-level tokenizer, over lower-cased
+# printable ASCII and Latin-1 letters, and where bytes have no letter of their own.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def _is_word_level(path: str) -> bool:
+    """Whether the file splits and normalises as ``_PARTS`` does."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return (steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == _PATTERN
+            and [r["type"] for r in rest] == ["ByteLevel"] and not rest[0]["use_regex"] and not rest[0]["add_prefix_space"])
 
 
 class WordEncoder:
@@ -44,27 +63,49 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = _is_word_level(path)
         self.ids: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token by the library's model."""
+        got = self.parts.get(part)
+        if got is None:
+            symbols = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            got = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+        return got
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of printable ASCII and Latin-1 letters are lower-cased and split
+        here as the library would; any others go through all of its steps."""
+        other = []
+        for w in words:
+            text = w.decode()
+            if self.plain and w.isalpha():  # ASCII letters only
+                self.ids[w] = self._part(text.lower())
+            elif self.plain and _PLAIN.fullmatch(text) and not (b"<" in w and any(m in w for m in self.special)):
+                self.ids[w] = b"".join(map(self._part, _PARTS.findall(text.lower())))
+            else:
+                other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch([x.decode() for x in other], add_special_tokens=False), strict=True):
+            self.ids[w] = array("I", e.ids).tobytes()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        import numpy as np
-        words = [t.split() for t in texts]
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
-        new = set()
-        for w in words:
-            new.update(w)
-        new = [w for w in new if w not in self.ids]
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, encode([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        words = [t.split() for t in texts]
+        new = list(set().union(*words).difference(self.ids))
+        if new:
+            self._learn(new)
         get = self.ids.__getitem__
         out = [b"".join(map(get, w)) for w in words]
         for w in new:
             if len(w) > CACHE_WORD_BYTES:
                 del self.ids[w]
+                self.parts.clear()  # it may hold long parts too
         return out
 
 
