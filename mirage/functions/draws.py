@@ -16,17 +16,16 @@ import secrets
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
-
-
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def draw(seed, tag, id_) -> Column:
+def draw(seed, tag, id_, bits: int = 32) -> Column:
+    """``bits`` 52 takes 13 hex digits instead of 8: for noise that must not be
+    guessed from its grain (secret seeds)."""
     key = F.concat_ws("|", _c(seed).cast("string"), _c(tag).cast("string"), _c(id_).cast("string"))
-    word = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return (word.cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+    word = F.conv(F.substring(F.md5(key), 1, bits // 4), 16, 10).cast("bigint")
+    return (word.cast("double") + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
 def draw_sql(seed: str, tag: str, id_: str) -> str:

@@ -18,6 +18,9 @@ Minimum distances use the ``|a|^2 + |b|^2 - 2ab`` product for speed and then
 recompute the exact distance for every candidate within rounding tolerance of
 the minimum, so the result equals a direct computation. Sums (mean distances)
 use direct differences.
+
+Null (or NaN) features: a row of B with one is no neighbour (it is left out before
+either path), a row of A with one has a null distance.
 """
 
 from __future__ import annotations
@@ -128,11 +131,12 @@ def _sum_dist(A, B):
 # --- plans ------------------------------------------------------------------
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Each row of A costs |B| distance evaluations, so A must use every core:
-    a table read as fewer partitions than the cluster's parallelism (one small
-    file) is spread round-robin first; large tables keep their scan splits."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par * 2) if df.rdd.getNumPartitions() < par else df
+    """Each row of A costs |B| distance evaluations, so A must use every core: it
+    is dealt round-robin over twice the cluster's parallelism (id and features
+    only - little next to |B| evaluations a row). Counting the partitions of its
+    plan first would run every shuffle above it."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
+
 
 def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude_self: bool,
                name: str, by=()) -> DataFrame:
@@ -147,7 +151,7 @@ def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude
     cols = list(cols)
     limit = _conf_int(spark, "mirage.distance.broadcastBytes", DEFAULT_BROADCAST_BYTES)
     block = _conf_int(spark, "mirage.distance.blockRows", DEFAULT_BLOCK_ROWS)
-    bsel = b.select(F.col(id_col).cast("long").alias("_bid"), *[F.col(c).cast("double").alias(c) for c in cols])
+    bsel = b.select(F.col(id_col).cast("long").alias("_bid"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
     asel = a.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c).cast("double").alias(c) for c in cols])
     schema = f"{id_col} long, {name} double" if kind != "argmin" else f"{id_col} long, nn_id long, {name} double"
     max_rows = max(1, limit // ((len(cols) + 1) * 8))
@@ -214,7 +218,7 @@ def _pair_stat_by(a, b, cols, id_col, kind, exclude_self, name, by):
     cols = list(cols)
     limit = _conf_int(spark, "mirage.distance.broadcastBytes", DEFAULT_BROADCAST_BYTES)
     block = _conf_int(spark, "mirage.distance.blockRows", DEFAULT_BLOCK_ROWS)
-    bsel = b.select(F.col(id_col).cast("long").alias("_bid"), *by, *[F.col(c).cast("double").alias(c) for c in cols])
+    bsel = b.select(F.col(id_col).cast("long").alias("_bid"), *by, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
     asel = a.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c).cast("double").alias(c) for c in cols])
     tag_types = {f.name: f.dataType.simpleString() for f in bsel.schema.fields if f.name in by}
     schema = f"{id_col} long, " + ", ".join(f"`{t}` {tag_types[t]}" for t in by) + f", {name} double"

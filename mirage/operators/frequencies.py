@@ -55,9 +55,10 @@ def column_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
 
 
 # Screening with HyperLogLog (512 registers): with n distinct values the
-# estimate is at most 512 ln(512 / (512 - n)) (linear counting), so fewer than
-# 10 values can never reach 50. Columns estimated under 50 are counted exactly.
-SCREEN_DISTINCT = 50
+# estimate is at most 512 ln(512 / (512 - n)) (linear counting, n < 512), so n
+# values can never reach five times n up to n = 500. Columns estimated under five
+# times the bins are counted exactly, all columns where more bins are asked for.
+SCREEN_FACTOR = 5
 SCREEN_RSD = 0.05
 
 
@@ -73,7 +74,7 @@ def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
     long = to_long(df, cols)
     stats = long.groupBy("column").agg(F.approx_count_distinct("v", SCREEN_RSD).alias("nd"), F.min("v").alias("lo"),
                                        F.max("v").alias("hi"), F.count(F.lit(1)).alias("n_rows")).collect()
-    small = [r["column"] for r in stats if r["nd"] < SCREEN_DISTINCT]
+    small = [r["column"] for r in stats if n_bins > 500 or r["nd"] < SCREEN_FACTOR * max(n_bins, CATEGORICAL_BELOW)]
     exact = {}
     if small:
         ex = (to_long(df, small).filter(F.col("v").isNotNull()).groupBy("column", "v").count()
@@ -88,11 +89,6 @@ def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
                                        "lo double, hi double, n_rows long")
 
 
-def local_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
-    """The binning profile computed once and kept as a local table."""
-    return bin_profile(df, cols, n_bins)
-
-
 def value_freqs(df: DataFrame, col: str) -> DataFrame:
     """A2: relative value counts of one column (divided by all rows, nulls included)."""
     total = df.count()  # one number
@@ -147,7 +143,11 @@ def column_frequencies(real: DataFrame, syn: DataFrame, cols=None, n_bins: int =
     cols = cols or [c for c in feature_columns(real)]
     prof = profile if profile is not None else bin_profile(real, cols, n_bins)
     if force_hist:
-        prof = prof.withColumn("n_bins", F.lit(n_bins).cast("long")).withColumn("categorical", F.lit(False))
+        # A constant column has one value in bins of width 1 / n_bins around it.
+        flat = F.col("hi") == F.col("lo")
+        prof = (prof.withColumn("n_bins", F.lit(n_bins).cast("long")).withColumn("categorical", F.lit(False))
+                .withColumns({"lo": F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")),
+                              "hi": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))}))
     real_f = _freqs(to_long(real, cols), prof, "p_real")
     syn_f = _freqs(to_long(syn, cols, by), prof, "p_syn", by)
     if not by:

@@ -23,7 +23,7 @@ from mirage.session import cut_lineage
 
 FREQ_ERR = 0.2
 BIN_QUOTA = 10       # at most this many rows per bin per donor and round
-DONOR_ROWS = 100     # rows drawn from a donor per column fix
+DONOR_ROWS = 100     # rows drawn from a donor per column fix (its draws are by row id: the first n are a table of n)
 MAX_ROUNDS = 3
 
 
@@ -203,7 +203,7 @@ def increase_utility(cur: DataFrame, donors: list, fresh, req: Requirement, scor
                 continue
             all_ok = False
             for i, make in enumerate(donors):
-                new = fill_bins(new, make(seed * 100 + counter * 10 + i).limit(DONOR_ROWS), real, col, seed + i, err)
+                new = fill_bins(new, take_first(make(seed * 100 + counter * 10 + i), ["row_id"], DONOR_ROWS), real, col, seed + i, err)
                 new = thin_bins(new, fresh(seed * 100 + counter * 10 + i), real, col, err)
                 new = cut_lineage(new)
         if all_ok:

@@ -123,7 +123,9 @@ def data_leakage(real: DataFrame, syn: DataFrame, sensitive, cols=None, seed: in
 # --- M5 --------------------------------------------------------------------------
 
 def _attack_key():
-    v = F.coalesce(F.round(F.col("v") * F.lit(1e6)).try_cast("bigint").cast("string"), F.lit("null"))
+    # Values whose millionths don't fit in 64 bits are told apart as whole numbers.
+    v = F.coalesce(F.round(F.col("v") * F.lit(1e6)).try_cast("bigint").cast("string"),
+                   F.concat(F.lit("w"), F.round(F.col("v")).try_cast("decimal(38,0)").cast("string")), F.lit("null"))
     return F.md5(F.concat_ws("|", F.col("column"), F.col("op"), v))
 
 

@@ -24,14 +24,14 @@ from pyspark.sql import types as T
 from mirage.functions.draws import draw, fresh_seed
 from mirage.functions.ordering import ordered_index, prefix_sum, take_first, top_k_per_group
 from mirage.operators.distance import nearest_distance, nearest_neighbor, nearest_other
-from mirage.operators.frequencies import bin_profile, feature_columns, local_profile, to_long, value_key
+from mirage.operators.frequencies import bin_profile, feature_columns, to_long, value_key
 from mirage.operators.prep import INTEGRAL, dedupe, match_constraints
 
 N_BINS = 10
 MODEL_MAX_ROWS = 200_000  # a model table is metadata; refuse to inline more than this
 
 MODEL_COLUMNS = ["family", "column", "kind", "bin", "bin_lo", "bin_hi", "parent", "parent_bin",
-                 "count", "noisy", "p", "cum_lo", "cum_hi", "integral", "n_train"]
+                 "noisy", "p", "cum_lo", "cum_hi", "integral", "n_train"]
 
 
 def _bin_index(prof_cat: Column, k: Column) -> Column:
@@ -41,7 +41,7 @@ def _bin_index(prof_cat: Column, k: Column) -> Column:
 
 
 def _profile(df: DataFrame, cols, n_bins: int, domain: dict | None) -> DataFrame:
-    prof = local_profile(df, cols, n_bins)
+    prof = bin_profile(df, cols, n_bins)
     if not domain:
         return prof
     spark = df.sparkSession
@@ -54,11 +54,11 @@ def _profile(df: DataFrame, cols, n_bins: int, domain: dict | None) -> DataFrame
             .drop("d_lo", "d_hi"))
 
 
-def noise(mechanism: str, count: Column, scale, seed, key: Column, delta: float | None = None) -> Column:
+def noise(mechanism: str, count: Column, scale, seed, key: Column, delta: float | None = None, bits: int = 32) -> Column:
     """Noisy count clamped at 0. Laplace / Gaussian (delta given) / two-sided
     geometric. ``scale`` (= k / epsilon) may be a number or a column (a sweep
     over candidate epsilons)."""
-    u = draw(seed, "noise", key)
+    u = draw(seed, "noise", key, bits)
     if not isinstance(scale, Column):
         if scale == 0:
             return count.cast("double")
@@ -68,7 +68,7 @@ def noise(mechanism: str, count: Column, scale, seed, key: Column, delta: float
         return F.greatest(count + F.signum(u - F.lit(0.5)) * mag, F.lit(0.0))
     if delta is not None:
         sigma = scale * F.lit(math.sqrt(2.0 * math.log(1.25 / delta)))
-        u2 = draw(seed, "noise2", key)
+        u2 = draw(seed, "noise2", key, bits)
         z = F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0 * math.pi) * u2)
         return F.greatest(count + sigma * z, F.lit(0.0))
     lap = scale * F.signum(u - F.lit(0.5)) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u - F.lit(0.5)))
@@ -91,38 +91,51 @@ def _finish(model: DataFrame, group=("column",)) -> DataFrame:
     return m.withColumn("cum_hi", F.when(last, F.lit(1.0)).otherwise(F.col("cum_hi")))
 
 
-def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: float | None = None,
-           mechanism: str = "laplace", n_bins: int = N_BINS, cap: int = 1, domain: dict | None = None,
-           family: str = "dp") -> DataFrame:
-    """Noisy one-way marginals. Noise scale k*cap/epsilon with k = number
-    of histograms (one row adds 1 to each); epsilon None/inf gives exact counts."""
-    cols = list(cols or feature_columns(df))
-    seed = fresh_seed() if seed is None else seed
+def marginal_counts(df: DataFrame, cols, n_bins: int = N_BINS, domain: dict | None = None) -> DataFrame:
+    """True counts per (column, bin) with the bin's place: a working table of the
+    fit that must not leave it."""
     prof = _profile(df, cols, n_bins, domain)
-    n_train = int(max(r["n_rows"] for r in prof.collect()))  # local table: no job
-    types = {f.name: f.dataType for f in df.schema.fields}
-    integral = [c for c in cols if isinstance(types[c], INTEGRAL)]
     long = to_long(df, cols).filter(F.col("v").isNotNull())
     binned = long.join(F.broadcast(prof), "column")
     binned = binned.filter(F.col("categorical") | ((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
     counts = (binned.withColumn("bin", _bin_index(F.col("categorical"), F.col("n_bins")))
               .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"), F.first("v").alias("v0")))
     # Counts are one row per (column, bin): bounded metadata, kept locally too.
-    crow = counts.limit(MODEL_MAX_ROWS + 1).collect()
-    if len(crow) > MODEL_MAX_ROWS:
-        raise ValueError("too many bins to fit a model; reduce bins or categories")
-    counts = df.sparkSession.createDataFrame(crow, counts.schema)
+    counts = _local(counts, "too many bins to fit a model; reduce bins or categories")
     grid = (prof.filter(~F.col("categorical"))
             .select("column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("bin")))
     cat_rows = counts.join(F.broadcast(prof.filter(F.col("categorical")).select("column")), "column", "left_semi")
     hist_rows = grid.join(counts, ["column", "bin"], "left")
-    model = (cat_rows.select("column", "bin", "count", "v0").unionByName(hist_rows.select("column", "bin", "count", "v0"))
-             .join(F.broadcast(prof), "column")
-             .withColumn("count", F.coalesce("count", F.lit(0)).cast("double")))
-    scale = 0.0 if epsilon is None or math.isinf(epsilon) else len(cols) * cap / float(epsilon)
+    return (cat_rows.select("column", "bin", "count", "v0").unionByName(hist_rows.select("column", "bin", "count", "v0"))
+            .join(F.broadcast(prof), "column").withColumn("count", F.coalesce("count", F.lit(0)).cast("double")))
+
+
+def _local(df: DataFrame, message: str) -> DataFrame:
+    """A table of at most ``MODEL_MAX_ROWS`` rows, computed once."""
+    rows = df.limit(MODEL_MAX_ROWS + 1).collect()
+    if len(rows) > MODEL_MAX_ROWS:
+        raise ValueError(message)
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: float | None = None,
+           mechanism: str = "laplace", n_bins: int = N_BINS, cap: int = 1, domain: dict | None = None,
+           family: str = "dp") -> DataFrame:
+    """Noisy one-way marginals. One row adds 1 to each of k histograms, so
+    the noise scale is k * cap / epsilon (Laplace, geometric) or sqrt(k) * cap /
+    epsilon (Gaussian, ``delta`` given); epsilon None/inf gives exact counts.
+    The model holds noisy counts only; its ``n_train`` is their mean total."""
+    cols = list(cols or feature_columns(df))
+    bits = 52 if seed is None else 32
+    seed = fresh_seed() if seed is None else seed
+    types = {f.name: f.dataType for f in df.schema.fields}
+    integral = [c for c in cols if isinstance(types[c], INTEGRAL)]
+    model = marginal_counts(df, cols, n_bins, domain)
+    k = len(cols) if delta is None else math.sqrt(len(cols))
+    scale = 0.0 if epsilon is None or math.isinf(epsilon) else k * cap / float(epsilon)
     key = F.concat_ws("|", F.col("column"), F.col("bin").cast("string"))
     width = (F.col("hi") - F.col("lo")) / F.col("n_bins").cast("double")
-    model = (model.withColumn("noisy", noise(mechanism, F.col("count"), scale, seed, key, delta))
+    model = (model.withColumn("noisy", noise(mechanism, F.col("count"), scale, seed, key, delta, bits))
              .withColumn("kind", F.when(F.col("categorical"), F.lit("cat")).otherwise(F.lit("hist")))
              .withColumn("bin_lo", F.when(F.col("categorical"), F.col("v0"))
                          .otherwise(F.col("lo") + F.col("bin").cast("double") * width))
@@ -130,14 +143,14 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
                          .otherwise(F.col("lo") + (F.col("bin") + 1).cast("double") * width)))
     model = model.select(F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi",
                          F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("parent_bin"),
-                         "count", "noisy",
+                         "noisy",
                          F.col("column").isin(integral).alias("integral") if integral else F.lit(False).alias("integral"),
-                         F.lit(n_train).cast("long").alias("n_train"))
+                         F.lit(None).cast("long").alias("n_train"))
     return _finish_local(model, ("column",))
 
 
 MODEL_SCHEMA = ("family string, column string, kind string, bin long, bin_lo double, bin_hi double, "
-                "parent string, parent_bin long, count double, noisy double, p double, cum_lo double, "
+                "parent string, parent_bin long, noisy double, p double, cum_lo double, "
                 "cum_hi double, integral boolean, n_train long")
 
 
@@ -152,6 +165,7 @@ def _finish_local(model: DataFrame, group=("column",)) -> DataFrame:
     for r in rows:
         groups.setdefault(tuple(r[g] for g in group), []).append(r.asDict())
     out = []
+    total = math.floor(sum(r["noisy"] for _, rs in sorted(groups.items(), key=str) for r in rs) / max(len(groups), 1) + 0.5)
     for _, rs in sorted(groups.items(), key=lambda kv: tuple(str(x) for x in kv[0])):
         rs.sort(key=lambda r: r["bin"])
         tot = 0.0
@@ -159,6 +173,7 @@ def _finish_local(model: DataFrame, group=("column",)) -> DataFrame:
             tot += r["noisy"]
         run = 0.0
         for i, r in enumerate(rs):
+            r["n_train"] = total if r["n_train"] is None else r["n_train"]
             r["p"] = r["noisy"] / tot if tot > 0 else 1.0 / len(rs)
             r["cum_lo"] = run
             run += r["p"]
@@ -168,16 +183,6 @@ def _finish_local(model: DataFrame, group=("column",)) -> DataFrame:
     return model.sparkSession.createDataFrame([tuple(r.get(c) for c in cols) for r in out], MODEL_SCHEMA)
 
 
-def _store(model: DataFrame) -> DataFrame:
-    """A fitted model is small (columns x bins, size-checked) and read by every
-    generation: materialise it once as a local table, so generating never
-    re-runs the fit and the model has no lineage to recompute."""
-    rows = model.limit(MODEL_MAX_ROWS + 1).collect()
-    if len(rows) > MODEL_MAX_ROWS:
-        raise ValueError("model table too large; reduce bins or categories")
-    return model.sparkSession.createDataFrame(rows, model.schema)
-
-
 def bound_contribution(df: DataFrame, unit: str, cap: int, seed=0, id_col: str = "row_id") -> DataFrame:
     """Keep at most ``cap`` rows per unit (chosen by a seeded draw); a unit
     holding a third of the table is split by the salted top-k."""
@@ -226,6 +231,10 @@ def generate(model: DataFrame, count: int | None = None, seed=0, attempt=0,
     if count is None:
         count = int(rows[0]["n_train"])
     if cond is not None:
+        roots = {r["column"] for r in rows if r["parent"] is None}
+        fixed = [c for c in cond.columns if c in {r["column"] for r in rows}]
+        if not any(r["parent"] is not None for r in rows) or not fixed or not set(fixed) <= roots:
+            raise ValueError("a condition needs a model fitted with that column as its condition")
         ids = cond
         if ids.count() != count:
             raise ValueError("condition length must equal count")
@@ -371,12 +380,11 @@ def chow_liu_tree(mi_rows: list, cols: list, root: str | None = None) -> dict:
 
 
 def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None, n_bins: int = N_BINS,
-              cond: str | None = None, max_clusters: int = 10, family: str = "modes",
-              with_modes: bool = False) -> DataFrame:
+              cond: str | None = None, family: str = "modes") -> DataFrame:
     """Tree of conditional tables. Pair MI picks the tree (root = ``cond``
     when conditional generation is wanted); the root keeps its marginal, every
-    child a table per parent bin. ``with_modes`` also fits a Gaussian mixture
-    per numeric column (see ``value_modes``); it does not change generation."""
+    child a table per parent bin. The tree itself is chosen from exact pair
+    counts, so epsilon covers the tables but not the choice of the tree."""
     cols = list(cols or feature_columns(df))
     seed = fresh_seed() if seed is None else seed
     mi = pair_mutual_information(df, cols, n_bins).collect()
@@ -392,8 +400,10 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
     pc = (wide.select(rec.alias("r")).select("r.*").groupBy("column", "parent", "parent_bin", "bin")
           .agg(F.count(F.lit(1)).alias("count")))
     marg = base.select("column", "kind", "bin", "bin_lo", "bin_hi", "integral", "n_train")
-    # Every child bin appears under every observed parent bin (zero counts get noise too).
-    grid = (pc.select("column", "parent", "parent_bin").distinct()
+    # Every child bin appears under every bin the parent's table can draw, also
+    # those without a real row (zero counts get noise too).
+    tree = df.sparkSession.createDataFrame(children, "column string, parent string")
+    grid = (tree.join(marg.select(F.col("column").alias("parent"), F.col("bin").alias("parent_bin")), "parent")
             .join(marg.select("column", "bin"), "column"))
     cnt = grid.join(pc, ["column", "parent", "parent_bin", "bin"], "left").withColumn(
         "count", F.coalesce("count", F.lit(0)).cast("double"))
@@ -402,11 +412,12 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
     cnt = cnt.withColumn("noisy", noise("laplace", F.col("count"), scale, seed, key))
     cond_t = cnt.join(marg, ["column", "bin"]).select(
         F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi", "parent",
-        F.col("parent_bin").cast("long").alias("parent_bin"), "count", "noisy", "integral", "n_train")
+        F.col("parent_bin").cast("long").alias("parent_bin"), "noisy", "integral", "n_train")
     cond_t = _finish_local(cond_t, ("column", "parent_bin"))
     out_roots = base.filter(F.col("column").isin(roots)) if roots else base.limit(0)
     model = out_roots.select(*MODEL_COLUMNS).unionByName(cond_t.select(*MODEL_COLUMNS))
-    return _store(model)
+    # Read by every generation: kept as a local table without lineage.
+    return _local(model, "model table too large; reduce bins or categories")
 
 
 def value_modes(df: DataFrame, col: str, max_clusters: int = 10, seed: int = 3) -> DataFrame:
@@ -452,9 +463,9 @@ def adjust_marginals(syn: DataFrame, real: DataFrame, col: str, seed=0, n_bins:
     pr = real.select(b.alias("_bin")).groupBy("_bin").agg(F.count(F.lit(1)).alias("nr"))
     ps = syn.select(b.alias("_bin")).groupBy("_bin").agg(F.count(F.lit(1)).alias("ns"))
     tr, ts = real.count(), syn.count()
-    w = (pr.join(ps, "_bin").select("_bin", ((F.col("nr") / F.lit(float(tr))) / (F.col("ns") / F.lit(float(ts)))).alias("_w")))
+    w = (pr.join(ps.withColumnRenamed("_bin", "_sb"), F.col("_bin").eqNullSafe(F.col("_sb"))).select(F.col("_bin").alias("_wb"), ((F.col("nr") / F.lit(float(tr))) / (F.col("ns") / F.lit(float(ts)))).alias("_w")))
     ranked = ordered_index(syn.withColumn("_bin", b), [id_col], group_cols=["_bin"], name="_r")
-    j = ranked.join(F.broadcast(w), "_bin")  # one row per bin
+    j = ranked.join(F.broadcast(w), F.col("_bin").eqNullSafe(F.col("_wb"))).drop("_wb")  # one row per bin; null is a bin
     off = draw(seed, "offset", F.concat_ws("|", F.lit(col), F.col("_bin").cast("string")))
     copies = (F.floor(F.col("_w") * (F.col("_r") + 1) + off) - F.floor(F.col("_w") * F.col("_r") + off)).cast("int")
     out = j.withColumn("_copies", copies).filter(F.col("_copies") > 0)
@@ -482,7 +493,7 @@ def ads_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, **kw) ->
 
 
 def ads_generate(model: DataFrame, real: DataFrame, count: int, seed=0, weight: float = 0.1,
-                 patience: int = 20, cols=None) -> DataFrame:
+                 patience: int = 500, cols=None) -> DataFrame:
     def batch(i, n):
         g = generate(model, n, seed, attempt=i)
         return guard_identifiable(g, real, cols or [c for c in g.columns if c != "row_id"], weight)
@@ -500,13 +511,13 @@ def _first_copies(acc: DataFrame, id_col: str) -> DataFrame:
 def accumulate(make_batch, count: int, patience: int = 500, strict_dedupe: bool = False,
                id_col: str = "row_id") -> DataFrame:
     """Append accepted batches until ``count`` rows exist (at most
-    ``patience`` batches). Batch i is ``make_batch(i, n)``; each batch is
-    materialised once (checkpoint), rows keep a (batch, row) order and are
-    renumbered; only a short result asks for another batch."""
+    ``patience`` batches). Batch i is ``make_batch(i, count)``: always a whole
+    draw, so a low acceptance rate never ends in one-row batches; each batch is
+    materialised once, rows keep a (batch, row) order and are renumbered."""
     from mirage.session import cut_lineage
     parts, i, got = [], 0, 0
     while got < count and i < patience:
-        parts.append(cut_lineage(make_batch(i, max(count - got, 1)).withColumn("_batch", F.lit(i))))
+        parts.append(cut_lineage(make_batch(i, count).withColumn("_batch", F.lit(i))))
         acc = reduce(DataFrame.unionByName, parts)
         if strict_dedupe:
             acc = _first_copies(acc, id_col)
@@ -520,7 +531,7 @@ def accumulate(make_batch, count: int, patience: int = 500, strict_dedupe: bool
 
 
 def generate_constrained(model: DataFrame, count: int, rules: DataFrame, seed=0, strict: bool = True,
-                         patience: int = 20) -> DataFrame:
+                         patience: int = 500) -> DataFrame:
     """Generated rows filtered by rules; strict also dedupes and raises when short."""
     def batch(i, n):
         return match_constraints(generate(model, n, seed, attempt=i), rules)
@@ -552,15 +563,16 @@ def log_frequency_sample(df: DataFrame, discrete_columns, count: int, seed=0, id
     # Cumulative shares with the distributed prefix sum: a column may have
     # millions of categories, so no window over a whole column.
     pmf = prefix_sum(cats, ["category"], "p", group_cols=["column"], name="cum_lo")
-    pmf = pmf.withColumn("cum_hi", F.when(F.col("category") == F.col("_last"), F.lit(1.0)).otherwise(F.col("cum_lo_hi")))
+    pmf = pmf.withColumn("cum_hi", F.when(F.col("category").eqNullSafe(F.col("_last")), F.lit(1.0)).otherwise(F.col("cum_lo_hi")))
     colnames = F.array(*[F.lit(c) for c in discrete_columns])
     s = spark.range(count).withColumnRenamed("id", "sample_id")
     s = s.withColumn("column", F.element_at(colnames, (F.floor(draw(seed, "col", F.col("sample_id")) * F.lit(m)) + 1).cast("int")))
     s = s.withColumn("_u", draw(seed, "cat", F.col("sample_id"))).withColumn("_w", draw(seed, "row", F.col("sample_id")))
     pick = interval_lookup(s, pmf, ["column"], "_u", "cum_lo", "cum_hi")
     pick = pick.withColumn("_rank", F.floor(F.col("_w") * F.col("size")).cast("long"))
-    ranked = ordered_index(long, [id_col], group_cols=["column", "category"], name="_rank")
-    out = pick.join(ranked, ["column", "category", "_rank"])
+    ranked = ordered_index(long, [id_col], group_cols=["column", "category"], name="_r")
+    ranked = ranked.withColumnsRenamed({"column": "_c", "category": "_k"})
+    out = pick.join(ranked, (F.col("column") == F.col("_c")) & F.col("category").eqNullSafe(F.col("_k")) & (F.col("_rank") == F.col("_r")))
     return out.select("sample_id", "column", "category", id_col)
 
 

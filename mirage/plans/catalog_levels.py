@@ -222,9 +222,9 @@ t AS (SELECT b.request_id, d.p_req, d.privacy AS p_val, d.u_req, d.utility AS u_
       FROM best b JOIN diffs d ON b.request_id = d.request_id AND b.level = d.level),
 f AS (SELECT *, p_req IS NOT NULL AS hp, u_req IS NOT NULL AS hu,
              abs(p_val - p_req) <= tol AS p_ok, abs(u_val - u_req) <= tol AS u_ok,
-             NOT (p_val < p_req + tol) AS p_short, NOT (u_val > u_req - tol) AS u_short,
+             p_val > p_req AS p_short, p_val < p_req AS p_over, u_val < u_req AS u_short, u_val > u_req AS u_over,
              abs(p_val - p_req) AS ap, abs(u_req - u_val) AS au FROM t),
-g AS (SELECT *, NOT p_short AND NOT p_ok AS p_over, NOT u_short AND NOT u_ok AS u_over FROM f)
+g AS (SELECT * FROM f)
 SELECT request_id,
   CASE WHEN hp AND hu AND p_ok AND u_ok THEN 'done' WHEN hp AND hu AND p_short AND u_over THEN 'down'
        WHEN hp AND hu AND p_over AND u_short THEN 'up' WHEN hp AND hu THEN 'restart'

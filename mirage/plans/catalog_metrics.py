@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mirage.functions.draws import draw
+from mirage.operators import distance as D
 from mirage.operators import metrics as M
 from mirage.plans import registry as REG
-from mirage.plans.catalog import (CUST_ENC, FEATS, ROLE_SEED, T, cust_enc, cust_roles, dist_sql, dsql, freqs_sql,
+from mirage.plans.catalog import (CUST_ENC, FEATS, ROLE_SEED, T, roles, cust_enc, cust_roles, dist_sql, dsql, freqs_sql,
                                   query, roles_sql, rounded)
 
 BASE = f"{CUST_ENC}, {roles_sql()}"
@@ -59,12 +60,11 @@ def metric_ident_oc(spark, d):
     return rounded(M.identifiability_oc(real, syn, FEATS))
 
 
-def _so_sql(syn: str, target: str, prefix: str) -> str:
-    key = "md5(concat_ws('|', column, op, coalesce(CAST(TRY_CAST(round(v * 1000000.0) AS BIGINT) AS VARCHAR), 'null')))"
-    return f"""{prefix}_sl AS (SELECT 'c_nationkey' AS column, CAST(c_nationkey AS DOUBLE) AS v FROM {syn}
-    UNION ALL SELECT 'c_acctbal', c_acctbal FROM {syn} UNION ALL SELECT 'c_mktsegment', CAST(c_mktsegment AS DOUBLE) FROM {syn}),
-{prefix}_tl AS (SELECT 'c_nationkey' AS column, CAST(c_nationkey AS DOUBLE) AS v FROM {target}
-    UNION ALL SELECT 'c_acctbal', c_acctbal FROM {target} UNION ALL SELECT 'c_mktsegment', CAST(c_mktsegment AS DOUBLE) FROM {target}),
+def _so_sql(syn: str, target: str, prefix: str, cols=("c_nationkey", "c_acctbal", "c_mktsegment")) -> str:
+    def long_form(src):
+        return " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({c} AS DOUBLE) AS v FROM {src}" for c in cols)
+    key = "md5(concat_ws('|', column, op, coalesce(CAST(TRY_CAST(round(v * 1000000.0) AS BIGINT) AS VARCHAR), 'w' || CAST(TRY_CAST(round(v) AS HUGEINT) AS VARCHAR), 'null')))"
+    return f"""{prefix}_sl AS ({long_form(syn)}), {prefix}_tl AS ({long_form(target)}),
 {prefix}_p AS (
   SELECT column, 'eq' AS op, v FROM {prefix}_sl WHERE v IS NOT NULL GROUP BY column, v HAVING count(*) = 1
   UNION ALL SELECT column, 'le', min(v) FROM {prefix}_sl GROUP BY column HAVING min(v) IS NOT NULL
@@ -85,6 +85,40 @@ def metric_singling_out(spark, d):
     return rounded(M.singling_out(real, syn, FEATS))
 
 
+_STAMPED = f"""o AS (SELECT o_orderkey AS row_id, epoch_us(o_orderdate) + o_orderkey * 1000003 AS stamp, o_totalprice FROM orders),
+real AS (SELECT * FROM o WHERE {dsql(ROLE_SEED, 'role', 'row_id')} < 0.5), syn AS (SELECT * FROM o WHERE {dsql(ROLE_SEED, 'role', 'row_id')} >= 0.5)"""
+
+
+@query("singling_out_timestamp", f"""WITH {_STAMPED}, {_so_sql('syn', 'real', 'so', ('stamp', 'o_totalprice'))}
+SELECT column, op, count(*) AS n FROM so_a GROUP BY column, op""")
+def singling_out_timestamp(spark, d):
+    """Which predicates the attacks test on a table with a microsecond stamp."""
+    o = T(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), (
+        F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") * 1000003).alias("stamp"), "o_totalprice")
+    _, syn = roles(o)
+    return M.singling_out_attacks(syn, ["stamp", "o_totalprice"]).groupBy("column", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("distance_nearest_nulls", f"""WITH {CUST_ENC}, {roles_sql()},
+a AS (SELECT row_id, CASE WHEN row_id % 13 = 0 THEN NULL ELSE c_acctbal END AS x, c_nationkey AS y FROM real),
+b AS (SELECT row_id, CASE WHEN row_id % 11 = 0 THEN NULL ELSE c_acctbal END AS x, c_nationkey AS y FROM syn)
+SELECT path, a.row_id, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS dist
+FROM a, b, (SELECT unnest(['broadcast', 'blocked']) AS path) GROUP BY path, a.row_id""")
+def distance_nearest_nulls(spark, d):
+    """Both paths with nulls on both sides."""
+    real, syn = cust_roles(spark, d)
+    a = real.select("row_id", F.when(F.col("row_id") % 13 != 0, F.col("c_acctbal")).alias("x"), F.col("c_nationkey").alias("y"))
+    b = syn.select("row_id", F.when(F.col("row_id") % 11 != 0, F.col("c_acctbal")).alias("x"), F.col("c_nationkey").alias("y"))
+    outs = []
+    for path, limit in (("broadcast", "67108864"), ("blocked", "1000")):
+        spark.conf.set("mirage.distance.broadcastBytes", limit)
+        try:
+            outs.append(D.nearest_distance(a, b, ["x", "y"]).select(F.lit(path).alias("path"), "row_id", "dist"))
+        finally:
+            spark.conf.unset("mirage.distance.broadcastBytes")
+    return rounded(outs[0].unionByName(outs[1]))
+
+
 def _three(spark, d):
     c = cust_enc(spark, d)
     u = draw(ROLE_SEED, "role", F.col("row_id"))

@@ -76,7 +76,7 @@ def gen_sql(model: str, n: int | str, seed: int, cols, attempt="0", prefix: str
     return f"{ids}, " + ", ".join(parts) + f", {prefix}_t AS (SELECT {prefix}_ids.row_id, {sel} FROM {prefix}_ids {joins})"
 
 
-_MODEL_COLS = ["column", "kind", "bin", "bin_lo", "bin_hi", "count", "noisy", "p", "cum_lo", "cum_hi", "integral"]
+_MODEL_COLS = ["column", "kind", "bin", "bin_lo", "bin_hi", "noisy", "p", "cum_lo", "cum_hi", "integral"]
 _R = ", ".join(f"round({c}, 6) AS {c}" if c not in ("column", "kind", "bin", "integral") else c for c in _MODEL_COLS)
 
 
@@ -114,7 +114,7 @@ def generate_q(spark, d):
     return rounded(Y.generate(Y.dp_fit(real, 2.0, SEED, FEATS), 1000, SEED))
 
 
-def flagship_sql(n_rows_sql: str = "(SELECT count(*) FROM cust_enc)") -> str:
+def flagship_sql(n_rows_sql: str = "(SELECT floor(sum(noisy) / count(DISTINCT column) + 0.5)::BIGINT FROM m_model)") -> str:
     return f"""WITH {CUST_ENC}, {dp_sql('cust_enc', FEATS, 2.0, SEED)},
 {gen_sql('m_model', n_rows_sql, SEED, FEATS)}, real AS (SELECT * FROM cust_enc), syn AS (SELECT * FROM g_t),
 {freqs_sql('real', 'syn', FEATS, prefix='k')},
@@ -207,14 +207,15 @@ def ads_generate(spark, d):
     return rounded(Y.ads_generate(model, real, 500, SEED, weight=0.5, cols=FEATS))
 
 
-@query("log_frequency_sample", f"""WITH
-l AS (SELECT p_partkey AS row_id, 'p_brand' AS column, p_brand AS category FROM part
+def _log_frequency_sql(brand: str) -> str:
+    return f"""WITH
+l AS (SELECT p_partkey AS row_id, 'p_brand' AS column, {brand} AS category FROM part
       UNION ALL SELECT p_partkey, 'p_type', p_type FROM part),
 cats AS (SELECT column, category, count(*) AS size FROM l GROUP BY column, category),
 pm AS (SELECT *, ln(1 + size) / sum(ln(1 + size)) OVER (PARTITION BY column) AS p FROM cats),
-cm AS (SELECT *, sum(p) OVER (PARTITION BY column ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ch,
-              row_number() OVER (PARTITION BY column ORDER BY category DESC) AS rl FROM pm),
-pmf AS (SELECT column, category, size, coalesce(lag(ch) OVER (PARTITION BY column ORDER BY category), 0.0) AS cum_lo,
+cm AS (SELECT *, sum(p) OVER (PARTITION BY column ORDER BY category NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ch,
+              row_number() OVER (PARTITION BY column ORDER BY category DESC NULLS LAST) AS rl FROM pm),
+pmf AS (SELECT column, category, size, coalesce(lag(ch) OVER (PARTITION BY column ORDER BY category NULLS FIRST), 0.0) AS cum_lo,
                CASE WHEN rl = 1 THEN 1.0 ELSE ch END AS cum_hi FROM cm),
 s AS (SELECT range AS sample_id,
         CASE WHEN CAST(floor({dsql(SEED, 'col', 'range')} * 2) AS INTEGER) = 0 THEN 'p_brand' ELSE 'p_type' END AS column,
@@ -223,12 +224,23 @@ pick AS (SELECT s.sample_id, s.column, pmf.category, CAST(floor(s.w * pmf.size)
          FROM s JOIN pmf ON s.column = pmf.column AND s.u >= pmf.cum_lo AND s.u < pmf.cum_hi),
 rl AS (SELECT *, row_number() OVER (PARTITION BY column, category ORDER BY row_id) - 1 AS rk FROM l)
 SELECT pick.sample_id, pick.column, pick.category, rl.row_id FROM pick JOIN rl
-  ON pick.column = rl.column AND pick.category = rl.category AND pick.rk = rl.rk""")
+  ON pick.column = rl.column AND pick.category IS NOT DISTINCT FROM rl.category AND pick.rk = rl.rk"""
+
+
+@query("log_frequency_sample", _log_frequency_sql("p_brand"))
 def log_frequency_sample(spark, d):
     part = T(spark, d, "part").withColumnRenamed("p_partkey", "row_id")
     return Y.log_frequency_sample(part, ["p_brand", "p_type"], 1000, SEED)
 
 
+@query("log_frequency_sample_nulls", _log_frequency_sql("CASE WHEN p_size >= 10 THEN p_brand END"))
+def log_frequency_sample_nulls(spark, d):
+    """Null is a category: no sample is lost."""
+    part = T(spark, d, "part").withColumnRenamed("p_partkey", "row_id")
+    part = part.withColumn("p_brand", F.when(F.col("p_size") >= 10, F.col("p_brand")))
+    return Y.log_frequency_sample(part, ["p_brand", "p_type"], 1000, SEED)
+
+
 def _rules(spark):
     from mirage.operators.prep import RULE_SCHEMA
     return spark.createDataFrame([("c_acctbal", "gt", None, 0.0), ("c_nationkey", "lt", None, 20.0)], RULE_SCHEMA)

@@ -186,10 +186,11 @@ def epsilon_sweep(real: DataFrame, epsilons, size: int = 1000, seed=0, cols=None
     cols = list(cols or feature_columns(real))
     base = Y.dp_fit(real.select("row_id", *cols), None, seed, cols, n_bins=n_bins)
     eps = F.explode(F.array(*[F.lit(float(e)) for e in epsilons]))
-    cand = base.withColumn("epsilon", eps)
+    # A working table inside the search: fitted without noise, never stored.
+    cand = base.withColumnRenamed("noisy", "exact").withColumn("epsilon", eps)
     key = F.concat_ws("|", F.col("column"), F.col("bin").cast("string"))
     scale = F.lit(float(len(cols))) / F.col("epsilon")
-    cand = cand.withColumn("noisy", Y.noise("laplace", F.col("count"), scale, seed, key))
+    cand = cand.withColumn("noisy", Y.noise("laplace", F.col("exact"), scale, seed, key))
     cand = Y._finish(cand, group=("epsilon", "column"))
     ids = real.sparkSession.range(size).withColumnRenamed("id", "row_id").withColumn("epsilon", eps)
     long = ids.select("row_id", "epsilon", F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))

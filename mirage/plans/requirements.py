@@ -146,10 +146,12 @@ def epsilon_direction(df: DataFrame) -> DataFrame:
     has_p, has_u = F.col("p_req").isNotNull(), F.col("u_req").isNotNull()
     p_ok = (F.abs(F.col("p_val") - F.col("p_req")) <= F.col("tol"))
     u_ok = (F.abs(F.col("u_val") - F.col("u_req")) <= F.col("tol"))
-    p_short = ~at_least(F.col("p_req"), F.col("p_val"), F.col("tol"), F.col("p_dir"))
-    u_short = ~at_least(F.col("u_req"), F.col("u_val"), F.col("tol"), F.col("u_dir"))
-    p_over = ~p_short & ~p_ok
-    u_over = ~u_short & ~u_ok
+    # Short and over compare with the plain value; the tolerance only ends the search.
+    def side(s):
+        up, val, req = F.col(f"{s}_dir") == 1, F.col(f"{s}_val"), F.col(f"{s}_req")
+        return F.when(up, val < req).otherwise(val > req), F.when(up, val > req).otherwise(val < req)
+    p_short, p_over = side("p")
+    u_short, u_over = side("u")
     ap = F.abs(amount_expr(F.col("p_req"), F.col("p_val"), F.col("p_lo"), F.col("p_hi"), F.col("p_dir")))
     au = F.abs(amount_expr(F.col("u_req"), F.col("u_val"), F.col("u_lo"), F.col("u_hi"), F.col("u_dir")))
     both = has_p & has_u
