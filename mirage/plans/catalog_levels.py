@@ -445,17 +445,39 @@ chosen AS (SELECT request_id, arg_min(level, (created, attempt)) AS level, arg_m
            FROM ok WHERE ok GROUP BY request_id)"""
 
 
-@query("serve", f"""WITH {_serve_sql()}
+_SERVE_SQL = f"""WITH {_serve_sql()}
 SELECT request_id, level, attempt, 'served' AS status FROM chosen
 UNION ALL SELECT request_id, NULL, NULL, CASE WHEN privacy_metric IS NOT NULL OR utility_metric IS NOT NULL THEN 'pending' ELSE 'rejected' END
-FROM requests WHERE request_id NOT IN (SELECT request_id FROM chosen)""")
+FROM requests WHERE request_id NOT IN (SELECT request_id FROM chosen)"""
+
+
+@query("serve", _SERVE_SQL)
 def serve(spark, d):
     real, _ = cust_roles(spark, d)
     models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in _SERVE_EPS.items()}
     return L.serve(real, _serve_requests(spark, d), _serve_levels(spark), models, None, 10, SEED, FEATS)
 
 
-@query("serve_stream")
+@query("serve_rows", f"""WITH {_serve_sql()},
+seg AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT c_mktsegment AS v FROM customer))
+SELECT c.request_id, c.level, c.attempt, g.row_id, CAST(round(g.c_nationkey) AS INTEGER) AS c_nationkey, round(g.c_acctbal, 6) AS c_acctbal,
+  seg.v AS c_mktsegment
+FROM chosen c JOIN need n ON c.request_id = n.request_id AND c.level = n.level
+JOIN gt_t g ON g.level = c.level AND g.attempt = c.attempt AND g.size = n.size
+JOIN seg ON seg.code = least(greatest(round(g.c_mktsegment), 0), (SELECT max(code) FROM seg))""")
+def serve_rows(spark, d):
+    """The decoded rows each served request gets; winners go to the cache."""
+    from mirage.operators.prep import encode
+    from mirage.plans.catalog import cust_raw, roles
+    enc, encoding = encode(cust_raw(spark, d))
+    real, _ = roles(enc)
+    models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in _SERVE_EPS.items()}
+    store = Store(spark, scratch(spark, "store"))
+    rows = L.serve_rows(real, _serve_requests(spark, d), _serve_levels(spark), models, store, 10, SEED, FEATS, encoding)
+    return rounded(rows.select("request_id", "level", "attempt", "row_id", *FEATS))
+
+
+@query("serve_stream", _SERVE_SQL)
 def serve_stream(spark, d):
     from mirage.streaming.serve import serve_stream as run
     real, _ = cust_roles(spark, d)

@@ -37,7 +37,14 @@ def tagged_ids(spark: SparkSession, sizes, attempts, id_col: str = "row_id") ->
 
 
 def generate_tagged(model: DataFrame, sizes, attempts, seed, id_col: str = "row_id") -> DataFrame:
-    """One DataFrame holding a synthetic table per (size, attempt)."""
+    """One DataFrame holding a synthetic table per (size, attempt). A model of a
+    family registered with its own generator (E2) is drawn by that generator."""
+    family = model.first()["family"] if "family" in model.columns else None  # a local table
+    own = REG.generator_of(family)
+    if own is not Y.generate:
+        parts = [own(model, int(s), seed, a).withColumns({"size": F.lit(int(s)), "attempt": F.lit(a)})
+                 for s in sorted({int(s) for s in sizes}) for a in attempts]  # a few tags
+        return reduce(DataFrame.unionByName, parts)
     ids = tagged_ids(model.sparkSession, sizes, attempts, id_col)
     return Y.generate(model, seed=seed, attempt="_att", ids=ids).drop("_att")
 
@@ -127,57 +134,86 @@ def level_meets(real: DataFrame, model: DataFrame, requests: DataFrame, size: in
     return ok.groupBy("request_id").agg(F.bool_or("ok").alias("ok"))
 
 
-def serve(real: DataFrame, requests: DataFrame, levels: DataFrame, models: dict, store=None,
-          attempts: int = ATTEMPTS, seed=0, cols=None) -> DataFrame:
-    """Match requests to levels (J6); a level with cached rows offers a
-    sample of them (its generator is not tried), otherwise up to ``attempts``
-    fresh draws; every candidate table is scored once per (level, size, attempt)
-    however many requests share it; the first satisfying candidate in level,
-    then attempt order serves the request (W6). Unserved requests are
-    ``pending``. Returns (request_id, level, attempt, status)."""
-    spark = real.sparkSession
-    cols = cols or feature_columns(real)
+def _serve_candidates(real, requests, levels, models, store, attempts, seed, cols):
+    """(valid requests, matches with their size, candidate tables). Both tables
+    are written once: scores, counts and served rows all read them."""
+    from mirage.operators.prep import sample_rows
+    from mirage.session import cut_lineage
     valid = validate_request(requests)
-    matches = find_levels(valid, levels)
-    need = matches.join(valid.select("request_id", "size"), "request_id")
-    combos = need.select("level", "size").distinct().collect()  # levels x distinct sizes: small
-    cached = set()
-    if store is not None:
-        cached = {r["level"] for r in store.cached_levels().collect()}
+    need = cut_lineage(find_levels(valid, levels).join(valid.select("request_id", "size"), "request_id"))
+    combos = need.select("level", "size").distinct().collect()  # levels x distinct sizes
+    cached = {r["level"] for r in store.cached_levels().collect()} if store is not None else set()
     parts = []
     for lv in sorted({r["level"] for r in combos}):
         sizes = sorted({int(r["size"]) for r in combos if r["level"] == lv})
         if lv in cached:
-            from mirage.operators.prep import sample_rows
             cache = store.cache_get(lv)
             n = cache.count()
-            for s in sizes:
-                if s > n:
-                    continue  # a cache smaller than the request is skipped (D10)
-                smp = sample_rows(cache, s, seed, check=False)
-                parts.append(smp.select("row_id", F.lit(s).alias("size"), F.lit(-1).alias("attempt"), *cols)
-                             .withColumn("level", F.lit(lv)))
+            # a cache smaller than the request is skipped
+            parts += [sample_rows(cache, s, seed, check=False).select(
+                "row_id", F.lit(s).alias("size"), F.lit(-1).alias("attempt"), *cols, F.lit(lv).alias("level")) for s in sizes if s <= n]
         elif lv in models:
             g = generate_tagged(models[lv], sizes, range(attempts), seed)
-            parts.append(g.select("row_id", "size", "attempt", *cols).withColumn("level", F.lit(lv)))
+            parts.append(g.select("row_id", "size", "attempt", *cols, F.lit(lv).alias("level")))
+    return valid, need, cut_lineage(reduce(DataFrame.unionByName, parts)) if parts else None
+
+
+def _serve_choice(real, valid, need, cands, levels, cols):
+    """(request_id, level, attempt, status): the first satisfying candidate per
+    request, the others pending or rejected."""
     pending_all = valid.select("request_id", F.lit(None).cast("string").alias("level"),
                                F.lit(None).cast("int").alias("attempt"),
                                F.when(F.col("status") == "valid", F.lit("pending")).otherwise(F.lit("rejected")).alias("status"))
-    if not parts:
+    if cands is None:
         return pending_all
-    cands = reduce(DataFrame.unionByName, parts)
     names = [r[0] for r in valid.select(F.explode(F.array("privacy_metric", "utility_metric"))).distinct().collect()
              if r[0] is not None]
     res = score_tagged(real, cands, names, ["level", "size", "attempt"], cols)
     order = levels.groupBy("level").agg(F.min("created").alias("level_pos"))
-    # res: one row per (level, size, attempt, metric) - bounded by the combos above.
-    per_req = (need.join(F.broadcast(res), ["level", "size"]).join(F.broadcast(order), "level"))
+    per_req = need.join(res, ["level", "size"]).join(order, "level")
     ok = evaluate_request(per_req, valid, keys=("request_id", "level", "level_pos", "attempt"))
     chosen = first_satisfying(ok).select("request_id", "level", "attempt", F.lit("served").alias("status"))
     rest = pending_all.join(chosen.select("request_id"), "request_id", "left_anti")
     return chosen.unionByName(rest)
 
 
+def serve(real: DataFrame, requests: DataFrame, levels: DataFrame, models: dict, store=None,
+          attempts: int = ATTEMPTS, seed=0, cols=None) -> DataFrame:
+    """Match requests to levels (J6); a level with cached rows offers a
+    sample of them (its generator is not tried), otherwise up to ``attempts``
+    fresh draws; every candidate table is scored once per (level, size, attempt)
+    however many requests share it; the first satisfying candidate in level,
+    then attempt order serves the request (W6). Unserved requests are
+    ``pending``. Returns (request_id, level, attempt, status)."""
+    cols = cols or feature_columns(real)
+    valid, need, cands = _serve_candidates(real, requests, levels, models, store, attempts, seed, cols)
+    return _serve_choice(real, valid, need, cands, levels, cols)
+
+
+def serve_rows(real: DataFrame, requests: DataFrame, levels: DataFrame, models: dict, store=None,
+               attempts: int = ATTEMPTS, seed=0, cols=None, encoding=None) -> DataFrame:
+    """R11 with the data: the rows of the winning table of every served request
+    (request_id, level, attempt, row_id, features), decoded by ``encoding``. The
+    largest winning draw of a level (its first attempt) is cached in ``store``."""
+    from mirage.session import cut_lineage
+    from mirage.sources.io import deliver
+    cols = list(cols or feature_columns(real))
+    valid, need, cands = _serve_candidates(real, requests, levels, models, store, attempts, seed, cols)
+    chosen = cut_lineage(_serve_choice(real, valid, need, cands, levels, cols).filter("status = 'served'").drop("status")
+                         .join(need, ["request_id", "level"]))
+    if cands is None:
+        return deliver(real.limit(0).select(F.lit(0).alias("request_id"), F.lit("").alias("level"), F.lit(0).alias("attempt"),
+                                            "row_id", *cols), encoding)
+    if store is not None:
+        drawn = chosen.filter("attempt >= 0").groupBy("level").agg(
+            F.min(F.struct((-F.col("size")).alias("s"), "attempt")).alias("w")).select("level", (-F.col("w.s")).alias("size"), "w.attempt")
+        for r in drawn.collect():  # one row per level
+            win = (F.col("level") == r["level"]) & (F.col("size") == r["size"]) & (F.col("attempt") == r["attempt"])
+            store.cache_put(r["level"], cands.filter(win).select("row_id", *cols))
+    rows = chosen.join(cands, ["level", "size", "attempt"]).select("request_id", "level", "attempt", "row_id", *cols)
+    return deliver(rows, encoding)
+
+
 def epsilon_sweep(real: DataFrame, epsilons, size: int = 1000, seed=0, cols=None,
                   metrics=("nearestneighbordistance", "inversekldivergence"), n_bins: int = Y.N_BINS) -> DataFrame:
     """R8 sweep form: counts once, noise for every candidate epsilon (an exploded
@@ -199,7 +235,9 @@ def epsilon_sweep(real: DataFrame, epsilons, size: int = 1000, seed=0, cols=None
     picked = Y.interval_lookup(long, cand, ["epsilon", "column"], "_u", "cum_lo", "cum_hi")
     val = F.when(F.col("kind") == "cat", F.col("bin_lo")).otherwise(F.col("bin_lo") + F.col("_w") * (F.col("bin_hi") - F.col("bin_lo")))
     val = F.when(F.col("integral") & (F.col("kind") != "cat"), F.floor(val).cast("double")).otherwise(val)
+    from mirage.session import cut_lineage
     wide = picked.withColumn("_val", val).groupBy("epsilon", "row_id").pivot("column", cols).agg(F.first("_val"))
+    wide = cut_lineage(wide)  # every metric reads it
     return score_tagged(real, wide, list(metrics), ["epsilon"], cols)
 
 

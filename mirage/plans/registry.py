@@ -101,6 +101,11 @@ def synthesizer(name: str) -> tuple:
     return _SYNTHS[name]
 
 
+def generator_of(family: str | None) -> Callable:
+    """The generator registered for a family; the built-in one for others."""
+    return _SYNTHS[family][1] if family in _SYNTHS else Y.generate
+
+
 def register_technique(name: str, increase_privacy: Callable, increase_utility: Callable) -> None:
     """Merge technique operating on DataFrames."""
     _TECHNIQUES[name] = (increase_privacy, increase_utility)

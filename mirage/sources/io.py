@@ -49,15 +49,14 @@ def sensitive_columns(df: DataFrame) -> list:
 class Store:
     """Model store, synthetic cache and level table under one root folder.
 
-    The root must be shared storage on a cluster (the default is a folder
-    under ``spark.checkpoint.dir``). Models are partitioned by (family, level),
+    The root must be shared storage on a cluster, and permanent: no checkpoint
+    or scratch folder outside tests. Models are partitioned by (family, level),
     the cache by level, so reads prune partitions instead of listing files.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        from mirage.session import checkpoint_dir
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root or os.path.join(checkpoint_dir(spark), "mirage-store")
+        self.root = root
         self.models = os.path.join(self.root, "models")
         self.cache = os.path.join(self.root, "synthetic")
         self.levels = os.path.join(self.root, "levels")
@@ -128,19 +127,16 @@ class Store:
         if self._exists(self.levels):
             kept = cut_lineage(self.read_levels().filter(F.col("level") != name))
             kept.write.mode("overwrite").parquet(self.levels)
+        # The files of the level, found by its column value: folder names are
+        # escaped by the writer, so they are never built from the name.
+        jvm = self.spark._jvm
         for path in (self.models, self.cache):
-            if self._exists(path):
-                jvm = self.spark._jvm
-                for fam in ([""] if path == self.cache else self._families()):
-                    sub = os.path.join(path, f"family={fam}" if fam else "", f"level={name}")
-                    p = jvm.org.apache.hadoop.fs.Path(sub)
-                    fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-                    if fs.exists(p):
-                        fs.delete(p, True)
-
-    def _families(self) -> list:
-        m = self._read(self.models)
-        return [] if m is None else [r["family"] for r in m.select("family").distinct().collect()]
+            table = self._read(path)
+            if table is None:
+                continue
+            for f in table.filter(F.col("level") == name).select(F.col("_metadata.file_path")).distinct().collect():
+                p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f["file_path"]))
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, False)
 
 
 # S5
@@ -150,7 +146,11 @@ def evaluation_report(results: DataFrame, generator: str, level: str) -> DataFra
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
-    report.coalesce(1).write.mode("overwrite").format(fmt).save(path)
+    """``text`` writes one line per row, its columns as ``name=value``."""
+    if fmt == "text":
+        report = report.select(F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("")))
+                                                  for c in report.columns]).alias("value"))
+    report.write.mode("overwrite").format(fmt).save(path)
 
 
 # S7

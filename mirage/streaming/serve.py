@@ -44,7 +44,6 @@ def serve_stream(real: DataFrame, requests: DataFrame, levels: DataFrame, models
     part = F.pmod(F.xxhash64("request_id"), F.lit(chunks))
     (requests.select(*[F.col(c.split()[0]) for c in REQUEST_SCHEMA.split(", ")])
      .withColumn("_chunk", part).write.partitionBy("_chunk").parquet(os.path.join(work_dir, "staged")))
-    os.makedirs(req_dir, exist_ok=True) if not req_dir.startswith(("hdfs:", "s3", "gs:", "abfs")) else None
     for i in range(chunks):  # arrivals: one folder of files per chunk
         staged = spark.read.parquet(os.path.join(work_dir, "staged", f"_chunk={i}"))
         staged.write.mode("append").parquet(req_dir)
