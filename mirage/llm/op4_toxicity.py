@@ -206,11 +206,12 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[dict[int, float], float]:
     doc, feat = doc[keep], feat[keep]
     names, col = np.unique(feat, return_inverse=True)
     w, bias = np.zeros(len(names)), -2.0
+    rows_weight = np.where(y > 0, (1 - y).sum() / y.sum(), 1.0)  # both classes weigh the same
     m1, m2 = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, 401):  # Adam, projected to non-negative weights
         z = bias + np.bincount(doc, weights=w[col], minlength=len(y))
-        r = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(col, weights=r[doc], minlength=len(names)) + 0.2 * w, r.sum() + 0.01 * bias)
+        r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * rows_weight
+        g = np.append(np.bincount(col, weights=r[doc], minlength=len(names)) + 0.1 * w, r.sum() + 0.01 * bias)
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.999 * m2 + 0.001 * g * g
         move = 0.05 * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
