@@ -80,18 +80,20 @@ def next_ids(ids: DataFrame) -> DataFrame:
 def edited_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, next_id, text, n_chars, edited): the last quarter replaced by the
     beginning of the next document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # The same rows and columns in both joins: the texts are shuffled once.
+    d = every.filter("doc_id is not null")
     size = d.select("doc_id", F.length("text").alias("n"))
     order = stash(next_ids(size))
     need = size.groupBy("doc_id").agg((F.max("n") / 4).cast("int").alias("k")).join(order, "doc_id")
     give = d.join(need.select(F.col("doc_id").alias("_to"), F.col("next_id").alias("doc_id"), "k"), "doc_id")
     prefix = give.groupBy(F.col("_to").alias("doc_id")).agg(F.min(F.expr("substring(text, 1, k)")).alias("_prefix"))
-    n = F.length("text")
     keep = F.expr("substring(text, 1, length(text) - length(text) div 4)")
     got = F.expr("substring(_prefix, 1, cast(length(text) div 4 as int))")
-    return d.join(prefix, "doc_id", "left").join(order, "doc_id", "left").select(
-        "doc_id", "next_id", "text", n.cast("long").alias("n_chars"),
-        F.when(F.col("_prefix").isNull(), F.col("text")).otherwise(F.concat(keep, got)).alias("edited"))
+    n = F.length("text").cast("long").alias("n_chars")
+    out = d.join(prefix, "doc_id").join(order, "doc_id").select("doc_id", "next_id", "text", n, F.concat(keep, got).alias("edited"))
+    alone = every.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("next_id"), "text", n, F.col("text").alias("edited"))
+    return out.unionByName(alone)
 
 
 def likeness(a, b):
