@@ -17,11 +17,13 @@ component per document, no list of all copies or pairs.
    has are already used up, so a common passage is rarely in a prefix.
 4. Similar documents form groups: each takes as leader the document with the
    fewest unshared tokens that shares a prefix token, and one exact comparison
-   with it decides the link. Linked groups are cut to ``GROUP`` members.
+   with it decides the link. The linked ones of a component, and the others of a
+   leader, are groups, cut to about ``GROUP`` members.
 5. Token-group matrix: each group's union of tokens. A document queries a group
-   of another component only through a common prefix token, the group opens only
+   with other components only through a common prefix token, the group opens only
    if the document's overlap with its union reaches 0.8 of the document's size,
-   and only then are members compared one by one. Per token the documents of its
+   and only then are its members' overlaps counted. Pairs are compared where group
+   and queries meet; only links that join components leave. Per token the documents of its
    largest component don't query: the others query that component's groups.
 6. Components of all links.
 
@@ -43,6 +45,7 @@ from mirage.llm.common import Words, chunks, discard, grams, mix, partitions, st
 
 SHINGLE = 5
 GROUP = 64
+QUERIES = 1024
 _FP = np.uint64(0x2545F4914F6CDD1D)
 _CUT = np.uint64((1 << 40) - 1)
 
@@ -62,6 +65,14 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.
     return out
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set; (0, 0) for the empty one."""
+    if not len(s):
+        return 0, 0
+    a = int(mix(s ^ _FP).sum(dtype=np.uint64).view(np.int64))
+    return a or 1, int(np.bitwise_xor.reduce(mix(s + _FP)).view(np.int64))
+
+
 def least_overlap(n):
     """ceil(0.8 n): what a set of size n shares with a linked one at least."""
     return (4 * n + 4) // 5
@@ -83,9 +94,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             n, f1, f2 = [], [], []
             for _, _, raw, off in chunks(b.column(1)):
                 for s in shingle_sets(raw, off):
+                    a, c = fingerprint(s)
                     n.append(len(s))
-                    f1.append(int(mix(s ^ _FP).sum(dtype=np.uint64).astype(np.int64)))
-                    f2.append(int(np.bitwise_xor.reduce(mix(s + _FP)).astype(np.int64)) if len(s) else 0)
+                    f1.append(a)
+                    f2.append(c)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())],
                                              names=["doc_id", "n", "fp1", "fp2"])
 
@@ -93,7 +105,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def may_link(docs: DataFrame) -> DataFrame:
-    """doc_ids (step 2) that may have a partner or an equal; a superset."""
+    """(fp1, seen): tokens of each set's first ones (step 2) that other sets'
+    first ones have. Never too few: copies of a set add theirs up."""
     n_buckets = 4 * partitions(docs.sparkSession)
 
     def post(batches) -> Iterator:
@@ -102,12 +115,17 @@ def may_link(docs: DataFrame) -> DataFrame:
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for b in batches:
             for i, j, raw, off in chunks(b.column(1)):
-                sets = shingle_sets(raw, off)
-                ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
+                own_sets: dict[int, np.ndarray] = {}
+                for s in shingle_sets(raw, off):
+                    if len(s):  # equal sets of a slice post once
+                        own_sets.setdefault(fingerprint(s)[0], s)
+                ids = np.array(list(own_sets), dtype=np.int64)
+                sets = list(own_sets.values())
+                if not sets:
+                    continue
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 first = sizes - least_overlap(sizes) + _lead(sizes)
-                first[sizes == 0] = 0
-                tok = np.concatenate([s[:p] for s, p in zip(sets, first.tolist(), strict=True)] or [np.zeros(0, np.uint64)])
+                tok = np.concatenate([s[:p] for s, p in zip(sets, first.tolist(), strict=True)])
                 own = np.repeat(np.arange(len(sets)), first)
                 order = np.argsort(tok, kind="stable")
                 tok, own = tok[order], own[order]
@@ -116,13 +134,12 @@ def may_link(docs: DataFrame) -> DataFrame:
                 # Tokens met twice here are shared for their documents; one
                 # posting without owner tells the others.
                 here = np.repeat(times > 1, times)
-                seen = np.bincount(own[here], minlength=len(sets)) - _lead(least_overlap(sizes))
-                real = sizes > 0
-                rows = [(0, ids[real].astype(np.int64).tobytes(), seen[real].astype(np.int32).tobytes(), b"")]
-                tok, own = tok[start], np.where(times > 1, -1, own[start])
-                who = np.where(own >= 0, ids[own] if len(ids) else own, -1).astype(np.int64)
+                seen = np.bincount(own[here], minlength=len(sets))
+                rows = [(0, ids[seen > 0].tobytes(), seen[seen > 0].astype(np.int32).tobytes(), b"")]
+                own = own[start]
+                tok, who = tok[start], np.where(times > 1, 0, ids[own])
                 bucket = ((tok >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-                order = np.lexsort((who, bucket))
+                order = np.lexsort((who, bucket))  # by owner: an owner is written once per bucket
                 tok, who, bucket = tok[order] & _CUT, who[order], bucket[order]
                 edge = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 for k in np.flatnonzero(np.diff(edge)).tolist():
@@ -138,24 +155,29 @@ def may_link(docs: DataFrame) -> DataFrame:
         key = None
 
         def out(ids, n):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "seen"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["fp1", "seen"])
 
         def close():
             tok = np.concatenate([h[0] for h in held])
             who = np.concatenate([h[1] for h in held])
             held.clear()
-            order = np.argsort(tok, kind="stable")
+            order = np.lexsort((who, tok))
             tok, who = tok[order], who[order]
+            # One row per token and owner: copies elsewhere have the same owner.
+            once = np.concatenate([[True], (tok[1:] != tok[:-1]) | (who[1:] != who[:-1])])
+            tok, who = tok[once], who[once]
             start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             times = np.diff(np.append(start, len(tok)))
-            shared = who[np.repeat(times > 1, times)]
-            return out(*np.unique(shared[shared >= 0], return_counts=True))
+            # Owner 0 stands for several sets of one slice.
+            shared = np.repeat((times > 1) | (who[start] == 0), times)
+            return out(*np.unique(who[shared & (who != 0)], return_counts=True))
 
         for b in batches:
             for k, ids, counts, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)
                 if not tokens:
-                    yield out(ids, counts.astype(np.int64))
+                    if len(ids):
+                        yield out(ids, counts.astype(np.int64))
                     continue
                 if k != key and held:
                     yield close()
@@ -167,8 +189,8 @@ def may_link(docs: DataFrame) -> DataFrame:
             yield close()
 
     posted = _docs(docs).filter("doc_id is not null").mapInArrow(post, "bucket int, ids binary, counts binary, tokens binary")
-    met = posted.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, seen long")
-    return met.groupBy("doc_id").agg(F.sum("seen").alias("seen")).filter("seen >= 0").select("doc_id")
+    met = posted.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "fp1 long, seen long")
+    return met.groupBy("fp1").agg(F.sum("seen").alias("seen"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -224,6 +246,58 @@ def components(links: DataFrame) -> DataFrame:
         label = new
 
 
+def group_links(q_ids, q_comps, q_tokens, ids, comps, tokens) -> list[tuple[int, int]]:
+    """Links between queries and a group's members of other components, as far as
+    they join documents that the links before them don't.
+
+    The group's matrix has a row per token of its union: the members with it."""
+    sizes = np.array([len(t) for t in tokens])
+    union, row = np.unique(np.concatenate(tokens), return_inverse=True)
+    who = np.repeat(np.arange(len(ids)), sizes)[np.argsort(row, kind="stable")]
+    edge = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(union)))])
+    up: dict[int, int] = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for a, ca, q in zip(q_ids, q_comps, q_tokens, strict=True):
+        at = np.searchsorted(union, q)
+        at[at == len(union)] = 0
+        at = at[union[at] == q]
+        if len(at) < least_overlap(len(q)):  # the union can't reach the threshold
+            continue
+        n = edge[at + 1] - edge[at]
+        cells = np.repeat(edge[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(who[cells], minlength=len(ids))
+        for k in np.flatnonzero(100 * both >= 80 * (len(q) + sizes - both)).tolist():
+            if comps[k] != ca and find(comps[k]) != find(ca):
+                up[find(comps[k])] = find(ca)
+                out.append((int(a), int(ids[k])))
+    return out
+
+
+def _open_groups(ask: DataFrame, member: DataFrame, sets: DataFrame, key: list[str], queries: int = QUERIES) -> DataFrame:
+    """Links (a, b) of the asked (document, group) pairs. Each group's members
+    meet its queries in parts of about ``queries``."""
+    parts = ask.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / queries).alias("parts"))
+    asked = ask.join(parts, key).join(sets.select(F.col("doc_id").alias("a"), "tokens"), "a").select(
+        *key, F.pmod(F.xxhash64("a"), "parts").alias("q"), "a", "ca", F.col("tokens").alias("asked"))
+    members = member.join(parts, key).join(sets.select("doc_id", "tokens"), "doc_id").select(
+        *key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"), "doc_id", "comp", F.col("tokens").alias("held"))
+
+    def run(left, right):
+        import pandas as pd
+        found = group_links(left["a"], left["ca"], left["asked"], right["doc_id"].tolist(), right["comp"].tolist(),
+                            right["held"].tolist()) if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return asked.groupBy(*key, "q").cogroup(members.groupBy(*key, "q")).applyInPandas(run, "a long, b long")
+
+
 def link_representatives(docs: DataFrame, reps: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, comp) of the representatives that link (steps 3 to 6)."""
     sets = stash(_sets(docs.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
@@ -241,31 +315,32 @@ def link_representatives(docs: DataFrame, reps: DataFrame, group: int = GROUP) -
         F.col("doc_id").alias("a"), F.col("lead.d").alias("b")).filter("a <> b")
     star = stash(_linked(chosen, sets))
     comp = components(star)
-    # Groups: at most about ``group`` members of one component.
-    every = prefix.select("doc_id", "n").distinct().join(comp, "doc_id", "left").select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
-    size = every.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    member = stash(every.join(size, "comp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / group))).select(
-        "doc_id", "n", "comp", "part"))
+    # Groups of at most about ``group`` documents: of one component, or of
+    # documents without a link yet that have the same leader.
+    lone = F.col("comp").isNull()
+    every = prefix.select("doc_id", "n").distinct().join(comp, "doc_id", "left").join(
+        chosen.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")), "doc_id", "left")
+    every = every.select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"), lone.alias("lone"),
+                         F.when(lone, F.coalesce("leader", "doc_id")).otherwise(F.col("comp")).alias("gid"))
+    size = every.groupBy("lone", "gid").agg(F.count(F.lit(1)).alias("size"))
+    member = stash(every.join(size, ["lone", "gid"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / group))).select(
+        "doc_id", "n", "comp", "lone", "gid", "part"))
+    key = ["lone", "gid", "part"]
     where = stash(prefix.select("token", "doc_id").join(member, "doc_id"))
     per = where.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     active = per.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("big"), F.count(F.lit(1)).alias("k")).filter("k > 1").select(
         "token", F.col("big.comp").alias("big"))
     queries = where.join(active, "token").filter("comp <> big").select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    groups = where.groupBy("token", "comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    near = (F.col("comp") != F.col("ca")) & (F.col("hi") >= least_overlap_col("na")) & (F.col("na") >= least_overlap_col("lo"))
+    groups = where.join(active.select("token"), "token", "left_semi").groupBy("token", *key).agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    near = (((F.col("c0") != F.col("ca")) | (F.col("c1") != F.col("ca"))) & (F.col("hi") >= least_overlap_col("na"))
+            & (F.col("na") >= least_overlap_col("lo")))
     g = groups.withColumnRenamed("token", "_token")
-    ask = queries.join(g, (F.col("token") == F.col("_token")) & near).select("a", "na", "comp", "part").distinct()
+    ask = queries.join(g, (F.col("token") == F.col("_token")) & near).select("a", "na", "ca", *key).distinct()
     ask = stash(ask)
     links = star
     if not ask.isEmpty():
-        opened = ask.select("comp", "part").distinct()
-        matrix = member.join(opened, ["comp", "part"]).join(sets.select("doc_id", "tokens"), "doc_id").groupBy("comp", "part").agg(
-            F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-        bound = ask.join(sets.select(F.col("doc_id").alias("a"), "tokens"), "a").join(matrix, ["comp", "part"]).filter(
-            F.size(F.array_intersect("tokens", "union")) >= least_overlap_col("na")).select("a", "na", "comp", "part")
-        pairs = bound.join(member.withColumnRenamed("doc_id", "b"), ["comp", "part"]).filter(
-            (F.col("n") >= least_overlap_col("na")) & (F.col("na") >= least_overlap_col("n"))).select("a", "b")
-        links = star.unionByName(_linked(pairs, sets))
+        links = star.unionByName(_open_groups(ask, member, sets, key))
     return components(links)
 
 
@@ -277,10 +352,11 @@ def jaccard_components(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     sig = stash(signatures(docs))
     named = sig.filter("n > 0 and doc_id is not null")
-    maybe = may_link(docs).withColumn("_m", F.lit(1))
-    classes = stash(named.join(maybe, "doc_id", "left").groupBy("n", "fp1", "fp2").agg(
-        F.min("doc_id").alias("rep"), F.max("_m").alias("m"), F.count(F.lit(1)).alias("size")))
-    comp = link_representatives(docs, classes.filter("m = 1").select(F.col("rep").alias("doc_id")), group)
+    maybe = may_link(docs).select(F.col("fp1").alias("_f"), "seen")
+    enough = F.col("seen") >= 1 + F.expr("((4 * n + 4) div 5) div 25")
+    classes = stash(named.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+                    .join(maybe, F.col("fp1") == F.col("_f"), "left").withColumn("m", F.coalesce(enough, F.lit(False))).drop("_f", "seen"))
+    comp = link_representatives(docs, classes.filter("m").select(F.col("rep").alias("doc_id")), group)
     # Classes of one document that links with nothing need no row here.
     moved = classes.join(comp, F.col("rep") == F.col("doc_id"), "left").select(
         "n", "fp1", "fp2", "size", "rep", F.coalesce("comp", "rep").alias("comp")).filter("size > 1 or comp <> rep").select("n", "fp1", "fp2", "comp")
