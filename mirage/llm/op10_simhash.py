@@ -6,14 +6,20 @@ weight on every bit; the fingerprint keeps the bits with more than half the vote
 The votes are summed as ordinary aggregates, two 32-bit counters in one long, so
 they combine before the shuffle and hold up to 2**32 of weight in a text.
 
-Search: the 64 bits are cut into ``BLOCKS`` blocks; fingerprints that differ in at
-most ``RADIUS`` bits agree on ``BLOCKS - RADIUS`` blocks at least, so for each
-choice of so many blocks there is a table keyed by them. Equal fingerprints are
-one row with a count; a pair is taken from the first table that has it.
+Search: a second fingerprint has the text's distinct words as terms, weighted the
+same way: an edited word moves it by fewer bits than two word pairs do, and words
+that every text repeats don't make texts alike. The 64 bits are cut into ``BLOCKS``
+blocks; fingerprints that differ in at most ``RADIUS`` bits differ in at most
+``RADIUS // BLOCKS`` bits of some block, so a query asks for each of its blocks with
+that many bits flipped. Equal fingerprints are one row with a count, represented by
+their smallest doc_id (``representative``); a representative has the doc_ids of the
+representatives within ``RADIUS`` (``near_ids``). A pair is taken from the first
+block that has it.
 
 Defined cases: null text is empty; an empty text's fingerprint is 0. Repeated rows
 (equal doc_id and text) give one row. A row without doc_id has no next document
-(its edited text is its own, near_next 0). Next is by distinct doc_id; if the next
+(its edited text is its own, near_next 0); fingerprints that only such rows have
+have no representative and are in no ``near_ids``. Next is by distinct doc_id; if the next
 id has several texts the least prefix counts. An empty table gives an empty
 result. Extra columns are ignored.
 """
@@ -28,12 +34,16 @@ from pyspark.sql.window import Window
 
 from mirage.llm.common import partitions, stash, table, word_array
 
-RADIUS = 3
-BLOCKS = 6
+RADIUS = 7
+BLOCKS = 4
 QUERY_EVERY = 20
 MAX_WEIGHT = 40
 
 
+def _no_terms():
+    return F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n")))
+
+
 def _terms(text):
     """array<struct<h, n>> of a text's weighted terms."""
     def pairs(w):
@@ -41,15 +51,21 @@ def _terms(text):
             F.xxhash64(x, F.get(w, i + 1)).alias("h"),
             F.least(F.length(x) + F.length(F.coalesce(F.get(w, i + 1), F.lit(""))), F.lit(MAX_WEIGHT)).alias("n")))
 
-    none = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("n")))
-    out = F.transform(F.array(word_array(text)), lambda w: F.when(F.size(w) == 0, none).when(
+    out = F.transform(F.array(word_array(text)), lambda w: F.when(F.size(w) == 0, _no_terms()).when(
         F.size(w) == 1, pairs(w)).otherwise(F.slice(pairs(w), F.lit(1), F.size(w) - 1)))
     return out[0]
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+def _search_terms(text):
+    """array<struct<h, n>> of a text's distinct words."""
+    out = F.transform(F.array_distinct(word_array(text)), lambda x: F.struct(
+        F.xxhash64(x).alias("h"), F.least(F.length(x), F.lit(MAX_WEIGHT)).alias("n")))
+    return F.when(F.size(out) == 0, _no_terms()).otherwise(out)
+
+
+def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", terms=_terms) -> DataFrame:
     """(keys, fp long) per distinct key, all of whose texts vote."""
-    votes = texts.select(*keys, F.explode(_terms(F.col(text_col))).alias("t")).select(*keys, "t.h", F.col("t.n").cast("long").alias("n"))
+    votes = texts.select(*keys, F.explode(terms(F.col(text_col))).alias("t")).select(*keys, "t.h", F.col("t.n").cast("long").alias("n"))
     two = (1 << 32) + 1
     lanes = votes.groupBy(*keys).agg(F.sum("n").alias("_all"), *[
         F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(two)) * F.col("n")).alias(f"v{b}") for b in range(32)])
@@ -114,50 +130,60 @@ def near_fingerprints(queries: DataFrame, every: DataFrame, radius: int = RADIUS
 
     ``queries``: distinct (q). ``every``: distinct (fp, n)."""
     masks = _block_masks(blocks)
-    tables = list(combinations(range(blocks), blocks - radius))
-
-    def keyed(col):
-        return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(col).bitwiseAND(F.lit(_signed(sum(masks[b] for b in c)))).alias("k"))
-                                   for t, c in enumerate(tables)])).alias("e")
-
-    a = queries.select("q", keyed("q")).select("q", F.col("e.t").alias("tq"), F.col("e.k").alias("kq"))
-    b = every.select("fp", "n", keyed("fp")).select("fp", "n", F.col("e.t").alias("tf"), F.col("e.k").alias("kf"))
+    flips = radius // blocks
+
+    def keyed(col, most):
+        asked = []
+        for t, m in enumerate(masks):
+            bits = [1 << b for b in range(64) if m >> b & 1]
+            low = bits[0].bit_length() - 1
+            asked += [(t, _signed(m), _signed(sum(c)), low) for k in range(most + 1) for c in combinations(bits, k)]
+        e = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("m"), F.lit(x).cast("long").alias("x"),
+                                         F.lit(low).alias("low")) for t, m, x, low in asked])).alias("e")
+        return e, F.expr(f"shiftrightunsigned(({col} & e.m) ^ e.x, e.low) * {blocks} + e.t")
+
+    ask, kq = keyed("q", flips)
+    held, kf = keyed("fp", 0)
+    a = queries.select("q", ask).select("q", kq.alias("kq"))
+    b = every.select("fp", "n", held).select("fp", "n", kf.alias("kf"))
     x = F.col("q").bitwiseXOR(F.col("fp"))
-    agree = [(x.bitwiseAND(F.lit(_signed(m))) == 0).cast("int") for m in masks]
-    # The first table with the pair: no other agreeing block before its last one.
-    first = F.lit(False)
-    for t, c in enumerate(tables):
-        first = first | ((F.col("tq") == t) & (sum(agree[1:c[-1] + 1], agree[0]) == blocks - radius))
-    return a.join(b, (F.col("tq") == F.col("tf")) & (F.col("kq") == F.col("kf")) & (F.col("q") != F.col("fp"))
-                  & (F.bit_count(x) <= radius) & first).select("q", "fp", "n")
+    # The first block with the pair.
+    first = F.coalesce(*[F.when(F.bit_count(x.bitwiseAND(F.lit(_signed(m)))) <= flips, F.lit(t)) for t, m in enumerate(masks)])
+    return a.join(b, (F.col("kq") == F.col("kf")) & (F.col("q") != F.col("fp")) & (F.bit_count(x) <= radius)
+                  & (first == F.col("kq") % blocks)).select("q", "fp", "n")
 
 
 def simhash_report(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = QUERY_EVERY) -> DataFrame:
-    """Fingerprints of texts and edited texts, their likeness, and for documents
-    whose id is divisible by ``every`` the number of other documents within
-    ``radius`` bits (``near_docs``, else null)."""
+    """Fingerprints of texts and edited texts, their likeness, and by the search
+    fingerprint every document's representative, the representatives' partners
+    within ``radius`` bits (``near_ids``, null for others) and for documents whose
+    id is divisible by ``every`` the number of other documents within them
+    (``near_docs``, else null)."""
     e = edited_texts(docs).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     keys = ["doc_id", "next_id", "n_chars", "edited_sha256"]
-    both = e.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("text").alias("x")),
-                                             F.struct(F.lit(1).alias("w"), F.col("edited").alias("x")))).alias("b"))
-    fps = fingerprints(both.select(*keys, F.col("b.w").alias("w"), F.col("b.x").alias("text")), [*keys, "w"])
-    f = stash(fps.groupBy(*keys).agg(F.max(F.when(F.col("w") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("w") == 1, F.col("fp"))).alias("ef")))
+    voted = [_terms(F.col("text")), _terms(F.col("edited")), _search_terms(F.col("text"))]
+    all_terms = e.select(*keys, F.explode(F.array(*[F.struct(F.lit(w).alias("w"), t.alias("x")) for w, t in enumerate(voted)])).alias("b"))
+    fps = fingerprints(all_terms.select(*keys, F.col("b.w").alias("w"), F.col("b.x").alias("terms")), [*keys, "w"], "terms", lambda t: t)
+    f = stash(fps.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == w, F.col("fp"))).alias(c) for w, c in enumerate(("fp", "ef", "sf"))]))
     nxt = f.groupBy(F.col("doc_id").alias("_n")).agg(F.min("fp").alias("nf"))
-    classes = f.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    asked = f.filter(F.col("doc_id") % every == 0)
-    near = near_fingerprints(asked.select(F.col("fp").alias("q")).distinct(), classes, radius, blocks).groupBy("q").agg(F.sum("n").alias("m"))
-    counts = classes.join(near, F.col("fp") == F.col("q"), "left").select(F.col("fp").alias("_fp"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("near"))
-    found = asked.select("doc_id", "fp").distinct().join(counts, F.col("fp") == F.col("_fp")).select(
-        F.col("doc_id").alias("_q"), F.col("_fp"), "near")
+    classes = stash(f.groupBy("sf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
+    near = near_fingerprints(classes.select(F.col("sf").alias("q")), classes.select(F.col("sf").alias("fp"), F.struct("n", "rep").alias("n")),
+                             radius, blocks).groupBy("q").agg(F.sum("n.n").alias("m"), F.sort_array(F.collect_list("n.rep")).alias("ids"))
+    found = classes.join(near, F.col("sf") == F.col("q"), "left").select(
+        F.col("sf").alias("_sf"), F.col("rep").alias("representative"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("near"),
+        F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+    known = f.join(found, F.col("sf") == F.col("_sf")).select(
+        *keys, "fp", "ef", "sf", "representative", F.when(F.col("doc_id") % every == 0, F.col("near")).alias("near_docs"),
+        F.when(F.col("doc_id") == F.col("representative"), F.col("ids")).alias("near_ids"))
 
     def text_of(c):
         return F.lpad(F.lower(F.hex(c)), 16, "0")
 
-    return (f.join(nxt, F.col("next_id") == F.col("_n"), "left")
-            .join(found, (F.col("doc_id") == F.col("_q")) & (F.col("fp") == F.col("_fp")), "left").select(
+    return known.join(nxt, F.col("next_id") == F.col("_n"), "left").select(
         "doc_id", "n_chars", "edited_sha256", text_of("fp").alias("fingerprint"), text_of("ef").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("ef")).alias("near_edited"),
-        F.coalesce(likeness(F.col("fp"), F.col("nf")), F.lit(0.0)).alias("near_next"), F.col("near").alias("near_docs")))
+        F.coalesce(likeness(F.col("fp"), F.col("nf")), F.lit(0.0)).alias("near_next"), "near_docs",
+        text_of("sf").alias("search_fingerprint"), "representative", "near_ids")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

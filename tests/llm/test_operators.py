@@ -447,6 +447,47 @@ def test_hamming_search(spark):
         assert got == sorted((a, b) for a in signed for b in signed if a != b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius)
 
 
+def test_hamming_search_with_flips(spark):
+    rnd = random.Random(9)
+    fps = {rnd.getrandbits(64) for _ in range(60)} | {0, 1 << 63}
+    for f in list(fps):
+        for k in (4, 6, 7, 7, 8):
+            fps.add(f ^ sum(1 << b for b in rnd.sample(range(64), k)))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    every = spark.createDataFrame([(x, 1) for x in signed], "fp long, n long")
+    got = sorted((r["q"], r["fp"]) for r in op10_simhash.near_fingerprints(every.select(F.col("fp").alias("q")), every).collect())
+    assert got == sorted((a, b) for a in signed for b in signed if a != b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= op10_simhash.RADIUS)
+
+
+def test_near_copies_found(spark):
+    """Copies with a word in 60 replaced are listed between representatives."""
+    rnd = random.Random(6)
+    source = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    base = {}
+    for d, t in sorted(pairs(source)):
+        if 100 <= len((t or "").split()) <= 600:
+            base.setdefault(t, d)
+
+    def shingles(w):
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+
+    rows, planted = [], []
+    for t, d in list(base.items())[:150]:
+        w = t.split()
+        for k in rnd.sample(range(len(w)), len(w) // 60):
+            w[k] = "changed"
+        a, b = shingles(t.split()), shingles(w)
+        if len(a & b) >= 0.8 * len(a | b):
+            rows += [(d, t), (d + 10 ** 6, " ".join(w)), (d + 2 * 10 ** 6, t)]
+            planted.append((d, d + 10 ** 6))
+    got = {r["doc_id"]: r for r in op10_simhash.simhash_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(planted) > 100 and all(got[a + 2 * 10 ** 6]["representative"] == got[a]["representative"] <= a for a, _ in planted)
+    rep = {d: r["representative"] for d, r in got.items()}
+    assert all((r["near_ids"] is None) == (d != rep[d]) for d, r in got.items())
+    found = [rep[a] == rep[b] or rep[b] in got[rep[a]]["near_ids"] and rep[a] in got[rep[b]]["near_ids"] for a, b in planted]
+    assert sum(found) >= 0.9 * len(planted)
+
+
 # --- SQL --------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
