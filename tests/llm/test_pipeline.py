@@ -80,3 +80,26 @@ def test_run_and_odd_inputs(spark, written):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, SF_SMALL)
         docs.collect()
+
+
+def test_rows_without_id_and_texts_of_one_id(spark):
+    """Every row is judged and linked by its own text."""
+    def prose(tag, n=120):
+        return " ".join(f"{tag}{k}" for k in range(n))
+
+    junk, passage = "word " * 60, prose("p", 60)
+    rows = [(None, prose("a"), "en", "s", 1), (None, prose("b"), "en", "s", 2), (None, prose("b"), "en", "s", 2), (None, junk, "en", "s", 3),
+            (3, prose("c"), "en", "s", 4), (5, prose("c") + " c120", "en", "s", 5), (5, prose("d") + " " + passage, "en", "s", 6),
+            (5, prose("d") + " " + passage, "en", "s", 6), (5, junk, "en", "s", 7), (4, passage + " " + prose("e"), "en", "s", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def got(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    good = [r for r in rows if r[1] != junk]
+    assert got(P.quality(spark, docs, "")) == sorted(good, key=str)
+    unlinked = [r for r in dict.fromkeys(good) if r[4] != 5] + [rows[2]]
+    assert got(P.near_duplicates(spark, spark.createDataFrame(good, docs.schema), "")) == sorted(unlinked, key=str)
+    both = [(4, passage, "en", "s", 1), (5, passage + " " + prose("f"), "en", "s", 2), (5, prose("g"), "en", "s", 3), (None, passage, "en", "s", 4)]
+    left = [both[0], (5, prose("f"), "en", "s", len(prose("f"))), both[2], both[3]]
+    assert got(P.repeated_passages(spark, spark.createDataFrame(both, docs.schema), "")) == sorted(left, key=str)
