@@ -5,10 +5,13 @@
    letters, and the word edge, so the table has at most 64**3 counts.
 2. Restoring a token: every character is a column of a lattice - a letter stands
    for itself, a leet sign for its letters (at a cost), a mark inside a word for
-   a vowel or nothing, a letter in a run of three or more for itself or nothing.
-   Viterbi finds the best path under the language model. Three or more
-   one-character tokens in a row are read as one spaced-out word. Tokens with a
-   single path need no search. Results are remembered in a bounded table.
+   a vowel or nothing, a letter after the same one for itself or nothing (at a
+   cost, less in a run of three or more). Every sign of a token of leet signs only
+   stands for a letter. Viterbi finds the best path under the language model.
+   Tokens of one or two signs in a row, three or more of them of one, are one
+   lattice with an optional word edge before each token, mark-only tokens left out;
+   all its words count. Tokens with a single path need no search. Results are
+   remembered in a bounded table.
 3. Score: a logistic model over the restored words and their 4- and 5-letter
    beginnings (presence in the text, weights not negative), fitted to at most
    ``TRAIN_ROWS`` labelled rows, the first by hash of the id. Rows whose
@@ -42,7 +45,7 @@ SYMBOLS = 64
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 VOWELS = "aeiou"
-SIGN_COST, DROP_COST, END_COST, RUN_COST, GUESS_COST = 1.0, 5.0, 1.5, 0.5, 2.5
+SIGN_COST, DROP_COST, END_COST, RUN_COST, DOUBLE_COST, GUESS_COST = 1.0, 5.0, 1.5, 0.5, 2.0, 2.5
 _EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 _EDGES = "\"'.,;:?)]}[{<>«»“”„…-_*%&#~^=/\\"
 
@@ -101,16 +104,23 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def signs_only(token: str) -> bool:
+    return len(token) > 1 and all(ch in LEET for ch in token)
+
+
 def columns(token: str) -> list[list[tuple[str, float]]]:
     """The lattice of a lower-cased token: per character (letter or '', cost)."""
     out = []
     n = len(token)
+    signs = signs_only(token)
     for i, ch in enumerate(token):
         if ch.isalpha():
             run = i and token[i - 1] == ch and (i + 1 < n and token[i + 1] == ch or i > 1 and token[i - 2] == ch)
-            out.append([(ch, 0.0), ("", RUN_COST)] if run else [(ch, 0.0)])
+            twice = i and token[i - 1] == ch
+            out.append([(ch, 0.0), ("", RUN_COST if run else DOUBLE_COST)] if twice else [(ch, 0.0)])
         elif ch in LEET:
-            out.append([(x, SIGN_COST) for x in LEET[ch]] + [("", DROP_COST if 0 < i < n - 1 else END_COST)])
+            drop = [] if signs else [("", DROP_COST if 0 < i < n - 1 else END_COST)]
+            out.append([(x, SIGN_COST) for x in LEET[ch]] + drop)
         elif ch == "*" and 0 < i < n - 1:
             out.append([(x, GUESS_COST) for x in VOWELS] + [("", DROP_COST)])
         else:
@@ -118,24 +128,36 @@ def columns(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """Viterbi over the lattice; a state is the last two letters."""
+def restore(token: str, model: np.ndarray, edges: frozenset[int] = frozenset()) -> str:
+    """Viterbi over the lattice; a state is the last two letters. At the positions
+    ``edges`` a word may end and another begin; words are joined by a space."""
     codes = letter_codes()
-    best = {(0, 0): (0.0, "")}
-    for options in columns(token):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for i, options in enumerate(columns(token)):
+        if i in edges:
+            ends = [(s + float(model[a, b, 0]), path) for (a, b), (s, path) in best.items() if b]
+            if ends:
+                s, path = max(ends, key=lambda e: e[0])
+                if (0, 0) not in best or s > best[0, 0][0]:
+                    best[0, 0] = (s, (path, " "))
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             for letter, cost in options:
                 if letter:
                     c = int(codes[ord(letter)])
-                    state, s, t = (b, c), score + float(model[a, b, c]) - cost, text + letter
+                    state, s, t = (b, c), score + float(model[a, b, c]) - cost, (path, letter)
                 else:
-                    state, s, t = (a, b), score - cost, text
+                    state, s, t = (a, b), score - cost, path
                 old = nxt.get(state)
                 if old is None or s > old[0]:
                     nxt[state] = (s, t)
         best = nxt
-    return max((s + float(model[a, b, 0]), t) for (a, b), (s, t) in best.items())[1]
+    path = max(((s + float(model[a, b, 0]), t) for (a, b), (s, t) in best.items()), key=lambda e: e[0])[1]
+    out = []
+    while path:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def core(token: str) -> str:
@@ -158,26 +180,41 @@ class Restorer:
         got = self.known.get(token)
         if got is None:
             t = core(token)
-            plain = t.isalpha() and not re.search(r"(.)\1\1", t)
-            got = t if plain else restore(t, self.model) if any(ch.isalpha() for ch in t) else ""
-            if len(token) <= 64:
-                if len(self.known) >= CACHE_TOKENS:
-                    self.known.clear()
-                self.known[token] = got
+            plain = t.isalpha() and not re.search(r"(.)\1", t)
+            got = t if plain else restore(t, self.model) if signs_only(t) or any(ch.isalpha() for ch in t) else ""
+            self._keep(token, got)
         return got
 
+    def spaced(self, run: list[str]) -> list[str]:
+        """Words of a run of short tokens."""
+        key = " ".join(run)
+        got = self.known.get(key)
+        if got is None:
+            starts = np.cumsum([len(t) for t in run]).tolist()
+            got = restore("".join(run), self.model, frozenset(starts[:-1]))
+            self._keep(key, got)
+        return got.split()
+
+    def _keep(self, key: str, got: str) -> None:
+        if len(key) <= 64:
+            if len(self.known) >= CACHE_TOKENS:
+                self.known.clear()
+            self.known[key] = got
+
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
         out = {self.word(t) for t in set(tokens)}
         if any(len(t) <= 2 for t in tokens):
             run: list[str] = []
-            for t in [*tokens, "--"]:
-                c = core(t) if len(t) <= 2 else t
-                if len(c) == 1 and (c.isalpha() or c in LEET):
+            for t in [*tokens, "end"]:
+                if not any(ch.isalpha() or ch in LEET for ch in t) and not any(ch.isdigit() for ch in t):
+                    continue  # a mark between tokens
+                c = core(t)
+                if 0 < len(c) <= 2 and all(ch.isalpha() or ch in LEET for ch in c):
                     run.append(c)
                     continue
-                if len(run) > 2:
-                    out.add(self.word("".join(run)))
+                if sum(len(x) == 1 for x in run) > 2:
+                    out.update(self.spaced(run))
                 run = []
         out.discard("")
         return out

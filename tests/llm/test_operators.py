@@ -181,6 +181,22 @@ def test_restoring():
     assert {"idiot", "the"} <= r.words("the i d i o t") and r.words("") == set() and r.words("12 -- ***") == set()
 
 
+def test_restoring_spaced_signs_and_doubles():
+    codes = op4_toxicity.letter_codes()
+    counts = np.zeros((64, 64, 64))
+    for w in ["stupid", "idiot", "moron", "you", "are", "a", "he", "is", "ass", "letter", "man"] * 50:
+        c = [0, 0, *(int(codes[ord(x)]) for x in w), 0]
+        for a, b, d in zip(c, c[1:], c[2:], strict=False):
+            counts[a, b, d] += 1
+    r = op4_toxicity.Restorer(np.log((counts + 0.1) / (counts + 0.1).sum(2, keepdims=True)).astype(np.float32))
+    for bad, good in [("455", "ass"), ("@$$", "ass"), ("iidiioott", "idiot"), ("letter", "letter"), ("2024", "")]:
+        assert r.word(bad) == good
+    for text, good in [("he is a s t u p i d man", {"he", "is", "a", "stupid"}), ("y o u a r e a m o r o n", {"you", "are", "a", "moron"}),
+                       ("s - t - u - p - i - d", {"stupid"}), ("st u p i d", {"stupid"})]:
+        assert good <= r.words(text)
+    r.words("x " * 30_000)
+
+
 def test_toxicity(spark, odd, none):
     sf = SF_SMALL.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
