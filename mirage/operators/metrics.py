@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mirage.functions.draws import draw
 from mirage.functions.expr import normalize
 from mirage.operators.distance import nearest_distance, nearest_other
+from mirage.operators.prep import categorical_columns
 from mirage.operators.frequencies import (column_entropy, column_frequencies, feature_columns,
                                           to_long)
 
@@ -84,11 +85,10 @@ def identifiability_oc(real: DataFrame, syn: DataFrame, cols=None, by=()) -> Dat
 
 # --- M4 --------------------------------------------------------------------------
 
-def data_leakage(real: DataFrame, syn: DataFrame, sensitive, cols=None, seed: int = 7,
-                 categorical_below: int = 20) -> DataFrame:
+def data_leakage(real: DataFrame, syn: DataFrame, sensitive, cols=None, seed: int = 7) -> DataFrame:
     """M4: train on synthetic rows to predict each sensitive column from the
-    others, score on real rows (accuracy, or max(0, R^2) for numbers); mean.
-    0 when there is no sensitive column."""
+    others, score on real rows (accuracy for encoded text and booleans, or
+    max(0, R^2) for numbers); mean. 0 when there is no sensitive column."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
@@ -96,15 +96,16 @@ def data_leakage(real: DataFrame, syn: DataFrame, sensitive, cols=None, seed: in
 
     spark = real.sparkSession
     cols = _cols(real, cols)
+    categorical = set(categorical_columns(real))
     scores = []
     for s in sensitive or []:
         feats = [c for c in cols if c != s]
         va = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
         tr = va.transform(syn.select(*feats, F.col(s).cast("double").alias("label")))
         te = va.transform(real.select(*feats, F.col(s).cast("double").alias("label")))
-        st = syn.agg(F.count_distinct(s).alias("k"), F.max(s).alias("mx")).first()
-        if st["k"] is not None and st["k"] < categorical_below:
-            n_cls = int(st["mx"]) + 1 if st["mx"] is not None else 1
+        mx = syn.agg(F.max(F.col(s).cast("double")).alias("mx")).first()["mx"]
+        if s in categorical or mx is None:
+            n_cls = int(mx) + 1 if mx is not None else 1
             if n_cls < 2:
                 acc = te.agg(F.avg((F.col("label") == F.lit(0.0)).cast("double"))).first()[0] or 0.0
             else:

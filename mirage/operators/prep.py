@@ -135,9 +135,19 @@ def _as_ts(c: str, dt) -> Column:
     return col
 
 
+CATEGORICAL_MARK = "mirage_categorical"
+
+
+def categorical_columns(df: DataFrame) -> list[str]:
+    """Columns that are text, boolean, or ``encode``'s codes of such."""
+    return [f.name for f in df.schema.fields
+            if isinstance(f.dataType, (T.StringType, T.BooleanType)) or f.metadata.get(CATEGORICAL_MARK)]
+
+
 def encode(df: DataFrame, dictionary: DataFrame | None = None, skip=("row_id",)) -> tuple[DataFrame, Encoding]:
     """Strings -> integer codes (dictionary join), timestamps -> epoch
-    microseconds, numbers unchanged. Returns the encoded table and the Encoding."""
+    microseconds, numbers unchanged. Code columns are marked in their metadata.
+    Returns the encoded table and the Encoding."""
     fields = [f for f in df.schema.fields if f.name not in skip]
     cats = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     times = [f.name for f in fields if isinstance(f.dataType, TIMES)]
@@ -158,7 +168,7 @@ def encode(df: DataFrame, dictionary: DataFrame | None = None, skip=("row_id",))
     dtypes = dict((f.name, f.dataType) for f in fields)
     for c in times:
         out = out.withColumn(c, F.unix_micros(_as_ts(c, dtypes[c])))
-    out = out.select(*df.columns)
+    out = out.select(*[F.col(c).alias(c, metadata={CATEGORICAL_MARK: True}) if c in cats else c for c in df.columns])
     return out, Encoding(dictionary, df.schema, cats, times, sizes)
 
 

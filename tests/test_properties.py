@@ -210,3 +210,15 @@ def test_stream_equals_batch(spark):
     stream = sorted(tuple(r) for r in serve_stream(real, reqs, lv, models, scratch(spark, "t1"), SEED, FEATS, 3)
                     .select("request_id", "level", "attempt", "status").collect())
     assert batch == stream
+
+
+def test_leakage_by_type(spark):
+    """Text of 20 values or more is classified, a number of few values regressed."""
+    from mirage.operators import metrics as M
+    from mirage.operators.prep import encode
+    rows = [(i, float(i * 37 % 101), f"t{k:02d}" if (k := i * 7 % 60) < 25 else "t00", float(i * 13 % 29 < 14)) for i in range(600)]
+    enc, _ = encode(spark.createDataFrame(rows, "row_id long, x double, s string, n double"))
+    real, syn = enc.filter("row_id < 300"), enc.filter("row_id >= 300")
+    assert real.select("s").distinct().count() >= 20
+    assert M.data_leakage(real, syn, ["s"], ["x", "s"]).first()[0] > 0.3
+    assert M.data_leakage(real, syn, ["n"], ["x", "n"]).first()[0] < 0.2
