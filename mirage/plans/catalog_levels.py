@@ -489,9 +489,8 @@ def serve_stream(spark, d):
 @query("add_metric")
 def add_metric(spark, d):
     real, _ = cust_roles(spark, d)
-    models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in list(_SERVE_EPS.items())[:2]}
-    lv = _serve_levels(spark).filter(F.col("level").isin(list(models)))
-    return rounded(L.add_metric(real, lv, models, "singlingout", (100, 300), 2, SEED, FEATS))
+    models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in _SERVE_EPS.items()}
+    return rounded(L.add_metric(real, _serve_levels(spark), models, "singlingout", (100, 300), 2, SEED, FEATS))
 
 
 @query("add_generator")
@@ -536,9 +535,9 @@ def prepare(spark, d):
     """Requests nothing served (serve -> pending) go to preparation; all of
     them ask for the level named 'any', which is prepared once."""
     real, _ = cust_roles(spark, d)
-    models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in list(_SERVE_EPS.items())[:2]}
+    models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in _SERVE_EPS.items()}
     reqs = _serve_requests(spark, d)
-    lv = _serve_levels(spark).filter(F.col("level").isin(list(models)))
+    lv = _serve_levels(spark)
     served = L.serve(real, reqs, lv, models, None, 10, SEED, FEATS)
     pending = reqs.join(served.filter(F.col("status") == "pending").select("request_id"), "request_id", "left_semi")
     return L.prepare(real, pending, lv, models, 300, SEED, FEATS)

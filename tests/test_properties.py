@@ -222,3 +222,8 @@ def test_leakage_by_type(spark):
     assert real.select("s").distinct().count() >= 20
     assert M.data_leakage(real, syn, ["s"], ["x", "s"]).first()[0] > 0.3
     assert M.data_leakage(real, syn, ["n"], ["x", "n"]).first()[0] < 0.2
+
+
+def test_every_level_scored_on_a_new_metric(spark):
+    from mirage.plans import catalog_levels as C
+    assert {r["level"] for r in C.add_metric(spark, "/root/testdata/sf0.001").collect()} == set(C._SERVE_EPS)
