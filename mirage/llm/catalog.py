@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mirage.llm import (op1_substrings, op2_url_filter, op3_quality, op4_toxicity, op5_jaccard, op6_warc, op7_tokens, op8_mixing, op9_packing,
-                        op10_simhash, op11_alignment, op12_tree_dedup)
+                        op10_simhash, op11_alignment, op12_tree_dedup, op13_repair)
 
 QUERIES = {
     "op1_substring_dedup": op1_substrings.op1_substring_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_simhash": op10_simhash.op10_simhash,
     "op11_tokenizer_alignment": op11_alignment.op11_tokenizer_alignment,
     "op12_tree_merge_dedup": op12_tree_dedup.op12_tree_merge_dedup,
+    "op13_conversation_repair": op13_repair.op13_conversation_repair,
 }
 ORACLE = {
     "op2_url_filter": op2_url_filter.SQL,
