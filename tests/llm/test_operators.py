@@ -20,12 +20,12 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
 from check_oracle import digest  # noqa: E402
 from mirage.llm import (catalog, op1_substrings, op2_url_filter, op3_quality, op4_toxicity, op5_jaccard, op6_warc, op7_tokens, op8_mixing,
-                        op9_packing, op10_simhash)  # noqa: E402
+                        op9_packing, op10_simhash, op11_alignment, op12_tree_dedup, op13_repair)  # noqa: E402
 from mirage.llm.common import Words, chunks, sliding_min  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE, WORD_BPE, PIECE_BPE = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, `_id` string, copies int, seen long"
 SPACE = bytes([9, 10, 11, 12, 13, 32])
 
@@ -197,6 +197,47 @@ def test_restoring_spaced_signs_and_doubles():
     r.words("x " * 30_000)
 
 
+def test_viterbi_against_all_paths():
+    """The best path of small lattices among all of them, word edges included."""
+    import itertools
+    rnd = np.random.default_rng(7)
+    model = np.log(rnd.random((64, 64, 64)) + 0.01).astype(np.float32)
+    codes = op4_toxicity.letter_codes()
+
+    def cost_of(letters):
+        a, b, out = 0, 0, 0.0
+        for ch in [*letters, " "]:
+            if ch == " ":
+                if not b:
+                    return None  # no word ends here
+                out += float(model[a, b, 0])
+                a, b = 0, 0
+            else:
+                c = int(codes[ord(ch)])
+                out += float(model[a, b, c])
+                a, b = b, c
+        return out
+
+    for token, edges in (("1d10t", ()), ("st*p", ()), ("$$up", ()), ("aab4", ()), ("4$1", ()), ("abcd", (1, 3)), ("a1b", (1,))):
+        found = {}
+        lattice = op4_toxicity.columns(token)
+        for pick in itertools.product(*lattice):
+            for cut in itertools.product((False, True), repeat=len(edges)):
+                at = {e for e, c in zip(edges, cut, strict=True) if c}
+                letters = "".join((" " if i in at else "") + x for i, (x, _) in enumerate(pick))
+                if (score := cost_of(letters)) is not None:
+                    found[letters] = max(found.get(letters, -1e9), score - sum(c for _, c in pick))
+        got = op4_toxicity.restore(token, model, frozenset(edges))
+        assert abs(found[got] - max(found.values())) < 1e-3
+
+
+def test_short_tokens_are_one_run():
+    r = op4_toxicity.Restorer(np.log(np.full((64, 64, 64), 1 / 64)).astype(np.float32))
+    assert r._token("--")[1:] == ("m", "") and r._token("a")[1:] == ("1", "a") and r._token("ab")[1] == "2" and r._token("abc")[1] == "w"
+    long = "z" * 100
+    assert r.word(long) and long not in r.known
+
+
 def test_toxicity(spark, odd, none):
     sf = SF_SMALL.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -430,7 +471,7 @@ def brute_fingerprint(spark, text):
 def test_simhash(spark, odd, odd_rows, none):
     got = op10_simhash.simhash_report(odd).collect()
     texts = {(d, t or "") for d, t in pairs(odd)}
-    assert len(got) == len(texts)
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == sorted((str(d), len(t or "")) for d, t in pairs(odd))
     by = {r["doc_id"]: r for r in got}
     order = sorted({d: t for d, t in texts if d is not None}.items())
     for k, (d, t) in enumerate(order):
@@ -476,13 +517,13 @@ def test_hamming_search_with_flips(spark):
 
 
 def test_near_copies_found(spark):
-    """Copies with a word in 60 replaced are listed between representatives."""
+    """Copies with a word in 60 replaced are found by the queries' search."""
     rnd = random.Random(6)
     source = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
     base = {}
     for d, t in sorted(pairs(source)):
         if 100 <= len((t or "").split()) <= 600:
-            base.setdefault(t, d)
+            base.setdefault(t, 20 * d)
 
     def shingles(w):
         return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
@@ -494,16 +535,271 @@ def test_near_copies_found(spark):
             w[k] = "changed"
         a, b = shingles(t.split()), shingles(w)
         if len(a & b) >= 0.8 * len(a | b):
-            rows += [(d, t), (d + 10 ** 6, " ".join(w)), (d + 2 * 10 ** 6, t)]
-            planted.append((d, d + 10 ** 6))
+            rows += [(d, t), (d + 7, " ".join(w)), (d + 13, t)]
+            planted.append((d, d + 7))
     got = {r["doc_id"]: r for r in op10_simhash.simhash_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(planted) > 100 and all(got[a + 2 * 10 ** 6]["representative"] == got[a]["representative"] <= a for a, _ in planted)
+    assert len(planted) > 100 and all(got[a + 13]["representative"] == got[a]["representative"] <= a for a, _ in planted)
     rep = {d: r["representative"] for d, r in got.items()}
-    assert all((r["near_ids"] is None) == (d != rep[d]) for d, r in got.items())
-    found = [rep[a] == rep[b] or rep[b] in got[rep[a]]["near_ids"] and rep[a] in got[rep[b]]["near_ids"] for a, b in planted]
+    assert all((r["near_ids"] is None) == (d % 20 != 0) for d, r in got.items())
+    found = [rep[a] == rep[b] or rep[b] in got[a]["near_ids"] for a, b in planted]
     assert sum(found) >= 0.9 * len(planted)
 
 
+def test_search_columns_by_brute_force(spark):
+    """Classes, partners and counts of every row; two texts under one doc_id."""
+    rnd = random.Random(12)
+    base = [f"word{rnd.randrange(500)}" for _ in range(150)]
+    rows = []
+    for d in range(90):
+        w = list(base) if d % 3 else [f"other{rnd.randrange(400)}" for _ in range(100)]
+        for _ in range(d % 4):
+            w[rnd.randrange(100)] = f"new{d}"
+        rows.append((d, " ".join(w)))
+    rows += [rows[20], rows[21], (40, " ".join(base[:-30] + ["tail"] * 30)), (40, " ".join(base[:-30] + ["liat"] * 30)), (None, rows[20][1])]
+    got = op10_simhash.simhash_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(d) for d, _ in rows)
+    fp = [(r["doc_id"], int(r["search_fingerprint"], 16)) for r in got]
+    rep = {}
+    for d, f in fp:
+        if d is not None:
+            rep[f] = min(rep.get(f, d), d)
+    for r in got:
+        own = int(r["search_fingerprint"], 16)
+        near = {f for f in {x for _, x in fp} if f != own and (f ^ own).bit_count() <= op10_simhash.RADIUS}
+        assert r["representative"] == rep.get(own)
+        asks = [d for d, f in fp if f in near and d is not None and d % 20 == 0]
+        assert r["near_query"] == min(asks, default=None)
+        if r["doc_id"] is not None and r["doc_id"] % 20 == 0:
+            assert r["near_ids"] == sorted(rep[f] for f in near if f in rep)
+            assert r["near_docs"] == sum(f in near or f == own for _, f in fp) - 1
+        else:
+            assert r["near_ids"] is None and r["near_docs"] is None
+    two = [r["fingerprint"] for r in got if r["doc_id"] == 40]
+    assert len(set(two)) == 3 == len(two)
+    by_text = {brute_fingerprint(spark, t) for d, t in rows if d == 40}
+    assert set(two) == by_text
+
+
+# --- op11 -------------------------------------------------------------------------
+
+def brute_alignment(rows):
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a_lib = Tokenizer.from_file(BYTE_BPE)
+    a_lib.encode_special_tokens = True
+    b_lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    docs, count = [], collections.Counter()
+    for d, t in rows:
+        a, b = (a_lib.encode(" " + t, add_special_tokens=False).ids, b_lib.encode(t)) if t else ([], [])
+        spell_a = [bytes(letter[c] for c in a_lib.id_to_token(i)) for i in a]
+        spell_b = [bytes([int(b_lib.id_to_piece(i)[3:5], 16)]) if b_lib.is_byte(i) else b_lib.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if not t or not b"".join(spell_a) == b"".join(spell_b) == (" " + t).encode():
+            docs.append((d, None))
+            continue
+        end_a, end_b = (np.cumsum([len(x) for x in s]).tolist() for s in (spell_a, spell_b))
+        groups, links, i, j = [], [], 0, 0
+        for e in sorted(set(end_a) & set(end_b)):
+            m, n = end_a.index(e, i) + 1, end_b.index(e, j) + 1
+            groups.append(",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
+            links += [(a[p], b[q]) for p in range(i, m) for q in range(j, n)
+                      if end_a[p] - len(spell_a[p]) < end_b[q] and end_b[q] - len(spell_b[q]) < end_a[p]]
+            i, j = m, n
+        count.update(links)
+        docs.append((d, (len(a), len(b), groups, links)))
+    top = {}
+    for (_, y), n in count.items():
+        top[y] = max(top.get(y, 0), n)
+    out = []
+    for d, r in docs:
+        if r is None:
+            out.append((d, 0, 0, 0, 0, 0, 0, ""))
+        else:
+            a, b, groups, links = r
+            out.append((d, a, b, len(groups), len(links), sum(count[x] == top[x[1]] for x in links), sum(count[x] for x in links),
+                        hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+ALIGNED = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def aligned(df, **how):
+    return sorted(map(tuple, op11_alignment.alignment(df, BYTE_BPE, PIECE_BPE, **how).select(ALIGNED).collect()), key=str)
+
+
+def test_alignment(spark, table_docs, odd, none):
+    rnd = random.Random(4)
+    signs = ["a", "b", " ", "  ", "\n", "\t", "é", "▁", "\x1c", "\u3000", "\xa0", "\x85", "the", "'s", "ing", "<s>", "<|endoftext|>", "1", "23", "日",
+             "😀", "\0", ".", "<0x41>"]
+    rows = [(i, "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 14)))) for i in range(1500)]
+    rows += [(None, "the cat"), (5, None), (6, "y" * 3000), (6, "y" * 3000), (7, " " * 500 + "x")]
+    assert aligned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), slice_bytes=2000) == brute_alignment(rows)
+    assert aligned(table_docs) == brute_alignment(pairs(table_docs))
+    assert aligned(odd) == brute_alignment(pairs(odd))
+    assert aligned(none) == []
+    assert aligned(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_alignment_without_cuts(table_docs, monkeypatch):
+    """Files that don't promise token edges at spaces: every text is one part."""
+    aligner = op11_alignment.Aligner(BYTE_BPE, PIECE_BPE)
+    aligner.cuts, aligner.ranked = False, None
+    cutting = op11_alignment.Aligner(BYTE_BPE, PIECE_BPE)
+    for _, t in pairs(table_docs)[:40]:
+        if t:
+            aligner.learn(aligner.parts(t))
+            cutting.learn(cutting.parts(t))
+            a, b, g, n, spelled, same, pair = aligner.known[t]
+            got = [cutting.known[p] for p in cutting.parts(t)]
+            assert (a, b, g, n) == tuple(sum(x[k] for x in got) for k in range(4)) and spelled == b";".join(x[4] for x in got)
+            assert same == b"".join(x[5] for x in got) and pair == b"".join(x[6] for x in got)
+
+
+# --- op12 -------------------------------------------------------------------------
+
+def brute_duplicates(rows):
+    groups, out = collections.defaultdict(list), []
+    for k, (d, t) in enumerate(rows):
+        bare = bytes(b for b in (t or "").encode() if b not in SPACE)
+        groups[bare].append((-len(t or ""), d is None, d or 0, k))
+    for bare, g in groups.items():
+        best = min(g)
+        for x in g:
+            out.append((rows[x[3]][0], rows[best[3]][0], len(g), x is best, hashlib.sha256(bare).hexdigest()))
+    return sorted(out, key=str)
+
+
+def duplicates(df, **how):
+    return sorted(map(tuple, op12_tree_dedup.exact_duplicates(df, **how).collect()), key=str)
+
+
+@pytest.mark.parametrize("how", [{}, {"fan_in": 2, "run_entries": 8}, {"fan_in": 3, "run_entries": 50}])
+def test_exact_duplicates(spark, table_docs, odd, none, how):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, "", " \t", "a b", "ab", "a\nb ", "\x1cab", "é", " é", "A B", "zz " * 30_000])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 2, 17):
+        assert duplicates(df.repartition(n), **how) == brute_duplicates(rows)
+    assert duplicates(table_docs.repartition(9), **how) == brute_duplicates(pairs(table_docs))
+    assert duplicates(odd, **how) == brute_duplicates(pairs(odd))
+    assert duplicates(none, **how) == []
+
+
+def test_merged_runs_keep_the_least():
+    rnd = random.Random(8)
+    entries = np.zeros(400, op12_tree_dedup.ENTRY)
+    for k in range(400):
+        entries[k] = (op12_tree_dedup.text_key(b"t%d" % rnd.randrange(60)), -rnd.randrange(3), rnd.randrange(2), rnd.randrange(5), k, 1)
+    whole = op12_tree_dedup.merge_runs([entries])
+    runs = [op12_tree_dedup.merge_runs([entries[i:i + 37]]) for i in range(0, 400, 37)]
+    assert whole.tolist() == op12_tree_dedup.merge_runs(runs).tolist()
+    for e in whole:
+        same = entries[entries["key"] == e["key"]]
+        assert e["n"] == len(same) and tuple(e)[1:5] == min(tuple(x)[1:5] for x in same)
+
+
+# --- op13 -------------------------------------------------------------------------
+
+def cheapest(rows):
+    """(cost, audit) of (initial, fault) rows: all edits, to a fixed point."""
+    n, best = len(rows), {}
+    best = {(i, q): (10 ** 9, "") for i in range(n + 1) for q in range(4)} | {(n, 0): (0, ""), (n, 3): (0, "")}
+    step = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    while True:
+        before = dict(best)
+        for i, q in before:
+            ways = [(3, "I", i, r) for r in "ua"]
+            if i < n:
+                initial, bad = rows[i]
+                ways.append((4, "D", i + 1, None))
+                if bad in "kt":
+                    more = 3 if bad == "t" else 0
+                    ways += [(more, "K", i + 1, initial), (3 + more, "R", i + 1, "u"), (3 + more, "R", i + 1, "a")]
+            for cost, edit, j, r in ways:
+                to = q if r is None else step.get((q, r))
+                if to is not None:
+                    best[i, q] = min(best[i, q], (best[j, to][0] + cost, edit + best[j, to][1]))
+        if best == before:
+            return best[0, 0]
+
+
+def all_edits(rows):
+    """The cheapest of all edit lists with at most two inserted rows in a place."""
+    import itertools
+    import re
+    gaps = ["".join(x) for k in range(3) for x in itertools.product("ua", repeat=k)]
+    options = []
+    for initial, bad in rows:
+        more = 3 if bad == "t" else 0
+        options.append([(4, "D", "")] + ([(more, "K", initial or "?"), (3 + more, "R", "u"), (3 + more, "R", "a")] if bad in "kt" else []))
+    out = []
+    for gap in itertools.product(gaps, repeat=len(rows) + 1):
+        for pick in itertools.product(*options):
+            if re.fullmatch("(s?(ua)+)?", gap[0] + "".join(p[2] + g for p, g in zip(pick, gap[1:], strict=True))):
+                out.append((3 * sum(map(len, gap)) + sum(p[0] for p in pick),
+                            "I" * len(gap[0]) + "".join(p[1] + "I" * len(g) for p, g in zip(pick, gap[1:], strict=True))))
+    return min(out)
+
+
+def test_lightest_derivations():
+    rnd = random.Random(1)
+    for k in range(250):
+        rows = [(rnd.choice(["s", "u", "a", "t", ""]), rnd.choice("kkktbd")) for _ in range(rnd.randint(0, 3 if k < 50 else 30))]
+        symbols = [i + b for i, b in rows]
+        want = cheapest(rows)
+        assert k >= 50 or want == all_edits(rows)
+        assert op13_repair.lightest(symbols, (0, 3), (0,))[0] == want
+        assert op13_repair.chain(iter(op13_repair.segments(symbols, rnd.randint(1, 7)))) == want
+
+
+def brute_repairs(rows):
+    import re
+    by, out = collections.defaultdict(list), []
+    for c, t, r, x in rows:
+        r, x = " " if r is None else r, " " if x is None else x
+        draw = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        x = "" if draw == 1 else re.sub("[.!?]", "", x) if draw == 2 else x
+        by[c] += [(t, "user" if draw == 4 else r, x)] * (0 if draw == 0 else 2 if draw == 3 else 1)
+    for c in {x[0] for x in rows}:
+        own = sorted(by[c], key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode()))
+        seen, bad = set(), []
+        for _, r, x in own:
+            bare = x.strip(" \t\n\v\f\r")
+            bad.append("b" if not bare else "d" if (r, x) in seen else "k" if bare[-1] in ".!?" else "t")
+            seen.add((r, x))
+        cost, audit = cheapest([(r[:1], f) for (_, r, _), f in zip(own, bad, strict=True)])
+        left, i = [], 0
+        for e in audit:
+            role = "assistant" if left and left[-1][0] == "u" else "user"
+            if e != "I":
+                _, r, x = own[i]
+                i += 1
+            if e in "IRK":
+                left.append(f"{role}:" if e == "I" else f"{role}:{x}" if e == "R" else f"{r}:{x}")
+        turns = {t for t, _, _ in own} - {None}
+        out.append((c, max(turns) - min(turns) + 1 - len(turns) if turns else 0, *[bad.count(k) for k in "bdt"],
+                    sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(own, own[1:], strict=False)), cost, audit,
+                    hashlib.sha256("\n".join(left).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+REPAIRED = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+@pytest.mark.parametrize("how", [{}, {"range_rows": 20, "segment_rows": 7}])
+def test_conversation_repair(spark, how):
+    rnd = random.Random(1)
+    odd = [(rnd.choice([None, 1, 2, 3, 3, 3, 3]), rnd.choice([None, *range(40)]), rnd.choice([None, "", "user", "assistant", "system", "tool"]),
+            rnd.choice([None, "", "a.", "b", "c!", "  ", "d?\n", "e" * 50_000])) for _ in range(400)]
+    table = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    for rows, part in ((odd, 5), ([tuple(r) for r in table.collect()], 2), (odd[:1], 1)):
+        df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, seen int, audit string").repartition(part)
+        assert sorted(map(tuple, op13_repair.repair_report(df, **how).select(REPAIRED).collect()), key=str) == brute_repairs(rows)
+    assert op13_repair.repair_report(table.filter("false"), **how).count() == 0
+
+
 # --- SQL --------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
