@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 
 from mirage.llm.common import chunks, stash, table
 
-SLICE_BYTES = 16 << 20
-CACHE_PARTS = 300_000
+SLICE_BYTES = 4 << 20
+CACHE_PARTS = 250_000
 CACHE_PART_CHARS = 64
 # A space that is not between two other characters.
 _LOOSE = re.compile(r"\s | \s| $")
@@ -75,7 +75,9 @@ class Aligner:
         self.cuts = _splits_at_spaces(path_a) and not any(
             "▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
         self.known: dict[str, tuple] = {}
+        self.ranked = _by_rank(path_a, self.a_bytes) if self.cuts else None
         number = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.spell_len = np.array([len(x) + 1 for x in number], dtype=np.int64)
         self.spell = {}
         for sign in ",|;":
             self.spell[sign] = np.array([x + sign.encode() for x in number], dtype=object)
@@ -91,47 +93,54 @@ class Aligner:
 
     def learn(self, parts: list[str]) -> None:
         """(a, b, groups, links, spelled groups, identity ids, pairs) of parts, each
-        after a space; None where the tokens don't spell it."""
-        for i in range(0, len(parts), 4096):
-            some = parts[i:i + 4096]
-            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
-            b = self.b.encode(some, num_threads=1)
-            raw = [(" " + p).encode() for p in some]
-            whole = b"".join(raw)
-            flat_a, flat_b = ([t for x in y for t in x] for y in (a, b))
-            if (b"".join(map(self.a_bytes.__getitem__, flat_a)) != whole or b"".join(map(self.b_bytes.__getitem__, flat_b)) != whole
-                    or not self._same_lengths(raw, a, b)):
-                good = [b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y))
-                        for t, x, y in zip(raw, a, b, strict=True)]
-                self.known.update((p, None) for p, g in zip(some, good, strict=True) if not g)
-                some, a, b = ([x for x, g in zip(xs, good, strict=True) if g] for xs in (some, a, b))
-            if some:
-                self._align(some, a, b)
-
-    def _same_lengths(self, raw, a, b) -> bool:
-        want = np.array([len(t) for t in raw])
-        for ids, length in ((a, self.a_len), (b, self.b_len)):
-            first = np.cumsum([0] + [len(x) for x in ids])
-            ends = np.concatenate([[0], np.cumsum(length[np.array([t for x in ids for t in x], dtype=np.int64)])])
-            if not np.array_equal(np.diff(ends[first]), want):
-                return False
+        after a space; None where the tokens don't spell it. Parts that begin and end
+        with other characters are encoded in one text."""
+        plain, other = [], []
+        for p in parts:
+            (plain if self.cuts and p and not p[0].isspace() and not p[-1].isspace() else other).append(p)
+        for i in range(0, len(plain), 2048):
+            some = plain[i:i + 2048]
+            text = " ".join(some)
+            if not self._aligned(some, self._ids(text)):
+                other += some
+        for p in other:
+            if not self._aligned([p], self._ids(p)):
+                self.known[p] = None
+
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if self.ranked is not None:
+            a = self.ranked.encode_ordinary(" " + text)
+        else:
+            a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        return np.array(a, dtype=np.int64), np.array(self.b.encode(text), dtype=np.int64)
+
+    def _aligned(self, parts: list[str], ids: tuple[np.ndarray, np.ndarray]) -> bool:
+        """Whether the ids spell the parts and cut at their ends; then they are known."""
+        raw = [(" " + p).encode() for p in parts]
+        whole = b"".join(raw)
+        if any(b"".join(map(spelled.__getitem__, x.tolist())) != whole for spelled, x in zip((self.a_bytes, self.b_bytes), ids, strict=True)):
+            return False
+        ends = np.cumsum([len(t) for t in raw])
+        n = [np.searchsorted(np.cumsum(length[x]), ends) + 1 for length, x in zip((self.a_len, self.b_len), ids, strict=True)]
+        if any((np.cumsum(length[x])[k - 1] != ends).any() for length, x, k in zip((self.a_len, self.b_len), ids, n, strict=True)):
+            return False
+        self._align(parts, *ids, *n)
         return True
 
-    def _align(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+    def _align(self, parts: list[str], ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> None:
         """All parts at once: bytes are numbered through, so every part's end is an
         end in both and a group never crosses it."""
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        ids_a, ids_b = (np.array([t for x in y for t in x], dtype=np.int64) for y in (a, b))
         ends_a, ends_b = np.cumsum(self.a_len[ids_a]), np.cumsum(self.b_len[ids_b])
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        shared = ends_a[np.searchsorted(ends_a, ends_b)] == ends_b  # both end at the last byte
+        both = ends_b[shared]
         group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
         size_a, size_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
         # Between two neighbouring ends of either lies exactly one overlapping pair.
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate([ends_a, ends_b[~shared]]), kind="stable")
         link_a, link_b = ids_a[np.searchsorted(ends_a, ends)], ids_b[np.searchsorted(ends_b, ends)]
         group = np.searchsorted(both, ends)
         same = (size_a + size_b == 2)[group] & (self.identity[link_a] == link_b)
-        part_end = ends_a[np.cumsum(n_a) - 1]
+        part_end = ends_a[to_a - 1]
         link_to, group_to = np.searchsorted(ends, part_end) + 1, np.searchsorted(both, part_end) + 1
         same_to = np.cumsum(same)[link_to - 1]
         ids, pairs = link_a[same].tobytes(), ((link_a << 32) | link_b)[~same].tobytes()
@@ -141,11 +150,12 @@ class Aligner:
         last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
         text[np.arange(len(ids_a)) + before_a[group_a]] = np.where(last_a, self.spell["|"][ids_a], self.spell[","][ids_a])
         text[np.arange(len(ids_b)) + before_b[group_b]] = np.where(last_b, self.spell[";"][ids_b], self.spell[","][ids_b])
-        text = text.tolist()
-        text_to = (np.cumsum(n_a) + np.cumsum(n_b)).tolist()
+        text = b"".join(text.tolist())
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        text_to = (np.cumsum(self.spell_len[ids_a])[to_a - 1] + np.cumsum(self.spell_len[ids_b])[to_b - 1]).tolist()
         t = g = k = m = 0
         for p, x, y, t2, g2, k2, m2 in zip(parts, n_a.tolist(), n_b.tolist(), text_to, group_to.tolist(), link_to.tolist(), same_to.tolist(), strict=True):
-            self.known[p] = (x, y, g2 - g, k2 - k, b"".join(text[t:t2])[:-1], ids[8 * m:8 * m2], pairs[8 * (k - m):8 * (k2 - m2)])
+            self.known[p] = (x, y, g2 - g, k2 - k, text[t:t2 - 1], ids[8 * m:8 * m2], pairs[8 * (k - m):8 * (k2 - m2)])
             t, g, k, m = t2, g2, k2, m2
 
     def forget(self, parts) -> None:
@@ -164,6 +174,20 @@ def _splits_at_spaces(path: str) -> bool:
     return (not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True))
 
 
+def _by_rank(path: str, spelled: list[bytes]):
+    """The same tokens from a library that merges by the rank of the bytes, several
+    times faster; None unless the file's merges are in the order of their ids."""
+    import public_tokenizers
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if model.get("ignore_merges") or any(model["vocab"][x + y] != 256 + k for k, (x, y) in enumerate(pairs)):
+        return None
+    ranks = {spelled[i]: i for i in model["vocab"].values() if spelled[i] and i < 256 + len(pairs)}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _bytes_of_letters(tokenizer) -> list[bytes]:
     """Bytes of every id of a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -184,6 +208,17 @@ def _bytes_of_pieces(model) -> list[bytes]:
     return out
 
 
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One for all tasks of a Python worker."""
+    if (path_a, path_b) not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
+    return _ALIGNERS[path_a, path_b]
+
+
 class _Slice:
     """Documents and distinct parts of a slice."""
 
@@ -191,6 +226,7 @@ class _Slice:
         self.number, self.bytes, self.rows = number, 0, 0
         self.local: dict[str, int] = {}
         self.results: list[tuple[bytes, bytes]] = []
+        self.spelled: list[bytes] = []
         self.counts = np.zeros((0, 4), np.int64)
         self.uses = np.zeros(0, np.int64)
 
@@ -199,6 +235,7 @@ class _Slice:
         self.local.update(zip(new, range(len(self.local), len(self.local) + len(new)), strict=True))
         found = [known[p] for p in new]
         self.results += [(b"", b"") if r is None else r[5:] for r in found]
+        self.spelled += [b"" if r is None else r[4] for r in found]
         self.counts = np.concatenate([self.counts, np.array([r[:4] if r else (-1, 0, 0, 0) for r in found], np.int64).reshape(-1, 4)])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
@@ -231,7 +268,7 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = S
 
     def run(batches) -> Iterator:
         from pyspark import TaskContext
-        aligner = Aligner(path_a, path_b)
+        aligner = _aligner(path_a, path_b)
         vector = np.zeros(len(aligner.a_bytes), np.int64)
         own = TaskContext.get().partitionId() << 32
         now = _Slice(own)
@@ -252,13 +289,14 @@ def aligned_rows(docs: DataFrame, path_a: str, path_b: str, slice_bytes: int = S
                 now.add(distinct, aligner.known)
                 got = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "parts")}
                 for parts in cut:
-                    at = np.fromiter(map(now.local.__getitem__, parts), np.int32, len(parts))
+                    own_parts = list(map(now.local.__getitem__, parts))
+                    at = np.array(own_parts, dtype=np.int32)
                     sums = now.counts[at]
                     if not len(at) or (sums[:, 0] < 0).any():
                         sums, sha, at = np.zeros(4, np.int64), "", at[:0]
                     else:
                         sums = sums.sum(0)
-                        sha = hashlib.sha256(b";".join([aligner.known[p][4] for p in parts])).hexdigest()
+                        sha = hashlib.sha256(b";".join(map(now.spelled.__getitem__, own_parts))).hexdigest()
                         np.add.at(now.uses, at, 1)
                     for c, v in zip(got, [*sums.tolist(), sha, at.tobytes()], strict=True):
                         got[c].append(v)
