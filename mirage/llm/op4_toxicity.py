@@ -34,12 +34,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirage.llm.common import chunks, table
+from mirage.llm.common import chunks, stash, table
 
 TRAIN_ROWS = 16_000
 THRESHOLD = 0.7
 CACHE_TOKENS = 200_000
 FEATURE_BITS = 20
+LEAST_USES, LEAST_RATIO = 3, 5  # of a feature in toxic rows
 SYMBOLS = 64
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -47,6 +48,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 VOWELS = "aeiou"
 SIGN_COST, DROP_COST, END_COST, RUN_COST, DOUBLE_COST, GUESS_COST = 1.0, 5.0, 1.5, 0.5, 2.0, 2.5
 _EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+_DOUBLED = re.compile(r"(.)\1")
+_RUN = re.compile("[12m]*1[12m]*")
 _EDGES = "\"'.,;:?)]}[{<>«»“”„…-_*%&#~^=/\\"
 
 
@@ -174,48 +177,53 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, str, str]] = {}
+        self.runs: dict[str, str] = {}
 
     def word(self, token: str) -> str:
+        return self._token(token)[0]
+
+    def _token(self, token: str) -> tuple[str, str, str]:
+        """(restored word, kind, core); kind: "m" a mark alone, "1" one sign, "2" two
+        signs, "w" any other word. Short tokens are remembered."""
         got = self.known.get(token)
         if got is None:
             t = core(token)
-            plain = t.isalpha() and not re.search(r"(.)\1", t)
-            got = t if plain else restore(t, self.model) if signs_only(t) or any(ch.isalpha() for ch in t) else ""
-            self._keep(token, got)
+            plain = t.isalpha() and not _DOUBLED.search(t)
+            word = t if plain else restore(t, self.model) if signs_only(t) or any(ch.isalpha() for ch in t) else ""
+            kind = "w"
+            if not any(ch.isalnum() or ch in LEET for ch in token):
+                kind = "m"
+            elif 0 < len(t) <= 2 and all(ch.isalpha() or ch in LEET for ch in t):
+                kind = str(len(t))
+            got = word, kind, t
+            if len(token) <= 64:
+                if len(self.known) >= CACHE_TOKENS:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
     def spaced(self, run: list[str]) -> list[str]:
         """Words of a run of short tokens."""
         key = " ".join(run)
-        got = self.known.get(key)
+        got = self.runs.get(key)
         if got is None:
             starts = np.cumsum([len(t) for t in run]).tolist()
             got = restore("".join(run), self.model, frozenset(starts[:-1]))
-            self._keep(key, got)
+            if len(key) <= 64:
+                if len(self.runs) >= CACHE_TOKENS:
+                    self.runs.clear()
+                self.runs[key] = got
         return got.split()
 
-    def _keep(self, key: str, got: str) -> None:
-        if len(key) <= 64:
-            if len(self.known) >= CACHE_TOKENS:
-                self.known.clear()
-            self.known[key] = got
-
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
-        out = {self.word(t) for t in set(tokens)}
-        if any(len(t) <= 2 for t in tokens):
-            run: list[str] = []
-            for t in [*tokens, "end"]:
-                if not any(ch.isalpha() or ch in LEET for ch in t) and not any(ch.isdigit() for ch in t):
-                    continue  # a mark between tokens
-                c = core(t)
-                if 0 < len(c) <= 2 and all(ch.isalpha() or ch in LEET for ch in c):
-                    run.append(c)
-                    continue
-                if sum(len(x) == 1 for x in run) > 2:
-                    out.update(self.spaced(run))
-                run = []
+        own = {t: self._token(t) for t in set(tokens)}  # one lookup per distinct token
+        out = {w for w, _, _ in own.values()}
+        kinds = "".join([own[t][1] for t in tokens])
+        for m in _RUN.finditer(kinds):
+            if m.group().count("1") > 2:
+                out.update(self.spaced([own[t][2] for t in tokens[m.start():m.end()] if own[t][1] != "m"]))
         out.discard("")
         return out
 
@@ -238,7 +246,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[dict[int, float], float]:
     size = 1 << FEATURE_BITS
     pos = np.bincount(feat, weights=y[doc], minlength=size)
     neg = np.bincount(feat, weights=1 - y[doc], minlength=size)
-    use = (pos >= 3) & (pos / y.sum() > 5 * neg / (1 - y).sum())
+    use = (pos >= LEAST_USES) & (pos / y.sum() > LEAST_RATIO * neg / (1 - y).sum())
     keep = use[feat]
     doc, feat = doc[keep], feat[keep]
     names, col = np.unique(feat, return_inverse=True)
@@ -257,6 +265,8 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[dict[int, float], float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int) -> list[tuple[np.ndarray, int]]:
+    """(feature ids, toxic) of the labelled rows, with the features that ``fit`` may
+    use: they are counted in Spark, and only those are collected."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -265,13 +275,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: i
         import pyarrow as pa
         r = Restorer(model)
         for b in batches:
-            ids = [np.array(sorted({feature_id(f) for w in r.words(t or "") for f in features(w)}), dtype=np.int32).tobytes()
-                   for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), b.column(1)], names=["ids", "toxic"])
+            ids = [sorted({feature_id(f) for w in r.words(t or "") for f in features(w)}) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), b.column(1)], names=["ids", "toxic"])
 
     # ``some`` has at most ``rows`` rows of two numbers.
-    picked = docs.join(F.broadcast(some), "doc_id").select("text", "toxic").mapInArrow(run, "ids binary, toxic int")
-    got = sorted((bytes(x["ids"]), x["toxic"]) for x in picked.collect())
+    picked = stash(docs.join(F.broadcast(some), "doc_id").select("text", "toxic").mapInArrow(run, "ids array<int>, toxic int"))
+    size = picked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
+    if not size["pos"] or size["pos"] == size["n"]:
+        return [(np.zeros(0, np.int32), r["toxic"]) for r in picked.select("toxic").collect()]
+    counts = picked.select("toxic", F.explode("ids").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
+    # At most 2 ** FEATURE_BITS ids; the rule is that of ``fit``.
+    used = counts.filter((F.col("pos") >= LEAST_USES) & (
+        F.col("pos") / F.lit(float(size["pos"])) > LEAST_RATIO * (F.col("n") - F.col("pos")) / F.lit(float(size["n"] - size["pos"])))).select("f")
+    use = np.zeros(1 << FEATURE_BITS, dtype=bool)
+    use[[r["f"] for r in used.collect()]] = True
+
+    def only_used(batches) -> Iterator:
+        import pyarrow as pa
+        for b in batches:
+            ids = [np.array(x, dtype=np.int32) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[use[x]].tobytes() for x in ids], pa.binary()), b.column(1)], names=["ids", "toxic"])
+
+    got = sorted((bytes(x["ids"]), x["toxic"]) for x in picked.mapInArrow(only_used, "ids binary, toxic int").collect())
     return [(np.frombuffer(i, dtype=np.int32), t) for i, t in got]
 
 
