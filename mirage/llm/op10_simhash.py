@@ -11,17 +11,20 @@ same way: an edited word moves it by fewer bits than two word pairs do, and word
 that every text repeats don't make texts alike. The 64 bits are cut into ``BLOCKS``
 blocks; fingerprints that differ in at most ``RADIUS`` bits differ in at most
 ``RADIUS // BLOCKS`` bits of some block, so a query asks for each of its blocks with
-that many bits flipped. Equal fingerprints are one row with a count, represented by
-their smallest doc_id (``representative``); a representative has the doc_ids of the
-representatives within ``RADIUS`` (``near_ids``). A pair is taken from the first
-block that has it.
-
-Defined cases: null text is empty; an empty text's fingerprint is 0. Repeated rows
-(equal doc_id and text) give one row. A row without doc_id has no next document
-(its edited text is its own, near_next 0); fingerprints that only such rows have
-have no representative and are in no ``near_ids``. Next is by distinct doc_id; if the next
-id has several texts the least prefix counts. An empty table gives an empty
-result. Extra columns are ignored.
+that many bits flipped. Equal fingerprints are one class, represented by their
+smallest doc_id (``representative``). Queries are the classes with a doc_id divisible
+by ``QUERY_EVERY``, held against all classes: a query document has the
+representatives within ``RADIUS`` (``near_ids``) and the number of other documents
+within it (``near_docs``); every document has the least query doc_id of another
+class within ``RADIUS`` (``near_query``). A pair is taken from the first block that
+has it, and no pair of two documents that are not queries is made.
+
+Defined cases: null text is empty; an empty text's fingerprint is 0. Texts are read
+whole at any length, and every row is returned, repeated ones too. A row without
+doc_id has no next document (its edited text is its own, near_next 0), is no query and
+represents no class. Next is by distinct doc_id; if the next id has several texts the
+least prefix counts. An empty table gives an empty result. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -64,7 +67,8 @@ def _search_terms(text):
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", terms=_terms) -> DataFrame:
-    """(keys, fp long) per distinct key, all of whose texts vote."""
+    """(keys, fp long, weight long) per distinct key, all of whose texts vote;
+    ``weight`` is that of all terms."""
     votes = texts.select(*keys, F.explode(terms(F.col(text_col))).alias("t")).select(*keys, "t.h", F.col("t.n").cast("long").alias("n"))
     two = (1 << 32) + 1
     lanes = votes.groupBy(*keys).agg(F.sum("n").alias("_all"), *[
@@ -77,7 +81,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text", term
     fp = bits[0]
     for x in bits[1:]:
         fp = fp.bitwiseOR(x)
-    return lanes.select(*keys, fp.alias("fp"))
+    return lanes.select(*keys, fp.alias("fp"), F.col("_all").alias("weight"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -154,36 +158,41 @@ def near_fingerprints(queries: DataFrame, every: DataFrame, radius: int = RADIUS
 
 
 def simhash_report(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = QUERY_EVERY) -> DataFrame:
-    """Fingerprints of texts and edited texts, their likeness, and by the search
-    fingerprint every document's representative, the representatives' partners
-    within ``radius`` bits (``near_ids``, null for others) and for documents whose
-    id is divisible by ``every`` the number of other documents within them
-    (``near_docs``, else null)."""
-    e = edited_texts(docs).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    keys = ["doc_id", "next_id", "n_chars", "edited_sha256"]
-    voted = [_terms(F.col("text")), _terms(F.col("edited")), _search_terms(F.col("text"))]
+    """Fingerprints of texts and edited texts and their likeness, and what the search
+    of the documents with ids divisible by ``every`` finds; one row per row."""
+    e = edited_texts(docs).withColumn("edited_sha", F.unhex(F.sha2("edited", 256))).withColumn(
+        "text_sha", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+    keys = ["doc_id", "next_id", "n_chars", "text_sha", "edited_sha"]
+    # The last are no text's terms: their weight is the number of equal rows.
+    voted = [_terms(F.col("text")), _terms(F.col("edited")), _search_terms(F.col("text")),
+             F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).alias("n")))]
     all_terms = e.select(*keys, F.explode(F.array(*[F.struct(F.lit(w).alias("w"), t.alias("x")) for w, t in enumerate(voted)])).alias("b"))
     fps = fingerprints(all_terms.select(*keys, F.col("b.w").alias("w"), F.col("b.x").alias("terms")), [*keys, "w"], "terms", lambda t: t)
-    f = stash(fps.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == w, F.col("fp"))).alias(c) for w, c in enumerate(("fp", "ef", "sf"))]))
+    f = stash(fps.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == w, F.col("fp"))).alias(c) for w, c in enumerate(("fp", "ef", "sf"))],
+                                     F.max(F.when(F.col("w") == 3, F.col("weight"))).alias("copies")))
     nxt = f.groupBy(F.col("doc_id").alias("_n")).agg(F.min("fp").alias("nf"))
-    classes = stash(f.groupBy("sf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
-    near = near_fingerprints(classes.select(F.col("sf").alias("q")), classes.select(F.col("sf").alias("fp"), F.struct("n", "rep").alias("n")),
-                             radius, blocks).groupBy("q").agg(F.sum("n.n").alias("m"), F.sort_array(F.collect_list("n.rep")).alias("ids"))
-    found = classes.join(near, F.col("sf") == F.col("q"), "left").select(
+    asks = F.col("doc_id") % every == 0
+    classes = stash(f.groupBy("sf").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("rep"), F.min(F.when(asks, F.col("doc_id"))).alias("ask")))
+    near = stash(near_fingerprints(classes.filter("ask is not null").select(F.col("sf").alias("q")),
+                                   classes.select(F.col("sf").alias("fp"), F.struct("n", "rep").alias("n")), radius, blocks))
+    partners = near.groupBy(F.col("q").alias("_q")).agg(F.sum("n.n").alias("m"), F.sort_array(F.collect_list("n.rep")).alias("ids"))
+    asking = near.join(classes.select(F.col("sf").alias("_a"), "ask"), F.col("q") == F.col("_a")).groupBy(F.col("fp").alias("_f")).agg(
+        F.min("ask").alias("near_query"))
+    found = classes.join(partners, F.col("sf") == F.col("_q"), "left").join(asking, F.col("sf") == F.col("_f"), "left").select(
         F.col("sf").alias("_sf"), F.col("rep").alias("representative"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("near"),
-        F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+        F.coalesce("ids", F.array().cast("array<long>")).alias("ids"), "near_query")
     known = f.join(found, F.col("sf") == F.col("_sf")).select(
-        *keys, "fp", "ef", "sf", "representative", F.when(F.col("doc_id") % every == 0, F.col("near")).alias("near_docs"),
-        F.when(F.col("doc_id") == F.col("representative"), F.col("ids")).alias("near_ids"))
+        *keys, "fp", "ef", "sf", "copies", "representative", "near_query", F.when(asks, F.col("near")).alias("near_docs"),
+        F.when(asks, F.col("ids")).alias("near_ids"))
 
     def text_of(c):
         return F.lpad(F.lower(F.hex(c)), 16, "0")
 
-    return known.join(nxt, F.col("next_id") == F.col("_n"), "left").select(
-        "doc_id", "n_chars", "edited_sha256", text_of("fp").alias("fingerprint"), text_of("ef").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("ef")).alias("near_edited"),
+    return known.join(nxt, F.col("next_id") == F.col("_n"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), text_of("fp").alias("fingerprint"),
+        text_of("ef").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("ef")).alias("near_edited"),
         F.coalesce(likeness(F.col("fp"), F.col("nf")), F.lit(0.0)).alias("near_next"), "near_docs",
-        text_of("sf").alias("search_fingerprint"), "representative", "near_ids")
+        text_of("sf").alias("search_fingerprint"), "representative", "near_ids", "near_query")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
