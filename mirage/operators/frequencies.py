@@ -62,12 +62,13 @@ SCREEN_FACTOR = 5
 SCREEN_RSD = 0.05
 
 
-def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
+def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS, categorical=()) -> DataFrame:
     """The profile that binning needs (n_bins, categorical, lo, hi, n_rows),
     exact where it matters, without shuffling every distinct value of a
     continuous column: one pass gives min / max / rows and a HyperLogLog
     count; only columns whose estimate is small (so the bin count depends on
     the exact number) are counted exactly - and those have few values.
+    ``categorical``: columns whose values are categories at any width.
     Returned as a local table (one row per column)."""
     cols = cols or feature_columns(df)
     spark = df.sparkSession
@@ -83,7 +84,7 @@ def bin_profile(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
     rows = []
     for r in stats:
         nd = exact.get(r["column"], 0) if r["column"] in small else r["nd"]
-        rows.append((r["column"], int(nd), int(min(n_bins, nd)), bool(nd < CATEGORICAL_BELOW),
+        rows.append((r["column"], int(nd), int(min(n_bins, nd)), bool(nd < CATEGORICAL_BELOW or r["column"] in categorical),
                      r["lo"], r["hi"], int(r["n_rows"])))
     return spark.createDataFrame(rows, "column string, n_distinct long, n_bins long, categorical boolean, "
                                        "lo double, hi double, n_rows long")

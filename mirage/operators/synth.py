@@ -3,10 +3,13 @@
 A fitted generator is a small tidy DataFrame (the *model table*): one row per
 (column, bin) - or per (column, parent bin, bin) for conditional families -
 with its probability and cumulative interval ``[cum_lo, cum_hi)``. Fitting is
-one grouped count over the unpivoted private table plus noise; the model's size
-is bounded by columns x bins (categorical columns have fewer than 5 values), so
-generation reads it into a ``CASE`` chain evaluated inside whole-stage codegen
-over ``spark.range(count)``: no join, no shuffle, any number of rows.
+one grouped count over the unpivoted private table plus noise. Text columns
+(``categorical_columns``) are categories at any width, numbers below 5 values.
+Columns of up to ``INLINE_CATEGORIES`` categories are read into a ``CASE`` chain
+evaluated inside whole-stage codegen over ``spark.range(count)``: no join, no
+shuffle, any number of rows. Wider ones (kind ``wide``) stay a distributed table:
+a draw finds its category by an equi-join on its part of [0, 1), the categories
+being listed under the parts they cover (a guide table).
 
 Noise is a pure function of (seed, column, bin) through ``draw``; pass no seed
 to get one from ``secrets`` (the right default when real data is protected).
@@ -25,10 +28,11 @@ from mirage.functions.draws import draw, fresh_seed
 from mirage.functions.ordering import ordered_index, prefix_sum, take_first, top_k_per_group
 from mirage.operators.distance import nearest_distance, nearest_neighbor, nearest_other
 from mirage.operators.frequencies import bin_profile, feature_columns, to_long, value_key
-from mirage.operators.prep import INTEGRAL, dedupe, match_constraints
+from mirage.operators.prep import INTEGRAL, categorical_columns, dedupe, match_constraints
 
 N_BINS = 10
-MODEL_MAX_ROWS = 200_000  # a model table is metadata; refuse to inline more than this
+MODEL_MAX_ROWS = 200_000  # a model's inlined rows are metadata; refuse to inline more than this
+INLINE_CATEGORIES = 256
 
 MODEL_COLUMNS = ["family", "column", "kind", "bin", "bin_lo", "bin_hi", "parent", "parent_bin",
                  "noisy", "p", "cum_lo", "cum_hi", "integral", "n_train"]
@@ -41,7 +45,7 @@ def _bin_index(prof_cat: Column, k: Column) -> Column:
 
 
 def _profile(df: DataFrame, cols, n_bins: int, domain: dict | None) -> DataFrame:
-    prof = bin_profile(df, cols, n_bins)
+    prof = bin_profile(df, cols, n_bins, categorical_columns(df))
     if not domain:
         return prof
     spark = df.sparkSession
@@ -91,10 +95,9 @@ def _finish(model: DataFrame, group=("column",)) -> DataFrame:
     return m.withColumn("cum_hi", F.when(last, F.lit(1.0)).otherwise(F.col("cum_hi")))
 
 
-def marginal_counts(df: DataFrame, cols, n_bins: int = N_BINS, domain: dict | None = None) -> DataFrame:
+def marginal_counts(df: DataFrame, cols, prof: DataFrame) -> DataFrame:
     """True counts per (column, bin) with the bin's place: a working table of the
-    fit that must not leave it."""
-    prof = _profile(df, cols, n_bins, domain)
+    fit that must not leave it. ``prof`` is the profile of ``cols``."""
     long = to_long(df, cols).filter(F.col("v").isNotNull())
     binned = long.join(F.broadcast(prof), "column")
     binned = binned.filter(F.col("categorical") | ((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
@@ -130,12 +133,23 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
     seed = fresh_seed() if seed is None else seed
     types = {f.name: f.dataType for f in df.schema.fields}
     integral = [c for c in cols if isinstance(types[c], INTEGRAL)]
-    model = marginal_counts(df, cols, n_bins, domain)
+    prof = _profile(df, cols, n_bins, domain)
+    wide = [r["column"] for r in prof.collect() if r["categorical"] and r["n_distinct"] > INLINE_CATEGORIES]  # one row per column
     k = len(cols) if delta is None else math.sqrt(len(cols))
     scale = 0.0 if epsilon is None or math.isinf(epsilon) else k * cap / float(epsilon)
     key = F.concat_ws("|", F.col("column"), F.col("bin").cast("string"))
+
+    def noisy(count: Column) -> Column:
+        return noise(mechanism, count, scale, seed, key, delta, bits)
+
+    is_int = F.col("column").isin(integral) if integral else F.lit(False)
+    spread, totals = (_wide_marginals(df, wide, noisy, is_int, family) if wide else (None, []))
+    narrow = [c for c in cols if c not in wide]
+    model = marginal_counts(df, narrow, prof.filter(~F.col("column").isin(wide)) if wide else prof) if narrow else None
+    if model is None:
+        return spread.withColumn("n_train", F.lit(math.floor(sum(totals) / len(totals) + 0.5)))
     width = (F.col("hi") - F.col("lo")) / F.col("n_bins").cast("double")
-    model = (model.withColumn("noisy", noise(mechanism, F.col("count"), scale, seed, key, delta, bits))
+    model = (model.withColumn("noisy", noisy(F.col("count")))
              .withColumn("kind", F.when(F.col("categorical"), F.lit("cat")).otherwise(F.lit("hist")))
              .withColumn("bin_lo", F.when(F.col("categorical"), F.col("v0"))
                          .otherwise(F.col("lo") + F.col("bin").cast("double") * width))
@@ -143,10 +157,30 @@ def dp_fit(df: DataFrame, epsilon: float | None, seed=None, cols=None, delta: fl
                          .otherwise(F.col("lo") + (F.col("bin") + 1).cast("double") * width)))
     model = model.select(F.lit(family).alias("family"), "column", "kind", "bin", "bin_lo", "bin_hi",
                          F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("parent_bin"),
-                         "noisy",
-                         F.col("column").isin(integral).alias("integral") if integral else F.lit(False).alias("integral"),
-                         F.lit(None).cast("long").alias("n_train"))
-    return _finish_local(model, ("column",))
+                         "noisy", is_int.alias("integral"), F.lit(None).cast("long").alias("n_train"))
+    model = _finish_local(model, ("column",), totals)
+    if spread is None:
+        return model
+    return model.unionByName(spread.withColumn("n_train", F.lit(model.first()["n_train"]).cast("long")).select(model.columns))
+
+
+def _wide_marginals(df: DataFrame, cols: list, noisy, is_int: Column, family: str) -> tuple[DataFrame, list[float]]:
+    """Model rows of wide categorical columns, as a written table, and the columns'
+    noisy totals. No category list is held in one place."""
+    from mirage.session import cut_lineage
+    counts = (to_long(df, cols).filter(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).cast("double").alias("count"))
+              .withColumn("bin", value_key(F.col("v"))))
+    counts = cut_lineage(counts.withColumn("noisy", noisy(F.col("count"))).drop("count"))
+    per_col = counts.groupBy("column").agg(F.sum("noisy").alias("_tot"), F.count(F.lit(1)).alias("_m"), F.max("bin").alias("_last"))
+    per_col = df.sparkSession.createDataFrame(per_col.collect(), per_col.schema)  # one row per column
+    share = counts.join(F.broadcast(per_col), "column").withColumn(
+        "p", F.when(F.col("_tot") > 0, F.col("noisy") / F.col("_tot")).otherwise(F.lit(1.0) / F.col("_m")))
+    cum = prefix_sum(share, ["bin"], "p", group_cols=["column"], name="cum_lo")
+    out = cum.select(
+        F.lit(family).alias("family"), "column", F.lit("wide").alias("kind"), "bin", F.col("v").alias("bin_lo"), F.col("v").alias("bin_hi"),
+        F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("parent_bin"), "noisy", "p", "cum_lo",
+        F.when(F.col("bin") == F.col("_last"), F.lit(1.0)).otherwise(F.col("cum_lo_hi")).alias("cum_hi"), is_int.alias("integral"))
+    return cut_lineage(out), [r["_tot"] for r in per_col.collect()]
 
 
 MODEL_SCHEMA = ("family string, column string, kind string, bin long, bin_lo double, bin_hi double, "
@@ -154,10 +188,11 @@ MODEL_SCHEMA = ("family string, column string, kind string, bin long, bin_lo dou
                 "cum_hi double, integral boolean, n_train long")
 
 
-def _finish_local(model: DataFrame, group=("column",)) -> DataFrame:
+def _finish_local(model: DataFrame, group=("column",), totals=()) -> DataFrame:
     """``_finish`` for a bounded model table (columns x bins, size-checked):
     collected once, shares and cumulative intervals in bin order, kept as a
-    local table. Same arithmetic as the windowed form: sequential sums."""
+    local table. Same arithmetic as the windowed form: sequential sums.
+    ``totals``: noisy totals of columns kept elsewhere, for ``n_train``."""
     rows = model.limit(MODEL_MAX_ROWS + 1).collect()
     if len(rows) > MODEL_MAX_ROWS:
         raise ValueError("model table too large; reduce bins or categories")
@@ -165,7 +200,8 @@ def _finish_local(model: DataFrame, group=("column",)) -> DataFrame:
     for r in rows:
         groups.setdefault(tuple(r[g] for g in group), []).append(r.asDict())
     out = []
-    total = math.floor(sum(r["noisy"] for _, rs in sorted(groups.items(), key=str) for r in rs) / max(len(groups), 1) + 0.5)
+    every = sum(r["noisy"] for _, rs in sorted(groups.items(), key=str) for r in rs) + sum(totals)
+    total = math.floor(every / max(len(groups) + len(totals), 1) + 0.5)
     for _, rs in sorted(groups.items(), key=lambda kv: tuple(str(x) for x in kv[0])):
         rs.sort(key=lambda r: r["bin"])
         tot = 0.0
@@ -193,12 +229,18 @@ def bound_contribution(df: DataFrame, unit: str, cap: int, seed=0, id_col: str =
 # --- generation --------------------------------------------------------------
 
 def _inline(model: DataFrame) -> list:
-    rows = model.limit(MODEL_MAX_ROWS + 1).collect()
+    rows = model.filter("kind <> 'wide'").limit(MODEL_MAX_ROWS + 1).collect()
     if len(rows) > MODEL_MAX_ROWS:
         raise ValueError("model table too large to inline; reduce bins or categories")
     return rows
 
 
+def _wide_columns(model: DataFrame) -> list:
+    """(column, categories, training size) of the wide columns: one row per column."""
+    return model.filter("kind = 'wide'").groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.max("n_train").alias("n_train")).orderBy("column").collect()
+
+
 def _value_expr(rows, u: Column, w: Column, integral: bool) -> Column:
     """CASE chain over one column's bins (ordered): u picks [cum_lo, cum_hi)."""
     rows = sorted(rows, key=lambda r: r["bin"])
@@ -224,12 +266,12 @@ def generate(model: DataFrame, count: int | None = None, seed=0, attempt=0,
     set) choose among the bins of their parent's drawn bin. ``cond`` (columns
     ``row_id`` + the root column) fixes the root; its length must equal count.
     """
-    rows = _inline(model)
-    if not rows:
+    rows, wide = _inline(model), _wide_columns(model)
+    if not rows and not wide:
         raise RuntimeError("Fit the generator first")
     spark = model.sparkSession
     if count is None:
-        count = int(rows[0]["n_train"])
+        count = int((rows or wide)[0]["n_train"])
     if cond is not None:
         roots = {r["column"] for r in rows if r["parent"] is None}
         fixed = [c for c in cond.columns if c in {r["column"] for r in rows}]
@@ -286,6 +328,14 @@ def generate(model: DataFrame, count: int | None = None, seed=0, attempt=0,
             progressed = True
         if not progressed:
             raise ValueError("model has a cycle or a missing parent column")
+    for r in wide:
+        c, buckets = r["column"], 1 << max(int(r["n"]).bit_length(), 1)
+        if c in done:
+            continue
+        table = model.filter((F.col("kind") == "wide") & (F.col("column") == c)).select(
+            F.col("bin_lo").alias(c), F.col("cum_lo").alias("_lo"), F.col("cum_hi").alias("_hi"))
+        out = interval_lookup(out.withColumn("_u", draw(seed, tag(c), F.col(id_col))), table, [], "_u", "_lo", "_hi", buckets).drop("_u", "_lo", "_hi")
+        order.append(c)
     tags = [c for c in ids.columns if c != id_col and c not in order]
     keep = [id_col] + tags + [c for c in order if c in out.columns]
     return out.select(*keep)
@@ -314,7 +364,7 @@ def _bin_of(rows, value: Column) -> Column:
 # --- Y5 / Y6: pair dependence and conditional tables --------------------------
 
 def _binned_wide(df: DataFrame, cols, n_bins: int) -> tuple[DataFrame, DataFrame]:
-    prof = bin_profile(df, cols, n_bins)
+    prof = bin_profile(df, cols, n_bins, categorical_columns(df))
     p = {r["column"]: r for r in prof.collect()}  # one row per column
     exprs = []
     for c in cols:
@@ -384,17 +434,25 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
     """Tree of conditional tables. Pair MI picks the tree (root = ``cond``
     when conditional generation is wanted); the root keeps its marginal, every
     child a table per parent bin. The tree itself is chosen from exact pair
-    counts, so epsilon covers the tables but not the choice of the tree."""
-    cols = list(cols or feature_columns(df))
+    counts, so epsilon covers the tables but not the choice of the tree. Wide
+    columns keep their marginal: a table per pair of their categories is no model."""
+    every = list(cols or feature_columns(df))
     seed = fresh_seed() if seed is None else seed
+    base = dp_fit(df, epsilon, seed, every, n_bins=n_bins, family=family)
+    spread = {r["column"] for r in _wide_columns(base)}
+    if cond in spread:
+        raise ValueError("a wide column can't be the condition")
+    cols = [c for c in every if c not in spread]
+    if len(cols) < 2:
+        return base
     mi = pair_mutual_information(df, cols, n_bins).collect()
     parent = chow_liu_tree(mi, cols, root=cond)
-    base = dp_fit(df, epsilon, seed, cols, n_bins=n_bins, family=family)
+    kept, base = base.filter("kind = 'wide'"), base.filter("kind <> 'wide'")
     roots = [c for c in cols if parent[c] is None]
     wide, prof = _binned_wide(df, cols, n_bins)
     children = [(c, parent[c]) for c in cols if parent[c] is not None]
     if not children:
-        return base
+        return base.unionByName(kept)
     rec = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("parent"),
                                        F.col(p).alias("parent_bin"), F.col(c).alias("bin")) for c, p in children]))
     pc = (wide.select(rec.alias("r")).select("r.*").groupBy("column", "parent", "parent_bin", "bin")
@@ -407,7 +465,7 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
             .join(marg.select("column", "bin"), "column"))
     cnt = grid.join(pc, ["column", "parent", "parent_bin", "bin"], "left").withColumn(
         "count", F.coalesce("count", F.lit(0)).cast("double"))
-    scale = 0.0 if epsilon is None or math.isinf(epsilon) else (len(cols) + len(children)) / float(epsilon)
+    scale = 0.0 if epsilon is None or math.isinf(epsilon) else (len(every) + len(children)) / float(epsilon)
     key = F.concat_ws("|", F.col("column"), F.col("parent_bin").cast("string"), F.col("bin").cast("string"))
     cnt = cnt.withColumn("noisy", noise("laplace", F.col("count"), scale, seed, key))
     cond_t = cnt.join(marg, ["column", "bin"]).select(
@@ -417,7 +475,8 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
     out_roots = base.filter(F.col("column").isin(roots)) if roots else base.limit(0)
     model = out_roots.select(*MODEL_COLUMNS).unionByName(cond_t.select(*MODEL_COLUMNS))
     # Read by every generation: kept as a local table without lineage.
-    return _local(model, "model table too large; reduce bins or categories")
+    model = _local(model, "model table too large; reduce bins or categories")
+    return model.unionByName(kept.select(*MODEL_COLUMNS)) if spread else model
 
 
 def value_modes(df: DataFrame, col: str, max_clusters: int = 10, seed: int = 3) -> DataFrame:
@@ -451,7 +510,7 @@ def adjust_marginals(syn: DataFrame, real: DataFrame, col: str, seed=0, n_bins:
     floor(w r + o) - floor(w (r - 1) + o) copies. Ranks come from the
     distributed index, so a hot bin is not one task.
     """
-    prof = bin_profile(real, [col], n_bins).first()
+    prof = bin_profile(real, [col], n_bins, categorical_columns(real)).first()
     v = F.col(col).cast("double")
     if prof["categorical"]:
         b = value_key(v)

@@ -16,7 +16,8 @@ from mirage.operators.prep import encode
 from mirage.plans.catalog import (CUST_ENC, FEATS, ROLE_SEED, SEED, T, cust_enc, cust_roles, dist_sql, dsql,
                                   freqs_sql, long_sql, query, roles, roles_sql, rounded)
 
-INTEGRAL = {"c_nationkey", "c_mktsegment"}
+INTEGRAL = {"c_nationkey", "c_mktsegment", "c_name"}
+TEXT = {"c_mktsegment", "c_name"}  # categories at any width
 
 
 def dp_sql(src: str, cols, eps: float | None, seed: int, prefix: str = "m", mech: str = "laplace",
@@ -32,8 +33,9 @@ def dp_sql(src: str, cols, eps: float | None, seed: int, prefix: str = "m", mech
     else:
         noisy = f"greatest(count - {scale!r} * sign({u} - 0.5) * ln(1.0 - 2.0 * abs({u} - 0.5)), 0.0)"
     integ = ", ".join(f"'{c}'" for c in cols if c in integral) or "NULL"
+    text = ", ".join(f"'{c}'" for c in cols if c in TEXT) or "NULL"
     return f"""{prefix}_l AS ({long_sql(src, cols)}),
-{prefix}_prof AS (SELECT column, nd, least(10, nd) AS k, nd < 5 AS cat, lo, hi FROM
+{prefix}_prof AS (SELECT column, nd, least(10, nd) AS k, coalesce(nd < 5 OR column IN ({text}), false) AS cat, lo, hi FROM
    (SELECT column, count(DISTINCT v) AS nd, min(v) AS lo, max(v) AS hi FROM {prefix}_l GROUP BY column)),
 {prefix}_b AS (SELECT l.column, l.v, p.cat,
      CASE WHEN p.cat THEN CAST(round(l.v * 1000000.0) AS BIGINT)
@@ -114,6 +116,22 @@ def generate_q(spark, d):
     return rounded(Y.generate(Y.dp_fit(real, 2.0, SEED, FEATS), 1000, SEED))
 
 
+_NAMES = """named AS (
+  SELECT c.c_custkey AS row_id, d.code AS c_name, s.code AS c_mktsegment, c.c_acctbal FROM customer c
+  JOIN (SELECT v, (dense_rank() OVER (ORDER BY v) - 1)::BIGINT AS code FROM (SELECT DISTINCT c_name AS v FROM customer)) d ON c.c_name = d.v
+  JOIN (SELECT v, (dense_rank() OVER (ORDER BY v) - 1)::BIGINT AS code FROM (SELECT DISTINCT c_mktsegment AS v FROM customer)) s ON c.c_mktsegment = s.v)"""
+_NAMED = ["c_name", "c_mktsegment", "c_acctbal"]
+
+
+@query("generate_wide_text", f"""WITH {_NAMES}, {dp_sql('named', _NAMED, 8.0, SEED)}, {gen_sql('m_model', 3000, SEED, _NAMED)}
+SELECT row_id, {', '.join(f'round({c}, 6) AS {c}' for c in _NAMED)} FROM g_t""")
+def generate_wide_text(spark, d):
+    """A text column with a value per customer: categories, drawn by a guide table."""
+    raw = T(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), *_NAMED)
+    real, _ = encode(raw)
+    return rounded(Y.generate(Y.dp_fit(real, 8.0, SEED, _NAMED), 3000, SEED)).select("row_id", *_NAMED)
+
+
 def flagship_sql(n_rows_sql: str = "(SELECT floor(sum(noisy) / count(DISTINCT column) + 0.5)::BIGINT FROM m_model)") -> str:
     return f"""WITH {CUST_ENC}, {dp_sql('cust_enc', FEATS, 2.0, SEED)},
 {gen_sql('m_model', n_rows_sql, SEED, FEATS)}, real AS (SELECT * FROM cust_enc), syn AS (SELECT * FROM g_t),

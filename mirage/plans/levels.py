@@ -233,8 +233,8 @@ def epsilon_sweep(real: DataFrame, epsilons, size: int = 1000, seed=0, cols=None
     tag = F.concat_ws("|", F.col("column"), F.col("epsilon").cast("string"))
     long = long.withColumn("_u", draw(seed, tag, F.col("row_id"))).withColumn("_w", draw(seed, F.concat_ws("|", tag, F.lit("in")), F.col("row_id")))
     picked = Y.interval_lookup(long, cand, ["epsilon", "column"], "_u", "cum_lo", "cum_hi")
-    val = F.when(F.col("kind") == "cat", F.col("bin_lo")).otherwise(F.col("bin_lo") + F.col("_w") * (F.col("bin_hi") - F.col("bin_lo")))
-    val = F.when(F.col("integral") & (F.col("kind") != "cat"), F.floor(val).cast("double")).otherwise(val)
+    val = F.when(F.col("kind") != "hist", F.col("bin_lo")).otherwise(F.col("bin_lo") + F.col("_w") * (F.col("bin_hi") - F.col("bin_lo")))
+    val = F.when(F.col("integral") & (F.col("kind") == "hist"), F.floor(val).cast("double")).otherwise(val)
     from mirage.session import cut_lineage
     wide = picked.withColumn("_val", val).groupBy("epsilon", "row_id").pivot("column", cols).agg(F.first("_val"))
     wide = cut_lineage(wide)  # every metric reads it
