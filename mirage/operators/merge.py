@@ -1,16 +1,10 @@
-"""Merging synthetic tables.
-
-The inner steps are single Spark plans (distance means, ranks, quota joins);
-the loops around them are short driver loops (at most 3 rounds, each O(1)
-jobs) over scalar scores, and every accepted table is checkpointed to the
-shared checkpoint folder so lineage never grows with the number of rounds.
+"""Merging steps on one pair of tables (G1, G2, G4, G5): single Spark plans of
+distance means, ranks and quota joins. ``mirage.operators.tournament`` runs them
+in rounds (G3, G6, G7).
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +12,10 @@ from mirage.functions.draws import draw
 from mirage.functions.ordering import take_first, top_k_per_group
 from mirage.operators.distance import (drop_ranked, mean_distance_cross, mean_distance_self, merge_rows,
                                        top_share)
+from mirage.operators.synth import accumulate
 from mirage.operators.frequencies import bin_profile, column_frequencies, feature_columns
-from mirage.session import cut_lineage
 
 FREQ_ERR = 0.2
-BIN_QUOTA = 10       # at most this many rows per bin per donor and round
-DONOR_ROWS = 100     # rows drawn from a donor per column fix (its draws are by row id: the first n are a table of n)
-MAX_ROUNDS = 3
 
 
 def privacy_merge_step(cur: DataFrame, donor: DataFrame, size: int, amount: float, cols=None) -> DataFrame:
@@ -57,10 +48,10 @@ def _bin_key(prof_row, col: str):
 
 
 def fill_bins(cur: DataFrame, donor: DataFrame, real: DataFrame, col: str, seed=0, err: float = FREQ_ERR,
-              quota: int = BIN_QUOTA, freqs: DataFrame | None = None) -> DataFrame:
+              quota: int | None = None, freqs: DataFrame | None = None) -> DataFrame:
     """For under-represented bins of ``col`` take donor rows in the bin
-    (row-id order, at most ``quota`` per bin, at most the gap) and remove as
-    many current rows (draw order)."""
+    (row-id order, at most the gap, at most ``quota`` per bin if given) and remove
+    as many current rows (draw order)."""
     prof = bin_profile(real, [col]).first()
     f = freqs if freqs is not None else column_frequencies(real, cur, [col])
     n = cur.count()
@@ -69,9 +60,9 @@ def fill_bins(cur: DataFrame, donor: DataFrame, real: DataFrame, col: str, seed=
                     F.ceil((F.col("p_real") - F.lit(err) - F.col("p_syn")) * F.lit(float(n))).alias("_need")))
     d = donor.withColumn("_bin", _bin_key(prof, col))
     dcount = d.groupBy("_bin").agg(F.count(F.lit(1)).alias("_have"))
-    q = (need.join(dcount, "_bin").select("_bin", F.least(F.lit(quota), F.col("_have"), F.col("_need")).cast("int").alias("_q"))
+    q = (need.join(dcount, "_bin").select("_bin", F.least(*_quota(quota), F.col("_have"), F.col("_need")).cast("int").alias("_q"))
          .filter(F.col("_q") > 0))
-    picked = top_k_per_group(d.join(F.broadcast(q), "_bin"), ["_bin"], ["row_id"], F.col("_q"), name="_r")
+    picked = top_k_per_group(d.join(F.broadcast(q), "_bin"), ["_bin"], ["row_id"], F.col("_q"), name="_r")  # q: one row per bin
     picked = picked.drop("_bin", "_q", "_r")
     total = picked.count()
     drop = take_first(cur.withColumn("_u", draw(seed, "drop", F.col("row_id"))), ["_u", "row_id"], total)
@@ -79,11 +70,17 @@ def fill_bins(cur: DataFrame, donor: DataFrame, real: DataFrame, col: str, seed=
     return merge_rows(kept, picked.select(*cur.columns))
 
 
-def thin_bins(cur: DataFrame, fresh: DataFrame, real: DataFrame, col: str, err: float = FREQ_ERR,
-              quota: int = BIN_QUOTA, freqs: DataFrame | None = None) -> DataFrame:
+def _quota(quota: int | None) -> list:
+    return [] if quota is None else [F.lit(quota)]
+
+
+def thin_bins(cur: DataFrame, fresh, real: DataFrame, col: str, err: float = FREQ_ERR,
+              quota: int | None = None, freqs: DataFrame | None = None, patience: int = 10) -> DataFrame:
     """For over-represented bins remove the first rows (row-id order, at most
-    ``quota`` per bin) and add as many ``fresh`` generated rows lying outside
-    every over-represented bin, in row-id order."""
+    the excess, at most ``quota`` per bin if given) and add as many ``fresh`` rows
+    lying outside every over-represented bin, in row-id order. ``fresh`` is a table
+    or a generator ``fresh(attempt)``, drawn until the gap is filled (at most
+    ``patience`` times). Only rows with a substitute go: the size stays."""
     prof = bin_profile(real, [col]).first()
     f = freqs if freqs is not None else column_frequencies(real, cur, [col])
     n = cur.count()
@@ -92,158 +89,16 @@ def thin_bins(cur: DataFrame, fresh: DataFrame, real: DataFrame, col: str, err:
                     F.ceil((F.col("p_syn") - F.col("p_real") - F.lit(err)) * F.lit(float(n))).alias("_x")))
     c = cur.withColumn("_bin", _bin_key(prof, col))
     have = c.groupBy("_bin").agg(F.count(F.lit(1)).alias("_have"))
-    q = over.join(have, "_bin").select("_bin", F.least(F.lit(quota), F.col("_have"), F.col("_x")).cast("int").alias("_q"))
+    q = over.join(have, "_bin").select("_bin", F.least(*_quota(quota), F.col("_have"), F.col("_x")).cast("int").alias("_q"))
     removed = top_k_per_group(c.join(F.broadcast(q), "_bin"), ["_bin"], ["row_id"], F.col("_q"), name="_r")
     total = removed.count()
-    kept = cur.join(removed.select("row_id"), "row_id", "left_anti")
-    outside = fresh.withColumn("_bin", _bin_key(prof, col)).join(F.broadcast(q.select("_bin")), "_bin", "left_anti")
-    add = take_first(outside.drop("_bin"), ["row_id"], total)
-    return merge_rows(kept, add.select(*cur.columns))
-
-
-# --- loops -----------------------------------------------------------------------
-
-@dataclass
-class Requirement:
-    metric: str
-    value: float
-    tol: float
-
-
-@dataclass
-class Scorer:
-    """Metric values and composite scores of a synthetic table against the real one."""
-    real: DataFrame
-    cols: list
-    privacy_weights: list = field(default_factory=lambda: [("nearestneighbordistance", 1.0)])
-    utility_weights: list = field(default_factory=lambda: [("inversekldivergence", 1.0)])
-    sensitive: list = field(default_factory=list)
-
-    def __post_init__(self):
-        # The real table is read by every score: store it once (a written
-        # table, so its lineage - reads, encoding joins - is not recomputed).
-        self.real = cut_lineage(self.real.select("row_id", *self.cols))
-        self._memo: dict = {}
-
-    def value(self, name: str, syn: DataFrame) -> float:
-        """A metric of one synthetic table; each (table, metric) is computed once."""
-        from mirage.plans.registry import compute_metric
-        key = (id(syn), name)
-        if key not in self._memo:
-            v = float(compute_metric(name, self.real, syn, self.cols, self.sensitive).first()["value"])
-            self._memo[key] = (syn, v)  # the table is kept so its id stays unique
-        return self._memo[key][1]
-
-    def composite(self, kind: str, syn: DataFrame) -> float:
-        from mirage.plans.registry import metric
-        total = 0.0
-        for name, w in (self.privacy_weights if kind == "privacy" else self.utility_weights):
-            if name in (None, "none"):
-                continue
-            s = metric(name)
-            n = (self.value(name, syn) - s.lo) / (s.hi - s.lo)
-            total += (n if s.direction == 1 else 1.0 - n) * w
-        return total
-
-
-def _ok(v: float, req: Requirement) -> bool:
-    return req.value - req.tol <= v <= req.value + req.tol
-
-
-def increase_privacy(cur: DataFrame, donors: list, req: Requirement, scorer: Scorer, size: int,
-                     amount: float, round_seed: int = 0) -> DataFrame | None:
-    """Try every donor (a callable ``donor(attempt) -> DataFrame``), keep a merge
-    when composite privacy did not fall, stop when the requirement holds; give up
-    after 3 unsatisfied merges or 3 rounds without change."""
-    counter = no_change = 0
-    rnd = 0
-    while no_change < MAX_ROUNDS:
-        if counter >= MAX_ROUNDS:
-            return None
-        added = False
-        for make in donors:
-            new = make(round_seed + rnd)
-            cur_p = scorer.composite("privacy", cur)
-            if scorer.composite("privacy", new) < cur_p:
-                continue
-            merged = cut_lineage(privacy_merge_step(cur, new, size, amount, scorer.cols))
-            if scorer.composite("privacy", merged) < cur_p:
-                continue
-            added = True
-            if _ok(scorer.value(req.metric, merged), req):
-                return merged
-            counter += 1
-            cur = merged
-        rnd += 1
-        no_change = 0 if added else no_change + 1
-    return None
-
-
-def increase_utility(cur: DataFrame, donors: list, fresh, req: Requirement, scorer: Scorer,
-                     seed: int = 0, err: float = FREQ_ERR) -> DataFrame | None:
-    """Column by column, fill under-represented bins from donors and thin
-    over-represented ones with fresh rows (``fresh(attempt) -> DataFrame``);
-    keep a round only when composite utility did not fall; at most 3 rounds."""
-    real = scorer.real
-    counter = no_change = 0
-    while True:
-        if counter >= MAX_ROUNDS:
-            return None
-        if no_change >= MAX_ROUNDS:
-            break
-        if _ok(scorer.value(req.metric, cur), req):
-            return cur
-        cur_u = scorer.composite("utility", cur)
-        counter += 1
-        new = cur
-        all_ok = True
-        for col in scorer.cols:
-            f = column_frequencies(real, new, [col])
-            if f.agg(F.bool_and(F.col("p_syn").between(F.col("p_real") - err, F.col("p_real") + err))).first()[0]:
-                continue
-            all_ok = False
-            for i, make in enumerate(donors):
-                new = fill_bins(new, take_first(make(seed * 100 + counter * 10 + i), ["row_id"], DONOR_ROWS), real, col, seed + i, err)
-                new = thin_bins(new, fresh(seed * 100 + counter * 10 + i), real, col, err)
-                new = cut_lineage(new)
-        if all_ok:
-            break
-        if scorer.composite("utility", new) < cur_u:
-            no_change += 1
-            continue
-        no_change = 0
-        cur = new
-    return cur if _ok(scorer.value(req.metric, cur), req) else None
-
-
-def create_by_merging(start: DataFrame, donors: list, fresh, scorer: Scorer, size: int,
-                      privacy: Requirement | None, utility: Requirement | None, amount: float = 0.1,
-                      seed: int = 0) -> DataFrame | None:
-    """Alternate privacy and utility merging from the closest generator's
-    table ``start``; at most 3 failed rounds; None when it fails."""
-    from mirage.plans.registry import metric
-    cur = start
-    for failures in range(MAX_ROUNDS):
-        if privacy is not None:
-            s = metric(privacy.metric)
-            v = scorer.value(privacy.metric, cur)
-            good = v > privacy.value - privacy.tol if s.direction == 1 else v < privacy.value + privacy.tol
-            if not good:
-                nxt = increase_privacy(cur, donors, privacy, scorer, size, amount, seed + failures)
-                if nxt is None:
-                    continue
-                cur = nxt
-        if utility is not None:
-            s = metric(utility.metric)
-            v = scorer.value(utility.metric, cur)
-            good = v > utility.value - utility.tol if s.direction == 1 else v < utility.value + utility.tol
-            if not good:
-                nxt = increase_utility(cur, donors, fresh, utility, scorer, seed + failures)
-                if nxt is None:
-                    continue
-                cur = nxt
-        p_ok = privacy is None or _ok(scorer.value(privacy.metric, cur), privacy)
-        u_ok = utility is None or _ok(scorer.value(utility.metric, cur), utility)
-        if p_ok and u_ok:
-            return cur
-    return None
+
+    def outside(table: DataFrame) -> DataFrame:
+        keyed = table.withColumn("_bin", _bin_key(prof, col)).join(F.broadcast(q.select(F.col("_bin").alias("_over"))),
+                                                                   F.col("_bin").eqNullSafe(F.col("_over")), "left_anti")
+        return keyed.drop("_bin").select(*cur.columns)
+
+    add = accumulate(lambda attempt, _: outside(fresh(attempt)), total, patience) if callable(fresh) else take_first(outside(fresh), ["row_id"], total)
+    left = min(total, add.count())
+    gone = removed if left == total else take_first(removed, ["row_id"], left)
+    return merge_rows(cur.join(gone.select("row_id"), "row_id", "left_anti"), add.select(*cur.columns))

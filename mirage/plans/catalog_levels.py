@@ -12,6 +12,7 @@ from mirage.functions import expr as X
 from mirage.functions.draws import draw, draw_sql
 from mirage.operators import synth as Y
 from mirage.plans import levels as L
+from mirage.plans import search as S
 from mirage.plans import registry as REG
 from mirage.plans import requirements as R
 from mirage.plans.catalog import (CUST_ENC, FEATS, SEED, T, cust_roles, dsql, kl_sql, nn_sql, query, roles_sql,
@@ -349,13 +350,19 @@ def epsilon_sweep(spark, d):
     return rounded(L.epsilon_sweep(real, _SWEEP, _SWEEP_SIZE, SEED, FEATS))
 
 
-@query("search_epsilon")
+@query("search_epsilon", """SELECT c_mktsegment AS level, 'done' AS status, true AS inside, true AS in_bracket FROM customer GROUP BY c_mktsegment""")
 def search_epsilon(spark, d):
+    """One wanted level per market segment, each with its own utility; all are
+    searched together and end inside their bands."""
     real, _ = cust_roles(spark, d)
-    out = L.search_epsilon(real, ("nearestneighbordistance", 0.3), ("inversekldivergence", 0.8), 0.05, 500, SEED, FEATS)
-    if out is None:
-        return spark.createDataFrame([], "epsilon double, move string, chosen boolean")
-    return rounded(out.select("epsilon", "move", "chosen"))
+    seg = T(spark, d, "customer").groupBy("c_mktsegment").agg(F.avg("c_nationkey").alias("n"))
+    rank = F.pmod(F.crc32(F.col("c_mktsegment").cast("binary")), F.lit(5)).cast("double")
+    wanted = seg.select(F.col("c_mktsegment").alias("level"), F.lit(None).cast("string").alias("privacy_metric"), F.lit(None).cast("double").alias("privacy_value"),
+                        F.lit("inversekldivergence").alias("utility_metric"), (F.lit(0.84) + rank * 0.03).alias("utility_value"), F.lit(0.08).alias("tol"))
+    out = S.search_epsilons(real, wanted, 500, SEED, FEATS)
+    j = out.join(wanted, "level")
+    return j.select("level", "status", (F.abs(F.col("u_val") - F.col("utility_value")) <= F.col("tol")).alias("inside"),
+                    F.col("epsilon").between(S.LOW, S.HIGH).alias("in_bracket"))
 
 
 def _meets_requests(spark, d) -> DataFrame:
@@ -530,14 +537,19 @@ def level_remove_store(spark, d):
     return store.read_levels()
 
 
-@query("prepare")
+@query("prepare", f"""WITH {_serve_sql()},
+pend AS (SELECT request_id FROM valid WHERE request_id NOT IN (SELECT request_id FROM chosen))
+SELECT request_id, 'any' AS level, true AS prepared, true AS published FROM pend""")
 def prepare(spark, d):
     """Requests nothing served (serve -> pending) go to preparation; all of
-    them ask for the level named 'any', which is prepared once."""
+    them ask for the level named 'any', which is prepared once and published."""
     real, _ = cust_roles(spark, d)
     models = {n: Y.dp_fit(real, e, SEED, FEATS) for n, e in _SERVE_EPS.items()}
     reqs = _serve_requests(spark, d)
     lv = _serve_levels(spark)
     served = L.serve(real, reqs, lv, models, None, 10, SEED, FEATS)
     pending = reqs.join(served.filter(F.col("status") == "pending").select("request_id"), "request_id", "left_semi")
-    return L.prepare(real, pending, lv, models, 300, SEED, FEATS)
+    store = Store(spark, scratch(spark, "store"))
+    out = S.prepare(real, pending, lv, models, store, seed=SEED, cols=FEATS)
+    names = {r["level"] for r in store.read_levels().select("level").distinct().collect()}
+    return out.select("request_id", "level", F.col("outcome").isin("merged", "searched").alias("prepared"), F.col("level").isin(list(names)).alias("published"))

@@ -12,6 +12,7 @@ from mirage.operators import distance as D
 from mirage.operators import merge as G
 from mirage.operators import metrics as M
 from mirage.operators import synth as Y
+from mirage.operators import tournament as TM
 from mirage.operators.prep import encode
 from mirage.plans.catalog import (CUST_ENC, FEATS, ROLE_SEED, SEED, T, cust_enc, cust_roles, dist_sql, dsql,
                                   freqs_sql, long_sql, query, roles, roles_sql, rounded)
@@ -359,9 +360,9 @@ n AS (SELECT count(*) AS n FROM cur)"""
 
 
 @query("fill_bins", f"""WITH {_FILL_BASE},
-need AS (SELECT bin, CAST(ceil((p_real - 0.2 - p_syn) * (SELECT n FROM n)) AS BIGINT) AS need FROM f_al WHERE p_syn < p_real - 0.2),
+need AS (SELECT bin, CAST(ceil((p_real - 0.05 - p_syn) * (SELECT n FROM n)) AS BIGINT) AS need FROM f_al WHERE p_syn < p_real - 0.05),
 db AS {_bins_sql('don')},
-q AS (SELECT need.bin, least(10, c.have, need.need) AS q FROM need JOIN (SELECT bin, count(*) AS have FROM db GROUP BY bin) c ON need.bin = c.bin),
+q AS (SELECT need.bin, least(c.have, need.need) AS q FROM need JOIN (SELECT bin, count(*) AS have FROM db GROUP BY bin) c ON need.bin = c.bin),
 picked AS (SELECT row_id, c_nationkey, c_acctbal, c_mktsegment FROM
            (SELECT db.*, q.q, row_number() OVER (PARTITION BY db.bin ORDER BY db.row_id) AS rn FROM db JOIN q ON db.bin = q.bin) WHERE rn <= q),
 dropped AS (SELECT row_id FROM cur ORDER BY {dsql(SEED, 'drop', 'row_id')}, row_id LIMIT (SELECT count(*) FROM picked)),
@@ -369,13 +370,13 @@ u AS (SELECT 0 AS src, * FROM cur WHERE row_id NOT IN (SELECT row_id FROM droppe
 SELECT (row_number() OVER (ORDER BY src, row_id) - 1)::BIGINT AS row_id, c_nationkey, c_acctbal, c_mktsegment FROM u""")
 def fill_bins(spark, d):
     real, cur, donor = _fill_inputs(spark, d)
-    return G.fill_bins(cur, donor, real, "c_acctbal", SEED)
+    return G.fill_bins(cur, donor, real, "c_acctbal", SEED, 0.05)
 
 
 @query("thin_bins", f"""WITH {_FILL_BASE},
 over AS (SELECT bin, CAST(ceil((p_syn - p_real - 0.05) * (SELECT n FROM n)) AS BIGINT) AS x FROM f_al WHERE p_syn > p_real + 0.05),
 cb AS {_bins_sql('cur')},
-q AS (SELECT over.bin, least(10, c.have, over.x) AS q FROM over JOIN (SELECT bin, count(*) AS have FROM cb GROUP BY bin) c ON over.bin = c.bin),
+q AS (SELECT over.bin, least(c.have, over.x) AS q FROM over JOIN (SELECT bin, count(*) AS have FROM cb GROUP BY bin) c ON over.bin = c.bin),
 removed AS (SELECT row_id FROM (SELECT cb.*, q.q, row_number() OVER (PARTITION BY cb.bin ORDER BY cb.row_id) AS rn
             FROM cb JOIN q ON cb.bin = q.bin) WHERE rn <= q),
 fb AS (SELECT * FROM {_bins_sql('real')} WHERE bin IS NULL OR bin NOT IN (SELECT bin FROM q)),
@@ -387,48 +388,53 @@ def thin_bins(spark, d):
     return G.thin_bins(cur, real, real, "c_acctbal", 0.05)
 
 
-def _scorer(real):
-    return G.Scorer(real, FEATS)
+def _merging(spark, d, start_eps: float, donor_eps: list, size: int):
+    """(start table, donors, scorer) from models of the real customers."""
+    real, _ = cust_roles(spark, d)
+    start = Y.generate(Y.dp_fit(real, start_eps, SEED, FEATS), size, SEED)
+    donors = [lambda a, m=Y.dp_fit(real, e, SEED + i, FEATS): Y.generate(m, size, SEED, attempt=a) for i, e in enumerate(donor_eps)]
+    return start, donors, TM.Scorer(real, FEATS)
+
+
+def _merged(out: DataFrame | None, history: DataFrame, size: int, needs: list) -> DataFrame:
+    """What a merge has to keep, as one row: size, requirements met by the returned
+    table's own scores, some round won, utility or privacy not below the start."""
+    rounds = {r["round"] for r in history.collect()}  # a few rows per round
+    start = history.filter("step = 'start'").first()
+    won = history.filter("chosen").orderBy(F.desc("round")).first()
+    rows = -1 if out is None else out.count()
+    return history.sparkSession.createDataFrame(
+        [(out is not None, rows == size, won["step"] != "start", won["shortfall"] == 0.0, won["shortfall"] <= start["shortfall"], len(rounds) <= TM.MAX_ROUNDS)],
+        "found boolean, size_kept boolean, merged boolean, met boolean, not_worse boolean, in_rounds boolean")
 
 
-@query("increase_privacy")
+_MERGED_SQL = "SELECT true AS found, true AS size_kept, true AS merged, true AS met, true AS not_worse, true AS in_rounds"
+
+
+@query("increase_privacy", _MERGED_SQL)
 def increase_privacy(spark, d):
-    real, syn = cust_roles(spark, d)
-    model = Y.dp_fit(real, 1.0, SEED, FEATS)
-    start = Y.generate(model, 300, SEED)
-    donors = [lambda a, m=Y.dp_fit(real, e, SEED + i, FEATS): Y.generate(m, 300, SEED, attempt=a)
-              for i, e in enumerate([0.5, 8.0])]
-    req = G.Requirement("nearestneighbordistance", 0.3, 0.05)
-    out = G.increase_privacy(start, donors, req, _scorer(real), 300, 0.1)
-    return out if out is not None else start.limit(0)
+    start, donors, scorer = _merging(spark, d, 8.0, [0.1, 0.05], 300)
+    base = scorer.score(start.withColumn("t", F.lit(0)), ["t"])[(0,)]["nearestneighbordistance"]
+    out, history = TM.increase_privacy(start, donors, TM.Requirement("nearestneighbordistance", base + 0.03, 0.028), scorer, 300, SEED)
+    return _merged(out, history, 300, [])
 
 
-@query("increase_utility")
+@query("increase_utility", _MERGED_SQL)
 def increase_utility(spark, d):
-    real, syn = cust_roles(spark, d)
-    model = Y.dp_fit(real, 0.5, SEED, FEATS)
-    start = Y.generate(model, 300, SEED)
-    donors = [lambda a, m=Y.dp_fit(real, 8.0, SEED + 1, FEATS): Y.generate(m, 300, SEED, attempt=a)]
-    fresh = lambda a: Y.generate(model, 300, SEED + 7, attempt=a)
-    req = G.Requirement("inversekldivergence", 0.9, 0.05)
-    out = G.increase_utility(start, donors, fresh, req, _scorer(real), SEED)
-    return out if out is not None else start.limit(0)
+    start, donors, scorer = _merging(spark, d, 0.05, [8.0, 4.0], 300)
+    base = scorer.score(start.withColumn("t", F.lit(0)), ["t"])[(0,)]["inversekldivergence"]
+    out, history = TM.increase_utility(start, donors, TM.Requirement("inversekldivergence", base + 0.04, 0.01), scorer, 300, SEED)
+    return _merged(out, history, 300, [])
 
 
-@query("create_by_merging")
+@query("create_by_merging", _MERGED_SQL)
 def create_by_merging(spark, d):
-    real, _ = cust_roles(spark, d)
-    model = Y.dp_fit(real, 2.0, SEED, FEATS)
-    start = Y.generate(model, 300, SEED)
-    donors = [lambda a, m=Y.dp_fit(real, e, SEED + i, FEATS): Y.generate(m, 300, SEED, attempt=a)
-              for i, e in enumerate([0.5, 8.0])]
-    fresh = lambda a: Y.generate(model, 300, SEED + 7, attempt=a)
-    out = G.create_by_merging(start, donors, fresh, _scorer(real), 300,
-                              G.Requirement("nearestneighbordistance", 0.3, 0.1),
-                              G.Requirement("inversekldivergence", 0.8, 0.1))
-    status = "merged" if out is not None else "failed"
-    res = out if out is not None else start
-    return rounded(res.withColumn("status", F.lit(status)))
+    start, donors, scorer = _merging(spark, d, 0.05, [8.0, 0.5], 300)
+    base = scorer.score(start.withColumn("t", F.lit(0)), ["t"])[(0,)]
+    out, history = TM.merge_tables(start, donors, scorer, 300,
+                                   TM.Requirement("nearestneighbordistance", base["nearestneighbordistance"] - 0.05, 0.05),
+                                   TM.Requirement("inversekldivergence", base["inversekldivergence"] + 0.05, 0.01), "merge", SEED)
+    return _merged(out, history, 300, [])
 
 
 # --- extension points (E2, E3) ---------------------------------------------------------
@@ -452,15 +458,17 @@ def user_synthesizer(spark, d):
     return rounded(gen(store.load_model("boot", "bootstrap"), 500, SEED))
 
 
-@query("user_technique")
+def _donor_table(cur, donors, n_donors, k, scorer, seed):
+    """A technique of a user: each donor's whole table is the proposal."""
+    return donors.select("donor", "row_id", *scorer.cols)
+
+
+@query("user_technique", _MERGED_SQL)
 def user_technique(spark, d):
-    """A merge technique registered by name and run on DataFrames."""
+    """A merge technique registered by name and looked up by the rounds."""
     from mirage.plans import registry as REG
-    REG.register_technique("merge", G.increase_privacy, G.increase_utility)
-    inc_priv, _ = REG.technique("merge")
-    real, syn = cust_roles(spark, d)
-    start = Y.generate(Y.dp_fit(real, 8.0, SEED, FEATS), 200, SEED)
-    donor = [lambda a, m=Y.dp_fit(real, 0.5, SEED, FEATS): Y.generate(m, 200, SEED, attempt=a)]
-    out = inc_priv(start, donor, G.Requirement("nearestneighbordistance", 0.3, 0.2), _scorer(real), 200, 0.1)
-    res = out if out is not None else start
-    return rounded(res.withColumn("merged", F.lit(out is not None)))
+    REG.register_technique("donor", _donor_table, _donor_table)
+    start, donors, scorer = _merging(spark, d, 0.05, [8.0], 200)
+    base = scorer.score(start.withColumn("t", F.lit(0)), ["t"])[(0,)]["inversekldivergence"]
+    out, history = TM.increase_utility(start, donors, TM.Requirement("inversekldivergence", base + 0.04, 0.01), scorer, 200, SEED, "donor")
+    return _merged(out, history, 200, [])

@@ -17,8 +17,7 @@ from mirage.functions.draws import draw
 from mirage.operators import synth as Y
 from mirage.operators.frequencies import feature_columns
 from mirage.plans import registry as REG
-from mirage.plans.requirements import (LEVEL_SCHEMA, epsilon_direction, evaluate_request, find_levels,
-                                       first_satisfying, level_exists, next_epsilon, validate_request)  # noqa: F401
+from mirage.plans.requirements import LEVEL_SCHEMA, evaluate_request, find_levels, first_satisfying, validate_request
 
 SIZES = (1000, 10000)
 REPEATS = 5
@@ -218,69 +217,32 @@ def epsilon_sweep(real: DataFrame, epsilons, size: int = 1000, seed=0, cols=None
                   metrics=("nearestneighbordistance", "inversekldivergence"), n_bins: int = Y.N_BINS) -> DataFrame:
     """R8 sweep form: counts once, noise for every candidate epsilon (an exploded
     column, not a join), one synthetic table per candidate, all scored in one
-    grouped job. Returns (epsilon, metric, value)."""
+    grouped job. Returns (epsilon, metric, value). ``epsilons`` may also be pairs
+    (epsilon, seed), each drawn with its own seed; then (epsilon, seed, metric, value)."""
+    from mirage.session import cut_lineage
     cols = list(cols or feature_columns(real))
-    base = Y.dp_fit(real.select("row_id", *cols), None, seed, cols, n_bins=n_bins)
-    eps = F.explode(F.array(*[F.lit(float(e)) for e in epsilons]))
+    paired = bool(epsilons) and isinstance(epsilons[0], tuple)
+    pairs = list(epsilons) if paired else [(e, seed) for e in epsilons]
+    base = Y.dp_fit(real.select("row_id", *cols), None, 0, cols, n_bins=n_bins)
+    one = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("epsilon"), F.lit(s).cast("long").alias("seed")) for e, s in pairs]))
+    tags = ["epsilon", "seed"]
     # A working table inside the search: fitted without noise, never stored.
-    cand = base.withColumnRenamed("noisy", "exact").withColumn("epsilon", eps)
+    cand = base.withColumnRenamed("noisy", "exact").withColumn("_c", one).select("*", "_c.*").drop("_c")
     key = F.concat_ws("|", F.col("column"), F.col("bin").cast("string"))
     scale = F.lit(float(len(cols))) / F.col("epsilon")
-    cand = cand.withColumn("noisy", Y.noise("laplace", F.col("exact"), scale, seed, key))
-    cand = Y._finish(cand, group=("epsilon", "column"))
-    ids = real.sparkSession.range(size).withColumnRenamed("id", "row_id").withColumn("epsilon", eps)
-    long = ids.select("row_id", "epsilon", F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    cand = cand.withColumn("noisy", Y.noise("laplace", F.col("exact"), scale, F.col("seed"), key))
+    cand = Y._finish(cand, group=(*tags, "column"))
+    ids = real.sparkSession.range(size).withColumnRenamed("id", "row_id").withColumn("_c", one).select("row_id", "_c.*")
+    long = ids.select("row_id", *tags, F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
     tag = F.concat_ws("|", F.col("column"), F.col("epsilon").cast("string"))
-    long = long.withColumn("_u", draw(seed, tag, F.col("row_id"))).withColumn("_w", draw(seed, F.concat_ws("|", tag, F.lit("in")), F.col("row_id")))
-    picked = Y.interval_lookup(long, cand, ["epsilon", "column"], "_u", "cum_lo", "cum_hi")
+    long = long.withColumn("_u", draw(F.col("seed"), tag, F.col("row_id"))).withColumn(
+        "_w", draw(F.col("seed"), F.concat_ws("|", tag, F.lit("in")), F.col("row_id")))
+    picked = Y.interval_lookup(long, cand, [*tags, "column"], "_u", "cum_lo", "cum_hi")
     val = F.when(F.col("kind") != "hist", F.col("bin_lo")).otherwise(F.col("bin_lo") + F.col("_w") * (F.col("bin_hi") - F.col("bin_lo")))
     val = F.when(F.col("integral") & (F.col("kind") == "hist"), F.floor(val).cast("double")).otherwise(val)
-    from mirage.session import cut_lineage
-    wide = picked.withColumn("_val", val).groupBy("epsilon", "row_id").pivot("column", cols).agg(F.first("_val"))
+    wide = picked.withColumn("_val", val).groupBy(*tags, "row_id").pivot("column", cols).agg(F.first("_val"))
     wide = cut_lineage(wide)  # every metric reads it
-    return score_tagged(real, wide, list(metrics), ["epsilon"], cols)
-
-
-def search_epsilon(real: DataFrame, privacy=None, utility=None, tol: float = 0.05, size: int = 1000,
-                   seed=0, cols=None, low: float = 0.1, high: float = 10.0, restarts: int = 3,
-                   candidates: int = 9) -> DataFrame | None:
-    """R8 loop: sweep a grid inside [low, high], read the direction (R7) of the
-    best candidate, narrow the bracket (R6) and sweep again; at most ``restarts``
-    rounds. ``privacy`` / ``utility``: (metric, value). Returns the scored
-    candidates of the last round with the chosen one flagged, or None."""
-    spark = real.sparkSession
-    metrics = [m for m, _ in ([privacy] if privacy else []) + ([utility] if utility else [])]
-    for _ in range(restarts):
-        grid = sorted({round(low + (high - low) * i / (candidates - 1), 1) for i in range(candidates)})
-        res = epsilon_sweep(real, grid, size, seed, cols, metrics)
-        wide = res.groupBy("epsilon").agg(
-            *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"v_{i}") for i, m in enumerate(metrics)])
-        p_req = F.lit(privacy[1]) if privacy else F.lit(None).cast("double")
-        u_req = F.lit(utility[1]) if utility else F.lit(None).cast("double")
-        p_val = F.col("v_0") if privacy else F.lit(None).cast("double")
-        u_val = F.col(f"v_{1 if privacy else 0}") if utility else F.lit(None).cast("double")
-        ps = REG.metric(privacy[0]) if privacy else None
-        us = REG.metric(utility[0]) if utility else None
-        t = wide.select("epsilon", p_req.alias("p_req"), p_val.alias("p_val"),
-                        F.lit(ps.lo if ps else 0.0).alias("p_lo"), F.lit(ps.hi if ps else 1.0).alias("p_hi"),
-                        F.lit(ps.direction if ps else 1).alias("p_dir"),
-                        u_req.alias("u_req"), u_val.alias("u_val"),
-                        F.lit(us.lo if us else 0.0).alias("u_lo"), F.lit(us.hi if us else 1.0).alias("u_hi"),
-                        F.lit(us.direction if us else 1).alias("u_dir"), F.lit(tol).alias("tol"))
-        d = epsilon_direction(t)
-        diff = (F.coalesce(F.abs(F.col("p_val") - F.col("p_req")), F.lit(0.0))
-                + F.coalesce(F.abs(F.col("u_val") - F.col("u_req")), F.lit(0.0)))
-        d = d.withColumn("diff", diff)
-        best = d.orderBy("diff", "epsilon").first()
-        if best["move"] == "done":
-            return d.withColumn("chosen", F.col("epsilon") == F.lit(best["epsilon"]))
-        nxt = next_epsilon(spark.createDataFrame([(float(best["epsilon"]), low, high, float(best["step"] or 0.5),
-                                                   best["move"] if best["move"] in ("up", "down") else "down")],
-                                                 "epsilon double, low double, high double, amount double, direction string")).first()
-        if nxt["new_epsilon"] is None:
-            return None
-        low, high = float(nxt["new_low"]), float(nxt["new_high"])
-    return None
+    return score_tagged(real, wide if paired else wide.drop("seed"), list(metrics), tags if paired else ["epsilon"], cols)
 
 
 def add_metric(real: DataFrame, levels: DataFrame, models: dict, name: str, sizes=SIZES,
@@ -307,43 +269,3 @@ def add_metric(real: DataFrame, levels: DataFrame, models: dict, name: str, size
     if not rows:
         return real.sparkSession.createDataFrame([], LEVEL_SCHEMA)
     return reduce(DataFrame.unionByName, rows)
-
-
-def prepare(real: DataFrame, pending: DataFrame, levels: DataFrame, models: dict, size: int = 1000,
-            seed=0, cols=None) -> DataFrame:
-    """Unserved requests name the protection level they want; each new
-    level name is prepared once (J8: names already in ``levels`` are skipped),
-    from the requirement of its earliest request: merging (G7) first, then
-    epsilon search (R8). Returns (request_id, level, outcome) for every pending
-    request, outcome in merged / searched / manual / exists."""
-    from mirage.operators.merge import Requirement, Scorer, create_by_merging
-    spark = real.sparkSession
-    cols = cols or feature_columns(real)
-    exists = level_exists(pending, levels).filter(F.col("exists")).select("request_id")
-    new = pending.join(exists, "request_id", "left_anti")
-    first = new.groupBy("level").agg(F.min_by(F.struct(*[c for c in new.columns if c != "level"]),
-                                              F.col("request_id")).alias("r"))
-    outcomes = []
-    scorer = Scorer(real, cols)
-    names = sorted(models)
-    for row in first.collect():  # one row per new level name
-        r = row["r"]
-        priv = Requirement(r["privacy_metric"], r["privacy_value"], r["tol"]) if r["privacy_metric"] else None
-        util = Requirement(r["utility_metric"], r["utility_value"], r["tol"]) if r["utility_metric"] else None
-        outcome = "manual"
-        if names:
-            donors = [(lambda a, m=models[n]: Y.generate(m, size, seed, attempt=a)) for n in names]
-            start = Y.generate(models[names[0]], size, seed)
-            fresh = lambda a, m=models[names[0]]: Y.generate(m, size, seed + 1, attempt=a)
-            if create_by_merging(start, donors, fresh, scorer, size, priv, util, seed=seed) is not None:
-                outcome = "merged"
-        if outcome == "manual":
-            found = search_epsilon(real, (priv.metric, priv.value) if priv else None,
-                                   (util.metric, util.value) if util else None, r["tol"], size, seed, cols)
-            if found is not None:
-                outcome = "searched"
-        outcomes.append((row["level"], outcome))
-    result = spark.createDataFrame(outcomes, "level string, outcome string")
-    prepared = new.select("request_id", "level").join(F.broadcast(result), "level", "left")
-    known = pending.join(exists, "request_id", "left_semi").select("request_id", "level", F.lit("exists").alias("outcome"))
-    return prepared.select("request_id", "level", "outcome").unionByName(known)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mirage.operators import metrics as M
 from mirage.operators import synth as Y
+from mirage.operators import tournament
 
 
 @dataclass
@@ -106,12 +107,16 @@ def generator_of(family: str | None) -> Callable:
     return _SYNTHS[family][1] if family in _SYNTHS else Y.generate
 
 
-def register_technique(name: str, increase_privacy: Callable, increase_utility: Callable) -> None:
-    """Merge technique operating on DataFrames."""
-    _TECHNIQUES[name] = (increase_privacy, increase_utility)
+def register_technique(name: str, privacy_proposals: Callable, utility_proposals: Callable) -> None:
+    """A merge technique: two functions ``(cur, donors, n_donors, k, scorer,
+    seed) -> (donor, row_id, features)`` that propose, for every donor, the table
+    with up to ``k`` rows swapped. ``merge_tables`` looks its technique up here."""
+    _TECHNIQUES[name] = (privacy_proposals, utility_proposals)
 
 
 def technique(name: str) -> tuple:
+    if name not in _TECHNIQUES:
+        raise KeyError(f"unknown technique {name!r}")
     return _TECHNIQUES[name]
 
 
@@ -136,4 +141,5 @@ _DEFAULT_FN = {n: _METRICS[n].fn for n in _METRICS}
 
 register_synthesizer("dp", lambda df, **kw: Y.dp_fit(df, **kw), Y.generate)
 register_synthesizer("modes", lambda df, **kw: Y.modes_fit(df, **kw), Y.generate)
+register_technique("merge", tournament.privacy_proposals, tournament.utility_proposals)
 register_synthesizer("ads", lambda df, **kw: Y.ads_fit(df, **kw), Y.generate)

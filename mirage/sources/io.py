@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,13 +88,15 @@ class Store:
             return None
 
     def load_model(self, level: str, family: str | None = None) -> DataFrame | None:
-        m = self._read(self.models)
+        m = self._part(level, "model")
         if m is None:
-            return None
-        m = m.filter(F.col("level") == level)
+            m = self._read(self.models)
+            if m is None:
+                return None
+            m = m.filter(F.col("level") == level).drop("level")
         if family is not None:
             m = m.filter(F.col("family") == family)
-        return m.drop("level")
+        return m
 
     # S6
     def cache_put(self, level: str, syn: DataFrame) -> None:
@@ -102,14 +105,15 @@ class Store:
          .option("partitionOverwriteMode", "dynamic").partitionBy("level").parquet(self.cache))
 
     def cache_get(self, level: str) -> DataFrame | None:
+        own = self._part(level, "cache")
         c = self._read(self.cache)
-        return None if c is None else c.filter(F.col("level") == level).drop("level")
+        old = None if c is None else c.filter(F.col("level") == level).drop("level")
+        return own if own is not None and (old is None or old.isEmpty()) else old
 
     def cached_levels(self) -> DataFrame:
         c = self._read(self.cache)
-        if c is None:
-            return self.spark.createDataFrame([], "level string")
-        return c.select("level").distinct()
+        own = self.spark.createDataFrame([(n,) for n, v in self.published().items() if self._exists(f"{v}/cache")], "level string")
+        return own if c is None else c.select("level").distinct().unionByName(own).distinct()
 
     # levels table
     def append_levels(self, rows: DataFrame) -> None:
@@ -117,15 +121,99 @@ class Store:
 
     def read_levels(self) -> DataFrame:
         from mirage.plans.requirements import LEVEL_SCHEMA
-        if not self._exists(self.levels):
-            return self.spark.createDataFrame([], LEVEL_SCHEMA)
-        return self.spark.read.parquet(self.levels)
+        out = self.spark.read.parquet(self.levels) if self._exists(self.levels) else self.spark.createDataFrame([], LEVEL_SCHEMA)
+        paths = [f"{v}/levels" for _, v in self.published().items()]
+        return out.unionByName(self.spark.read.parquet(*paths)) if paths else out
+
+    # Published levels: everything of one level becomes visible by one commit file.
+    # levels/<sha256 of the name>/<version id>/{levels,model,cache,report} is written
+    # first; then commit file <number> is created, which only one writer can do, with
+    # the version id (or nothing: removed) inside. Readers follow the highest number
+    # and never see a version without a commit file.
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _folder(self, level: str) -> str:
+        import hashlib
+        return os.path.join(self.root, "published", hashlib.sha256(level.encode()).hexdigest())
+
+    def _commits(self, folder: str) -> dict[int, str]:
+        fs, p = self._fs(os.path.join(folder, "commits"))
+        return {int(f.getPath().getName()): f.getPath().toString() for f in fs.listStatus(p)} if fs.exists(p) else {}
+
+    def _read_commit(self, path: str) -> dict:
+        import json
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, folder: str, number: int, entry: dict) -> bool:
+        """Create commit file ``number``; false if another writer has it."""
+        import json
+
+        from py4j.protocol import Py4JJavaError
+        staged = os.path.join(folder, f"staged-{uuid.uuid4().hex}")
+        fs, p = self._fs(staged)
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        _, target = self._fs(os.path.join(folder, "commits", str(number)))
+        fs.mkdirs(target.getParent())
+        try:
+            won = not fs.exists(target) and fs.rename(p, target)  # a rename never replaces a file
+        except Py4JJavaError:
+            won = False
+        if not won:
+            fs.delete(p, False)
+        return bool(won)
+
+    def published(self) -> dict[str, str]:
+        """Folder of the committed version of every published level."""
+        fs, p = self._fs(os.path.join(self.root, "published"))
+        out = {}
+        for f in (fs.listStatus(p) if fs.exists(p) else []):
+            commits = self._commits(f.getPath().toString())
+            if commits:
+                entry = self._read_commit(commits[max(commits)])
+                if entry["version"]:
+                    out[entry["level"]] = f"{f.getPath().toString()}/{entry['version']}"
+        return out
+
+    def publish(self, level: str, rows: DataFrame, model: DataFrame | None = None, family: str | None = None,
+                cache: DataFrame | None = None, report: DataFrame | None = None) -> bool:
+        """Make a level's rows, model, cached rows and report visible together.
+        False if another writer published the level meanwhile (its version stays);
+        what is left of the loser, or of a writer that failed, nobody reads."""
+        folder = self._folder(level)
+        number = max(self._commits(folder), default=0) + 1
+        version = uuid.uuid4().hex
+        parts = {"levels": rows, "model": None if model is None else model.drop("family").withColumn("family", F.lit(family)),
+                 "cache": cache, "report": report}
+        for name, df in parts.items():
+            if df is not None:
+                df.write.parquet(os.path.join(folder, version, name))
+        return self._commit(folder, number, {"level": level, "version": version})
+
+    def _part(self, level: str, name: str) -> DataFrame | None:
+        version = self.published().get(level)
+        return self._read(f"{version}/{name}") if version else None
+
+    def report_of(self, level: str) -> DataFrame | None:
+        return self._part(level, "report")
 
     def remove_level(self, name: str) -> None:
         """Remove a level from the level table, the model store and the cache."""
         from mirage.session import cut_lineage
+        if name in self.published():
+            folder = self._folder(name)
+            self._commit(folder, max(self._commits(folder)) + 1, {"level": name, "version": None})
         if self._exists(self.levels):
-            kept = cut_lineage(self.read_levels().filter(F.col("level") != name))
+            own = self.spark.read.parquet(self.levels)
+            kept = cut_lineage(own.filter(F.col("level") != name))
             kept.write.mode("overwrite").parquet(self.levels)
         # The files of the level, found by its column value: folder names are
         # escaped by the writer, so they are never built from the name.
