@@ -8,10 +8,12 @@ and no side passes whole through one task or the driver:
   ``mirage.distance.broadcastBytes`` (default 64 MiB), B is broadcast once and
   every partition of A is scanned by ``mapInPandas`` with numpy blocks. A is not
   shuffled at all.
-* **blocked path** - otherwise both sides are cut into hash blocks of at most
-  ``mirage.distance.blockRows`` rows; block pairs ``(ia, ib)`` are co-grouped
+* **pivot path** - nearest neighbours of larger tables visit only the cells of B
+  that can hold a closer row (``mirage.operators.pivots``).
+* **blocked path** - mean distances of larger tables need every pair: both sides are
+  cut into hash blocks of at most ``mirage.distance.blockRows`` rows; block pairs ``(ia, ib)`` are co-grouped
   (each A row travels to every B block, each B row to every A block) and the
-  per-block partial minima / sums are reduced by row id. Every task holds two
+  per-block partial sums are reduced by row id. Every task holds two
   bounded blocks, whatever the table sizes.
 
 Minimum distances use the ``|a|^2 + |b|^2 - 2ab`` product for speed and then
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirage.functions.ordering import ordered_index, rank_column, take_first
+from mirage.operators.pivots import pivot_nearest
 
 DEFAULT_BROADCAST_BYTES = 64 << 20
 DEFAULT_BLOCK_ROWS = 8192
@@ -180,6 +183,8 @@ def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude
         return _spread(asel).mapInPandas(scan, schema)
 
     del pdf
+    if kind != "mean":
+        return pivot_nearest(asel, bsel, cols, id_col, name, _kernel(kind, exclude_self), kind == "argmin", block)
     na, nb = asel.count(), bsel.count()
     ka, kb = max(1, math.ceil(na / block)), max(1, math.ceil(nb / block))
     ablk = (asel.withColumn("_ia", F.pmod(F.xxhash64(id_col), F.lit(ka)))
@@ -189,30 +194,20 @@ def _pair_stat(a: DataFrame, b: DataFrame, cols, id_col: str, kind: str, exclude
 
     def pair(left, right):
         A, ida = left[cols].to_numpy(np.float64), left[id_col].to_numpy(np.int64)
-        B, idb = right[cols].to_numpy(np.float64), right["_bid"].to_numpy(np.int64)
-        if kind == "argmin":
-            d2, arg = _argmin_sq(A, ida, B, idb, exclude_self)
-            return pd.DataFrame({id_col: ida, "_v": d2, "_a": arg})
-        if kind == "min":
-            v = _min_sq(A, ida, B, idb, exclude_self)
-        else:
-            v = _sum_dist(A, B)
-        return pd.DataFrame({id_col: ida, "_v": v, "_n": np.full(len(A), len(B), np.int64)})
+        v = _sum_dist(A, right[cols].to_numpy(np.float64))
+        return pd.DataFrame({id_col: ida, "_v": v, "_n": np.full(len(A), len(right), np.int64)})
 
-    if kind == "argmin":
-        part = (ablk.groupBy("_ia", "_ib").cogroup(bblk.groupBy("_ia", "_ib"))
-                .applyInPandas(pair, f"{id_col} long, _v double, _a long")
-                .filter((F.col("_a") >= 0) & (F.col("_v") < F.lit(float("inf")))))
-        best = part.groupBy(id_col).agg(F.min_by(F.struct("_v", "_a"), F.struct("_v", "_a")).alias("_b"))
-        return best.select(id_col, F.col("_b._a").alias("nn_id"), F.sqrt("_b._v").alias(name))
     part = (ablk.groupBy("_ia", "_ib").cogroup(bblk.groupBy("_ia", "_ib"))
             .applyInPandas(pair, f"{id_col} long, _v double, _n long"))
-    if kind == "min":
-        m = F.min(F.when(F.col("_v") < F.lit(float("inf")), F.col("_v")))
-        return part.groupBy(id_col).agg(F.sqrt(m).alias(name))
     return part.groupBy(id_col).agg((F.sum("_v") / F.lit(float(nb))).alias(name))
 
 
+def _kernel(kind: str, exclude_self: bool):
+    if kind == "argmin":
+        return lambda A, ida, B, idb: _argmin_sq(A, ida, B, idb, exclude_self)
+    return lambda A, ida, B, idb: _min_sq(A, ida, B, idb, exclude_self)
+
+
 def _pair_stat_by(a, b, cols, id_col, kind, exclude_self, name, by):
     spark = a.sparkSession
     cols = list(cols)
@@ -245,6 +240,8 @@ def _pair_stat_by(a, b, cols, id_col, kind, exclude_self, name, by):
                     out[name] = v
                     yield pd.DataFrame(out)
         return _spread(asel).mapInPandas(scan, schema)
+    if kind == "min":
+        return pivot_nearest(asel, bsel, cols, id_col, name, _kernel(kind, exclude_self), False, block, by)
     # Blocked: tag groups become part of the block key.
     na = asel.count()
     tags = [tuple(r) for r in bsel.select(*by).distinct().collect()]  # tag values are few (sizes x attempts)
@@ -259,8 +256,8 @@ def _pair_stat_by(a, b, cols, id_col, kind, exclude_self, name, by):
 
     def pair(left, right):
         A, ida = left[cols].to_numpy(np.float64), left[id_col].to_numpy(np.int64)
-        B, idb = right[cols].to_numpy(np.float64), right["_bid"].to_numpy(np.int64)
-        v = _min_sq(A, ida, B, idb, exclude_self) if kind == "min" else _sum_dist(A, B)
+        B = right[cols].to_numpy(np.float64)
+        v = _sum_dist(A, B)
         out = left[[id_col, *by]].copy()
         out["_v"] = v
         out["_n"] = len(B)
@@ -269,9 +266,6 @@ def _pair_stat_by(a, b, cols, id_col, kind, exclude_self, name, by):
     keys = ["_ia", "_ib", *by]
     part = (ablk.groupBy(*keys).cogroup(bblk.groupBy(*keys))
             .applyInPandas(pair, f"{id_col} long, " + ", ".join(f"`{t}` {tag_types[t]}" for t in by) + ", _v double, _n long"))
-    if kind == "min":
-        m = F.min(F.when(F.col("_v") < F.lit(float("inf")), F.col("_v")))
-        return part.groupBy(id_col, *by).agg(F.sqrt(m).alias(name))
     return part.groupBy(id_col, *by).agg((F.sum("_v") / F.sum("_n")).alias(name))
 
 

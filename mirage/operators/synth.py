@@ -95,9 +95,10 @@ def _finish(model: DataFrame, group=("column",)) -> DataFrame:
     return m.withColumn("cum_hi", F.when(last, F.lit(1.0)).otherwise(F.col("cum_hi")))
 
 
-def marginal_counts(df: DataFrame, cols, prof: DataFrame) -> DataFrame:
+def marginal_counts(df: DataFrame, cols, prof: DataFrame | None = None) -> DataFrame:
     """True counts per (column, bin) with the bin's place: a working table of the
     fit that must not leave it. ``prof`` is the profile of ``cols``."""
+    prof = _profile(df, cols, N_BINS, None) if prof is None else prof
     long = to_long(df, cols).filter(F.col("v").isNotNull())
     binned = long.join(F.broadcast(prof), "column")
     binned = binned.filter(F.col("categorical") | ((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))))
