@@ -11,6 +11,7 @@ which is what ``bytes.split()`` cuts at.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,6 @@ from mirage.session import checkpoint_dir
 
 SPACES = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
-_MASK = (1 << 64) - 1
 _STASHED: list[tuple[str, SparkSession]] = []
 
 
@@ -77,28 +77,51 @@ def word_array(text):
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+PRIME = (1 << 61) - 1
+_HASH_WORDS = 400_000
+_HASH_WORD_BYTES = 64
+_KNOWN: dict[bytes, bytes] = {}
 _POW = {}
 
 
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo ``PRIME`` of numbers below it, in 64-bit halves."""
+    low, mid_bits = np.uint64((1 << 31) - 1), np.uint64(30)
+    ah, al, bh, bl = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    mid = al * bh + ah * bl
+    out = (ah * bh << np.uint64(1)) + (mid >> mid_bits) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + al * bl
+    return reduced(out)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo ``PRIME`` of any 64-bit numbers."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. n - 1 modulo 2**64, kept and grown per process."""
+    """base ** 0 .. n - 1 modulo ``PRIME``, kept and grown per process."""
     p = _POW.get(base)
     if p is None or len(p) < n:
-        m = max(n, CHUNK_BYTES + 4096)
-        p = np.full(m, base & _MASK, dtype=np.uint64)
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
+        m = max(n, 1 << 16)
+        p = np.ones(m, dtype=np.uint64)
+        k = 1
+        while k < m:
+            p[k:2 * k] = mulmod(p[:min(k, m - k)], np.uint64(pow(base, k, PRIME)))
+            k *= 2
         if m <= 4 * CHUNK_BYTES:  # a very long text gets its own, not kept
             _POW[base] = p
     return p[:n]
 
 
+def prefix_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0 .. len(x) numbers modulo ``PRIME``, of numbers below it."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    high, low = np.cumsum(x >> np.uint64(31)), np.cumsum(x & np.uint64((1 << 31) - 1))
+    out[1:] = reduced(mulmod(reduced(high), np.uint64(1 << 31)) + reduced(low))
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), a bijection."""
     x = x ^ (x >> np.uint64(32))
@@ -158,15 +181,23 @@ class Words:
         self.first = np.searchsorted(self.start, off)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hash of every word's bytes (A-Z lower-cased if asked)."""
-        n = len(self.raw)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        acc = np.empty(n + 1, dtype=np.uint64)
-        acc[0] = 0
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.raw] * powers(_BASE, n), out=acc[1:])
-        h = (acc[self.end] - acc[self.start]) * powers(_INV, n)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        """64 bits of a cryptographic digest of every word's bytes (A-Z lower-cased
+        if asked), remembered in a bounded table of the process."""
+        data = self.raw.tobytes()
+        if lower:
+            data = data.lower()  # ASCII letters only
+        words = [data[s:e] for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+        new = set(words).difference(_KNOWN)
+        if len(_KNOWN) + len(new) > _HASH_WORDS:
+            _KNOWN.clear()
+            new = set(words)
+        for w in new:
+            _KNOWN[w] = hashlib.blake2b(w, digest_size=8).digest()
+        out = np.frombuffer(b"".join(map(_KNOWN.__getitem__, words)), dtype=np.uint64)
+        for w in new:
+            if len(w) > _HASH_WORD_BYTES:
+                del _KNOWN[w]
+        return out
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:

@@ -37,20 +37,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirage.llm.common import Words, chunks, discard, grams, mix, partitions, powers, sliding_min, stash, table
+from mirage.llm.common import (PRIME, Words, chunks, discard, grams, mix, mulmod, partitions, powers, prefix_sums, reduced, sliding_min, stash,
+                               table)
 
 WINDOW = 50
 GRAM = 8
 BUCKET_WINDOWS = 1 << 19
-_P1, _P2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
-_I1, _I2 = pow(_P1, -1, 1 << 64), pow(_P2, -1, 1 << 64)
+_P1, _P2 = 0xA0761D6478BD642F % PRIME, 0xE7037ED1A0B428DB % PRIME
+_I1, _I2 = pow(_P1, -1, PRIME), pow(_P2, -1, PRIME)
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
 
 
-def _prefix(h: np.ndarray, base: int) -> np.ndarray:
-    acc = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * powers(base, len(h)), out=acc[1:])
-    return acc
+def _span_hash(h: np.ndarray, begin: np.ndarray, stop: np.ndarray, base: int, inverse: int) -> np.ndarray:
+    """Polynomial over the field of 2**61 - 1 elements of the words of every span."""
+    n = len(h)
+    acc = prefix_sums(mulmod(reduced(h), powers(base, n)))
+    return mulmod(reduced(acc[stop] + np.uint64(PRIME) - acc[begin]), powers(inverse, n)[begin])
 
 
 def super_kmers(raw: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -72,11 +74,9 @@ def super_kmers(raw: np.ndarray, off: np.ndarray, window: int = WINDOW, gram: in
         return empty
     ends = np.flatnonzero(valid & np.concatenate([~same, [True]])) + 1
     stop = ends + window - 1
-    h2 = mix(h ^ _SALT)
-    a1, a2 = _prefix(h, _P1), _prefix(h2, _P2)
     size = (ends - begin).astype(np.uint64)
-    fp1 = mix((a1[stop] - a1[begin]) * powers(_I1, n)[begin] + size)
-    fp2 = mix((a2[stop] - a2[begin]) * powers(_I2, n)[begin] + size)
+    fp1 = mix(_span_hash(h, begin, stop, _P1, _I1) + size)
+    fp2 = mix(_span_hash(mix(h ^ _SALT), begin, stop, _P2, _I2) + size)
     d = doc[begin]
     return {"doc": d, "start": begin - w.first[d], "windows": ends - begin,
             "mini": mini[begin].view(np.int64), "fp1": fp1.view(np.int64), "fp2": fp2.view(np.int64)}
