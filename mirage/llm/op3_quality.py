@@ -2,21 +2,28 @@
 
 Per document: word and symbol counts, repeated lines, words in repeated 3-word
 windows. A base rule with fixed limits comes first; then four ratios are
-compared with limits that follow the corpus: for every (lang, source) a
-mergeable quantile sketch of each ratio gives its quartiles, and a document is
-rejected where a ratio lies beyond ``Q3 + 3 (Q3 - Q1) + slack`` (for the mean
-word length also below ``Q1 - 3 (Q3 - Q1) - slack``).
+compared with limits that follow the corpus. For every (lang, source) a mergeable
+quantile sketch of each ratio gives its quartiles and its 99th percentile:
+
+* mean word length lies within ``Q1 - 3 (Q3 - Q1) - slack`` and
+  ``Q3 + 3 (Q3 - Q1) + slack``; symbols a word not above the latter;
+* repeated lines and repeated words, which good texts have too, not above
+  ``2 Q99 + slack``;
+* upper limits but word length's are those of the whole language at most, so a
+  source full of junk doesn't excuse itself.
 
 The sketch is a table of counts per bucket: a ratio in thousandths keeps its
 seven leading binary digits (relative error below 1/64), so sketches of parts
-merge by adding counts, in any order, to the same result. Sketches of small
-groups (under ``MIN_DOCS`` documents) are merged over the sources of their
-language, and a language that is small itself over all documents.
-
-Defined cases: null text is an empty text (no words: the base rule fails). Null
-lang or source is a group of its own. Repeated rows are judged alike and all
-returned. An empty table gives an empty result. Extra columns are ignored.
-Repeated windows are recognised by a 64-bit hash of their three words.
+merge by adding counts, in any order, to the same result. A source's sketch is
+merged with that of its language, which weighs as ``PRIOR_DOCS`` documents, and that
+with the sketch of all documents by the same weight: limits of a small source are
+those of its language, and they move without a jump as it grows.
+
+Defined cases: null text is an empty text (no words: the base rule fails). Texts are
+read whole at any length. Null lang or source is a group of its own. Repeated rows
+are judged alike and all returned. An empty table gives an empty result. Extra
+columns are ignored. Repeated windows are recognised by a 64-bit hash of their three
+words.
 """
 
 from __future__ import annotations
@@ -27,10 +34,12 @@ from pyspark.sql.window import Window
 
 from mirage.llm.common import stash, table, word_array
 
-MIN_DOCS = 100
+PRIOR_DOCS = 100
+_UNIT = 1_000_000  # weights are counted in millionths of a document
 SYMBOLS = "#*$%&|<>"  # fixed values
 # ratio name -> slack in thousandths
-SLACK = {"word_length": 500, "symbols": 100, "dup_lines": 500, "repeats": 400}
+SLACK = {"word_length": 500, "symbols": 100, "dup_lines": 10, "repeats": 10}
+FENCED = ("word_length", "symbols")  # by quartiles, the others by the 99th percentile
 
 
 def _let(value, body):
@@ -102,7 +111,7 @@ def _bucket(v: str):
     return F.expr(f"shiftleft(shiftright({v}, {drop}), {drop})")
 
 
-def adaptive_limits(metrics: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def adaptive_limits(metrics: DataFrame, prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """(lang, source) -> ``lo_/hi_`` limits of every ratio, in thousandths.
 
     Works on sketches only: counts per (lang, source, ratio, bucket)."""
@@ -110,40 +119,58 @@ def adaptive_limits(metrics: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         F.struct(F.lit(k).alias("ratio"), _ratio(*RATIOS[k]).alias("v")) for k in RATIOS])).alias("r"))
     sketch = stash(long.select("lang", "source", "r.ratio", _bucket("r.v").alias("b"))
                    .groupBy("lang", "source", "ratio", "b").agg(F.count(F.lit(1)).alias("n")))
-    # Merged sketches of each level; level 0 is the finest.
-    levels = sketch.select(F.explode(F.array(*[F.struct(
-        F.lit(i).alias("level"), (F.col("lang") if i < 2 else F.lit(None).cast("string")).alias("lang"),
-        (F.col("source") if i < 1 else F.lit(None).cast("string")).alias("source")) for i in range(3)])).alias("g"),
-        "ratio", "b", "n").select("g.*", "ratio", "b", "n").groupBy("level", "lang", "source", "ratio", "b").agg(F.sum("n").alias("n"))
+    whole = F.lit(prior_docs * _UNIT).cast("long")
+    per_lang = sketch.groupBy("lang", "ratio", "b").agg(F.sum("n").alias("n"))
+    lang_docs = sketch.groupBy("lang", "ratio").agg(F.sum("n").alias("docs"))
+    overall = sketch.groupBy("ratio", "b").agg(F.sum("n").alias("n"))
+    all_docs = sketch.groupBy("ratio").agg(F.sum("n").alias("all_docs")).select(F.col("ratio").alias("_r"), "all_docs")
+    # Prior of a language: its own sketch and, the less of it there is, that of all.
+    of_lang = F.expr(f"({prior_docs * _UNIT} * docs) div (docs + {prior_docs})")
+    weights = lang_docs.select("lang", "ratio", "docs", of_lang.alias("w"))
+    spread = weights.join(overall.select(F.col("ratio").alias("_r"), "b", F.col("n").alias("n_all")), F.col("ratio") == F.col("_r")).drop("_r").join(
+        all_docs, F.col("ratio") == F.col("_r")).drop("_r")
+    own = per_lang.select(F.col("lang").alias("_l"), F.col("ratio").alias("_r"), F.col("b").alias("_b"), F.col("n").alias("n_lang"))
+    same = F.col("lang").eqNullSafe(F.col("_l")) & (F.col("ratio") == F.col("_r")) & (F.col("b") == F.col("_b"))
+    prior = spread.withColumn("_whole", whole).join(own, same, "left").select(
+        "lang", "ratio", "b", F.coalesce("n_lang", F.lit(0)).alias("n_lang"),
+        (F.expr("(w * coalesce(n_lang, 0)) div docs") + F.expr("((_whole - w) * n_all) div all_docs")).alias("p"))
+    prior = stash(prior)
+    groups = sketch.select(F.col("lang").alias("_l"), "source", F.col("ratio").alias("_r")).distinct()
+    n_own = sketch.select(F.col("lang").alias("_l2"), F.col("source").alias("_s2"), F.col("ratio").alias("_r2"), F.col("b").alias("_b2"), "n")
+    fine = groups.join(prior, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("ratio") == F.col("_r"))).select("lang", "source", "ratio", "b", "p")
+    fine = fine.join(n_own, F.col("lang").eqNullSafe(F.col("_l2")) & F.col("source").eqNullSafe(F.col("_s2")) & (F.col("ratio") == F.col("_r2"))
+                     & (F.col("b") == F.col("_b2")), "left")
+    merged = fine.select(F.lit(0).alias("level"), "lang", "source", "ratio", "b", (F.coalesce("n", F.lit(0)) * _UNIT + F.col("p")).alias("m")).unionByName(
+        prior.select(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "ratio", "b", (F.col("n_lang") * _UNIT + F.col("p")).alias("m")))
     w = Window.partitionBy("level", "lang", "source", "ratio")
-    cum = levels.withColumn("cum", F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))) \
-                .withColumn("total", F.sum("n").over(w))
-    quart = cum.groupBy("level", "lang", "source", "ratio").agg(
-        F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("b"))).alias("q1"),
-        F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("b"))).alias("q3"), F.max("total").alias("total"))
+    cum = merged.withColumn("cum", F.sum("m").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))) \
+                .withColumn("total", F.sum("m").over(w))
+
+    def quantile(k):
+        return F.min(F.when(100 * F.col("cum") >= k * F.col("total"), F.col("b")))
+
+    quart = cum.groupBy("level", "lang", "source", "ratio").agg(quantile(25).alias("q1"), quantile(75).alias("q3"), quantile(99).alias("q99"))
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("ratio")]
-    lim = quart.select("level", "lang", "source", "ratio", "total",
-                       (F.col("q1") - 3 * (F.col("q3") - F.col("q1")) - slack).alias("lo"),
-                       (F.col("q3") + 3 * (F.col("q3") - F.col("q1")) + slack).alias("hi"))
-    wide = lim.groupBy("level", "lang", "source").agg(F.max("total").alias("docs"), *[
-        F.max(F.when(F.col("ratio") == k, F.col(s))).alias(f"{s}_{k}") for k in RATIOS for s in ("lo", "hi")])
+    fence = 3 * (F.col("q3") - F.col("q1")) + slack
+    lim = quart.select("level", "lang", "source", "ratio", (F.col("q1") - fence).alias("lo"),
+                       F.when(F.col("ratio").isin(*FENCED), F.col("q3") + fence).otherwise(2 * F.col("q99") + slack).alias("hi"))
     names = [f"{s}_{k}" for k in RATIOS for s in ("lo", "hi")]
-    at = {i: wide.filter(F.col("level") == i).select(*[F.col(c).alias(f"{c}_{i}") for c in ("lang", "source", "docs", *names)])
-          for i in range(3)}
-    joined = (at[0].join(at[1], F.col("lang_0").eqNullSafe(F.col("lang_1")), "left")
-              .join(at[2], F.lit(True).eqNullSafe(F.col("docs_2") >= 0), "left"))
+    wide = lim.groupBy("level", "lang", "source").agg(*[
+        F.max(F.when(F.col("ratio") == k, F.col(s))).alias(f"{s}_{k}") for k in RATIOS for s in ("lo", "hi")])
+    language = wide.filter("level = 1").select(F.col("lang").alias("_l"), *[F.col(c).alias(f"{c}_l") for c in names])
+    joined = wide.filter("level = 0").join(language, F.col("lang").eqNullSafe(F.col("_l")))
 
-    def pick(c):
-        return F.when(F.col("docs_0") >= min_docs, F.col(f"{c}_0")).when(F.col("docs_1") >= min_docs, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
+    def bounded(c):
+        return F.least(F.col(c), F.col(f"{c}_l")) if c.startswith("hi_") and c != "hi_word_length" else F.col(c)
 
-    return joined.select(F.col("lang_0").alias("_lang"), F.col("source_0").alias("_source"), *[pick(c).alias(c) for c in names])
+    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[bounded(c).alias(c) for c in names])
 
 
-def quality_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """Metrics of every document with ``kept``: not base_failed and inside every
     adaptive limit of its (lang, source)."""
     m = stash(quality_metrics(docs))
-    j = m.join(adaptive_limits(m, min_docs),
+    j = m.join(adaptive_limits(m, prior_docs),
                F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     ok = ~F.col("base_failed") & (_ratio(*RATIOS["word_length"]) >= F.col("lo_word_length"))
     for k in RATIOS:
@@ -168,7 +195,8 @@ def verdict_sql(src: str, prefix: str = "q") -> str:
     slack = "CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items()) + " END"
     names = [f"{s}_{k}" for k in RATIOS for s in ("lo", "hi")]
     wide = ", ".join(f"max(CASE WHEN ratio = '{k}' THEN {s} END) AS {s}_{k}" for k in RATIOS for s in ("lo", "hi"))
-    pick = ", ".join(f"CASE WHEN a.docs >= {MIN_DOCS} THEN a.{c} WHEN b.docs >= {MIN_DOCS} THEN b.{c} ELSE c.{c} END AS {c}" for c in names)
+    pick = ", ".join(f"least(a.{c}, b.{c}) AS {c}" if c.startswith("hi_") and c != "hi_word_length" else f"a.{c}" for c in names)
+    fenced = ", ".join(f"'{k}'" for k in FENCED)
     ok = " AND ".join([f"{_sql_ratio('word_length')} >= lo_word_length"] + [f"{_sql_ratio(k)} <= hi_{k}" for k in RATIOS])
     return rf"""{p}_t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -183,18 +211,28 @@ def verdict_sql(src: str, prefix: str = "q") -> str:
 {p}_m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM {p}_m0),
 {p}_v AS ({ratios}),
 {p}_b AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS b FROM {p}_v),
-{p}_s AS (SELECT 0 AS level, lang, source, ratio, b FROM {p}_b UNION ALL SELECT 1, lang, NULL, ratio, b FROM {p}_b
-  UNION ALL SELECT 2, NULL, NULL, ratio, b FROM {p}_b),
-{p}_c AS (SELECT level, lang, source, ratio, b, count(*) AS n FROM {p}_s GROUP BY ALL),
-{p}_u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY b) AS cum,
-  sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM {p}_c),
-{p}_q AS (SELECT level, lang, source, ratio, min(CASE WHEN 4 * cum >= total THEN b END) AS q1,
-  min(CASE WHEN 4 * cum >= 3 * total THEN b END) AS q3, max(total) AS docs FROM {p}_u GROUP BY ALL),
-{p}_l AS (SELECT level, lang, source, ratio, docs, q1 - 3 * (q3 - q1) - {slack} AS lo, q3 + 3 * (q3 - q1) + {slack} AS hi FROM {p}_q),
-{p}_w AS (SELECT level, lang, source, max(docs) AS docs, {wide} FROM {p}_l GROUP BY level, lang, source),
+{p}_s AS (SELECT lang, source, ratio, b, count(*) AS n FROM {p}_b GROUP BY ALL),
+{p}_sl AS (SELECT lang, ratio, b, sum(n)::BIGINT AS n FROM {p}_s GROUP BY ALL),
+{p}_sa AS (SELECT ratio, b, sum(n)::BIGINT AS n, sum(sum(n)::BIGINT) OVER (PARTITION BY ratio)::BIGINT AS all_docs FROM {p}_s GROUP BY ratio, b),
+{p}_dl AS (SELECT lang, ratio, docs, ({PRIOR_DOCS * _UNIT} * docs) // (docs + {PRIOR_DOCS}) AS w
+  FROM (SELECT lang, ratio, sum(n)::BIGINT AS docs FROM {p}_s GROUP BY ALL)),
+{p}_pr AS (SELECT d.lang, d.ratio, a.b, coalesce(l.n, 0) AS n_lang,
+  (d.w * coalesce(l.n, 0)) // d.docs + (({PRIOR_DOCS * _UNIT} - d.w) * a.n) // a.all_docs AS p
+  FROM {p}_dl d JOIN {p}_sa a ON d.ratio = a.ratio
+  LEFT JOIN {p}_sl l ON l.lang IS NOT DISTINCT FROM d.lang AND l.ratio = d.ratio AND l.b = a.b),
+{p}_c AS (SELECT 0 AS level, g.lang, g.source, r.ratio, r.b, coalesce(s.n, 0) * {_UNIT} + r.p AS m
+  FROM (SELECT DISTINCT lang, source, ratio FROM {p}_s) g JOIN {p}_pr r ON g.lang IS NOT DISTINCT FROM r.lang AND g.ratio = r.ratio
+  LEFT JOIN {p}_s s ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source AND s.ratio = r.ratio AND s.b = r.b
+  UNION ALL SELECT 1, lang, NULL, ratio, b, n_lang * {_UNIT} + p FROM {p}_pr),
+{p}_u AS (SELECT *, sum(m) OVER (PARTITION BY level, lang, source, ratio ORDER BY b) AS cum,
+  sum(m) OVER (PARTITION BY level, lang, source, ratio) AS total FROM {p}_c),
+{p}_q AS (SELECT level, lang, source, ratio, min(CASE WHEN 100 * cum >= 25 * total THEN b END) AS q1,
+  min(CASE WHEN 100 * cum >= 75 * total THEN b END) AS q3, min(CASE WHEN 100 * cum >= 99 * total THEN b END) AS q99 FROM {p}_u GROUP BY ALL),
+{p}_l AS (SELECT level, lang, source, ratio, q1 - 3 * (q3 - q1) - {slack} AS lo,
+  CASE WHEN ratio IN ({fenced}) THEN q3 + 3 * (q3 - q1) + {slack} ELSE 2 * q99 + {slack} END AS hi FROM {p}_q),
+{p}_w AS (SELECT level, lang, source, {wide} FROM {p}_l GROUP BY level, lang, source),
 {p}_lim AS (SELECT a.lang, a.source, {pick} FROM (SELECT * FROM {p}_w WHERE level = 0) a
-  LEFT JOIN (SELECT * FROM {p}_w WHERE level = 1) b ON a.lang IS NOT DISTINCT FROM b.lang
-  LEFT JOIN (SELECT * FROM {p}_w WHERE level = 2) c ON true),
+  JOIN (SELECT * FROM {p}_w WHERE level = 1) b ON a.lang IS NOT DISTINCT FROM b.lang),
 {p}_out AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   coalesce(NOT base_failed AND {ok}, false) AS kept FROM {p}_m m LEFT JOIN {p}_lim x
   ON m.lang IS NOT DISTINCT FROM x.lang AND m.source IS NOT DISTINCT FROM x.source)"""
