@@ -113,6 +113,37 @@ def removed(df, **how):
     return sorted(map(tuple, op1_substrings.remove_repeated(df, **how).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
 
 
+def thue_morse(a, b, n):
+    """The two strings of length 2 ** n that any polynomial hash modulo 2 ** 64 mixes up."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hashes_of_crafted_words(spark):
+    """Words, and word sequences, on which hashes modulo 2 ** 64 agree by force."""
+    x, y = thue_morse("a", "b", 10)
+    shared = [f"w{k}" for k in range(49)]
+    rows = [(1, " ".join([*shared, x])), (2, " ".join([*shared, y])), (3, x), (4, y)]
+    u, v = thue_morse(["p"], ["q"], 11)
+    rows += [(5, " ".join([*u, *shared])), (6, " ".join([*v, *shared]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(df) == brute_removed(rows) and removed(df)[1][2] == 0
+    assert comps(df) == brute_components(rows)
+
+
+def test_numbers_modulo_the_prime():
+    from mirage.llm.common import PRIME, mulmod, powers, prefix_sums, reduced
+    a, b = (np.random.default_rng(k).integers(0, PRIME, 500, dtype=np.uint64) for k in (1, 2))
+    a[:3], b[:3] = [PRIME - 1, 0, 1], PRIME - 1
+    assert mulmod(a, b).tolist() == [int(x) * int(y) % PRIME for x, y in zip(a, b, strict=True)]
+    assert powers(12345, 3000).tolist() == [pow(12345, k, PRIME) for k in range(3000)]
+    assert prefix_sums(a).tolist() == [sum(map(int, a[:k])) % PRIME for k in range(501)]
+    x = np.array([0, PRIME, PRIME + 5, (1 << 64) - 1], dtype=np.uint64)
+    assert reduced(x).tolist() == [int(v) % PRIME for v in x]
+
+
 @pytest.mark.parametrize("bucket_windows", [1 << 19, 0])
 def test_substrings(table_docs, odd, bucket_windows):
     assert removed(table_docs, bucket_windows=bucket_windows) == brute_removed(pairs(table_docs))
@@ -164,6 +195,30 @@ def test_quality_counts(odd, none):
     assert op3_quality.quality_verdicts(none).count() == 0
 
 
+def test_quality_limits_follow_the_corpus(spark, duck, odd):
+    """Verdicts of odd rows equal the SQL's, null lang and source included; limits
+    differ by group, move without a jump and are bounded by the language."""
+    table = odd.select("doc_id", "text", "lang", "source").filter("doc_id is not null").dropDuplicates(["doc_id"]).toPandas()
+    duck.register("odd_docs", table)
+    want = duck.execute(f"WITH {op3_quality.verdict_sql('odd_docs')} SELECT doc_id, kept FROM q_out").fetchall()
+    got = op3_quality.quality_verdicts(spark.createDataFrame(table)).select("doc_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+    def measured(n, dup, source):
+        return [(k, "en", source, 100, 450 + k % 7, 0, dup if k % 3 else 0, k % 5, 20, False) for k in range(n)]
+
+    schema = ("doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+              "n_lines long, base_failed boolean")
+    hi = []
+    for n in (20, 99, 100, 101, 400, 4000):
+        rows = measured(n, 9, "junk") + measured(3000, 1, "good")
+        lim = op3_quality.adaptive_limits(spark.createDataFrame(rows, schema)).collect()
+        assert {r["_source"] for r in lim} == {"junk", "good"}
+        hi.append({r["_source"]: r["hi_dup_lines"] for r in lim})
+    assert hi[1] == hi[2] == hi[3] and all(h["junk"] <= 2 * 450 + 10 for h in hi)
+    assert hi[4]["junk"] > hi[4]["good"] == hi[0]["good"] == 2 * 50 + 10  # 50: the good source's 99th percentile
+
+
 # --- op4 --------------------------------------------------------------------------
 
 def test_restoring():
