@@ -26,6 +26,7 @@ scored, not held out. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -131,31 +132,33 @@ def columns(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: np.ndarray, edges: frozenset[int] = frozenset()) -> str:
-    """Viterbi over the lattice; a state is the last two letters. At the positions
-    ``edges`` a word may end and another begin; words are joined by a space."""
+def restore(token: str, model: np.ndarray | list[float], edges: frozenset[int] = frozenset()) -> str:
+    """Viterbi over the lattice; a state is the last two letters a, b, numbered as
+    64 a + b. At the positions ``edges`` a word may end and another begin; words are
+    joined by a space. ``model``: log P(c | a, b) at 64 (64 a + b) + c."""
     codes = letter_codes()
-    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    model = model if isinstance(model, list) else model.ravel().tolist()
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for i, options in enumerate(columns(token)):
         if i in edges:
-            ends = [(s + float(model[a, b, 0]), path) for (a, b), (s, path) in best.items() if b]
+            ends = [(s + model[state << 6], path) for state, (s, path) in best.items() if state & 63]
             if ends:
                 s, path = max(ends, key=lambda e: e[0])
-                if (0, 0) not in best or s > best[0, 0][0]:
-                    best[0, 0] = (s, (path, " "))
-        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, path) in best.items():
-            for letter, cost in options:
+                if 0 not in best or s > best[0][0]:
+                    best[0] = (s, (path, " "))
+        coded = [(letter, int(codes[ord(letter)]) if letter else 0, cost) for letter, cost in options]
+        nxt: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, path) in best.items():
+            for letter, c, cost in coded:
                 if letter:
-                    c = int(codes[ord(letter)])
-                    state, s, t = (b, c), score + float(model[a, b, c]) - cost, (path, letter)
+                    to, s, t = (state & 63) << 6 | c, score + model[state << 6 | c] - cost, (path, letter)
                 else:
-                    state, s, t = (a, b), score - cost, path
-                old = nxt.get(state)
+                    to, s, t = state, score - cost, path
+                old = nxt.get(to)
                 if old is None or s > old[0]:
-                    nxt[state] = (s, t)
+                    nxt[to] = (s, t)
         best = nxt
-    path = max(((s + float(model[a, b, 0]), t) for (a, b), (s, t) in best.items()), key=lambda e: e[0])[1]
+    path = max(((s + model[state << 6], t) for state, (s, t) in best.items()), key=lambda e: e[0])[1]
     out = []
     while path:
         path, letter = path
@@ -176,7 +179,7 @@ class Restorer:
     """Restored words of a text."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.ravel().tolist()
         self.known: dict[str, tuple[str, str, str]] = {}
         self.runs: dict[str, str] = {}
 
@@ -228,6 +231,18 @@ class Restorer:
         return out
 
 
+_RESTORERS: dict[bytes, Restorer] = {}
+
+
+def restorer(model: np.ndarray) -> Restorer:
+    """One for all tasks of a Python worker that use the same model."""
+    key = hashlib.blake2b(model.tobytes()).digest()
+    if key not in _RESTORERS:
+        _RESTORERS.clear()
+        _RESTORERS[key] = Restorer(model)
+    return _RESTORERS[key]
+
+
 def features(word: str) -> list[str]:
     return [word] + [f"{k} {word[:k]}" for k in (4, 5) if len(word) > k]
 
@@ -273,7 +288,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: i
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        r = Restorer(model)
+        r = restorer(model)
         for b in batches:
             ids = [sorted({feature_id(f) for w in r.words(t or "") for f in features(w)}) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), b.column(1)], names=["ids", "toxic"])
@@ -312,7 +327,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        r = Restorer(model)
+        r = restorer(model)
         known: dict[str, tuple[int, ...]] = {}
         for b in batches:
             scores = []
