@@ -99,6 +99,7 @@ def test_privacy_proposals_swap_alike_for_unlike(spark, real):
 
 
 def test_rounds_without_a_way_end(spark, real):
+    """Three rounds without a winner are the end; a requirement met from the start needs none."""
     out, history = TM.increase_privacy(real, donors(real, 8.0), TM.Requirement("nearestneighbordistance", 0.99, 0.0), TM.Scorer(real, COLS), 200)
     assert out is None and max(r["round"] for r in history.collect()) < TM.MAX_ROUNDS
     met, history = TM.merge_tables(real, donors(real, 8.0), TM.Scorer(real, COLS), 400, utility=TM.Requirement("inversekldivergence", 0.5, 0.0))
