@@ -282,7 +282,7 @@ def gen_tagged_sql(model: str, ids: str, seed, cols, prefix: str = "gt", by_leve
     return ", ".join(parts) + f", {prefix}_t AS (SELECT {', '.join(first + '.' + k for k in keys)}, {sel} FROM {first} {joins})"
 
 
-_EVAL_SIZES, _EVAL_REPEATS = (100, 300), 2
+_EVAL_SIZES, _EVAL_REPEATS = L.SIZES, L.REPEATS
 
 
 @query("level_evaluation", f"""WITH {CUST_ENC}, {roles_sql()}, {dp_sql('real', FEATS, 2.0, SEED)},
@@ -505,7 +505,7 @@ def add_generator(spark, d):
     real, _ = cust_roles(spark, d)
     store = Store(spark, scratch(spark, "store"))
     rows = L.add_generator(real.select("row_id", *FEATS), store.read_levels(), store, "eps4", "dp",
-                           metrics=("nearestneighbordistance", "inversekldivergence"), sizes=(100, 300), repeats=2,
+                           metrics=("nearestneighbordistance", "inversekldivergence"), sizes=_EVAL_SIZES, repeats=_EVAL_REPEATS,
                            seed=SEED, epsilon=4.0, cols=FEATS)
     return rounded(rows)
 
