@@ -500,7 +500,13 @@ def add_metric(spark, d):
     return rounded(L.add_metric(real, _serve_levels(spark), models, "singlingout", (100, 300), 2, SEED, FEATS))
 
 
-@query("add_generator")
+@query("add_generator", f"""WITH {CUST_ENC}, {roles_sql()}, {dp_sql('real', FEATS, 4.0, SEED)},
+{_ids_sql('ids', _EVAL_SIZES, range(_EVAL_REPEATS))}, {gen_tagged_sql('m_model', 'ids', SEED, FEATS)},
+{nn_sql('real', 'gt_t', FEATS, by=('size', 'attempt'))}, {kl_sql('real', 'gt_t', FEATS, by=('size', 'attempt'))},
+ev AS (SELECT 'privacy' AS kind, 'nearestneighbordistance' AS metric, size, avg(v) AS value FROM nn_v GROUP BY size
+       UNION ALL SELECT 'utility', 'inversekldivergence', size, avg(v) FROM kl_v GROUP BY size)
+SELECT 'eps4' AS level, kind, 0 AS pos, metric, round(max(CASE WHEN size = {min(_EVAL_SIZES)} THEN value END), 6) AS value_min,
+  round(max(CASE WHEN size = {max(_EVAL_SIZES)} THEN value END), 6) AS value_max, 0 AS created FROM ev GROUP BY kind, metric""")
 def add_generator(spark, d):
     real, _ = cust_roles(spark, d)
     store = Store(spark, scratch(spark, "store"))

@@ -444,7 +444,8 @@ def _bootstrap_fit(df, seed=0, **kw):
     return Y.dp_fit(df, None, seed, kw.get("cols"), family="bootstrap")
 
 
-@query("user_synthesizer")
+@query("user_synthesizer", f"""WITH {CUST_ENC}, {roles_sql()}, {dp_sql('real', FEATS, None, SEED)}, {gen_sql('m_model', 500, SEED, FEATS)}
+SELECT row_id, {', '.join(f'round({c}, 6) AS {c}' for c in FEATS)} FROM g_t""")
 def user_synthesizer(spark, d):
     from mirage.plans import registry as REG
     from mirage.sources.io import Store
