@@ -265,14 +265,24 @@ def _rules(spark):
     return spark.createDataFrame([("c_acctbal", "gt", None, 0.0), ("c_nationkey", "lt", None, 20.0)], RULE_SCHEMA)
 
 
-@query("generate_constrained")
+def _batches_sql(count: int, distinct: bool) -> str:
+    """The first ``count`` accepted rows of whole draws, which four draws hold."""
+    draws = ", ".join(gen_sql("m_model", count, SEED, FEATS, attempt=str(i), prefix=f"g{i}") for i in range(4))
+    union = " UNION ALL ".join(f"SELECT {i} AS batch, * FROM g{i}_t WHERE c_acctbal > 0 AND c_nationkey < 20" for i in range(4))
+    once = f"QUALIFY row_number() OVER (PARTITION BY {', '.join(FEATS)} ORDER BY batch, row_id) = 1" if distinct else ""
+    return f"""WITH {CUST_ENC}, {roles_sql()}, {dp_sql('real', FEATS, 2.0, SEED)}, {draws}, u AS ({union}), k AS (SELECT * FROM u {once}),
+f AS (SELECT * FROM k ORDER BY batch, row_id LIMIT {count})
+SELECT (row_number() OVER (ORDER BY batch, row_id) - 1)::BIGINT AS row_id, {', '.join(f'round({c}, 6) AS {c}' for c in FEATS)} FROM f"""
+
+
+@query("generate_constrained", _batches_sql(600, True))
 def generate_constrained(spark, d):
     real, _ = cust_roles(spark, d)
     model = Y.dp_fit(real, 2.0, SEED, FEATS)
     return rounded(Y.generate_constrained(model, 600, _rules(spark), SEED, strict=True))
 
 
-@query("accumulate")
+@query("accumulate", _batches_sql(800, False))
 def accumulate_q(spark, d):
     real, _ = cust_roles(spark, d)
     model = Y.dp_fit(real, 2.0, SEED, FEATS)
