@@ -28,6 +28,7 @@ from mirage.functions.draws import draw, fresh_seed
 from mirage.functions.ordering import ordered_index, prefix_sum, take_first, top_k_per_group
 from mirage.operators.distance import nearest_distance, nearest_neighbor, nearest_other
 from mirage.operators.frequencies import bin_profile, feature_columns, to_long, value_key
+from mirage.operators.modes import PASSES, SPAN, fit_value_modes, mode_index, mode_value
 from mirage.operators.prep import INTEGRAL, categorical_columns, dedupe, match_constraints
 
 N_BINS = 10
@@ -242,12 +243,14 @@ def _wide_columns(model: DataFrame) -> list:
         F.count(F.lit(1)).alias("n"), F.max("n_train").alias("n_train")).orderBy("column").collect()
 
 
-def _value_expr(rows, u: Column, w: Column, integral: bool) -> Column:
+def _value_expr(rows, u: Column, w: Column, integral: bool, w2: Column | None = None) -> Column:
     """CASE chain over one column's bins (ordered): u picks [cum_lo, cum_hi)."""
     rows = sorted(rows, key=lambda r: r["bin"])
     def val(r):
         if r["kind"] == "cat":
             return F.lit(float(r["bin_lo"]))
+        if r["kind"] == "mode":
+            return mode_value(float(r["bin_lo"]), float(r["bin_hi"]), w, w2, integral)
         v = F.lit(float(r["bin_lo"])) + w * F.lit(float(r["bin_hi"] - r["bin_lo"]))
         return F.floor(v).cast("double") if integral else v
     expr = None
@@ -311,17 +314,21 @@ def generate(model: DataFrame, count: int | None = None, seed=0, attempt=0,
             # instead of repeating the hash in every branch.
             out = out.withColumn(f"_u_{c}", draw(seed, tag(c), F.col(id_col)))
             out = out.withColumn(f"_w_{c}", draw(seed, tag(c, "in"), F.col(id_col)))
-            u, w = F.col(f"_u_{c}"), F.col(f"_w_{c}")
+            u, w, w2 = F.col(f"_u_{c}"), F.col(f"_w_{c}"), None
+            if by_col[c][0]["kind"] == "mode":
+                out = out.withColumn(f"_w2_{c}", draw(seed, tag(c, "in2"), F.col(id_col)))
+                w2 = F.col(f"_w2_{c}")
             integral = bool(by_col[c][0]["integral"])
             if p is None:
-                val = _value_expr(by_col[c], u, w, integral)
+                val = _value_expr(by_col[c], u, w, integral, w2)
                 binx = _bin_expr(by_col[c], u)
             else:
                 val, binx = None, None
                 for pb in sorted({r["parent_bin"] for r in by_col[c]}):
                     sub = [r for r in by_col[c] if r["parent_bin"] == pb]
                     cnd = bin_cols[p] == F.lit(pb)
-                    val = F.when(cnd, _value_expr(sub, u, w, integral)) if val is None else val.when(cnd, _value_expr(sub, u, w, integral))
+                    one = _value_expr(sub, u, w, integral, w2)
+                    val = F.when(cnd, one) if val is None else val.when(cnd, one)
                     binx = F.when(cnd, _bin_expr(sub, u)) if binx is None else binx.when(cnd, _bin_expr(sub, u))
             out = out.withColumn(c, val).withColumn(f"_bin_{c}", binx)
             bin_cols[c] = F.col(f"_bin_{c}")
@@ -356,6 +363,10 @@ def _bin_of(rows, value: Column) -> Column:
     r0 = rows[0]
     if r0["kind"] == "cat":
         return value_key(value)
+    if r0["kind"] == "mode":
+        places = sorted({(r["bin"], r["bin_lo"], r["bin_hi"]) for r in rows})
+        share = {r["bin"]: r["p"] for r in rows}  # a root: one row per mode
+        return mode_index([(b, share[b], (lo + hi) / 2.0, (hi - lo) / (2.0 * SPAN)) for b, lo, hi in places], value.cast("double"))
     lo = min(r["bin_lo"] for r in rows)
     hi = max(r["bin_hi"] for r in rows)
     k = len({r["bin"] for r in rows})
@@ -364,14 +375,16 @@ def _bin_of(rows, value: Column) -> Column:
 
 # --- Y5 / Y6: pair dependence and conditional tables --------------------------
 
-def _binned_wide(df: DataFrame, cols, n_bins: int) -> tuple[DataFrame, DataFrame]:
+def _binned_wide(df: DataFrame, cols, n_bins: int, modes: dict | None = None) -> tuple[DataFrame, DataFrame]:
     prof = bin_profile(df, cols, n_bins, categorical_columns(df))
     p = {r["column"]: r for r in prof.collect()}  # one row per column
     exprs = []
     for c in cols:
         r = p[c]
         v = F.col(c).cast("double")
-        if r["categorical"]:
+        if modes and c in modes:
+            exprs.append(mode_index(modes[c], v).alias(c))
+        elif r["categorical"]:
             exprs.append(value_key(v).alias(c))
         else:
             k = int(r["n_bins"])
@@ -381,11 +394,11 @@ def _binned_wide(df: DataFrame, cols, n_bins: int) -> tuple[DataFrame, DataFrame
     return df.select("row_id", *exprs), prof
 
 
-def pair_mutual_information(df: DataFrame, cols=None, n_bins: int = N_BINS) -> DataFrame:
+def pair_mutual_information(df: DataFrame, cols=None, n_bins: int = N_BINS, modes: dict | None = None) -> DataFrame:
     """I(a, b) = sum p_ab ln(p_ab / (p_a p_b)) for every column pair, from one
     pair-count job (each row emits one record per column pair, map-side combined)."""
     cols = list(cols or feature_columns(df))
-    wide, _ = _binned_wide(df, cols, n_bins)
+    wide, _ = _binned_wide(df, cols, n_bins, modes)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     rec = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
                                        F.col(a).alias("ba"), F.col(b).alias("bb")) for a, b in pairs]))
@@ -431,26 +444,34 @@ def chow_liu_tree(mi_rows: list, cols: list, root: str | None = None) -> dict:
 
 
 def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None, n_bins: int = N_BINS,
-              cond: str | None = None, family: str = "modes") -> DataFrame:
+              cond: str | None = None, family: str = "modes", modes: int | None = None, passes: int = PASSES,
+              tol: float = 1e-3) -> DataFrame:
     """Tree of conditional tables. Pair MI picks the tree (root = ``cond``
     when conditional generation is wanted); the root keeps its marginal, every
     child a table per parent bin. The tree itself is chosen from exact pair
     counts, so epsilon covers the tables but not the choice of the tree. Wide
-    columns keep their marginal: a table per pair of their categories is no model."""
+    columns keep their marginal: a table per pair of their categories is no model.
+
+    ``modes``: number columns that would be histograms get up to that many value
+    modes instead of equal bins (``fit_value_modes``): a row counts for the likeliest
+    mode of its value, generation draws a mode, then a value around its mean. The
+    places of the modes are exact statistics, as the tree is."""
     every = list(cols or feature_columns(df))
     seed = fresh_seed() if seed is None else seed
-    base = dp_fit(df, epsilon, seed, every, n_bins=n_bins, family=family)
+    found = _column_modes(df, every, n_bins, modes, passes, tol) if modes else {}
+    base = _mode_base(df, epsilon, seed, every, n_bins, family, found) if found else dp_fit(
+        df, epsilon, seed, every, n_bins=n_bins, family=family)
     spread = {r["column"] for r in _wide_columns(base)}
     if cond in spread:
         raise ValueError("a wide column can't be the condition")
     cols = [c for c in every if c not in spread]
     if len(cols) < 2:
         return base
-    mi = pair_mutual_information(df, cols, n_bins).collect()
+    mi = pair_mutual_information(df, cols, n_bins, found).collect()
     parent = chow_liu_tree(mi, cols, root=cond)
     kept, base = base.filter("kind = 'wide'"), base.filter("kind <> 'wide'")
     roots = [c for c in cols if parent[c] is None]
-    wide, prof = _binned_wide(df, cols, n_bins)
+    wide, prof = _binned_wide(df, cols, n_bins, found)
     children = [(c, parent[c]) for c in cols if parent[c] is not None]
     if not children:
         return base.unionByName(kept)
@@ -480,6 +501,45 @@ def modes_fit(df: DataFrame, epsilon: float | None = None, seed=None, cols=None,
     return model.unionByName(kept.select(*MODEL_COLUMNS)) if spread else model
 
 
+def _column_modes(df: DataFrame, cols, n_bins: int, k: int, passes: int, tol: float) -> dict:
+    """Column -> [(mode, weight, mean, sd)] for the columns that are no categories
+    and have a spread."""
+    prof = bin_profile(df, cols, n_bins, categorical_columns(df)).collect()  # one row per column
+    numeric = sorted(r["column"] for r in prof if not r["categorical"] and r["lo"] is not None and r["lo"] < r["hi"])
+    found: dict = {}
+    if numeric:
+        for r in fit_value_modes(df, numeric, k, passes, tol).orderBy("column", "mode").collect():  # columns x modes
+            found.setdefault(r["column"], []).append((r["mode"], r["weight"], r["mean"], r["sd"]))
+    return found
+
+
+def _mode_base(df: DataFrame, epsilon, seed, cols: list, n_bins: int, family: str, found: dict) -> DataFrame:
+    """Noisy marginals of all ``cols``, those in ``found`` over their modes. Every
+    column's counts get the noise that ``dp_fit`` of all of them would give."""
+    spark = df.sparkSession
+    scale = 0.0 if epsilon is None or math.isinf(epsilon) else len(cols) / float(epsilon)
+    place = spark.createDataFrame(
+        [(c, j, mu - SPAN * sd, mu + SPAN * sd, isinstance(df.schema[c].dataType, INTEGRAL))
+         for c, ms in found.items() for j, _, mu, sd in ms],
+        "column string, bin long, bin_lo double, bin_hi double, integral boolean")
+    rec = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), mode_index(ms, F.col(c).cast("double")).alias("bin"))
+                              for c, ms in found.items()]))
+    counts = df.select(rec.alias("r")).select("r.*").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
+    key = F.concat_ws("|", F.col("column"), F.col("bin").cast("string"))
+    model = (place.join(counts, ["column", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("double"))
+             .select(F.lit(family).alias("family"), "column", F.lit("mode").alias("kind"), "bin", "bin_lo", "bin_hi",
+                     F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("parent_bin"),
+                     noise("laplace", F.col("count"), scale, seed, key).alias("noisy"), "integral",
+                     F.lit(None).cast("long").alias("n_train")))
+    model = _finish_local(model)
+    rest = [c for c in cols if c not in found]
+    if not rest:
+        return model
+    part = None if epsilon is None or math.isinf(epsilon) else epsilon * len(rest) / len(cols)
+    other = dp_fit(df, part, seed, rest, n_bins=n_bins, family=family)
+    return model.unionByName(other.withColumn("n_train", F.lit(model.first()["n_train"]).cast("long")).select(model.columns))
+
+
 def value_modes(df: DataFrame, col: str, max_clusters: int = 10, seed: int = 3) -> DataFrame:
     """Value modes of a numeric column (spark.ml GaussianMixture): (column, mode, weight, mean, sd)."""
     from pyspark.ml.clustering import GaussianMixture

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from mirage.operators import merge as G
 from mirage.operators import metrics as M
 from mirage.operators import synth as Y
 from mirage.operators import tournament as TM
+from mirage.operators.modes import fit_value_modes, start_modes
 from mirage.operators.prep import encode
 from mirage.plans.catalog import (CUST_ENC, FEATS, ROLE_SEED, SEED, T, cust_enc, cust_roles, dist_sql, dsql,
                                   freqs_sql, long_sql, query, roles, roles_sql, rounded)
@@ -188,6 +190,81 @@ def value_modes(spark, d):
     return rounded(Y.value_modes(real, "c_acctbal", 10))
 
 
+_MODE_COLS = ["c_acctbal", "c_nationkey"]
+_MODE_K, _MODE_PASSES = 5, 6
+
+
+def modes_sql(src: str, cols, k: int, passes: int) -> str:
+    """CTEs ending in ``md`` (column, mode, weight, mean, sd): expectation-maximisation
+    with one group of CTEs a pass."""
+    start = ", ".join(f"('{c}', {j}, {w!r}::DOUBLE, {mu!r}::DOUBLE, {sd!r}::DOUBLE)" for c in cols for j, (w, mu, sd) in enumerate(start_modes(k)))
+    out = [f"""ml AS ({' UNION ALL '.join(f"SELECT '{c}' AS column, row_id, CAST({c} AS DOUBLE) AS v FROM {src} WHERE {c} IS NOT NULL" for c in cols)}),
+mst AS (SELECT column, count(*) AS n, avg(v) AS m, stddev_pop(v) AS s FROM ml GROUP BY column),
+mz AS MATERIALIZED (SELECT ml.column, ml.row_id, (v - m) / s AS z FROM ml JOIN mst ON ml.column = mst.column),
+mp0(column, mode, w, mu, sd) AS (VALUES {start})"""]
+    for i in range(1, passes + 1):
+        out.append(f"""me{i} AS (SELECT z.column, z.row_id, z.z, p.mode, ln(p.w) - ln(p.sd) - pow((z.z - p.mu) / p.sd, 2) / 2 AS s
+   FROM mz z JOIN mp{i - 1} p ON z.column = p.column),
+mf{i} AS (SELECT *, exp(s - max(s) OVER (PARTITION BY column, row_id)) AS e FROM me{i}),
+mr{i} AS (SELECT *, e / sum(e) OVER (PARTITION BY column, row_id) AS r FROM mf{i}),
+mg{i} AS (SELECT column, mode, sum(r) AS r, sum(r * z) AS rz, sum(r * z * z) AS rzz FROM mr{i} GROUP BY column, mode),
+mp{i} AS MATERIALIZED (SELECT p.column, p.mode, CASE WHEN g.r > 1e-9 THEN greatest(g.r / t.n, 1e-9) ELSE 1e-9 END AS w,
+   CASE WHEN g.r > 1e-9 THEN g.rz / g.r ELSE p.mu END AS mu,
+   CASE WHEN g.r > 1e-9 THEN sqrt(greatest(g.rzz / g.r - (g.rz / g.r) * (g.rz / g.r), 1e-6)) ELSE p.sd END AS sd
+   FROM mp{i - 1} p JOIN mst t ON p.column = t.column LEFT JOIN mg{i} g ON g.column = p.column AND g.mode = p.mode)""")
+    out.append(f"""md AS MATERIALIZED (SELECT p.column, p.mode, p.w / sum(p.w) OVER (PARTITION BY p.column) AS weight, p.mu * t.s + t.m AS mean, p.sd * t.s AS sd
+   FROM mp{passes} p JOIN mst t ON p.column = t.column WHERE p.w >= 0.005)""")
+    return ",\n".join(out)
+
+
+def _mode_rows_sql(eps: float, n: int) -> str:
+    """Rows of the two-column tree: the root's modes, then the child's given the root's."""
+    root, child = _MODE_COLS
+    lap = lambda scale, key: f"{scale!r} * sign({(u := dsql(SEED, 'noise', key))} - 0.5) * ln(1.0 - 2.0 * abs({u} - 0.5))"
+    val = lambda c: (f"(b.lo + b.hi) / 2.0 + greatest(least(sqrt(-2.0 * ln({dsql(SEED, f'{c}|0|in', 'i.row_id')})) * "
+                     f"cos({2.0 * math.pi!r} * {dsql(SEED, f'{c}|0|in2', 'i.row_id')}), 4.0), -4.0) * ((b.hi - b.lo) / 8.0)")
+    cum = lambda keys: f"""sum(p) OVER (PARTITION BY {keys} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ch,
+   row_number() OVER (PARTITION BY {keys} ORDER BY bin DESC) AS rl"""
+    ends = lambda keys: f"coalesce(lag(ch) OVER (PARTITION BY {keys} ORDER BY bin), 0.0) AS cl, CASE WHEN rl = 1 THEN 1.0 ELSE ch END AS cu"
+    share = lambda keys: f"CASE WHEN sum(noisy) OVER (PARTITION BY {keys}) > 0 THEN noisy / sum(noisy) OVER (PARTITION BY {keys}) ELSE 1.0 / count(*) OVER (PARTITION BY {keys}) END AS p"
+    return f"""ba AS MATERIALIZED (SELECT column, row_id, mode AS bin FROM (SELECT ml.column, ml.row_id, md.mode, row_number() OVER (
+   PARTITION BY ml.column, ml.row_id ORDER BY ln(md.weight) - ln(md.sd) - pow((ml.v - md.mean) / md.sd, 2) / 2 DESC, md.mode) AS rn
+   FROM ml JOIN md ON ml.column = md.column) WHERE rn = 1),
+bp AS (SELECT column, mode AS bin, mean - 4.0 * sd AS lo, mean + 4.0 * sd AS hi FROM md),
+rn AS (SELECT p.bin, p.lo, p.hi, greatest(coalesce(c.n, 0) - {lap(2.0 / eps, f"('{root}|' || CAST(p.bin AS VARCHAR))")}, 0.0) AS noisy
+   FROM bp p LEFT JOIN (SELECT bin, count(*) AS n FROM ba WHERE column = '{root}' GROUP BY bin) c ON p.bin = c.bin WHERE p.column = '{root}'),
+rp AS (SELECT *, 1 AS one, {share('1')} FROM rn), rc AS (SELECT *, {cum('one')} FROM rp), rt AS MATERIALIZED (SELECT *, {ends('one')} FROM rc),
+cc AS (SELECT a.bin AS pb, b.bin, count(*) AS n FROM ba a JOIN ba b ON a.row_id = b.row_id AND a.column = '{root}' AND b.column = '{child}' GROUP BY 1, 2),
+cg AS (SELECT r.bin AS pb, p.bin, p.lo, p.hi FROM bp r, bp p WHERE r.column = '{root}' AND p.column = '{child}'),
+cn AS (SELECT cg.*, greatest(coalesce(cc.n, 0) - {lap(3.0 / eps, f"('{child}|' || CAST(cg.pb AS VARCHAR) || '|' || CAST(cg.bin AS VARCHAR))")}, 0.0) AS noisy
+   FROM cg LEFT JOIN cc ON cg.pb = cc.pb AND cg.bin = cc.bin),
+cp AS (SELECT *, {share('pb')} FROM cn), cq AS (SELECT *, {cum('pb')} FROM cp), ct AS MATERIALIZED (SELECT *, {ends('pb')} FROM cq),
+gi AS (SELECT range AS row_id FROM range({n})),
+g1 AS (SELECT i.row_id, b.bin, {val(root)} AS {root} FROM gi i JOIN rt b ON {dsql(SEED, f'{root}|0', 'i.row_id')} >= b.cl AND {dsql(SEED, f'{root}|0', 'i.row_id')} < b.cu),
+g2 AS (SELECT i.row_id, i.{root}, floor({val(child)} + 0.5) AS {child} FROM g1 i JOIN ct b ON b.pb = i.bin
+   AND {dsql(SEED, f'{child}|0', 'i.row_id')} >= b.cl AND {dsql(SEED, f'{child}|0', 'i.row_id')} < b.cu)"""
+
+
+@query("fit_value_modes", f"""WITH cust AS (SELECT c_custkey AS row_id, {', '.join(_MODE_COLS)} FROM customer),
+{modes_sql('cust', _MODE_COLS, _MODE_K, _MODE_PASSES)}
+SELECT column, mode, round(weight, 6) AS weight, round(mean, 6) AS mean, round(sd, 6) AS sd FROM md""")
+def fit_value_modes_q(spark, d):
+    """Modes of every numeric column in one expectation-maximisation."""
+    real = T(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), *_MODE_COLS)
+    return rounded(fit_value_modes(real, _MODE_COLS, _MODE_K, _MODE_PASSES, tol=0.0))
+
+
+@query("generate_modes", f"""WITH cust AS (SELECT c_custkey AS row_id, {', '.join(_MODE_COLS)} FROM customer),
+{modes_sql('cust', _MODE_COLS, _MODE_K, _MODE_PASSES)},
+{_mode_rows_sql(8.0, 2000)}
+SELECT row_id, {', '.join(f'round({c}, 6) AS {c}' for c in _MODE_COLS)} FROM g2""")
+def generate_modes(spark, d):
+    """Rows drawn by mode, then by value: a tree of tables over value modes."""
+    real = T(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), *_MODE_COLS)
+    model = Y.modes_fit(real, 8.0, SEED, _MODE_COLS, modes=_MODE_K, passes=_MODE_PASSES, tol=0.0)
+    return rounded(Y.generate(model, 2000, SEED)).select("row_id", *_MODE_COLS)
+
+
 def _adj_sql(seed=SEED) -> str:
     off = dsql(seed, "offset", "('c_acctbal|' || CAST(bin AS VARCHAR))")
     return f"""WITH {CUST_ENC}, {roles_sql()},
