@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 
 from mirage.functions.draws import draw
 from mirage.functions.ordering import take_first, top_k_per_group
-from mirage.operators.distance import (drop_ranked, mean_distance_cross, mean_distance_self, merge_rows,
-                                       top_share)
+from mirage.operators.anchors import ANCHORS, extreme_mean_distance
+from mirage.operators.distance import drop_ranked, merge_rows, top_share
 from mirage.operators.synth import accumulate
 from mirage.operators.frequencies import bin_profile, column_frequencies, feature_columns
 
 FREQ_ERR = 0.2
 
 
-def privacy_merge_step(cur: DataFrame, donor: DataFrame, size: int, amount: float, cols=None) -> DataFrame:
+def privacy_merge_step(cur: DataFrame, donor: DataFrame, size: int, amount: float, cols=None, anchors: int = ANCHORS) -> DataFrame:
     """G1: drop the k rows most alike to the rest of ``cur``, add the k donor
-    rows most unlike ``cur``; k = int(size * amount)."""
+    rows most unlike ``cur``; k = int(size * amount). Only rows that the bounds by
+    ``anchors`` leave in question get exact mean distances."""
     cols = list(cols or feature_columns(cur))
     k = max(int(size * amount), 0)
-    alike = top_share(mean_distance_self(cur, cols), k, 1.0)
-    unlike = top_share(mean_distance_cross(donor, cur, cols), k, 1.0, descending=True)
+    alike = top_share(extreme_mean_distance(cur, cur, cols, k, anchors=anchors), k, 1.0)
+    unlike = top_share(extreme_mean_distance(donor, cur, cols, k, True, anchors), k, 1.0, descending=True)
     kept = drop_ranked(cur, alike)
     selected = donor.join(unlike.select("row_id"), "row_id", "left_semi")
     return merge_rows(kept, selected)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mirage.functions.draws import draw
 from mirage.functions.ordering import TOPK_MAX, ordered_index, top_k_per_group
-from mirage.operators.distance import mean_distance_cross, mean_distance_self
+from mirage.operators.anchors import extreme_mean_distance
 from mirage.operators.frequencies import bin_profile, column_frequencies, frequency_gaps
 from mirage.operators.merge import FREQ_ERR, donor_gate
 from mirage.session import cut_lineage
@@ -124,8 +124,8 @@ def swapped(cur: DataFrame, leaving: DataFrame, entering: DataFrame, donors: int
 def privacy_proposals(cur: DataFrame, donors: DataFrame, n_donors: int, k: int, scorer: Scorer, seed) -> DataFrame:
     """Rows most alike to the rest of ``cur`` make way for the donor's rows most
     unlike ``cur`` (G1 for all donors in one pass over the distances)."""
-    leaving = _ranked(mean_distance_self(cur, scorer.cols), ["mean_dist", "row_id"], k)
-    unlike = mean_distance_cross(donors.drop("donor"), cur, scorer.cols).join(donors.select("row_id", "donor"), "row_id")
+    leaving = _ranked(extreme_mean_distance(cur, cur, scorer.cols, k), ["mean_dist", "row_id"], k)
+    unlike = extreme_mean_distance(donors, cur, scorer.cols, k, True, group="donor").join(donors.select("row_id", "donor"), "row_id")
     chosen = _ranked(unlike, [F.desc("mean_dist"), "row_id"], k, ["donor"])
     return swapped(cur, leaving, donors.join(chosen.select("row_id", "rank"), "row_id"), n_donors)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mirage.operators import distance as D
 from mirage.operators import frequencies as Q
+from mirage.operators.anchors import extreme_mean_distance
 from mirage.plans.catalog import (CUST_ENC, FEATS, T, cust_roles, dist_sql, freqs_sql, long_sql, query, roles,
                                   roles_sql, rounded)
 
@@ -189,6 +190,20 @@ def top_share(spark, d):
     return rounded(D.top_share(D.mean_distance_cross(syn, real, FEATS), n, 0.1, descending=True))
 
 
+@query("extreme_mean_distance", f"""
+WITH {CUST_ENC}, {roles_sql()}, {_J2},
+s AS (SELECT a.row_id, avg({dist_sql('a', 'b', FEATS)}) AS mean_dist FROM real a, real b GROUP BY a.row_id)
+SELECT * FROM (SELECT 'unlike' AS side, row_id, round(mean_dist, 6) AS mean_dist FROM j2 ORDER BY j2.mean_dist DESC, row_id LIMIT 40)
+UNION ALL SELECT * FROM (SELECT 'alike', row_id, round(mean_dist, 6) FROM s ORDER BY s.mean_dist, row_id LIMIT 40)""")
+def extreme_mean_distance_q(spark, d):
+    """The 40 rows most unlike the real ones and the 40 real ones most alike, by bounds."""
+    real, syn = cust_roles(spark, d)
+    unlike = D.top_share(extreme_mean_distance(syn, real, FEATS, 40, True, exact_rows=0), 40, 1.0, descending=True)
+    alike = D.top_share(extreme_mean_distance(real, real, FEATS, 40, exact_rows=0), 40, 1.0)
+    return rounded(unlike.select(F.lit("unlike").alias("side"), "row_id", "mean_dist").unionByName(
+        alike.select(F.lit("alike").alias("side"), "row_id", "mean_dist")))
+
+
 @query("head", "SELECT c_custkey AS row_id, c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100")
 def head_q(spark, d):
     from mirage.operators.synth import head
