@@ -399,6 +399,11 @@ def pair_mutual_information(df: DataFrame, cols=None, n_bins: int = N_BINS, mode
     pair-count job (each row emits one record per column pair, map-side combined)."""
     cols = list(cols or feature_columns(df))
     wide, _ = _binned_wide(df, cols, n_bins, modes)
+    return pair_information(wide, cols)
+
+
+def pair_information(wide: DataFrame, cols) -> DataFrame:
+    """Mutual information of every pair of columns of bins: (a, b, mi)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     rec = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
                                        F.col(a).alias("ba"), F.col(b).alias("bb")) for a, b in pairs]))

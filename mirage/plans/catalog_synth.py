@@ -12,6 +12,7 @@ from mirage.functions.draws import draw
 from mirage.operators import distance as D
 from mirage.operators import merge as G
 from mirage.operators import metrics as M
+from mirage.operators import private as PV
 from mirage.operators import synth as Y
 from mirage.operators import tournament as TM
 from mirage.operators.modes import fit_value_modes, start_modes
@@ -265,6 +266,66 @@ def generate_modes(spark, d):
     return rounded(Y.generate(model, 2000, SEED)).select("row_id", *_MODE_COLS)
 
 
+_PRIVATE = ["c_mktsegment", "c_nationkey"]  # the first is the tree's root
+
+
+def _private_parts(eps: float) -> tuple[float, dict]:
+    """(what is left for the tables, what each step spends)."""
+    spent = {s: PV.SHARES[s] * eps for s in ("rows", "edges", "categories", "tree")}
+    left = eps
+    for s in spent.values():
+        left -= s
+    return left, spent
+
+
+def _private_sql(eps: float) -> str:
+    left, spent = _private_parts(eps)
+    lap = lambda scale, key: f"{scale!r} * sign({(u := dsql(SEED, 'noise', key))} - 0.5) * ln(1.0 - 2.0 * abs({u} - 0.5))"
+    one_edge, one_cat, per_table = 1 / spent["edges"], 1 / spent["categories"], 2 / left
+    top = PV.MOST_POWER - PV.LEAST_POWER + 1
+    edge_least = one_edge * math.log((2 * top + 1) / (2 * PV.FALSE_EDGE))
+    cat_least = 1.0 + one_cat * math.log(1 / (2.0 * PV.DELTA))
+    shares = lambda keys: f"""CASE WHEN sum(noisy) OVER (PARTITION BY {keys}) > 0 THEN noisy / sum(noisy) OVER (PARTITION BY {keys})
+   ELSE 1.0 / count(*) OVER (PARTITION BY {keys}) END AS p"""
+    return f"""WITH {CUST_ENC},
+pn AS (SELECT CAST(floor(greatest(count(*) - {lap(1 / spent['rows'], "'rows'")}, 1.0) + 0.5) AS BIGINT) AS n_train FROM cust_enc),
+pe AS (SELECT CAST(CASE WHEN c_nationkey = 0 THEN 0 ELSE sign(c_nationkey) * (greatest(least(floor(log2(abs(c_nationkey))), 60), -40) + 41) END AS BIGINT) AS b,
+   count(*) AS n FROM cust_enc GROUP BY 1),
+pg AS (SELECT g.b FROM (SELECT unnest(generate_series({-top}, {top})) AS b) g LEFT JOIN pe ON g.b = pe.b
+   WHERE greatest(coalesce(pe.n, 0) - {lap(one_edge, "('c_nationkey|edge|' || CAST(g.b AS VARCHAR))")}, 0.0) > {edge_least!r}),
+pr AS (SELECT CASE WHEN lo = 0 THEN 0.0 WHEN lo > 0 THEN pow(2, lo - 41) ELSE -pow(2, abs(lo) - 40) END AS lo,
+   CASE WHEN hi = 0 THEN 0.0 WHEN hi > 0 THEN pow(2, hi - 40) ELSE -pow(2, abs(hi) - 41) END AS hi FROM (SELECT min(b) AS lo, max(b) AS hi FROM pg)),
+pc AS (SELECT v, CAST(round(v * 1e6) AS BIGINT) AS bin FROM (SELECT c_mktsegment AS v, count(*) AS n FROM cust_enc GROUP BY 1)
+   WHERE greatest(n - {lap(one_cat, "('c_mktsegment|cat|' || CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR))")}, 0.0) > {cat_least!r}),
+pb AS (SELECT pc.bin AS rb, CAST(least(floor((greatest(least(c_nationkey, hi), lo) - lo) * 10.0 / (hi - lo)), 9) AS BIGINT) AS cb
+   FROM cust_enc CROSS JOIN pr LEFT JOIN pc ON c_mktsegment = pc.v),
+pt AS (SELECT pc.v, pc.bin, greatest(coalesce(c.n, 0) - {lap(per_table, "('c_mktsegment|root|' || CAST(pc.bin AS VARCHAR))")}, 0.0) AS noisy, 1 AS one
+   FROM pc LEFT JOIN (SELECT rb, count(*) AS n FROM pb GROUP BY rb) c ON pc.bin = c.rb),
+pu AS (SELECT pc.bin AS parent_bin, k.b AS bin, lo + k.b * ((hi - lo) / 10) AS bin_lo, lo + (k.b + 1) * ((hi - lo) / 10) AS bin_hi,
+   greatest(coalesce(c.n, 0) - {lap(per_table, "('c_nationkey|' || CAST(pc.bin AS VARCHAR) || '|' || CAST(k.b AS VARCHAR))")}, 0.0) AS noisy
+   FROM pc CROSS JOIN (SELECT unnest(generate_series(0, 9)) AS b) k CROSS JOIN pr
+   LEFT JOIN (SELECT rb, cb, count(*) AS n FROM pb GROUP BY rb, cb) c ON pc.bin = c.rb AND k.b = c.cb),
+pm AS (SELECT 'c_mktsegment' AS column, 'cat' AS kind, NULL AS parent, NULL::BIGINT AS parent_bin, bin, v::DOUBLE AS bin_lo, v::DOUBLE AS bin_hi, noisy, {shares('one')} FROM pt
+   UNION ALL SELECT 'c_nationkey', 'hist', 'c_mktsegment', parent_bin, bin, bin_lo, bin_hi, noisy, {shares('parent_bin')} FROM pu)
+SELECT column, kind, parent, parent_bin, bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi, round(noisy, 6) AS noisy, round(p, 6) AS p, n_train FROM pm, pn"""
+
+
+@query("private_fit", _private_sql(8.0))
+def private_fit_q(spark, d):
+    """Ranges, categories, tree and tables, each from its part of epsilon."""
+    model, _ = PV.private_fit(cust_enc(spark, d), 8.0, SEED, _PRIVATE)
+    return rounded(model.select("column", "kind", "parent", "parent_bin", "bin", "bin_lo", "bin_hi", "noisy", "p", "n_train"))
+
+
+@query("privacy_ledger", f"""SELECT step, detail, epsilon::DOUBLE AS epsilon, delta::DOUBLE AS delta FROM (VALUES ('rows', 'number of rows', {0.05 * 4!r}, 0.0), ('edges', 'c_acctbal', {0.1 * 4!r}, 0.0),
+('categories', 'c_mktsegment', {0.1 * 4!r}, 1e-06), ('tree', '2 edges', {0.25 * 4!r}, 0.0), ('tables', '3 tables', 2.0, 0.0)) t(step, detail, epsilon, delta)
+WHERE EXISTS (SELECT 1 FROM customer)""")
+def privacy_ledger(spark, d):
+    """What each step of a private fit spent; nations have a declared range."""
+    _, ledger = PV.private_fit(cust_enc(spark, d), 4.0, SEED, FEATS, domain={"c_nationkey": (0, 25)})
+    return rounded(ledger.table(spark).drop("delta")).join(ledger.table(spark).select("step", "delta"), "step").select("step", "detail", "epsilon", "delta")
+
+
 def _adj_sql(seed=SEED) -> str:
     off = dsql(seed, "offset", "('c_acctbal|' || CAST(bin AS VARCHAR))")
     return f"""WITH {CUST_ENC}, {roles_sql()},

@@ -16,6 +16,7 @@ from mirage.operators import metrics as M
 from mirage.operators import synth as Y
 from mirage.operators import tournament
 from mirage.operators.modes import MODES
+from mirage.operators.private import private_fit
 
 
 @dataclass
@@ -142,5 +143,6 @@ _DEFAULT_FN = {n: _METRICS[n].fn for n in _METRICS}
 
 register_synthesizer("dp", lambda df, **kw: Y.dp_fit(df, **kw), Y.generate)
 register_synthesizer("modes", lambda df, **kw: Y.modes_fit(df, **{"modes": MODES, **kw}), Y.generate)
+register_synthesizer("private", lambda df, **kw: private_fit(df, **kw)[0], Y.generate)
 register_technique("merge", tournament.privacy_proposals, tournament.utility_proposals)
 register_synthesizer("ads", lambda df, **kw: Y.ads_fit(df, **kw), Y.generate)
