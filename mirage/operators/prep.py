@@ -359,37 +359,66 @@ class Compression:
     columns: list
 
 
+DEPENDENCY_SAMPLE = 1000  # values of a column in which counterexamples are looked for first
+
+
+def _same(b: str):
+    """Whether a group has one value of ``b`` (null is a value)."""
+    return F.min(b).eqNullSafe(F.max(b)) & ((F.count(b) == 0) | (F.count(b) == F.count(F.lit(1))))
+
+
+def _grouped_same(df: DataFrame, picks: dict, others: list) -> dict:
+    """Determinant -> (values, {column: one value in each group}), all determinants
+    in one pass: a row is listed under each determinant whose condition in ``picks``
+    holds, groups are combined before the shuffle."""
+    import json
+    entry = [F.when(cond, F.struct(F.lit(a).alias("a"), text.alias("v"))) for a, (cond, text) in picks.items()]
+    rows = df.select(F.explode(F.array_compact(F.array(*entry))).alias("_d"), *others)
+    groups = rows.groupBy("_d.a", "_d.v").agg(*[_same(b).alias(b) for b in others])
+    got = groups.groupBy("a").agg(F.count(F.lit(1)).alias("__k"), F.to_json(F.struct(*[F.bool_and(b).alias(b) for b in others])).alias("fd"))
+    return {r["a"]: (r["__k"], json.loads(r["fd"])) for r in got.collect()}  # one row per column
+
+
+def functional_dependencies(df: DataFrame, cols: list, rows: int, distinct: dict) -> dict:
+    """{a: columns b with a -> b} among ``cols``; columns with a value of their own in
+    every row are left out. Two passes at most: first the groups of about
+    ``DEPENDENCY_SAMPLE`` values of every column (those of least hash, ``distinct``
+    estimates how many there are) give counterexamples, which disprove most candidates
+    for certain; then all groups of the columns that are still candidates."""
+    text = {c: (F.col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c)).cast("string") for c in cols}
+    grain = 1 << 20
+
+    def some(c):
+        part = max(1, -(-grain * DEPENDENCY_SAMPLE // max(distinct[c], 1)))
+        return F.lit(True) if part >= grain else F.pmod(F.xxhash64(text[c]), F.lit(grain)) < F.lit(part)
+
+    first = _grouped_same(df, {c: (some(c), text[c]) for c in cols}, cols)
+    may = {a: {b for b in cols if b != a and first.get(a, (0, {}))[1].get(b, True)} for a in cols}
+    open_cols = [a for a in cols if may[a]]
+    if not open_cols:
+        return {}
+    whole = _grouped_same(df, {a: (F.lit(True), text[a]) for a in open_cols}, sorted(set().union(*may.values())))
+    return {a: {b for b in may[a] if fd.get(b)} for a, (k, fd) in whole.items() if k < rows}
+
+
 def compress(df: DataFrame, skip=("row_id",)) -> tuple[DataFrame, Compression]:
     """Drop constant columns and columns functionally determined by an
     earlier kept column. A -> B holds when every group of A has one B value
-    (null is a value): one grouped min/max per candidate determinant (map-side
-    combined), no pairwise distinct counts. A column with a value of its own in
-    every row determines all others and is no determinant (it would save nothing)."""
+    (null is a value). A column with a value of its own in every row determines all
+    others and is no determinant (it would save nothing). Three passes whatever the
+    number of columns, see ``functional_dependencies``."""
     spark = df.sparkSession
     cols = [c for c in df.columns if c not in skip]
     n = F.count(F.lit(1))
     one = df.agg(n.alias("__n"), *[(F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(F.lit(0), n)).alias(c) for c in cols],
-                 *[F.first(c, ignorenulls=True).alias(f"{c}__v") for c in cols]).first()
+                 *[F.first(c, ignorenulls=True).alias(f"{c}__v") for c in cols],
+                 *[F.approx_count_distinct(c).alias(f"{c}__d") for c in cols]).first()
     constants = {c: one[f"{c}__v"] for c in cols if one[c]}
     live = [c for c in cols if c not in constants]
-    fd: dict = {}
-    parts = []
-    for a in live:
-        others = [b for b in live if b != a]
-        if not others:
-            continue
-        g = df.groupBy(a).agg(*[(F.min(b).eqNullSafe(F.max(b))
-                                 & ((F.count(b) == 0) | (F.count(b) == F.count(F.lit(1))))).alias(b)
-                                for b in others])
-        parts.append(g.agg(F.count(F.lit(1)).alias("__k"), *[F.bool_and(b).alias(b) for b in others])
-                     .select(F.lit(a).alias("a"), "__k", F.to_json(F.struct(*others)).alias("fd")))
-    if parts:
-        import json
-        for r in reduce(DataFrame.unionByName, parts).collect():
-            fd[r["a"]] = json.loads(r["fd"]) if r["__k"] < one["__n"] else {}  # not a unique key
+    fd = functional_dependencies(df, live, one["__n"], {c: one[f"{c}__d"] for c in live}) if len(live) > 1 else {}
     kept, derived = [], []
     for b in live:
-        det = next((a for a in kept if fd.get(a, {}).get(b)), None)
+        det = next((a for a in kept if b in fd.get(a, ())), None)
         if det is None:
             kept.append(b)
         else:
