@@ -133,18 +133,22 @@ def level_meets(real: DataFrame, model: DataFrame, requests: DataFrame, size: in
     return ok.groupBy("request_id").agg(F.bool_or("ok").alias("ok"))
 
 
-def _serve_candidates(real, requests, levels, models, store, attempts, seed, cols):
-    """(valid requests, matches with their size, candidate tables). Both tables
-    are written once: scores, counts and served rows all read them."""
-    from mirage.operators.prep import sample_rows
+def _needed(requests, levels):
+    """(valid requests, matches with their size); the matches are written once."""
     from mirage.session import cut_lineage
     valid = validate_request(requests)
-    need = cut_lineage(find_levels(valid, levels).join(valid.select("request_id", "size"), "request_id"))
-    combos = need.select("level", "size").distinct().collect()  # levels x distinct sizes
+    return valid, cut_lineage(find_levels(valid, levels).join(valid.select("request_id", "size"), "request_id"))
+
+
+def _candidates(real, combos, models, store, attempts, seed, cols) -> DataFrame | None:
+    """The candidate tables of (level, size) pairs, written once: scores, counts and
+    served rows all read them. None if no level can offer one."""
+    from mirage.operators.prep import sample_rows
+    from mirage.session import cut_lineage
     cached = {r["level"] for r in store.cached_levels().collect()} if store is not None else set()
     parts = []
-    for lv in sorted({r["level"] for r in combos}):
-        sizes = sorted({int(r["size"]) for r in combos if r["level"] == lv})
+    for lv in sorted({lv for lv, _ in combos}):
+        sizes = sorted({int(s) for x, s in combos if x == lv})
         if lv in cached:
             cache = store.cache_get(lv)
             n = cache.count()
@@ -154,20 +158,35 @@ def _serve_candidates(real, requests, levels, models, store, attempts, seed, col
         elif lv in models:
             g = generate_tagged(models[lv], sizes, range(attempts), seed)
             parts.append(g.select("row_id", "size", "attempt", *cols, F.lit(lv).alias("level")))
-    return valid, need, cut_lineage(reduce(DataFrame.unionByName, parts)) if parts else None
+    return cut_lineage(reduce(DataFrame.unionByName, parts)) if parts else None
+
+
+def _serve_candidates(real, requests, levels, models, store, attempts, seed, cols):
+    """(valid requests, matches with their size, candidate tables)."""
+    valid, need = _needed(requests, levels)
+    combos = [(r["level"], r["size"]) for r in need.select("level", "size").distinct().collect()]  # levels x distinct sizes
+    return valid, need, _candidates(real, combos, models, store, attempts, seed, cols)
+
+
+def _metric_names(valid) -> list:
+    return [r[0] for r in valid.select(F.explode(F.array("privacy_metric", "utility_metric"))).distinct().collect()
+            if r[0] is not None]
 
 
 def _serve_choice(real, valid, need, cands, levels, cols):
     """(request_id, level, attempt, status): the first satisfying candidate per
     request, the others pending or rejected."""
+    res = None if cands is None else score_tagged(real, cands, _metric_names(valid), ["level", "size", "attempt"], cols)
+    return _choose(valid, need, res, levels)
+
+
+def _choose(valid, need, res, levels):
+    """The choice by scores (level, size, attempt, metric, value)."""
     pending_all = valid.select("request_id", F.lit(None).cast("string").alias("level"),
                                F.lit(None).cast("int").alias("attempt"),
                                F.when(F.col("status") == "valid", F.lit("pending")).otherwise(F.lit("rejected")).alias("status"))
-    if cands is None:
+    if res is None:
         return pending_all
-    names = [r[0] for r in valid.select(F.explode(F.array("privacy_metric", "utility_metric"))).distinct().collect()
-             if r[0] is not None]
-    res = score_tagged(real, cands, names, ["level", "size", "attempt"], cols)
     order = levels.groupBy("level").agg(F.min("created").alias("level_pos"))
     per_req = need.join(res, ["level", "size"]).join(order, "level")
     ok = evaluate_request(per_req, valid, keys=("request_id", "level", "level_pos", "attempt"))
@@ -176,6 +195,41 @@ def _serve_choice(real, valid, need, cands, levels, cols):
     return chosen.unionByName(rest)
 
 
+SCORE_SCHEMA = "level string, created long, size int, attempt int, metric string, value double"
+
+
+def serve_known(real: DataFrame, requests: DataFrame, levels: DataFrame, models: dict, known: DataFrame, store=None,
+                attempts: int = ATTEMPTS, seed=0, cols=None) -> tuple[DataFrame, DataFrame | None]:
+    """R11 for requests that come in batches: (result as of ``serve``, new scores).
+    ``known`` (``SCORE_SCHEMA``) holds the scores of earlier batches; only (level,
+    size, metric) without one are drawn and scored. A level that was removed and
+    made again has another ``created`` and is scored anew; so is one that got cached
+    rows (attempt -1)."""
+    from mirage.session import cut_lineage
+    spark, cols = real.sparkSession, cols or feature_columns(real)
+    valid, need = _needed(requests, levels)
+    names = _metric_names(valid)
+    born = levels.groupBy("level").agg(F.min("created").alias("created"))
+    cached = [r["level"] for r in store.cached_levels().collect()] if store is not None else []
+    offered = F.when(F.col("level").isin(cached), F.col("attempt") < 0).otherwise(F.col("attempt") >= 0) if cached else F.col("attempt") >= 0
+    usable = known.join(born, ["level", "created"]).filter(offered)
+    keys = ["level", "size", "metric"]
+    wanted = need.select("level", F.col("size").cast("int").alias("size")).distinct().withColumn(
+        "metric", F.explode(F.array(*[F.lit(n) for n in names]))) if names else None
+    missing = wanted.join(usable.select(*keys).distinct(), keys, "left_anti").collect() if names else []  # levels x sizes x metrics
+    cands = _candidates(real, {(r["level"], r["size"]) for r in missing}, models, store, attempts, seed, cols) if missing else None
+    new = None
+    if cands is not None:
+        lacking = spark.createDataFrame([(r["level"], r["size"], r["metric"]) for r in missing], "level string, size int, metric string")
+        res = score_tagged(real, cands, sorted({r["metric"] for r in missing}), ["level", "size", "attempt"], cols)
+        new = cut_lineage(res.withColumn("size", F.col("size").cast("int")).join(F.broadcast(lacking), keys, "left_semi").join(F.broadcast(born), "level")
+                          .select("level", F.col("created").cast("long").alias("created"), "size", F.col("attempt").cast("int").alias("attempt"), "metric", "value"))
+    scores = usable.select("level", "size", "attempt", "metric", "value")
+    if new is not None:
+        scores = scores.unionByName(new.drop("created"))
+    return _choose(valid, need, scores, levels), new
+
+
 def serve(real: DataFrame, requests: DataFrame, levels: DataFrame, models: dict, store=None,
           attempts: int = ATTEMPTS, seed=0, cols=None) -> DataFrame:
     """Match requests to levels (J6); a level with cached rows offers a
