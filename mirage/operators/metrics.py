@@ -66,9 +66,36 @@ def identifiability(real: DataFrame, syn: DataFrame, cols=None, by=()) -> DataFr
     return _identifiability(sc(real), sc(syn, by), cols, "identifiability", by)
 
 
-def identifiability_oc(real: DataFrame, syn: DataFrame, cols=None, by=()) -> DataFrame:
+def principal_axes(df: DataFrame, cols, k: int):
+    """The ``k`` leading eigenvectors (columns x k numbers) of the Gram matrix of
+    ``cols``: every partition sums its own products, the sums (columns x columns) are
+    added in one aggregation. Rows with a null count for nothing. Axes point to where
+    their largest entry is positive."""
+    import numpy as np
+    import pandas as pd
+
+    cols = list(cols)
+    c = len(cols)
+
+    def products(it):
+        g = np.zeros((c, c))
+        for p in it:
+            x = p[cols].to_numpy(np.float64)
+            g += x.T @ x
+        yield pd.DataFrame({"i": np.repeat(np.arange(c), c), "j": np.tile(np.arange(c), c), "g": g.ravel()})
+
+    part = df.select(*[F.col(x).cast("double").alias(x) for x in cols]).dropna().mapInPandas(products, "i int, j int, g double")
+    g = np.zeros((c, c))
+    for r in part.groupBy("i", "j").agg(F.sum("g").alias("g")).collect():  # columns x columns
+        g[r["i"], r["j"]] = r["g"]
+    axes = np.linalg.eigh((g + g.T) / 2.0)[1][:, ::-1][:, :k]
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+
+
+def identifiability_oc(real: DataFrame, syn: DataFrame, cols=None, by=(), pca: int | None = None) -> DataFrame:
     """M3: the same comparison in a space fitted on real rows only: z-scores
-    with the real mean and sample standard deviation (0 when it is 0)."""
+    with the real mean and sample standard deviation (0 when it is 0), with ``pca``
+    their projections on that many principal axes of the real rows."""
     cols = _cols(real, cols)
     st = real.agg(*[F.avg(c).alias(f"{c}__m") for c in cols],
                   *[F.stddev_samp(c).alias(f"{c}__s") for c in cols]).first()
@@ -80,7 +107,15 @@ def identifiability_oc(real: DataFrame, syn: DataFrame, cols=None, by=()) -> Dat
             out.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(c) if s
                        else F.lit(0.0).alias(c))
         return df.select("row_id", *out)
-    return _identifiability(z(real), z(syn, by), cols, "identifiability_oc", by)
+    if not pca:
+        return _identifiability(z(real), z(syn, by), cols, "identifiability_oc", by)
+    axes = principal_axes(z(real), cols, min(int(pca), len(cols)))
+    names = [f"axis{j}" for j in range(axes.shape[1])]
+
+    def onto(df, t=()):
+        return df.select("row_id", *t, *[reduce(lambda a, b: a + b, [F.col(c) * F.lit(float(axes[i, j])) for i, c in enumerate(cols)]).alias(n)
+                                         for j, n in enumerate(names)])
+    return _identifiability(onto(z(real)), onto(z(syn, by), by), names, "identifiability_oc", by)
 
 
 # --- M4 --------------------------------------------------------------------------

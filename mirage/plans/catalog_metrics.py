@@ -60,6 +60,13 @@ def metric_ident_oc(spark, d):
     return rounded(M.identifiability_oc(real, syn, FEATS))
 
 
+@query("metric_ident_pca")
+def metric_ident_pca(spark, d):
+    """In the plane of the two leading principal axes of the real rows."""
+    real, syn = cust_roles(spark, d)
+    return rounded(M.identifiability_oc(real, syn, FEATS, pca=2))
+
+
 def _so_sql(syn: str, target: str, prefix: str, cols=("c_nationkey", "c_acctbal", "c_mktsegment")) -> str:
     def long_form(src):
         return " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({c} AS DOUBLE) AS v FROM {src}" for c in cols)
