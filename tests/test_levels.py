@@ -145,3 +145,21 @@ def test_prepared_level_serves_what_was_pending(spark, real, tmp_path):
     assert {(r["level"], r["status"]) for r in served} == {("new", "served")}
     again = S.prepare(real, reqs, levels, models, store, size=300, seed=3, cols=COLS)
     assert {r["outcome"] for r in again.collect()} == {"exists"}
+
+
+def test_pending_requests_are_computed_once(spark, real):
+    """Pending requests may be the end of a whole serve: preparation doesn't run it anew for every use."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for p in it:
+            seen.add(len(p))
+            yield p
+
+    reqs = spark.createDataFrame([(i, "weak", 150, None, None, "inversekldivergence", 0.97, 0.05) for i in range(40)],
+                                 "request_id long, level string, size int, privacy_metric string, privacy_value double, utility_metric string, "
+                                 "utility_value double, tol double")
+    levels = L.create_level(spark, "weak", [], [("inversekldivergence", (0.5, 0.5))])
+    out = S.prepare(real, reqs.mapInPandas(count, reqs.schema), levels, {}, seed=3, cols=COLS).collect()
+    assert sorted((r["request_id"], r["outcome"]) for r in out) == [(i, "exists") for i in range(40)]
+    assert seen.value == 40
