@@ -87,3 +87,23 @@ def test_visits_grow_with_the_rows_on_clustered_data(small, visits):
         D.nearest_other(frame(small, X), COLS).count()
         total.append(sum(visits))
     assert total[1] < 12 * total[0] and total[1] < 0.5 * 4000 * 4000 / 50
+
+
+def test_visits_of_a_value_many_rows_share(small, visits):
+    """Rows that equal half of the other table visit a few of its rows, not all parts of
+    its copies; the neighbour is still the lowest id, or the next where that is the row's own."""
+    X = np.concatenate([np.zeros((1500, 3)), clusters(1500, 5, centres=75)])
+    a = frame(small, X)
+    got = {r["row_id"]: (r["nn_id"], r["dist"]) for r in D.nearest_neighbor(a, a, COLS, exclude_self=True).collect()}
+    assert sum(visits) < 10 * len(X)
+    assert got[0] == (1, 0.0) and all(got[i] == (0, 0.0) for i in range(1, 1500))
+    assert all(abs(got[1500 + i][1] - np.delete(np.sqrt(((X[1500 + i] - X) ** 2).sum(1)), 1500 + i).min()) < 1e-9 for i in range(0, 1500, 25))
+
+
+def test_equal_rows_with_one_id(small):
+    """A row that comes often under one id is not its own neighbour."""
+    b = frame(small, np.concatenate([np.zeros((1, 3)), clusters(300, 2) + 50]))
+    many = b.filter("row_id = 0").crossJoin(small.range(200)).drop("id").unionByName(b.filter("row_id > 0"))
+    got = {r["row_id"]: r["dist"] for r in D.nearest_other(many, COLS).collect()}
+    want = {r["row_id"]: r["dist"] for r in D.nearest_other(b, COLS).collect()}
+    assert got == want and got[0] > 0
